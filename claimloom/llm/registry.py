@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, quality_rules, secrets, sharding, urls
+from . import bpe, licenses, quality_model, quality_rules, secrets, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op4_license_scans": licenses.query,
+        "op5_quality_classifier": quality_model.query,
         "op6_quality_rules": quality_rules.query,
+        "op7_byte_bpe": bpe.query,
         "op8_secret_scans": secrets.query,
         "op9_url_filters": urls.query,
         "op10_sharding": sharding.query,
