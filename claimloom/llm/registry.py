@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality_model, quality_rules, secrets, sharding, urls
+from . import bpe, licenses, quality_model, quality_rules, secrets, sharding, substrings, urls
 
 
 def queries() -> dict:
     return {
+        "op3_substring_dedup": substrings.query,
         "op4_license_scans": licenses.query,
         "op5_quality_classifier": quality_model.query,
         "op6_quality_rules": quality_rules.query,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import os
 import tempfile
@@ -108,6 +109,12 @@ def discard(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _discard_all() -> None:
     for spark, path in _written:
