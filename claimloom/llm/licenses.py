@@ -52,8 +52,8 @@ def template_order(docs: DataFrame, templates=TEMPLATES, text_col: str = "text")
     vocabulary = sorted({w for t, _ in templates for w in t.split()})
     lit = F.array(*map(F.lit, vocabulary))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(F.explode(F.array_intersect(lit, license_words(text))).alias("w"))
-    counts = dict(held.groupBy("w").count().collect())  # a row per template word
+    held = docs.select(F.explode_outer(F.array_intersect(lit, license_words(text))).alias("w"))
+    counts = dict(held.filter(F.col("w").isNotNull()).groupBy("w").count().collect())  # a row per template word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality_model, quality_rules, secrets, sharding, substrings, urls
+from . import bpe, decontam, jaccard, licenses, quality_model, quality_rules, secrets, sharding, substrings, urls
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": jaccard.query,
+        "op2_benchmark_decontamination": decontam.query,
         "op3_substring_dedup": substrings.query,
         "op4_license_scans": licenses.query,
         "op5_quality_classifier": quality_model.query,

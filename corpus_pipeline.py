@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from claimloom.llm import quality_rules, secrets, util
+from claimloom.llm import bpe, decontam, jaccard, quality_rules, secrets, util
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("ngram_jaccard_join", jaccard.stage),
+    ("benchmark_decontamination", decontam.stage),
     ("secret_scans", secrets.stage),
+    ("byte_bpe", bpe.stage),
 ]
 
 #: The stages are not expressible in SQL; tests hold them against brute force.
