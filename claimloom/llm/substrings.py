@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = M, bucket: in
     singles = held.filter(F.exists("found", lambda x: x["hot"])).mapInArrow(_pack(window, True), schema)
     twice = util.stored(singles.groupBy("bucket").count().filter("count > 1").select("bucket"), "twice")
     hot = singles.join(twice, "bucket").select(*doc, F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    ranges = cold.unionByName(hot).groupBy(*doc).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    ranges = util.stored(cold.unionByName(hot).groupBy(*doc).agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "ranges")
     schema = "doc_id bigint, h bigint, n_removed bigint, cut_sha string" + ", kept_text string" * keep_text
     cut = _join(held.select(*doc, "text"), ranges, "inner").select(*doc, "text", "ranges").mapInArrow(_cut(keep_text), schema)
     cut = util.stored(cut.dropDuplicates(doc), "cut")
