@@ -158,8 +158,8 @@ def fit_references(measures: DataFrame, langs: list[str], lang_col: str = "lang"
     return {r["lang"]: {"chars": r["chars"], "words": r["words"]} for r in found}
 
 
-def judge(docs: DataFrame, references: dict | None = None, text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, guard_words: int = GUARD_WORDS) -> DataFrame:
-    """``docs`` with columns of the base counts, base_failed, char_distance, word_distance and kept.
+def judge(docs: DataFrame, references: dict | None = None, text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, guard_words: int = GUARD_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``, the language among them) with columns of the base counts, base_failed, char_distance, word_distance and kept.
 
     Without ``references`` they are fitted to all of ``docs``. The measures are
     written to the shared folder once and serve both the fit and the verdicts.
@@ -169,6 +169,8 @@ def judge(docs: DataFrame, references: dict | None = None, text_col: str = "text
     """
     langs = list(COMMON)
     out = measured(docs, langs, text_col, lang_col)
+    if keep is not None:
+        out = out.drop(*[c for c in docs.columns if c not in keep])
     if references is None:
         out = util.stored(out, "measures")
         references = fit_references(out, langs, lang_col)
@@ -184,10 +186,11 @@ def judge(docs: DataFrame, references: dict | None = None, text_col: str = "text
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = util.table(spark, sf_dir, "documents")
-    return judge(docs.select("doc_id", "lang", "text")).drop("text", "lang")
+    docs = util.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return judge(docs, keep=["doc_id", "lang"]).drop("lang")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass; columns as they came."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    """Documents that pass; all columns as they came, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
+    return judge(rows, keep=["_row", "lang"]).filter("kept").select("_row.*")

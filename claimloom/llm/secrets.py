@@ -25,7 +25,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 #: Tokens that the models judge: this pattern, at least one digit, a limit in nats for each pair.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-LIMIT = 0.5
+LIMIT = 1.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Samples of ordinary identifiers, paths and numbers (label 0).
@@ -48,33 +48,35 @@ RANDOM_SAMPLES = 4096
 
 
 def labelled_samples(spark) -> DataFrame:
-    """Rows (text, label): random strings over base64, hex and capitals (1), ordinary identifiers (0)."""
+    """Rows (text, label): random strings over base64, hex and capitals (1), ordinary identifiers, also in capitals (0)."""
     ids = spark.range(RANDOM_SAMPLES)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     raw = F.base64(F.unhex(digest))
     text = F.when(F.col("id") % 4 == 0, digest).when(F.col("id") % 4 == 1, F.upper(F.substring(raw, 1, 20))).otherwise(F.regexp_replace(raw, "=+$", ""))
-    plain = util.literal_rows(spark, [{"text": x} for x in ORDINARY], "text string")
+    plain = util.literal_rows(spark, [{"text": y} for x in ORDINARY for y in (x, x.upper())], "text string")
     return ids.select(text.alias("text"), F.lit(1).alias("label")).unionByName(plain.select("text", F.lit(0).alias("label")))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> dict:
+def train(samples: DataFrame, weight: float = 2.0) -> dict:
     """Log-likelihood ratio of each pair of characters, random over ordinary.
 
-    Counts pairs natively; the result is as long as the alphabet squared. Null
-    texts and characters outside the alphabet are ignored.
+    Counts pairs natively; the result is as long as the alphabet squared. Each
+    model falls back to how frequent the second character is in its class, with
+    ``weight`` pairs' worth. Null texts and characters outside the alphabet are
+    ignored.
     """
     pairs = samples.filter(F.col("text").isNotNull() & F.col("label").isNotNull()).select("label", F.explode(F.when(F.length("text") > 1, F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))).alias("pair"))
-    counts = {}
-    for label, pair, n in pairs.groupBy("label", "pair").count().collect():  # at most 2 x alphabet squared
-        if len(pair) == 2 and pair[0] in ALPHABET and pair[1] in ALPHABET:
-            counts[int(label), pair] = counts.get((int(label), pair), 0) + n
-    n, ratio = len(ALPHABET), []
-    for a in ALPHABET:
-        sums = [sum(counts.get((label, a + b), 0) for b in ALPHABET) + smoothing * n for label in (0, 1)]
-        for b in ALPHABET:
-            p0, p1 = [(counts.get((label, a + b), 0) + smoothing) / sums[label] for label in (0, 1)]
-            ratio.append(round(math.log(p1 / p0), 6))
-    return {"alphabet": ALPHABET, "ratio": ratio}
+    n, of_pair = len(ALPHABET), [{}, {}]
+    for label, pair, k in pairs.groupBy("label", "pair").count().collect():  # at most 2 x alphabet squared
+        if len(pair) == 2 and pair[0] in ALPHABET and pair[1] in ALPHABET and int(label) in (0, 1):
+            of_pair[int(label)][pair] = k
+    logs = []
+    for counts in of_pair:
+        total = sum(counts.values())
+        first = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+        second = {b: (sum(counts.get(a + b, 0) for a in ALPHABET) + 0.5) / (total + 0.5 * n) for b in ALPHABET}
+        logs.append([math.log((counts.get(a + b, 0) + weight * second[b]) / (first[a] + weight)) for a in ALPHABET for b in ALPHABET])
+    return {"alphabet": ALPHABET, "ratio": [round(x - y, 6) for x, y in zip(logs[1], logs[0], strict=True)]}
 
 
 def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -194,11 +196,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets blotted out; ``n_chars`` follows the text."""
-    out = scan_secrets(docs, train(labelled_samples(spark)))
-    found = F.size("all_spans") > 0
-    new = {"text": redact(F.col("text"), F.col("all_spans"))}
-    out = out.withColumns(new | {"_found": found})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Documents with their secrets blotted out; ``n_chars`` follows the text, other columns stay."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    out = scan_secrets(rows, train(labelled_samples(spark)))
+    out = util.computed(out, F.struct(redact(F.col("text"), F.col("all_spans")).alias("_text"), (F.size("all_spans") > 0).alias("_found")))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("_text").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("_found"), F.length("_text").cast("bigint")).otherwise(F.col("_row.n_chars")).alias(c)
+        return F.col(f"_row.`{c}`")
+
+    return out.select(*[column(c) for c in docs.columns])
