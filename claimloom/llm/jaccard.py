@@ -234,3 +234,18 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the least id. Documents without words stay."""
     keep = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT k, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT k, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS m FROM g GROUP BY k),
+rep AS (SELECT min(k) AS r, m, n, count(*) AS n_class FROM n GROUP BY m, n),
+x AS (SELECT r, g, n FROM rep JOIN g ON g.k = rep.r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.r <> b.r AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2),
+e AS (SELECT a, b FROM o WHERE 100 * i >= 90 * (na + nb - i)),
+c(a, b) AS (SELECT r, r FROM rep UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+least AS (SELECT c.a AS r, min(w.doc_id) AS component_id FROM c JOIN rep q ON q.r = c.b JOIN n ON n.m = q.m AND n.n = q.n JOIN w ON w.k = n.k GROUP BY c.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id, coalesce(n_class, 1) AS n_class
+FROM w LEFT JOIN n USING (k) LEFT JOIN rep ON rep.m = n.m AND rep.n = n.n LEFT JOIN least ON least.r = rep.r
+"""

@@ -154,3 +154,27 @@ def scan_licenses(docs: DataFrame, order: list[str], templates=TEMPLATES, thresh
 def query(spark, sf_dir: str) -> DataFrame:
     docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs, template_order(docs)).drop("text")
+
+
+def sql() -> str:
+    """DuckDB twin of :func:`query`, from the same phrases and templates."""
+    phrases = ", ".join(f"('{p}', '{x}')" for p, x in PHRASES)
+    templates = ", ".join(f"('{t}', '{x}')" for t, x in TEMPLATES)
+    upper, lower, words = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, '{words}') AS w FROM d),
+ph(phrase, label) AS (VALUES {phrases}), tm(template, label) AS (VALUES {templates}),
+tw AS (SELECT label, list_distinct(string_split(template, ' ')) AS tw FROM tm),
+i AS (SELECT k, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+h AS (SELECT k, i - 1 AS pos, label FROM i JOIN ph ON array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+b AS (SELECT k, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM h GROUP BY k),
+l AS (SELECT k, list_distinct(regexp_extract_all(line, '{words}')) AS lw FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (SELECT k, label, len(list_intersect(tw, lw)) / len(tw) AS share FROM l, tw WHERE len(lw) > 0 AND len(list_intersect(tw, lw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)),
+a AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM h UNION ALL SELECT k, label FROM m) GROUP BY k),
+bl AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY k),
+s AS (SELECT k, max(share) AS share FROM m GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN b USING (k) LEFT JOIN a USING (k) LEFT JOIN bl USING (k) LEFT JOIN s USING (k)
+"""

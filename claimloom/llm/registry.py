@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": urls.SQL}
+    return {
+        "op1_jaccard_join": jaccard.SQL,
+        "op3_substring_dedup": substrings.SQL,
+        "op4_license_scans": licenses.sql(),
+        "op9_url_filters": urls.SQL,
+    }

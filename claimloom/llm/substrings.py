@@ -245,3 +245,14 @@ def _join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(util.table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT k, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35),
+s AS (SELECT k, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS c FROM p),
+gone AS (SELECT DISTINCT k, i + j AS pos FROM (SELECT k, i, unnest(generate_series(0, 34)) AS j FROM s WHERE c > 1)),
+words AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM w),
+kept AS (SELECT k, string_agg(x, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (k, pos) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (k)
+"""
