@@ -29,6 +29,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Growth of size classes; fragments a document may leave empty; wide fragments; leader rounds.
 GROWTH, SPARE, WIDE, ROUNDS = 1.5, 1, 8, 6
+#: Once all pairs left are at most so many times the rows left, they are compared at once; before that, leaders settle most.
+FEW = 4
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -115,12 +117,12 @@ def _scan(shingle: int, percent: int):
 
 
 def _segments(shingle: int):
-    """Rows (v, sig, text) to (v, n, part, segment) for each wide fragment; rows of another text of the same id drop out."""
+    """Rows (v, sig, text) to (v, part, segment) for each wide fragment; rows of another text of the same id drop out."""
     bounds = np.arange(1, WIDE, dtype=np.uint64) * np.uint64(2**64 // WIDE)
 
     def run(batches):
         for b in _slices(batches, 100):
-            vs, ns, parts, segments = [], [], [], []
+            vs, parts, segments = [], [], []
             for v, sig, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = shingle_set(text, shingle)
                 if _signature(tokens) == sig:
@@ -128,21 +130,25 @@ def _segments(shingle: int):
                     for k in range(WIDE):
                         if cuts[k] < cuts[k + 1]:
                             vs.append(v)
-                            ns.append(len(tokens))
                             parts.append(k)
                             segments.append(tokens[cuts[k] : cuts[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(ns, pa.int64()), pa.array(parts, pa.int32()), _lists(segments, "int64")], names=["v", "n", "part", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(parts, pa.int32()), _lists(segments, "int64")], names=["v", "part", "segment"])
 
     return run
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that link: overlaps are counted by wide fragment, then summed."""
-    left = segments.select(F.col("v").alias("u"), F.col("n").alias("n_u"), F.col("part"), F.col("segment").alias("left"))
-    right = segments.select("v", F.col("n").alias("n_v"), "part", F.col("segment").alias("right"))
+    """Pairs (u, v) of sizes n_u and n_v that link: overlaps are counted by wide fragment, then summed.
+
+    Repeated rows of a document repeat its segments, so of one fragment the
+    largest count is taken.
+    """
+    left = segments.select(F.col("v").alias("u"), "part", F.col("segment").alias("left"))
+    right = segments.select("v", "part", F.col("segment").alias("right"))
     met = pairs.join(left, "u").join(right, ["v", "part"])
-    parts = met.groupBy("u", "v", "part").agg(F.max(F.size(F.array_intersect("left", "right"))).alias("k"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"))
-    total = parts.groupBy("u", "v").agg(F.sum("k").alias("k"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"))
+    counted = met.select("u", "v", "n_u", "n_v", "part", F.size(F.array_intersect("left", "right")).alias("k"))
+    parts = [F.coalesce(F.max(F.when(F.col("part") == i, F.col("k"))), F.lit(0)) for i in range(WIDE)]
+    total = counted.groupBy("u", "v", "n_u", "n_v").agg(sum(parts[1:], parts[0]).alias("k"))
     return total.filter(F.col("k") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("k")) * percent).select("u", "v")
 
 
@@ -150,6 +156,20 @@ def _close(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _meetings(members: DataFrame, k: int) -> DataFrame:
+    """Members (key, v, n, component) of keys on which several components meet, with the key's leader.
+
+    The leader is the least in a hash order that changes with ``k``. ``most``
+    bounds the pairs of the key from above.
+    """
+    order = F.xxhash64("v", F.lit(k))
+    lead = F.min(F.struct(order.alias("order"), F.col("v").alias("lead"), F.col("n").alias("n_lead"), F.col("component").alias("c_lead"))).alias("l")
+    n = F.count("*")
+    met = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead, (n * (n - 1) / 2).alias("most")).filter("lo < hi")
+    met = util.stored(met.select("key", "l.lead", "l.n_lead", "l.c_lead", "most"), "met")
+    return members.join(met, "key")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_class.
 
@@ -170,49 +190,44 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     keyed = scanned.filter(F.size("keys") > 0).join(classes.select("sig", "rep", "v"), "sig").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "n", "keys")
     keyed = util.stored(keyed, "keyed")
-    rows_of_keys = keyed.select("v", "n", F.explode("keys").alias("key"))
-    shared = util.stored(rows_of_keys.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").select("key"), "shared")
-    members = util.stored(rows_of_keys.join(shared, "key").withColumn("component", F.col("v")), "members")
+    members = keyed.select("v", "n", F.explode("keys").alias("key")).withColumn("component", F.col("v"))
+    left = util.stored(_meetings(members, 0), "left")
     util.discard(keyed)
     util.release(spark)
 
-    wanted = members.select("v").distinct().join(classes.select("v", "rep", "sig"), "v")
+    wanted = left.select("v").unionByName(left.select(F.col("lead").alias("v"))).distinct().join(classes.select("v", "rep", "sig"), "v")
     wanted = util.stored(wanted, "wanted").withColumnRenamed("rep", "_rep")
-    segments = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("v", "sig", "text").mapInArrow(_segments(shingle), "v bigint, n bigint, part int, segment array<bigint>")
+    segments = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("v", "sig", "text").mapInArrow(_segments(shingle), "v bigint, part int, segment array<bigint>")
     segments = util.stored(segments, "segments")
     util.release(spark)
 
-    links = tested = found = None
-    for k in range(rounds + 1):
-        lead = F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("order"), F.col("v").alias("lead"), F.col("n").alias("n_lead"), F.col("component").alias("c_lead"))).alias("l")
-        open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead).filter("lo < hi").select("key", "l.lead", "l.n_lead", "l.c_lead")
-        left = util.stored(members.join(util.stored(open_, "open"), "key"), "left")
-        if left.isEmpty():
+    links = found = None
+    for k in range(1, rounds + 2):
+        rest, most = left.agg(F.count("*"), F.sum(F.when(F.col("v") == F.col("lead"), F.col("most")))).first()
+        if not rest:
             break
-        if k < rounds:  # each vertex meets the one leader with which it shares most segments
-            met = left.filter((F.col("component") != F.col("c_lead")) & _close("n", "n_lead", percent)).groupBy("v", "lead").count()
-            if tested is not None:
-                met = met.join(tested.select(F.col("a").alias("v"), F.col("b").alias("lead")), ["v", "lead"], "left_anti")
-            pairs = met.groupBy("v").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.col("lead").alias("u"), "v")
-        else:  # all that is left, so that no link is lost
+        last = k > rounds or (most or 0) <= FEW * rest
+        if last:  # all that is left, so that no link is lost
             a = left.select("key", F.col("v").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
-            b = left.select("key", "v", "n", "component")
-            pairs = a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("component")) & _close("n", "n_u", percent)).select("u", "v").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_anti")
-        pairs = util.stored(pairs, "pairs")
-        new = util.stored(_linked(pairs, segments, percent), "links")
-        both = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        tested = util.stored(both if tested is None else tested.unionByName(both), "tested")
+            b = left.select("key", "v", F.col("n").alias("n_v"), "component")
+            pairs = a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("component")) & _close("n_u", "n_v", percent)).select("u", "v", "n_u", "n_v").distinct()
+        else:  # each vertex meets the one leader with which it shares most segments
+            met = left.filter((F.col("component") != F.col("c_lead")) & _close("n", "n_lead", percent)).groupBy("v", "n", "lead", "n_lead").count()
+            best = met.groupBy("v").agg(F.max(F.struct("count", "lead", "n_lead", "n")).alias("b"))
+            pairs = best.select(F.col("b.lead").alias("u"), "v", F.col("b.n_lead").alias("n_u"), F.col("b.n").alias("n_v"))
+        new = util.stored(_linked(util.stored(pairs, "pairs"), segments, percent), "links")
         if not new.isEmpty():
-            links = util.stored(new if links is None else links.unionByName(new), "all_links")
+            links = new if links is None else util.stored(links.unionByName(new), "all_links")
             found = util.stored(graph.components(links), "components")
-        elif k < rounds and pairs.isEmpty():
-            rounds = k  # leaders have nothing more to say: the next round compares what is left
-        if k >= rounds:
+        if last:
             break
         members = left.select("key", "v", "n")
-        members = util.stored(members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v")) if found is not None else members.withColumn("component", F.col("v")), "members")
+        if found is not None:
+            members = members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        else:
+            members = members.withColumn("component", F.col("v"))
+        old, left = left, util.stored(_meetings(members, k), "left")
+        util.discard(old)
         util.release(spark)
 
     if found is None:
