@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import claims, diff, graph, linking, ranking
+from ..functions import udfs
+from ..operators import algebra, claims, diff, gates, graph, linking, ranking
+from ..sources import sinks
 from .views import view, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -490,6 +492,112 @@ def b6_verify_receipt(rows):
     return rows.select("event_id", F.to_json(F.struct("status", F.coalesce("method", F.lit("")).alias("method"))).alias("receipt"))
 
 
+def _bound(name: str, op: str):
+    """Formula JSON ``name op size`` of a locus row, built in the JVM."""
+    var, const = F.struct(F.lit("var").alias("kind"), F.lit(name).alias("name")), F.struct(F.lit("const").alias("kind"), F.length("path").alias("value"))
+    args = F.array(F.to_json(var), F.to_json(const))
+    return F.concat(F.lit('{"kind":"atomic","name":"' + op + '","args":['), F.array_join(args, ","), F.lit("]}"))
+
+
+@query("""SELECT path, concat('{"kind":"', kind, '","path":"', path, '","status":"', status, '"}') AS canonical FROM (SELECT DISTINCT path, kind, status FROM loci)""", "loci")
+def c1_canonical_json(loci):
+    rows = loci.select("path", "kind", "status").distinct()
+    return rows.select("path", udfs.jcs(F.to_json(F.struct("status", "kind", "path"))).alias("canonical"))
+
+
+@query(None, "loci")
+def c2_content_ids(loci):
+    return loci.select("path").distinct().select("path", udfs.cid("path").alias("cid"))
+
+
+@query(None, "loci")
+def c4_c5_formula_ids(loci):
+    f = _bound("x", "<")
+    return loci.select("path").distinct().select("path", udfs.formula_cid(f).alias("pool"), udfs.formula_hash(f).alias("handshake"), C.is_cid(udfs.formula_cid(f)).alias("well_formed"))
+
+
+@query("SELECT DISTINCT path, CASE WHEN status = 'refused' THEN 'linear-arithmetic' ELSE 'bitvectors' END AS theory FROM loci", "loci")
+def c20_theory(loci):
+    f = F.when(F.col("status") == "refused", _bound("x", "<")).otherwise(_bound("x", "bvult"))
+    return loci.select("path", "status").distinct().select("path", udfs.theory(f).alias("theory")).distinct()
+
+
+@query("SELECT DISTINCT path, concat('(set-logic ALL)', chr(10), '(declare-const x Int)', chr(10), '(assert (not (< x ', length(path), ')))', chr(10), '(check-sat)') AS script FROM loci", "loci")
+def c36_validity_script(loci):
+    return loci.select("path").distinct().select("path", udfs.validity_script(_bound("x", "<")).alias("script"))
+
+
+@query("SELECT DISTINCT path, concat('x < ', length(path)) AS fol, ['x'] AS free, false AS closed FROM loci", "loci")
+def c40_d4_k5_readable_formulas(loci):
+    f = _bound("x", "<")
+    return loci.select("path").distinct().select("path", udfs.fol(f).alias("fol"), udfs.free_variables(f).alias("free"), udfs.is_closed(f).alias("closed"))
+
+
+@query("SELECT event_id, lower(concat('cannot read ', event_type)) AS bucket FROM report_rows", "report_rows")
+def c45_reason_bucket(rows):
+    reason = F.concat(F.lit("Cannot read "), F.col("event_type"), F.lit("`x.y`: , got "), F.col("status"))
+    return rows.select("event_id", C.reason_bucket(reason).alias("bucket"))
+
+
+KINDS = ["reads", "io", "atomic_access", "drop", "opaque_loop", "panics", "early_return"]
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'block' WHEN 1 THEN 'block' WHEN 5 THEN 'block' WHEN 2 THEN CASE WHEN method IS NULL THEN 'memento-required' ELSE 'informational' END ELSE 'memento-required' END AS class FROM report_rows", "report_rows")
+def c47_effect_class(rows):
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 7).cast("int"))
+    return rows.select("event_id", C.effect_class(kind, F.col("method"), F.col("status")).alias("class"))
+
+
+@query("""WITH c AS (SELECT CASE event_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'lossy' WHEN 2 THEN 'gap' ELSE 'odd' END AS verdict, event_id % 3 = 0 AS witness, event_id % 5 = 0 AS loss, event_id % 2 = 0 AS gap FROM report_rows)
+SELECT CASE WHEN verdict = 'exact' AND NOT (loss OR gap) AND witness THEN 'exact' WHEN verdict = 'lossy' AND loss AND NOT gap THEN 'lossy' WHEN verdict = 'gap' AND gap AND NOT witness THEN 'gap' ELSE 'invalid' END AS outcome, count(*) AS n FROM c GROUP BY 1""", "report_rows")
+def d10_f15_claim_report(rows):
+    verdict = F.get(F.array(*map(F.lit, ("exact", "lossy", "gap", "odd"))), (F.col("event_id") % 4).cast("int"))
+    given = lambda k, c: F.when(F.col("event_id") % k == 0, F.lit("x")).alias(c)
+    return gates.claim_report(rows.select(verdict.alias("verdict"), given(3, "witness"), given(5, "loss"), given(2, "gap")))
+
+
+@query("SELECT count(*) = 0 AS unchanged FROM ((SELECT name, behaviour FROM claims_before EXCEPT ALL SELECT name, behaviour FROM claims_after) UNION ALL (SELECT name, behaviour FROM claims_after EXCEPT ALL SELECT name, behaviour FROM claims_before))", "claims_before", "claims_after")
+def i5_snapshot_unchanged(before, after):
+    changed = before.exceptAll(after).unionByName(after.exceptAll(before))
+    return changed.agg((F.count("*") == 0).alias("unchanged"))
+
+
+@query("SELECT event_type, user_id, max(event_id) AS version, arg_max(status, event_id) AS status FROM report_rows GROUP BY 1, 2", "report_rows")
+def n1_latest_slots(rows):
+    last = rows.groupBy("event_type", "user_id").agg(F.max(F.struct("event_id", "status")).alias("s"))
+    return last.select("event_type", "user_id", F.col("s.event_id").alias("version"), F.col("s.status").alias("status"))
+
+
+@query("SELECT event_id, event_type, user_id FROM report_rows WHERE panic_site AND status <> 'discharged' ORDER BY event_type, user_id, event_id", "report_rows")
+def h2_census_order(rows):
+    return rows.filter("panic_site and status <> 'discharged'").select("event_id", "event_type", "user_id").orderBy("event_type", "user_id", "event_id")
+
+
+@query("SELECT o.source_cid, o.target_cid, n.status IS NOT NULL AS admitted FROM call_edges o LEFT JOIN (SELECT DISTINCT concat('c:part:', user_id) AS c, 'x' AS status FROM report_rows) n ON n.c = o.target_cid WHERE o.target_cid IS NOT NULL", "call_edges", "report_rows")
+def m8_admission(edges, rows):
+    receipts = edges.filter("target_cid is not null").select("source_cid", "target_cid", F.col("target_cid").alias("artifact"), F.col("target_cid").alias("artifact_cid"), F.lit("p").alias("policy_cid"))
+    known = rows.select(F.concat(F.lit("c:part:"), F.col("user_id").cast("string")).alias("artifact")).distinct()
+    return gates.admission(receipts, known.select("artifact", F.col("artifact").alias("artifact_cid"), F.lit("p").alias("policy_cid"))).select("source_cid", "target_cid", "admitted")
+
+
+@query("SELECT path AS id, CASE WHEN length(path) > 12 THEN 'discharged' ELSE 'unsatisfied' END AS verdict, 'ground' AS solver FROM (SELECT DISTINCT path FROM loci)", "loci")
+def l4_plan_dispatch(loci):
+    const = lambda v: F.concat(F.lit('{"kind":"const","value":'), v.cast("string"), F.lit("}"))
+    f = F.concat(F.lit('{"kind":"atomic","name":">","args":['), const(F.length("path")), F.lit(","), const(F.lit(12)), F.lit("]}"))
+    rows = loci.select("path").distinct().select(F.col("path").alias("id"), f.alias("formula"))
+    return algebra.run_plan(rows, {"ground": algebra.ground_solver}, ["absent", "ground"])
+
+
+@query("SELECT file AS name, count(DISTINCT path) AS members, 0 AS errors FROM loci GROUP BY file", "loci")
+def a4_b1_bundle_round_trip(loci):
+    body = F.concat(F.lit('{"evidence":{"kind":"locus","body":{"path":"'), F.col("path"), F.lit('"}}}'))
+    rows = loci.select(F.col("file").alias("name"), body.alias("body")).distinct()
+    members = rows.withColumn("member_cid", udfs.member_cid("body"))
+    bundles = sinks.build_bundles(members, "s", "2026-01-01T00:00:00.000Z", bytes(32))
+    found = bundles.select(F.col("name").alias("path"), "content", F.col("bundle_cid").alias("expected")).mapInPandas(udfs.explode_members, "path string, bundle_cid string, member_cid string, body string, error string")
+    return found.groupBy(F.col("path").alias("name")).agg(F.count("member_cid").alias("members"), F.count("error").cast("int").alias("errors"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
