@@ -9,7 +9,10 @@ counted apart and summed per pair.
 
 Documents with one and the same set are one vertex. Where many vertices meet,
 each is first compared with one leader; components then settle most meetings,
-and only pairs whose components still differ are compared after that.
+and only pairs whose components still differ are compared after that. Each set
+has a sketch of the parities of its hashes in 512 cells: sets that differ in d
+shingles have sketches that differ in d cells at most, so a pair whose sketches
+differ in more cells than a link allows is dropped without loss.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ SHINGLE = 3
 #: Link if 100 * intersection >= 90 * union.
 PERCENT = 90
 #: Growth of size classes; fragments a document may leave empty; wide fragments; leader rounds.
-GROWTH, SPARE, WIDE, ROUNDS = 1.5, 1, 8, 6
-#: Once all pairs left are at most so many times the rows left, they are compared at once; before that, leaders settle most.
-FEW = 4
+GROWTH, SPARE, WIDE, ROUNDS = 1.5, 1, 8, 2
+#: Longs of a parity sketch.
+SKETCH = 8
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -102,16 +105,32 @@ def _signature(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each cell, as longs."""
+    cells = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def _alike(a: str, b: str, n_a: str, n_b: str, percent: int):
+    """Whether sizes and sketches allow a link; true for every pair that links."""
+    cells = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    total = F.col(n_a) + F.col(n_b)
+    return _close(n_a, n_b, percent) & (cells <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-6))
+
+
 def _scan(shingle: int, percent: int):
     def run(batches):
         for b in _slices(batches):
-            sizes, signatures, keys = [], [], []
+            sizes, signatures, keys, sketches = [], [], [], []
             for text in b.column(1).to_pylist():
                 tokens = shingle_set(text, shingle)
                 sizes.append(len(tokens))
                 signatures.append(_signature(tokens))
                 keys.append(segment_keys(tokens, percent))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), _lists(keys, "int64")], names=["doc_id", "n", "sig", "keys"])
+                sketches.append(parity_sketch(tokens))
+            cells = np.array(sketches, dtype=np.int64).reshape(len(sizes), SKETCH)
+            sketch = pa.StructArray.from_arrays([pa.array(cells[:, i]) for i in range(SKETCH)], names=[f"s{i}" for i in range(SKETCH)])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), _lists(keys, "int64"), sketch], names=["doc_id", "n", "sig", "keys", "sketch"])
 
     return run
 
@@ -159,14 +178,12 @@ def _close(a: str, b: str, percent: int):
 def _meetings(members: DataFrame, k: int) -> DataFrame:
     """Members (key, v, n, component) of keys on which several components meet, with the key's leader.
 
-    The leader is the least in a hash order that changes with ``k``. ``most``
-    bounds the pairs of the key from above.
+    The leader is the least in a hash order that changes with ``k``.
     """
     order = F.xxhash64("v", F.lit(k))
     lead = F.min(F.struct(order.alias("order"), F.col("v").alias("lead"), F.col("n").alias("n_lead"), F.col("component").alias("c_lead"))).alias("l")
-    n = F.count("*")
-    met = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead, (n * (n - 1) / 2).alias("most")).filter("lo < hi")
-    met = util.stored(met.select("key", "l.lead", "l.n_lead", "l.c_lead", "most"), "met")
+    met = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead).filter("lo < hi")
+    met = util.stored(met.select("key", "l.lead", "l.n_lead", "l.c_lead"), "met")
     return members.join(met, "key")
 
 
@@ -181,7 +198,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = util.stored(rows.mapInArrow(_scan(shingle, percent), "doc_id bigint, n bigint, sig binary, keys array<bigint>"), "sets")
+    scanned = util.stored(rows.mapInArrow(_scan(shingle, percent), "doc_id bigint, n bigint, sig binary, keys array<bigint>, sketch struct<" + ",".join(f"s{i}:bigint" for i in range(SKETCH)) + ">"), "sets")
     classes = scanned.filter("sig is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"))
     # the vertex of a class is its least id; a class whose least id is taken or null has a negative number of its own
     owner = classes.groupBy("rep").agg(F.min("sig").alias("owner"))
@@ -199,18 +216,21 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     wanted = util.stored(wanted, "wanted").withColumnRenamed("rep", "_rep")
     segments = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("v", "sig", "text").mapInArrow(_segments(shingle), "v bigint, part int, segment array<bigint>")
     segments = util.stored(segments, "segments")
+    sketches = scanned.join(wanted.select("v", "sig", "_rep"), "sig").filter(F.col("doc_id").eqNullSafe(F.col("_rep"))).groupBy("v").agg(F.first("sketch").alias("sketch"))
+    sketches = util.stored(sketches, "sketches")
     util.release(spark)
 
     links = found = None
     for k in range(1, rounds + 2):
-        rest, most = left.agg(F.count("*"), F.sum(F.when(F.col("v") == F.col("lead"), F.col("most")))).first()
-        if not rest:
+        if left.isEmpty():
             break
-        last = k > rounds or (most or 0) <= FEW * rest
+        last = k > rounds
         if last:  # all that is left, so that no link is lost
-            a = left.select("key", F.col("v").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
-            b = left.select("key", "v", F.col("n").alias("n_v"), "component")
-            pairs = a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("component")) & _close("n_u", "n_v", percent)).select("u", "v", "n_u", "n_v").distinct()
+            rest = util.stored(left.select("key", "v", "n", "component").join(sketches, "v"), "rest")
+            a = rest.select("key", F.col("v").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"), F.col("sketch").alias("s_u"))
+            b = rest.select("key", "v", F.col("n").alias("n_v"), "component", "sketch")
+            apart = (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("component"))
+            pairs = a.join(b, "key").filter(apart & _alike("s_u", "sketch", "n_u", "n_v", percent)).select("u", "v", "n_u", "n_v").distinct()
         else:  # each vertex meets the one leader with which it shares most segments
             met = left.filter((F.col("component") != F.col("c_lead")) & _close("n", "n_lead", percent)).groupBy("v", "n", "lead", "n_lead").count()
             best = met.groupBy("v").agg(F.max(F.struct("count", "lead", "n_lead", "n")).alias("b"))

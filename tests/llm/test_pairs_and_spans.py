@@ -57,7 +57,7 @@ def test_jaccard_chains_need_the_last_round(spark):
         words = words[:]
         words[(i * 9) % 100] = f"new{i}"
     df = spark.createDataFrame(rows, SCHEMA)
-    for rounds in (0, 1, 6):
+    for rounds in (0, 2):
         assert components(df, rounds=rounds) == brute_components(rows)
 
 
