@@ -30,6 +30,8 @@ from .substrings import _mix, _slices, gram_hashes, word_hashes
 SHINGLE = 3
 #: Link if 100 * intersection >= 90 * union.
 PERCENT = 90
+#: The same of the pipeline's stage.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 #: Growth of size classes; fragments a document may leave empty; wide fragments; leader rounds.
 GROWTH, SPARE, WIDE, ROUNDS = 1.5, 1, 8, 2
 #: Longs of a parity sketch.
@@ -262,12 +264,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(util.table(spark, sf_dir, "documents"))
+    return jaccard_components(util.table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the least id. Documents without words stay."""
-    keep = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    keep = jaccard_components(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 

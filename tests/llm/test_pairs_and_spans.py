@@ -79,6 +79,18 @@ def test_jaccard_stage(spark, docs):
     assert sorted(ids) == sorted(least)
 
 
+def test_jaccard_stage_links_five_word_shingles_from_80_percent(spark, docs, docs_rows):
+    kept = [r["doc_id"] for r in jaccard.stage(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({c for (_, _, c) in brute_components(docs_rows, shingle=5, percent=80)})
+    words = sentence(random.Random(6), 300).split()
+    near = words[:]
+    for i in range(20, 300, 50):
+        near[i] = f"new{i}"
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(near), "en", "s", 0)]
+    assert len(brute_components(rows, 5, 80)) == 2 and {c for (_, _, c) in brute_components(rows, 5, 80)} == {1} and {c for (_, _, c) in brute_components(rows)} == {1, 2}
+    assert [r["doc_id"] for r in jaccard.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [1]
+
+
 def test_schemes_cover_all_linked_sizes():
     for n in range(1, 400):
         for m in range(n, jaccard.largest_partner(n) + 1):
