@@ -132,7 +132,7 @@ def _scan(shingle: int, percent: int):
                 sketches.append(parity_sketch(tokens))
             cells = np.array(sketches, dtype=np.int64).reshape(len(sizes), SKETCH)
             sketch = pa.StructArray.from_arrays([pa.array(cells[:, i]) for i in range(SKETCH)], names=[f"s{i}" for i in range(SKETCH)])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), _lists(keys, "int64"), sketch], names=["doc_id", "n", "sig", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), _lists(keys, "int64"), sketch], names=["doc_id", "h", "n", "sig", "keys", "sketch"])
 
     return run
 
@@ -198,9 +198,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     that happen to have that id; a null id is null as a component unless links
     lead to another. Other columns are ignored.
     """
+    out = _placed(docs, shingle, percent, rounds, id_col, text_col)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("bigint").alias("n_class"))
+
+
+def _placed(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, h (hash of the text), n, and its set's sig, component (a vertex), component_id, n_class; these are null without words."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = util.stored(rows.mapInArrow(_scan(shingle, percent), "doc_id bigint, n bigint, sig binary, keys array<bigint>, sketch struct<" + ",".join(f"s{i}:bigint" for i in range(SKETCH)) + ">"), "sets")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    scanned = util.stored(rows.mapInArrow(_scan(shingle, percent), "doc_id bigint, h bigint, n bigint, sig binary, keys array<bigint>, sketch struct<" + ",".join(f"s{i}:bigint" for i in range(SKETCH)) + ">"), "sets")
     classes = scanned.filter("sig is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"))
     # the vertex of a class is its least id; a class whose least id is taken or null has a negative number of its own
     owner = classes.groupBy("rep").agg(F.min("sig").alias("owner"))
@@ -253,14 +259,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         util.release(spark)
 
     if found is None:
-        least = classes.select("sig", F.col("rep").alias("component_id"), "n_class")
+        least = classes.select("sig", F.col("v").alias("component"), F.col("rep").alias("component_id"), "n_class")
     else:
         placed = classes.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
         roots = util.stored(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "roots")
-        least = placed.join(roots, "component").select("sig", "component_id", "n_class")
+        least = placed.join(roots, "component").select("sig", "component", "component_id", "n_class")
     least = util.stored(least, "least")
-    out = scanned.select("doc_id", "n", "sig").join(least, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("bigint").alias("n_class"))
+    return scanned.select("doc_id", "h", "n", "sig").join(least, "sig", "left")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -268,9 +273,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the least id. Documents without words stay."""
-    keep = jaccard_components(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component stays: that with the least id, a null id last, and of its texts that with the least hash.
+
+    Texts that nothing links stay, also under one id or none. Of rows equal in
+    id and text one stays; documents without words all stay.
+    """
+    placed = _placed(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("sig is not null")
+    chosen = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("c"))
+    chosen = util.stored(chosen.select(F.col("c.doc_id").alias("_doc_id"), F.col("c.h").alias("_h")), "chosen")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"), worded.alias("_worded"))
+    kept = hashed.filter("_worded").join(chosen, F.col("_id").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_h")), "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.unionByName(hashed.filter("not _worded")).select("_row.*")
 
 
 SQL = r"""

@@ -91,6 +91,14 @@ def test_jaccard_stage_links_five_word_shingles_from_80_percent(spark, docs, doc
     assert [r["doc_id"] for r in jaccard.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [1]
 
 
+def test_jaccard_stage_keeps_unlinked_texts_of_one_id_or_none(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (sentence(rng, 120) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (3, e), (1, c + " more"), (9, a + " more"), (4, ""), (4, None), (4, " ")]
+    kept = jaccard.stage(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA), "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, b), (3, d), (3, e), (1, c + " more"), (9, a + " more"), (4, ""), (4, None), (4, " ")])
+
+
 def test_schemes_cover_all_linked_sizes():
     for n in range(1, 400):
         for m in range(n, jaccard.largest_partner(n) + 1):
