@@ -3,7 +3,8 @@
 Base: three fixed patterns. Method: two character Markov models, one of random
 strings and one of ordinary identifiers, trained from labelled samples. A long
 token whose log-likelihood ratio per character pair exceeds a limit is a span of
-kind ``markov``.
+kind ``markov``; where a token as a whole does not, segments of it are judged,
+so that a random string joined to ordinary words is found.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
-#: Tokens that the models judge: this pattern, at least one digit, a limit in nats for each pair.
+#: Tokens that the models judge: this pattern, a limit in nats for each pair.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LIMIT = 1.0
+#: Least characters of a segment; a segment ends where its sum over the limit fell by so many nats; characters that part words.
+LEAST, DROP, PARTERS = 20, 8.0, "/_=+-"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Samples of ordinary identifiers, paths and numbers (label 0).
@@ -104,20 +107,72 @@ def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return util.let(between, spans)
 
 
-def _score(model: dict, token: Column) -> Column:
-    """Mean log-likelihood ratio of the token's character pairs."""
+def _random(model: dict, token: Column, limit: float) -> Column:
+    """Parts (a, b) of a token that are random: all of it where its mean log-likelihood ratio for each pair exceeds ``limit``, else segments.
+
+    A segment is a run of pairs whose running sum of ratio less ``limit`` stays
+    over zero, up to where it is largest. Both ends or one move out to the next
+    character that parts words if the mean still exceeds the limit.
+    """
     ratio = F.split(F.lit(",".join(map(repr, model["ratio"]))), ",").cast("array<double>")
     alphabet, n = F.lit(model["alphabet"]), len(model["alphabet"])
     codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.call_function("instr", alphabet, F.substring(token, i, F.lit(1))) - 1)
+    part = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    mean = lambda r: F.aggregate(r, F.lit(0.0), lambda x, y: x + y) / F.size(r)
+    plain = F.translate(token, PARTERS, PARTERS[-1] * len(PARTERS))
+
+    def segments(r):
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), F.lit(0).alias("b"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out"))
+
+        def closed(acc):  # short ones too: the ends may still move out
+            return F.when(acc["top"] > 0, F.concat(acc["out"], F.array(part(acc["a"], acc["b"])))).otherwise(acc["out"])
+
+        def step(acc, x):
+            total = acc["sum"] + x - limit
+            ends = (total <= 0) | (total < acc["top"] - DROP)
+            more = total > acc["top"]
+            i = acc["i"] + 1
+            return F.struct(
+                i.alias("i"),
+                F.when(ends, i).otherwise(acc["a"]).alias("a"),
+                F.when(ends, F.lit(0.0)).otherwise(total).alias("sum"),
+                F.when(ends, F.lit(0.0)).when(more, total).otherwise(acc["top"]).alias("top"),
+                F.when(ends, i).when(more, i + 1).otherwise(acc["b"]).alias("b"),
+                F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"),
+            )
+
+        def widened(s):
+            a = s["a"] - F.length(F.substring_index(F.substring(plain, F.lit(1), s["a"]), PARTERS[-1], -1))
+            b = s["b"] + F.length(F.substring_index(F.substring(plain, s["b"] + 1, F.length(token)), PARTERS[-1], 1))
+
+            def long(x):
+                return (x["b"] - x["a"] >= LEAST) & (mean(F.slice(r, x["a"] + 1, x["b"] - x["a"] - 1)) > limit)
+
+            ways = F.array(part(a, b), part(s["a"], b), part(a, s["b"]), part(s["a"], s["b"]))
+            return F.get(F.filter(ways, long), F.lit(0))
+
+        return F.array_distinct(F.array_compact(F.transform(F.aggregate(r, zero, step, closed), widened)))
+
+    def of_ratios(r):
+        return F.when(mean(r) > limit, F.array(part(F.lit(0), F.length(token)))).otherwise(segments(r))
+
+    def of_table(table):
+        return util.let(codes, lambda c: util.let(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(table, F.get(c, i) * n + F.get(c, i + 1))), of_ratios))
+
+    return util.let(ratio, of_table)
+
 
-    def summed(table):
-        def of_codes(c):
-            pairs = F.sequence(F.lit(0), F.size(c) - 2)
-            return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(c, i) * n + F.get(c, i + 1))) / (F.size(c) - 1)
+def _without(span: Column, base: Column) -> Column:
+    """What is left of a span beside the base spans, which are in order."""
+    piece = lambda a, b: F.array(F.struct(a.alias("start"), span["kind"].alias("kind"), b.alias("end")))
+    start = F.struct(span["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("out"))
 
-        return util.let(codes, of_codes)
+    def step(acc, x):
+        gap = F.when(x["start"] > acc["at"], F.concat(acc["out"], piece(acc["at"], x["start"]))).otherwise(acc["out"])
+        meets = (x["start"] < span["end"]) & (x["end"] > acc["at"])
+        return F.struct(F.when(meets, x["end"]).otherwise(acc["at"]).alias("at"), F.when(meets, gap).otherwise(acc["out"]).alias("out"))
 
-    return util.let(ratio, summed)
+    return F.aggregate(base, start, step, lambda acc: F.when(acc["at"] < span["end"], F.concat(acc["out"], piece(acc["at"], span["end"]))).otherwise(acc["out"]))
 
 
 def _long_enough(text: Column) -> Column:
@@ -139,8 +194,9 @@ def spans(text: Column, model: dict | None, limit: float = LIMIT) -> tuple[Colum
     base = F.array_sort(base)
     if model is None:
         return base, none
-    random = lambda t: F.transform(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9]") & (_score(model, x) > limit))
-    more = F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, 3, random)).otherwise(none)
+    parts = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda x: _random(model, x, limit))
+    placed = lambda s, ps: F.transform(ps, lambda p: F.struct((s["start"] + p["a"]).alias("start"), s["kind"].alias("kind"), (s["start"] + p["b"]).alias("end")))
+    more = F.when(text.rlike(CANDIDATE), F.flatten(F.zip_with(_matches(text, CANDIDATE, 3), parts, placed))).otherwise(none)
     return base, more
 
 
@@ -153,15 +209,15 @@ def scan_secrets(docs: DataFrame, model: dict | None, text_col: str = "text", li
     """``docs`` with ``base_spans`` and ``all_spans``, arrays of (start, kind, end).
 
     Places count code points, ends are exclusive, kinds index ``KINDS``. Spans of
-    the models that overlap a base span are left out. Null and empty texts have
-    no spans; columns of these names are replaced.
+    the models are cut around base spans. Null and empty texts have no spans;
+    columns of these names are replaced.
     """
 
     def found(t):
         base, more = spans(t, model, limit)
 
         def both(b):
-            apart = F.filter(more, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+            apart = F.flatten(F.transform(more, lambda s: _without(s, b)))
             return F.struct(b.alias("base_spans"), F.array_sort(F.concat(b, apart)).alias("all_spans"))
 
         return util.let(base, both)

@@ -143,6 +143,22 @@ def test_markov_models(spark):
     assert secrets.train(secrets.labelled_samples(spark)) == model
 
 
+def test_markov_models_find_random_strings_joined_to_words(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    letters = chars[:-10]
+    made = lambda n, of=chars: "".join(rng.choice(of) for _ in range(n))
+    joined = [("aws_secret_access_key=", made(40, chars + "+/")), ("xoxb-123456789012-1234567890123-", made(24)), ("sk_live_", made(24)), ("path/to/the/documentation/section/ghp_", made(36)), ("", made(32, letters))]
+    rows = [(100 * i + k, f"see {p}{x} and more", len(p) + 4, len(p) + 4 + len(x)) for i in range(12) for k, (p, x) in enumerate([(p, made(len(x), letters if k == 4 else chars)) for k, (p, x) in enumerate(joined)])]
+    out = {r["doc_id"]: r["all_spans"] for r in secrets.scan_secrets(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), model).collect()}
+    missed = [t for i, t, a, b in rows if not any(s["start"] <= a and b <= s["end"] for s in out[i])]
+    assert len(missed) <= 3, missed
+    both = made(30) + "/" + "0123456789abcdef" * 2 + "/" + made(30)
+    spans = secrets.scan_secrets(spark.createDataFrame([(1, both)], "doc_id bigint, text string"), model).first()["all_spans"]
+    assert [(s["start"], s["kind"], s["end"]) for s in spans] == [(0, 3, 31), (31, 2, 63), (63, 3, 94)]
+
+
 def test_redaction(spark, docs):
     rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(SECRETS)], SCHEMA)
     out = {r["doc_id"]: r for r in secrets.stage(spark, clashing(rows), "").collect()}
