@@ -1,7 +1,9 @@
 """License scans.
 
 Base: places of fixed phrases. Method: an exact containment join of text blocks
-(lines) with license templates. The words of all templates are ordered by how
+with license templates. A template's block is a line that holds it to the
+threshold or, where no line does, a run of words of a paragraph, longer than the
+template by ``1 / t`` at most, so that templates wrapped over lines are found. The words of all templates are ordered by how
 many documents hold them, rarest first. A block that holds a share ``t`` of a
 template's words must hold one of its first ``n - ceil(t n) + 1`` words in that
 order (prefix filter), have enough words (length filter), and leave room after
@@ -36,6 +38,8 @@ TEMPLATES = [
 ]
 THRESHOLD = 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Blank lines, which part paragraphs.
+BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 
 
 def license_words(text: Column) -> Column:
@@ -68,7 +72,7 @@ def plan(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 
 def block_matches(block: Column, order: list[str], templates: list[dict]) -> Column:
-    """Structs (label, score) of the templates that a block's words contain to the threshold."""
+    """Structs (template, label, score) of the templates that a block's words contain to the threshold."""
     lits = lambda xs: F.array(*map(F.lit, xs))
 
     def when_found(scored, t, words):
@@ -76,13 +80,13 @@ def block_matches(block: Column, order: list[str], templates: list[dict]) -> Col
 
     def of_known(known):  # the block's template words in global order, without repeats
         found = []
-        for t in templates:
+        for k, t in enumerate(templates):
             words = lits(t["words"])
 
-            def scored(first, t, words):
+            def scored(first, t, words, k=k):
                 room = 1 + F.least(len(t["words"]) - F.array_position(words, first), F.size(known) - F.array_position(known, first))
                 overlap = F.size(F.array_intersect(words, known))
-                return F.when((room >= t["least"]) & (overlap >= t["least"]), F.struct(F.lit(t["label"]).alias("label"), (overlap / F.lit(len(t["words"]))).alias("score")))
+                return F.when((room >= t["least"]) & (overlap >= t["least"]), F.struct(F.lit(k).alias("template"), F.lit(t["label"]).alias("label"), (overlap / F.lit(len(t["words"]))).alias("score")))
 
             first = F.get(F.array_intersect(lits(t["prefix"]), known), F.lit(0))
             found.append(F.when(F.size(known) >= t["least"], util.let(first, when_found(scored, t, words))))
@@ -97,10 +101,17 @@ def scan_licenses(docs: DataFrame, order: list[str], templates=TEMPLATES, thresh
     ``score`` is 1 where a phrase stands, else the largest containment of a
     matching block, else 0. Null texts count as empty: no words, no places,
     empty labels. Columns of ``docs`` with these names are replaced.
+
+    A paragraph is a run of lines that are not blank. Overlapping windows hold any
+    run as long as the longest template allows; what matches a window counts by
+    the best run of the template's own length over the threshold, as words strewn
+    over a paragraph are no notice.
     """
+    lengths = [math.ceil(len(t.split()) / threshold - 1e-9) for t, _ in templates]
+    step = max(lengths, default=1)
     planned = plan(order, templates, threshold)
     prefixes = F.array(*map(F.lit, sorted({w for t in planned for w in t["prefix"]})))
-    none = F.expr("cast(array() as array<struct<label:string,score:double>>)")
+    none = F.expr("cast(array() as array<struct<template:int,label:string,score:double>>)")
     no_places = F.expr("cast(array() as array<struct<at:bigint,label:string>>)")
 
     def places_of(w, parts):
@@ -121,11 +132,30 @@ def scan_licenses(docs: DataFrame, order: list[str], templates=TEMPLATES, thresh
             found.append(labelled(here, label))
         return F.concat(*found)
 
+    def windows(p):  # of 2 * step words, step apart
+        starts = F.sequence(F.lit(1), F.greatest(F.size(p) - step, F.lit(1)), F.lit(step))
+        return F.transform(starts, lambda i: F.slice(p, i, 2 * step))
+
+    def in_a_run(b):  # the matches of a window that one run of words holds
+        def best(x):
+            k = x["template"]
+            words, length, least = (F.get(F.array(*each), k) for each in ([F.array(*map(F.lit, t["words"])) for t in planned], map(F.lit, lengths), [F.lit(t["least"]) for t in planned]))
+            starts = F.sequence(F.lit(1), F.greatest(F.size(b) - length + 1, F.lit(1)))
+            overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(words, F.slice(b, i, length)))))
+            return util.let(overlap, lambda n: F.when(n >= least, F.struct(k.alias("template"), x["label"].alias("label"), (n / F.size(words)).alias("score"))))
+
+        return F.array_compact(F.transform(block_matches(b, order, planned), best))
+
+    def with_wrapped(t, of_lines):
+        parts = F.flatten(F.transform(F.split(t, BLANK), lambda p: util.let(license_words(p), windows)))
+        wrapped = F.flatten(F.transform(F.filter(parts, lambda b: F.arrays_overlap(b, prefixes)), in_a_run))
+        return F.concat(of_lines, F.filter(wrapped, lambda x: ~F.exists(of_lines, lambda y: x["template"] == y["template"])))
+
     def scan(t):
         def with_words(w):
             base = F.when(F.array_contains(w, "license"), places(w)).otherwise(no_places)
             lines = F.filter(F.transform(F.split(t, "\n"), license_words), lambda b: F.arrays_overlap(b, prefixes))
-            blocks = F.when(F.arrays_overlap(w, prefixes), F.flatten(F.transform(lines, lambda b: block_matches(b, order, planned)))).otherwise(none)
+            blocks = F.when(F.arrays_overlap(w, prefixes), util.let(F.flatten(F.transform(lines, lambda b: block_matches(b, order, planned))), lambda m: with_wrapped(t, m))).otherwise(none)
 
             def result(b):
                 def joined(m):

@@ -104,6 +104,26 @@ def test_licenses(spark, docs_rows):
     assert Counter((r["doc_id"], *[r[n] for n in names]) for r in out) == Counter((r[0], *brute_license(r[1])) for r in rows)
 
 
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"),
+    ("apache", "# you may not use this file except in\n# compliance with the License.\n#\n# You may obtain a copy of the License at"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0."),
+]
+
+
+def test_wrapped_licenses(spark):
+    rng = random.Random(12)
+    rows = [(10 * k + i, t, x) for k, (x, n) in enumerate(WRAPPED) for i, t in enumerate([n, f"{sentence(rng, 30)}\n\n{n}\n \n{sentence(rng, 30)}", "\n".join([sentence(rng, 12) for _ in range(9)] + [n] + [sentence(rng, 12) for _ in range(9)])])]
+    rows.append((1000, "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met", ""))
+    rows.append((1001, "der und der schheitau der den mit.\nEiner im dem. Tz geeinkeit zulichch.\nLicensed under the Apache License, Version 2.0.", "apache"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label string")
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df, licenses.template_order(df)).collect()}
+    for i, _, x in rows:
+        assert out[i][0] == x and (out[i][1] >= licenses.THRESHOLD or not x), i
+
+
 def test_licenses_empty(empty):
     assert licenses.scan_licenses(empty, licenses.template_order(empty)).count() == 0
 
