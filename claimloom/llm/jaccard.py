@@ -1,18 +1,24 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Shingles have one global order, that of their 64-bit hashes. The order is cut
-into fragments; a document's set falls into segments. Two sets of sizes s and t
-link only if they differ in at most D = (s + t) / 19 shingles, so of more than D
-fragments at least one holds the same segment of both: documents meet on equal
-segments. For pairs that meet, the overlap of each of a few wide fragments is
-counted apart and summed per pair.
-
-Documents with one and the same set are one vertex. Where many vertices meet,
-each is first compared with one leader; components then settle most meetings,
-and only pairs whose components still differ are compared after that. Each set
-has a sketch of the parities of its hashes in 512 cells: sets that differ in d
-shingles have sketches that differ in d cells at most, so a pair whose sketches
-differ in more cells than a link allows is dropped without loss.
+into fragments; each fragment is counted apart from the others, and what the
+fragments count is summed per document or per pair:
+
+1. Documents: a set that links with another shares a given part of its shingles
+   with it. A first range of the order tells which sets hold too many shingles
+   that no other set has; these link with nothing. For the sets left, all
+   fragments count in how many sets each shingle is.
+2. Candidates: of each set left, the rarest shingles that any link must touch
+   are its keys (prefix filter). On each key one leader, the set that meets most
+   others, stands for all: every set on the key is compared with the leader
+   alone, so that the work is linear in the members of a group.
+3. Pairs: overlaps are counted by fragment and summed per pair.
+4. What a leader leaves open: two members that a leader does not join can still
+   link with each other, but then their differences from the leader overlap by
+   more than half of the one. So the rarest of these differences are keys of a
+   next round, in the same way. Small groups are compared in full.
+
+Documents with one and the same set are one vertex.
 """
 
 from __future__ import annotations
@@ -21,21 +27,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, util
-from .substrings import _mix, _slices, gram_hashes, word_hashes
+from .substrings import _mix, gram_hashes, word_hashes
 
-SHINGLE = 3
-#: Link if 100 * intersection >= 90 * union.
-PERCENT = 90
-#: The same of the pipeline's stage.
-STAGE_SHINGLE, STAGE_PERCENT = 5, 80
-#: Growth of size classes; fragments a document may leave empty; wide fragments; leader rounds.
-GROWTH, SPARE, WIDE, ROUNDS = 1.5, 1, 8, 2
-#: Longs of a parity sketch.
-SKETCH = 8
+#: Defaults of the operator and the pipeline's stage: shingles of five words, linked from a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
+#: Documents of a batch and their bytes; pieces in which a pair's overlap is counted.
+BATCH, BATCH_BYTES, PIECES = 2000, 1 << 24, 8
+#: Rounds with leaders; members of a group that are compared in full from the second round on.
+ROUNDS, SMALL = 4, 16
+#: Owner of a shingle that several documents of a batch hold.
+_SEVERAL = 0xFFFF
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,145 +54,360 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(grams if n == shingle else _mix(grams + np.uint64(shingle - n)))
 
 
-def largest_partner(n: int, percent: int = PERCENT) -> int:
-    return n * 100 // percent
+def least_overlap(total, percent: int):
+    """Least shingles that linked sets of ``total`` shingles together share: percent * (total - i) <= 100 * i."""
+    return -(-percent * total // (100 + percent))
 
 
-def differences(total: int, percent: int = PERCENT) -> int:
+def differences(total, percent: int):
     """Most shingles in which linked sets of ``total`` shingles together differ."""
-    # percent * (total - i) <= 100 * i, so i >= percent * total / (100 + percent)
-    least = -(-percent * total // (100 + percent))
-    return total - 2 * least
-
-
-def size_classes(n: int) -> list[int]:
-    """Lower bounds of the size classes up to that of ``n``."""
-    out = [1]
-    while True:
-        step = max(out[-1] + 1, int(out[-1] * GROWTH))
-        if step > n:
-            return out
-        out.append(step)
-
-
-def schemes(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(class, fragments) of the ways a set of size ``n`` is cut: for partners at least as large, and for smaller ones a class below."""
-    lows = size_classes(n)
-    out = []
-    for c in {len(lows) - 1, len(lows) - 2} - {-1}:
-        top = max(lows[c] + 1, int(lows[c] * GROWTH)) - 1  # the largest size in the class
-        if n <= top or n <= largest_partner(top, percent):
-            most = differences(top + largest_partner(top, percent), percent)
-            if most > 0:  # else only equal sets link
-                out.append((c, most + 1 + SPARE))
-    return out
+    return total - 2 * least_overlap(total, percent)
 
 
-def segment_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys on which the set meets others: one for each segment that is not empty.
+def spare(n, percent: int):
+    """Most shingles of a set of size ``n`` that a linked set can lack."""
+    return n - -(-percent * n // 100)
 
-    A set with more empty segments than ``SPARE`` has keys for these too.
-    """
-    out = []
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(tokens))])
-    for c, fragments in schemes(len(tokens), percent):
-        part = ((tokens >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-        cuts = np.searchsorted(part, np.arange(fragments + 1, dtype=np.uint64))
-        sizes = np.diff(cuts)
-        key = _mix(sums[cuts[1:]] - sums[cuts[:-1]] + _mix(np.arange(fragments, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c + 1)))
-        out.append(key if (sizes == 0).sum() > SPARE else key[sizes > 0])
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
+def _signature(tokens: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
-def _lists(arrays: list[np.ndarray], kind: str):
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype("int32")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(kind) if arrays else np.zeros(0, kind)))
 
+def _batches(batches, rows: int, text_column: int):
+    """(number, batch) of bounded batches; numbers differ between tasks."""
+    number = TaskContext.get().partitionId() << 24
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, rows)
+            while part.num_rows > 1 and part.column(text_column).nbytes > BATCH_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield number, part
+            number += 1
+            at += part.num_rows
 
-def _signature(tokens: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
+def _fragments(tokens: np.ndarray, limit: int, fragments: int):
+    """(fragment, start, stop) of the fragments that sorted ``tokens`` fall into; ``limit`` is the end of the order's range, in units of 2^32."""
+    of = (tokens >> np.uint64(32)) * np.uint64(fragments) // np.uint64(limit)
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    return [(int(of[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def _runs(tokens: np.ndarray):
+    """Starts of equal runs in sorted ``tokens``, and the runs' lengths."""
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+    return starts, np.diff(np.concatenate([starts, [len(tokens)]]))
+
+
+_DOC = pa.struct([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("unsure", pa.int64())])
+_SCANNED = "batch bigint, fragment int, tokens binary, owners binary, docs array<struct<doc_id:bigint,h:bigint,n:bigint,sig:binary,unsure:bigint>>"
+
+
+def _scan(shingle: int, share: float, fragments: int):
+    """Rows (doc_id, text, h) to one row for each batch, with its documents, and one for each fragment of it.
+
+    A shingle that several documents of the batch hold is known to be shared, and travels once.
+    """
+    limit = int(share * 2**32)
 
-def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens in each cell, as longs."""
-    cells = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+    def run(batches):
+        for number, b in _batches(batches, BATCH, 1):
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            low = [t[: np.searchsorted(t >> np.uint64(32), limit)] for t in sets]
+            flat = np.concatenate(low)
+            owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            starts, lengths = _runs(flat)
+            tokens, owners = flat[starts], np.where(lengths == 1, owner[starts], _SEVERAL)
+            unsure = np.bincount(owners[owners != _SEVERAL], minlength=len(sets))
+            docs = [dict(doc_id=d, h=h, n=len(s), sig=_signature(s), unsure=int(u)) for d, h, s, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), sets, unsure, strict=True)]
+            cuts = _fragments(tokens, limit, fragments)
+            packed = tokens.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits and the fragment: two shingles that fall together only keep a document longer
+            owners = owners.astype("<u2")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number] * (len(cuts) + 1), pa.int64()),
+                    pa.array([-1, *[f for f, _, _ in cuts]], pa.int32()),
+                    pa.array([None, *[packed[x:y].tobytes() for _, x, y in cuts]], pa.binary()),
+                    pa.array([None, *[owners[x:y].tobytes() for _, x, y in cuts]], pa.binary()),
+                    pa.array([docs, *[None] * len(cuts)], pa.list_(_DOC)),
+                ],
+                names=["batch", "fragment", "tokens", "owners", "docs"],
+            )
 
+    return run
 
-def _alike(a: str, b: str, n_a: str, n_b: str, percent: int):
-    """Whether sizes and sketches allow a link; true for every pair that links."""
-    cells = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    total = F.col(n_a) + F.col(n_b)
-    return _close(n_a, n_b, percent) & (cells <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-6))
 
+def _by_fragment(batches, count):
+    """Calls ``count`` with the rows of each fragment; rows come sorted by the first column."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[0] != now:
+                if rows:
+                    yield count(rows)
+                now, rows = row[0], []
+            rows.append(row)
+    if rows:
+        yield count(rows)
+
+
+def _shared(batches):
+    """Rows (fragment, batch, tokens, owners) to (batch, hits): owners of shingles that another batch has too, once for each."""
+
+    def count(rows):
+        sizes = [len(r[3]) // 2 for r in rows]
+        tokens = np.zeros((sum(sizes), 8), dtype=np.uint8)
+        tokens[:, :6] = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(-1, 6)
+        tokens = tokens.view("<u8").ravel()
+        order = np.argsort(tokens, kind="stable")
+        same = tokens[order[1:]] == tokens[order[:-1]]
+        twice = np.zeros(len(tokens), dtype=bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        out, at = [], 0
+        for (_, number, _, owners), n in zip(rows, sizes, strict=True):
+            own = np.frombuffer(owners, dtype="<u2")
+            hits = own[twice[at : at + n] & (own != _SEVERAL)]
+            at += n
+            if len(hits):
+                out.append((number, hits.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "hits"])
+
+    return _by_fragment(batches, count)
+
+
+def _judge(percent: int):
+    """Rows (batch, docs, hits) to one row for each document; ``open`` if enough of its shingles are shared."""
 
-def _scan(shingle: int, percent: int):
     def run(batches):
-        for b in _slices(batches):
-            sizes, signatures, keys, sketches = [], [], [], []
-            for text in b.column(1).to_pylist():
-                tokens = shingle_set(text, shingle)
-                sizes.append(len(tokens))
-                signatures.append(_signature(tokens))
-                keys.append(segment_keys(tokens, percent))
-                sketches.append(parity_sketch(tokens))
-            cells = np.array(sketches, dtype=np.int64).reshape(len(sizes), SKETCH)
-            sketch = pa.StructArray.from_arrays([pa.array(cells[:, i]) for i in range(SKETCH)], names=[f"s{i}" for i in range(SKETCH)])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), _lists(keys, "int64"), sketch], names=["doc_id", "h", "n", "sig", "keys", "sketch"])
+        for b in batches:
+            for number, docs, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = np.frombuffer(b"".join(hits or []), dtype="<u2")
+                n = np.array([d["n"] for d in docs], dtype=np.int64)
+                lone = np.array([d["unsure"] for d in docs]) - np.bincount(found, minlength=len(docs))
+                keep = (n > 0) & (lone <= spare(n, percent))
+                cols = [[number * 2048 + i for i in range(len(docs))], *([d[k] for d in docs] for k in ("doc_id", "h", "n", "sig")), keep.tolist()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["rid", "doc_id", "h", "n", "sig", "open"])
 
     return run
 
 
-def _segments(shingle: int):
-    """Rows (v, sig, text) to (v, part, segment) for each wide fragment; rows of another text of the same id drop out."""
-    bounds = np.arange(1, WIDE, dtype=np.uint64) * np.uint64(2**64 // WIDE)
+def _sets(shingle: int, fragments: int):
+    """Rows (v, text) to one row for each batch, with its sets, and one for each fragment of it, with how many of the batch's sets hold each shingle."""
 
     def run(batches):
-        for b in _slices(batches, 100):
-            vs, parts, segments = [], [], []
-            for v, sig, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = shingle_set(text, shingle)
-                if _signature(tokens) == sig:
-                    cuts = [0, *np.searchsorted(tokens, bounds).tolist(), len(tokens)]
-                    for k in range(WIDE):
-                        if cuts[k] < cuts[k + 1]:
-                            vs.append(v)
-                            parts.append(k)
-                            segments.append(tokens[cuts[k] : cuts[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(parts, pa.int32()), _lists(segments, "int64")], names=["v", "part", "segment"])
+        for number, b in _batches(batches, BATCH // 4, 1):
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            flat = np.concatenate(sets)
+            tokens, counts = np.unique(flat, return_counts=True)
+            counts = counts.astype("<u4")
+            cuts = _fragments(tokens, 2**32, fragments)
+            none = [None] * len(cuts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number] * (len(cuts) + 1), pa.int64()),
+                    pa.array([-1, *[f for f, _, _ in cuts]], pa.int32()),
+                    pa.array([None, *[tokens[x:y].tobytes() for _, x, y in cuts]], pa.binary()),
+                    pa.array([None, *[counts[x:y].tobytes() for _, x, y in cuts]], pa.binary()),
+                    pa.array([b.column(0).to_pylist(), *none], pa.list_(pa.int64())),
+                    pa.array([[len(s) for s in sets], *none], pa.list_(pa.int64())),
+                    pa.array([flat.tobytes(), *none], pa.binary()),
+                ],
+                names=["batch", "fragment", "tokens", "counts", "vs", "sizes", "flat"],
+            )
 
     return run
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of sizes n_u and n_v that link: overlaps are counted by wide fragment, then summed.
+def _frequencies(batches):
+    """Rows (fragment, batch, tokens, counts) to (batch, fragment, df): in how many sets of all batches each of the row's shingles is."""
+
+    def count(rows):
+        tokens = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u8")
+        counts = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4")
+        _, inverse = np.unique(tokens, return_inverse=True)
+        df = np.minimum(np.bincount(inverse, weights=counts), 2**31 - 1).astype("<u4")[inverse]
+        cuts = np.cumsum([0, *[len(r[3]) // 4 for r in rows]])
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([df[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["batch", "fragment", "df"])
+
+    return _by_fragment(batches, count)
+
+
+def _lists(flat: np.ndarray, cuts: np.ndarray, kind: str):
+    return pa.ListArray.from_arrays(pa.array(cuts.astype("int32")), pa.array(flat.astype(kind)))
+
 
-    Repeated rows of a document repeat its segments, so of one fragment the
-    largest count is taken.
+def _pieces(percent: int):
+    """Rows (batch, vs, sizes, flat, found) to the pieces of the sets that enough of their shingles keep open.
+
+    Shingles that no other set has do not come along but as a number, ``lone``.
+    The first piece holds the set's keys: the rarest shingles that any link must touch.
     """
-    left = segments.select(F.col("v").alias("u"), "part", F.col("segment").alias("left"))
-    right = segments.select("v", "part", F.col("segment").alias("right"))
-    met = pairs.join(left, "u").join(right, ["v", "part"])
-    counted = met.select("u", "v", "n_u", "n_v", "part", F.size(F.array_intersect("left", "right")).alias("k"))
-    parts = [F.coalesce(F.max(F.when(F.col("part") == i, F.col("k"))), F.lit(0)) for i in range(WIDE)]
-    total = counted.groupBy("u", "v", "n_u", "n_v").agg(sum(parts[1:], parts[0]).alias("k"))
-    return total.filter(F.col("k") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("k")) * percent).select("u", "v")
 
+    def run(batches):
+        for b in batches:
+            for _, vs, sizes, flat, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                flat = np.frombuffer(flat, dtype="<u8")
+                _, inverse = np.unique(flat, return_inverse=True)
+                df = np.frombuffer(b"".join(x["df"] for x in sorted(found, key=lambda x: x["fragment"])), dtype="<u4")[inverse]
+                ends = np.cumsum([0, *sizes])
+                rows = []
+                for v, n, a, z in zip(vs, sizes, ends, ends[1:], strict=False):
+                    shared = df[a:z] > 1
+                    t, f = flat[a:z][shared], df[a:z][shared]
+                    lone = n - len(t)
+                    if lone <= spare(n, percent):
+                        keys = t[np.lexsort((t, f))][: max(spare(n, percent) + 1 - lone, 0)]
+                        cuts = np.searchsorted(t >> np.uint64(61), np.arange(PIECES + 1, dtype=np.uint64))
+                        rows += [(v, k, n, lone, t[cuts[k] : cuts[k + 1]], f[cuts[k] : cuts[k + 1]], keys if k == 0 else keys[:0]) for k in range(PIECES)]
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    plain = [pa.array(c, t) for c, t in zip(cols[:4], (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                    lists = [_lists(np.concatenate(c), np.cumsum([0, *map(len, c)]), t) for c, t in zip(cols[4:], ("int64", "int32", "int64"), strict=True)]
+                    yield pa.RecordBatch.from_arrays(plain + lists, names=["v", "piece", "n", "lone", "tokens", "df", "keys"])
 
-def _close(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    return run
 
 
-def _meetings(members: DataFrame, k: int) -> DataFrame:
-    """Members (key, v, n, component) of keys on which several components meet, with the key's leader.
+def _partial(batches):
+    """Rows (lead, v, group, tokens, df, tokens of the leader, their df) of one piece each to the overlap in it and what differs.
 
-    The leader is the least in a hash order that changes with ``k``.
+    The difference is ranked: shingles of the leader's that few lack come early, as rare ones of the other set do.
+    """
+    for b in batches:
+        ks, ranks, diffs = [], [], []
+        group = b.column(2).to_pylist()
+        t, f, lt, lf = ([x.values.to_numpy() for x in b.column(i)] for i in range(3, 7))
+        for g, a, fa, c, fc in zip(group, t, f, lt, lf, strict=True):
+            more, less = ~np.isin(a, c, assume_unique=True), ~np.isin(c, a, assume_unique=True)
+            ks.append(len(a) - int(more.sum()))
+            ranks.append(np.concatenate([fa[more], np.maximum(g - fc[less], 0) + 1]))
+            diffs.append(np.concatenate([a[more], c[less]]))
+        cuts = np.cumsum([0, *map(len, diffs)])
+        flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ks, pa.int64()), _lists(flat(ranks, "int32"), cuts, "int32"), _lists(flat(diffs, "int64"), cuts, "int64")], names=["lead", "v", "k", "ranks", "diff"])
+
+
+def needed(n: int, n_lead: int, d: int, percent: int, linked: bool) -> int | None:
+    """Least overlap of two differences from a leader, if their sets link; None if they cannot.
+
+    The one belongs to a set of size ``n`` that differs in ``d`` shingles from a
+    leader of size ``n_lead``; of the other it is known only whether it is
+    linked with the leader. With differences a and b, the sets differ in
+    a + b - 2 * overlap shingles.
     """
-    order = F.xxhash64("v", F.lit(k))
-    lead = F.min(F.struct(order.alias("order"), F.col("v").alias("lead"), F.col("n").alias("n_lead"), F.col("component").alias("c_lead"))).alias("l")
-    met = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead).filter("lo < hi")
-    met = util.stored(met.select("key", "l.lead", "l.n_lead", "l.c_lead"), "met")
-    return members.join(met, "key")
+    m = np.arange(-(-percent * n // 100), n * 100 // percent + 1)
+    most = differences(m + n, percent)
+    least = np.maximum(np.abs(m - n_lead), d - most)
+    of_lead = differences(m + n_lead, percent)
+    if linked:
+        fits = least <= of_lead
+    else:
+        least, fits = np.maximum(least, of_lead + 2), np.ones(len(m), dtype=bool)  # sets of given sizes differ in an even number or an odd one
+    return max(int((-(-(d + least - most) // 2))[fits].min()), 1) if fits.any() else None
+
+
+def _marks(percent: int):
+    """Rows (lead, v, n, lone, n_lead, lone_lead, k, parts) to (lead, v, linked, marks).
+
+    Marks (side, token) are the rarest differences that a link with another member must touch:
+    side 0 between members that are not linked with the leader, 1 of such a one towards a linked one, 2 the other way.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for lead, v, n, lone, n_lead, lone_lead, k, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                d = n + n_lead - 2 * k
+                linked = k >= least_overlap(n + n_lead, percent)
+                rank = np.array([x for p in parts for x in p["ranks"]], dtype=np.int64)
+                diff = np.array([x for p in parts for x in p["diff"]], dtype=np.int64)
+                diff = diff[np.lexsort((diff, rank))]
+                marks = []
+                for side, to_linked in ((2, False),) if linked else ((0, False), (1, True)):
+                    overlap = needed(n, n_lead, d, percent, to_linked)
+                    if overlap is not None:
+                        long = d - overlap + 1 - lone
+                        marks += [dict(side=side, token=int(x)) for x in diff[: max(long, 0)]]
+                        if long > len(diff) and lone_lead:  # shingles that only the leader has differ for all
+                            marks.append(dict(side=side, token=0))
+                rows.append((lead, v, linked, marks))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("side", pa.int32()), ("token", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["lead", "v", "linked", "marks"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+    """(lead, v, linked, marks) of pairs (lead, v, group): overlaps are counted piece by piece and summed per pair."""
+    own = pieces.select("v", "piece", "tokens", "df")
+    of_lead = pieces.select(F.col("v").alias("lead"), "piece", F.col("tokens").alias("lead_tokens"), F.col("df").alias("lead_df"))
+    met = pairs.join(own, "v").join(of_lead, ["lead", "piece"])
+    counted = met.select("lead", "v", "group", "tokens", "df", "lead_tokens", "lead_df").mapInArrow(_partial, "lead bigint, v bigint, k bigint, ranks array<int>, diff array<bigint>")
+    total = util.stored(counted.groupBy("lead", "v").agg(F.sum("k").alias("k"), F.collect_list(F.struct("ranks", "diff")).alias("parts")), "overlaps")
+    size = pieces.filter("piece = 0").select("v", "n", "lone")
+    of_pairs = total.join(size, "v").join(size.toDF("lead", "n_lead", "lone_lead"), "lead").select("lead", "v", "n", "lone", "n_lead", "lone_lead", "k", "parts")
+    out = util.stored(of_pairs.mapInArrow(_marks(percent), "lead bigint, v bigint, linked boolean, marks array<struct<side:int,token:bigint>>"), "compared")
+    util.discard(total)
+    return out
+
+
+def _placed_on(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members (key, side, v) with the component that is known of each."""
+    if found is None:
+        return members.withColumn("component", F.col("v"))
+    return members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
+
+
+def _links(pieces: DataFrame, percent: int, rounds: int) -> DataFrame | None:
+    """(v, component) of all sets that link with another; None if there are none."""
+    members = pieces.filter("piece = 0").select(F.explode("keys").alias("key"), F.lit(0).alias("side"), "v")
+    size = pieces.filter("piece = 0").select("v", "n")
+    links = found = None
+    for k in range(rounds + 1):
+        members = util.stored(_placed_on(members, found), "members")
+        groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("side").alias("side"), F.max(F.col("side") == 2).alias("linked"), F.max(F.col("side") == 1).alias("apart"))
+        # sides 1 and 2 only wait for each other
+        groups = util.stored(groups.filter("lo < hi and (side = 0 or linked and apart)").select("key", "size"), "groups")
+        if groups.isEmpty():
+            break
+        in_full = F.lit(k == rounds) | (F.lit(k > 0) & (F.col("size") <= SMALL))
+        open_ = members.join(groups, "key")
+        new = []
+        small = open_.filter(in_full).join(size, "v")
+        a, b = small.select("key", "side", F.col("v").alias("lead"), F.col("component").alias("c"), F.col("n").alias("m")), small.select("key", F.col("side").alias("s"), "v", "component", "n")
+        close = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+        waiting = ((F.col("side") == 0) & (F.col("s") == 0) & (F.col("lead") < F.col("v"))) | ((F.col("side") == 1) & (F.col("s") == 2))
+        if k == rounds or k > 0:
+            pairs = a.join(b, "key").filter(waiting & (F.col("c") != F.col("component")) & close)
+            pairs = pairs.select(F.least("lead", "v").alias("lead"), F.greatest("lead", "v").alias("v"), F.lit(0).alias("group")).distinct()
+            new.append(_compared(util.stored(pairs, "pairs"), pieces, percent))
+        if k < rounds:
+            large = util.stored(open_.filter(~in_full), "large")
+            meets = large.groupBy("v").agg(F.sum("size").alias("meets"))
+            lead = util.stored(large.join(meets, "v").groupBy("key").agg(F.max(F.struct("meets", "v")).alias("l")).select("key", F.col("l.v").alias("lead")), "leaders")
+            pairs = util.stored(large.join(lead, "key").filter("v != lead").select("lead", "v").distinct(), "pairs")
+            group = util.stored(pairs.groupBy("lead").agg((F.count("*") + 1).cast("int").alias("group")), "led")
+            judged = _compared(pairs.join(group, "lead"), pieces, percent)
+            new.append(judged)
+        edges = new[0].filter("linked").select(F.col("lead").alias("u"), "v")
+        for x in new[1:]:
+            edges = edges.unionByName(x.filter("linked").select(F.col("lead").alias("u"), "v"))
+        edges = edges if links is None else edges.unionByName(links)
+        links = util.stored(edges.distinct(), "links")
+        if not links.isEmpty():
+            found = util.stored(graph.components(links), "components")
+        if k == rounds:
+            break
+        old = members
+        members = judged.select("lead", "v", F.inline("marks")).select(F.xxhash64("lead", F.when(F.col("side") == 0, 0).otherwise(1), "token").alias("key"), "side", "v").distinct()
+        util.discard(old)
+    return found
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,9 +415,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     ``component_id`` is the least id that links lead to, the document's own
     included; ``n_class`` counts the rows with the same set. A document without
-    words links with nothing. Rows that repeat an id are documents of their own
-    that happen to have that id; a null id is null as a component unless links
-    lead to another. Other columns are ignored.
+    words, or without text, links with nothing. Repeated rows, and rows that
+    repeat an id, are documents of their own that happen to have that id; a null
+    id is null as a component unless links lead to another. Very long texts are
+    taken whole; an empty table gives no rows. Other columns are ignored.
     """
     out = _placed(docs, shingle, percent, rounds, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("bigint").alias("n_class"))
@@ -205,67 +427,43 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 def _placed(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, h (hash of the text), n, and its set's sig, component (a vertex), component_id, n_class; these are null without words."""
     spark = docs.sparkSession
+    fragments = 2 * util.partitions(spark)
+    share = min(1.0, 2 * (100 - percent) / 100 + 1e-9)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    scanned = util.stored(rows.mapInArrow(_scan(shingle, percent), "doc_id bigint, h bigint, n bigint, sig binary, keys array<bigint>, sketch struct<" + ",".join(f"s{i}:bigint" for i in range(SKETCH)) + ">"), "sets")
-    classes = scanned.filter("sig is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"))
-    # the vertex of a class is its least id; a class whose least id is taken or null has a negative number of its own
-    owner = classes.groupBy("rep").agg(F.min("sig").alias("owner"))
-    own = -1 - F.abs(F.xxhash64("sig") / 2).cast("bigint")
-    classes = util.stored(classes.join(owner, "rep", "left").select("sig", "n", "rep", "n_class", F.when(F.col("sig") == F.col("owner"), F.col("rep")).otherwise(own).alias("v")), "classes")
-
-    keyed = scanned.filter(F.size("keys") > 0).join(classes.select("sig", "rep", "v"), "sig").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "n", "keys")
-    keyed = util.stored(keyed, "keyed")
-    members = keyed.select("v", "n", F.explode("keys").alias("key")).withColumn("component", F.col("v"))
-    left = util.stored(_meetings(members, 0), "left")
-    util.discard(keyed)
-    util.release(spark)
 
-    wanted = left.select("v").unionByName(left.select(F.col("lead").alias("v"))).distinct().join(classes.select("v", "rep", "sig"), "v")
-    wanted = util.stored(wanted, "wanted").withColumnRenamed("rep", "_rep")
-    segments = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("v", "sig", "text").mapInArrow(_segments(shingle), "v bigint, part int, segment array<bigint>")
-    segments = util.stored(segments, "segments")
-    sketches = scanned.join(wanted.select("v", "sig", "_rep"), "sig").filter(F.col("doc_id").eqNullSafe(F.col("_rep"))).groupBy("v").agg(F.first("sketch").alias("sketch"))
-    sketches = util.stored(sketches, "sketches")
+    scanned = util.stored(rows.mapInArrow(_scan(shingle, share, fragments), _SCANNED), "scanned")
+    dealt = scanned.filter("fragment >= 0").select("fragment", "batch", "tokens", "owners").repartition(fragments, "fragment").sortWithinPartitions("fragment")
+    hits = dealt.mapInArrow(_shared, "batch bigint, hits binary").groupBy("batch").agg(F.collect_list("hits").alias("hits"))
+    judged = scanned.filter("fragment < 0").select("batch", "docs").join(hits, "batch", "left").select("batch", "docs", "hits")
+    sets = util.stored(judged.mapInArrow(_judge(percent), "rid bigint, doc_id bigint, h bigint, n bigint, sig binary, open boolean"), "sets")
+    util.discard(scanned)
     util.release(spark)
 
-    links = found = None
-    for k in range(1, rounds + 2):
-        if left.isEmpty():
-            break
-        last = k > rounds
-        if last:  # all that is left, so that no link is lost
-            rest = util.stored(left.select("key", "v", "n", "component").join(sketches, "v"), "rest")
-            a = rest.select("key", F.col("v").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"), F.col("sketch").alias("s_u"))
-            b = rest.select("key", "v", F.col("n").alias("n_v"), "component", "sketch")
-            apart = (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("component"))
-            pairs = a.join(b, "key").filter(apart & _alike("s_u", "sketch", "n_u", "n_v", percent)).select("u", "v", "n_u", "n_v").distinct()
-        else:  # each vertex meets the one leader with which it shares most segments
-            met = left.filter((F.col("component") != F.col("c_lead")) & _close("n", "n_lead", percent)).groupBy("v", "n", "lead", "n_lead").count()
-            best = met.groupBy("v").agg(F.max(F.struct("count", "lead", "n_lead", "n")).alias("b"))
-            pairs = best.select(F.col("b.lead").alias("u"), "v", F.col("b.n_lead").alias("n_u"), F.col("b.n").alias("n_v"))
-        new = util.stored(_linked(util.stored(pairs, "pairs"), segments, percent), "links")
-        if not new.isEmpty():
-            links = new if links is None else util.stored(links.unionByName(new), "all_links")
-            found = util.stored(graph.components(links), "components")
-        if last:
-            break
-        members = left.select("key", "v", "n")
-        if found is not None:
-            members = members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        else:
-            members = members.withColumn("component", F.col("v"))
-        old, left = left, util.stored(_meetings(members, k), "left")
-        util.discard(old)
-        util.release(spark)
+    classes = sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("v"), F.min("doc_id").alias("rep"), F.count("*").alias("n_class"), F.min_by(F.struct("doc_id", "h"), "rid").alias("row"), F.max("open").alias("open"))
+    classes = util.stored(classes, "classes")
+    wanted = classes.filter("open").select("v", F.col("row.doc_id").alias("_doc_id"), F.col("row.h").alias("_h"))
+    held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))).select("v", "text").dropDuplicates(["v"])
+    schema = "batch bigint, fragment int, tokens binary, counts binary, vs array<bigint>, sizes array<bigint>, flat binary"
+    counted = util.stored(held.mapInArrow(_sets(shingle, fragments), schema), "counted")
+    util.release(spark)
+    dealt = counted.filter("fragment >= 0").select("fragment", "batch", "tokens", "counts").repartition(fragments, "fragment").sortWithinPartitions("fragment")
+    df = dealt.mapInArrow(_frequencies, "batch bigint, fragment int, df binary").groupBy("batch").agg(F.collect_list(F.struct("fragment", "df")).alias("found"))
+    held = counted.filter("fragment < 0").select("batch", "vs", "sizes", "flat").join(df, "batch")
+    pieces = util.stored(held.mapInArrow(_pieces(percent), "v bigint, piece int, n bigint, lone bigint, tokens array<bigint>, df array<int>, keys array<bigint>"), "pieces")
+    util.discard(counted)
+    util.release(spark)
 
+    found = _links(pieces, percent, rounds)
+    util.discard(pieces)
     if found is None:
         least = classes.select("sig", F.col("v").alias("component"), F.col("rep").alias("component_id"), "n_class")
     else:
-        placed = classes.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        placed = util.stored(classes.join(found, "v", "left").withColumn("component", F.coalesce("component", "v")).select("sig", "component", "rep", "n_class"), "placed")
         roots = util.stored(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "roots")
-        least = placed.join(roots, "component").select("sig", "component", "component_id", "n_class")
-    least = util.stored(least, "least")
-    return scanned.select("doc_id", "h", "n", "sig").join(least, "sig", "left")
+        least = util.stored(placed.join(roots, "component").select("sig", "component", "component_id", "n_class"), "least")
+    worded = sets.filter("n > 0").select("doc_id", "h", "n", "sig").join(least, "sig")
+    bare = sets.filter("n = 0").select("doc_id", "h", "n", "sig", *[F.lit(None).cast("bigint").alias(c) for c in ("component", "component_id", "n_class")])
+    return worded.select(*bare.columns).unionByName(bare)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -278,7 +476,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that nothing links stay, also under one id or none. Of rows equal in
     id and text one stays; documents without words all stay.
     """
-    placed = _placed(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("sig is not null")
+    placed = _placed(docs, SHINGLE, PERCENT).filter("sig is not null")
     chosen = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("c"))
     chosen = util.stored(chosen.select(F.col("c.doc_id").alias("_doc_id"), F.col("c.h").alias("_h")), "chosen")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
