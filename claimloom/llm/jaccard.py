@@ -38,8 +38,8 @@ from .substrings import _mix, gram_hashes, word_hashes
 SHINGLE, PERCENT = 5, 80
 #: Documents of a batch and their bytes; pieces in which a pair's overlap is counted.
 BATCH, BATCH_BYTES, PIECES = 2000, 1 << 24, 8
-#: Rounds with leaders; members of a group that are compared in full from the second round on.
-ROUNDS, SMALL = 4, 16
+#: Rounds with leaders; from the second on, a group is compared in full if that gives a member no more pairs than this.
+ROUNDS, SMALL = 3, 64
 #: Owner of a shingle that several documents of a batch hold.
 _SEVERAL = 0xFFFF
 
@@ -314,9 +314,11 @@ def needed(n: int, n_lead: int, d: int, percent: int, linked: bool) -> int | Non
 def _marks(percent: int):
     """Rows (lead, v, n, lone, n_lead, lone_lead, k, parts) to (lead, v, linked, marks).
 
-    Marks (side, token) are the rarest differences that a link with another member must touch:
+    Marks are the rarest differences that a link with another member must touch:
     side 0 between members that are not linked with the leader, 1 of such a one towards a linked one, 2 the other way.
+    ``rest`` counts the differences from the mark on, ``d`` all of them.
     """
+    mark = pa.struct([("side", pa.int32()), ("token", pa.int64()), ("rest", pa.int64()), ("d", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -332,12 +334,12 @@ def _marks(percent: int):
                     overlap = needed(n, n_lead, d, percent, to_linked)
                     if overlap is not None:
                         long = d - overlap + 1 - lone
-                        marks += [dict(side=side, token=int(x)) for x in diff[: max(long, 0)]]
+                        marks += [dict(side=side, token=x, rest=d - lone - i, d=d) for i, x in enumerate(diff[: max(long, 0)].tolist())]
                         if long > len(diff) and lone_lead:  # shingles that only the leader has differ for all
-                            marks.append(dict(side=side, token=0))
+                            marks.append(dict(side=side, token=0, rest=lone_lead, d=d))
                 rows.append((lead, v, linked, marks))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("side", pa.int32()), ("token", pa.int64())]))]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(mark)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["lead", "v", "linked", "marks"])
 
     return run
@@ -352,60 +354,69 @@ def _compared(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
     total = util.stored(counted.groupBy("lead", "v").agg(F.sum("k").alias("k"), F.collect_list(F.struct("ranks", "diff")).alias("parts")), "overlaps")
     size = pieces.filter("piece = 0").select("v", "n", "lone")
     of_pairs = total.join(size, "v").join(size.toDF("lead", "n_lead", "lone_lead"), "lead").select("lead", "v", "n", "lone", "n_lead", "lone_lead", "k", "parts")
-    out = util.stored(of_pairs.mapInArrow(_marks(percent), "lead bigint, v bigint, linked boolean, marks array<struct<side:int,token:bigint>>"), "compared")
+    out = util.stored(of_pairs.mapInArrow(_marks(percent), "lead bigint, v bigint, linked boolean, marks array<struct<side:int,token:bigint,rest:bigint,d:bigint>>"), "compared")
     util.discard(total)
     return out
 
 
 def _placed_on(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members (key, side, v) with the component that is known of each."""
+    """Members of keys with the component that is known of each."""
     if found is None:
         return members.withColumn("component", F.col("v"))
     return members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
+def _pairs_in_full(members: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs (lead, v) of members of one key that may link: of a link's common marks, the first passes both filters."""
+    of = members.join(size.select("v", "n"), "v")
+    a, b = (of.select("key", *[F.col(c).alias(c + x) for c in ("side", "v", "component", "n", "rest", "d")]) for x in "ab")
+    waiting = ((F.col("sidea") == 0) & (F.col("sideb") == 0) & (F.col("va") < F.col("vb"))) | ((F.col("sidea") == 1) & (F.col("sideb") == 2))
+    total = F.col("na") + F.col("nb")
+    close = (F.col("nb") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("nb") * percent)
+    most = total - 2 * F.ceil(total * percent / (100 + percent) - 1e-6)
+    reached = F.col("da").isNull() | (2 * F.least("resta", "restb") >= F.col("da") + F.col("db") - most)
+    met = a.join(b, "key").filter(waiting & (F.col("componenta") != F.col("componentb")) & close & reached)
+    return met.select(F.least("va", "vb").alias("lead"), F.greatest("va", "vb").alias("v"), F.lit(0).alias("group")).distinct()
+
+
 def _links(pieces: DataFrame, percent: int, rounds: int) -> DataFrame | None:
     """(v, component) of all sets that link with another; None if there are none."""
-    members = pieces.filter("piece = 0").select(F.explode("keys").alias("key"), F.lit(0).alias("side"), "v")
-    size = pieces.filter("piece = 0").select("v", "n")
+    size = pieces.filter("piece = 0").select("v", "n", "lone")
+    none = F.lit(None).cast("bigint")
+    members = pieces.filter("piece = 0").select(F.explode("keys").alias("key"), F.lit(0).alias("side"), "v", none.alias("rest"), none.alias("d"))
     links = found = None
     for k in range(rounds + 1):
         members = util.stored(_placed_on(members, found), "members")
-        groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("side").alias("side"), F.max(F.col("side") == 2).alias("linked"), F.max(F.col("side") == 1).alias("apart"))
+        apart, linked = F.sum((F.col("side") == 1).cast("int")), F.sum((F.col("side") == 2).cast("int"))
+        groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("side").alias("side"), apart.alias("apart"), linked.alias("linked"))
         # sides 1 and 2 only wait for each other
-        groups = util.stored(groups.filter("lo < hi and (side = 0 or linked and apart)").select("key", "size"), "groups")
-        if groups.isEmpty():
-            break
-        in_full = F.lit(k == rounds) | (F.lit(k > 0) & (F.col("size") <= SMALL))
-        open_ = members.join(groups, "key")
-        new = []
-        small = open_.filter(in_full).join(size, "v")
-        a, b = small.select("key", "side", F.col("v").alias("lead"), F.col("component").alias("c"), F.col("n").alias("m")), small.select("key", F.col("side").alias("s"), "v", "component", "n")
-        close = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-        waiting = ((F.col("side") == 0) & (F.col("s") == 0) & (F.col("lead") < F.col("v"))) | ((F.col("side") == 1) & (F.col("s") == 2))
-        if k == rounds or k > 0:
-            pairs = a.join(b, "key").filter(waiting & (F.col("c") != F.col("component")) & close)
-            pairs = pairs.select(F.least("lead", "v").alias("lead"), F.greatest("lead", "v").alias("v"), F.lit(0).alias("group")).distinct()
-            new.append(_compared(util.stored(pairs, "pairs"), pieces, percent))
-        if k < rounds:
-            large = util.stored(open_.filter(~in_full), "large")
-            meets = large.groupBy("v").agg(F.sum("size").alias("meets"))
-            lead = util.stored(large.join(meets, "v").groupBy("key").agg(F.max(F.struct("meets", "v")).alias("l")).select("key", F.col("l.v").alias("lead")), "leaders")
+        groups = groups.filter("lo < hi and (side = 0 or apart > 0 and linked > 0)")
+        each = F.when(F.col("side") == 0, F.col("size") / 2).otherwise(F.least("apart", "linked"))
+        groups = util.stored(groups.select("key", "size", (F.lit(k == rounds) | F.lit(k > 0) & (each <= SMALL)).alias("full")), "groups")
+        judged, full, large = [], groups.filter("full"), groups.filter("not full")
+        if not full.isEmpty():
+            pairs = util.stored(_pairs_in_full(members.join(full, "key"), size, percent), "pairs")
+            judged.append(_compared(pairs, pieces, percent))
+        led = not large.isEmpty()
+        if led:
+            large = util.stored(members.join(large, "key").select("key", "size", "v"), "large")
+            meets = large.groupBy("v").agg(F.sum("size").alias("meets")).join(size, "v")
+            first = F.max(F.struct("meets", (-F.col("lone")).alias("lone"), (-F.col("v")).alias("v")))
+            lead = util.stored(large.join(meets, "v").groupBy("key").agg(first.alias("l")).select("key", (-F.col("l.v")).alias("lead")), "leaders")
             pairs = util.stored(large.join(lead, "key").filter("v != lead").select("lead", "v").distinct(), "pairs")
             group = util.stored(pairs.groupBy("lead").agg((F.count("*") + 1).cast("int").alias("group")), "led")
-            judged = _compared(pairs.join(group, "lead"), pieces, percent)
-            new.append(judged)
-        edges = new[0].filter("linked").select(F.col("lead").alias("u"), "v")
-        for x in new[1:]:
-            edges = edges.unionByName(x.filter("linked").select(F.col("lead").alias("u"), "v"))
-        edges = edges if links is None else edges.unionByName(links)
-        links = util.stored(edges.distinct(), "links")
-        if not links.isEmpty():
+            judged.append(_compared(pairs.join(group, "lead"), pieces, percent))
+        new = [x.filter("linked").select(F.col("lead").alias("u"), "v") for x in judged]
+        new = [x for x in new if not x.isEmpty()]
+        for x in new:
+            links = x if links is None else links.unionByName(x)
+        if new:
+            links = util.stored(links.distinct(), "links")
             found = util.stored(graph.components(links), "components")
-        if k == rounds:
-            break
+        if not led:
+            return found
         old = members
-        members = judged.select("lead", "v", F.inline("marks")).select(F.xxhash64("lead", F.when(F.col("side") == 0, 0).otherwise(1), "token").alias("key"), "side", "v").distinct()
+        members = judged[-1].select("lead", "v", F.inline("marks")).select(F.xxhash64("lead", F.when(F.col("side") == 0, 0).otherwise(1), "token").alias("key"), "side", "v", "rest", "d")
         util.discard(old)
     return found
 
