@@ -4,13 +4,14 @@ A mask picks some places of a window of words and ignores the others, so a
 window still matches when an ignored word was substituted. Hashes of masked
 windows of test items and of documents meet in an equi-join; each hit names an
 item and a diagonal (document place minus item place). Along the diagonal the
-words are then compared one by one.
+words are then compared one by one; neighbouring diagonals count together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import util
 
@@ -18,8 +19,10 @@ from . import util
 MASKS = [(0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 9), (0, 1, 4, 5, 8, 10)]
 #: A hit counts if this share of the item's words agrees, or this share of some run of words.
 SHARE, RUN, RUN_SHARE = 0.6, 20, 0.8
-#: Seeds and items up to these counts are broadcast; beyond them the joins shuffle.
-BROADCAST_SEEDS, BROADCAST_ITEMS = 2_000_000, 20_000
+#: Diagonals this many words apart count together.
+GAP = 3
+#: Seeds and items up to so many bytes are broadcast, beyond them the joins shuffle; bytes of a seed in memory, at most.
+BROADCAST_BYTES, SEED_BYTES = 1 << 26, 48
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -57,40 +60,46 @@ def _seed_rows(df: DataFrame, hashes: str) -> DataFrame:
     return out.withColumn("place", place).drop("_i", *[f"_s{k}" for k in range(len(MASKS))])
 
 
-def _by_size(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+def _by_size(df: DataFrame, limit: int, size=None) -> DataFrame:
+    """``df``, to be broadcast if its bytes (``size`` a row) stay within a limit; else the join shuffles."""
+    total = df.agg(F.sum(F.lit(SEED_BYTES) if size is None else size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, run: int = RUN, run_share: float = RUN_SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, run: int = RUN, run_share: float = RUN_SHARE, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and test item that it holds: doc_id, h, item_id, n_item, n_matched, overlap, first_word, last_word.
 
     ``h`` hashes the text, so that rows with the same id and other texts stay
-    apart. ``overlap`` is the share of the item's words found in place on the
-    best diagonal; places count words from 0. Items with fewer words than the
-    shortest mask spans, and null texts, match nothing. Equal rows of either
-    table count once; other columns are ignored.
+    apart. ``overlap`` is the share of the item's words found in place, on the
+    best diagonal and those with hits up to ``gap`` words before it, so that a
+    word put in or left out does not part an item; places count words from 0.
+    Items with fewer words than the shortest mask spans, and null texts, match
+    nothing. Items without an id are found under a null one; of several texts
+    with one id the best counts. Equal rows of either table count once. Very
+    long texts are taken whole, empty tables give no rows, other columns are
+    ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item")).filter(F.size("item") > min(m[-1] for m in MASKS)).distinct()
+    tests = tests.withColumn("k", F.xxhash64(F.col("item_id").isNull(), "item_id", "item"))
     hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    of_tests = _seed_rows(tests.select("item_id", F.size("item").alias("n_item"), hashed(F.col("item")).alias("_h")), "_h")
-    of_tests = of_tests.select("seed", "item_id", "n_item", F.col("place").alias("item_place")).distinct()
+    of_tests = _seed_rows(tests.select("k", F.size("item").alias("n_item"), hashed(F.col("item")).alias("_h")), "_h")
+    of_tests = of_tests.select("seed", "k", "n_item", F.col("place").alias("item_place")).distinct()
     of_docs = _seed_rows(rows.select("doc_id", "h", hashed(tokens(F.col("text"))).alias("_h")), "_h")
-    hits = of_docs.join(_by_size(of_tests, BROADCAST_SEEDS), "seed")
-    hits = hits.select("doc_id", "h", "item_id", "n_item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    found = util.stored(hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("item_id", "n_item", "diagonal")).alias("found")), "found")
-    found = found.withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
-    held = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", tokens(F.col("text")).alias("w"), "found")
-
-    def region(x):
-        first = F.greatest(x["diagonal"], F.lit(0))
-        return F.struct(x["item_id"].alias("item_id"), x["diagonal"].alias("diagonal"), F.slice(F.col("w"), first + 1, x["n_item"] + F.least(x["diagonal"], F.lit(0))).alias("words"))
-
-    regions = held.withColumn("found", F.transform("found", region)).select("doc_id", "h", F.inline("found"))
-    compared = regions.join(_by_size(tests, BROADCAST_ITEMS), "item_id")
-    skip = F.greatest(-F.col("diagonal"), F.lit(0))
-    same = F.transform("words", lambda x, i: F.when(x == F.get(F.col("item"), i + skip), 1).otherwise(0))
-    compared = compared.select("doc_id", "h", "item_id", F.size("item").alias("n_item"), F.greatest("diagonal", F.lit(0)).alias("first"), same.alias("same"))
+    hits = of_docs.join(_by_size(of_tests, BROADCAST_BYTES), "seed")
+    hits = util.stored(hits.select("doc_id", "h", "k", "n_item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "hits")
+    of_hit = hits.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "k", "n_item", "diagonal")
+    same_text = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))
+    matched = rows.join(of_hit.select("_doc_id", "_h").distinct(), same_text).select("doc_id", "h", "text").dropDuplicates(["doc_id", "h"])
+    matched = util.computed(matched, F.struct(tokens(F.col("text")).alias("w"))).drop("text")
+    first = F.greatest("diagonal", F.lit(0))
+    regions = matched.join(of_hit, same_text).select("doc_id", "h", "k", "diagonal", F.size("w").alias("n_words"), F.slice("w", first + 1, F.col("n_item") + F.least("diagonal", F.lit(0))).alias("words"))
+    compared = regions.join(_by_size(tests, BROADCAST_BYTES, F.octet_length(F.array_join("item", " ")) + 24 * F.size("item")), "k")
+    same = F.transform("item", lambda x, i: F.coalesce(x == F.get(F.col("words"), i + F.least("diagonal", F.lit(0))), F.lit(False)))
+    compared = compared.select("doc_id", "h", "k", "item_id", F.size("item").alias("n_item"), "n_words", "diagonal", same.alias("same"))
+    near = Window.partitionBy("doc_id", "h", "k").orderBy("diagonal").rangeBetween(-gap, 0)
+    compared = compared.withColumn("_all", F.collect_list("same").over(near))
+    any_of = F.transform("same", lambda _, i: F.exists("_all", lambda a: F.get(a, i)).cast("int"))
 
     def best_run(s):
         length = F.least(F.size(s), F.lit(run))
@@ -98,10 +107,10 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, run: i
         total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
         return F.array_max(F.transform(starts, lambda i: total(F.slice(s, i, F.greatest(length, F.lit(1))))))
 
-    matched = F.aggregate("same", F.lit(0), lambda x, y: x + y)
-    judged = compared.select("doc_id", "h", "item_id", "n_item", "first", F.size("same").alias("n"), matched.alias("n_matched"), best_run(F.col("same")).alias("run"))
-    enough = (F.col("n_matched") >= share * F.col("n_item")) | ((F.col("run") >= run_share * run) & (F.col("n") >= run))
-    best = F.max(F.struct(F.col("n_matched"), (-F.col("first")).alias("first"), "n_item", "n")).alias("b")
+    judged = util.computed(compared, F.struct(any_of.alias("same")))
+    judged = judged.select("doc_id", "h", "item_id", "n_item", "n_words", "diagonal", F.aggregate("same", F.lit(0), lambda x, y: x + y).alias("n_matched"), best_run(F.col("same")).alias("run"))
+    enough = (F.col("n_matched") >= share * F.col("n_item")) | ((F.col("run") >= run_share * run) & (F.col("n_item") >= run))
+    best = F.max(F.struct((F.col("n_matched") / F.col("n_item")).alias("overlap"), "n_matched", (-F.col("diagonal")).alias("back"), "n_item", "n_words")).alias("b")
     out = judged.filter(enough).groupBy("doc_id", "h", "item_id").agg(best)
     return out.select(
         "doc_id",
@@ -109,9 +118,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, run: i
         "item_id",
         F.col("b.n_item").cast("bigint").alias("n_item"),
         F.col("b.n_matched").cast("bigint").alias("n_matched"),
-        (F.col("b.n_matched") / F.col("b.n_item")).alias("overlap"),
-        (-F.col("b.first")).cast("bigint").alias("first_word"),
-        (F.col("b.n") - F.col("b.first") - 1).cast("bigint").alias("last_word"),
+        "b.overlap",
+        F.greatest(-F.col("b.back"), F.lit(0)).cast("bigint").alias("first_word"),
+        (F.least(F.col("b.n_item") - F.col("b.back"), F.col("b.n_words")) - 1).cast("bigint").alias("last_word"),
     )
 
 
@@ -120,7 +129,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item; columns as they came."""
-    bad = util.stored(contaminated(docs, util.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")).distinct(), "contaminated")
-    held = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_h"))
-    return docs.join(bad, held, "left_anti").select(*docs.columns)
+    """Documents that hold no test item; columns as they came, whatever their names.
+
+    Null and empty texts stay, and so do repeated rows; an empty table stays empty.
+    """
+    bad = util.stored(contaminated(docs, util.table(spark, sf_dir, "benchmark")).select("doc_id", "h").distinct(), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("h")), "left_anti").select("_row.*")

@@ -89,15 +89,9 @@ def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
 
     def spans(b):
         def with_found(m):
-            zipped = F.zip_with(b, m, lambda x, y: F.struct(F.length(x).alias("gap"), F.coalesce(F.length(y), F.lit(0)).alias("own")))
-            start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("out"))
-
-            def step(acc, z):
-                begin = acc["at"] + z["gap"]
-                span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + z["own"]).alias("end"))
-                return F.struct((begin + z["own"]).alias("at"), F.when(z["own"] > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-            all_spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+            own = F.transform(m, F.length)  # one fewer than the pieces between
+            ends = util.prefix_sums(F.zip_with(F.slice(b, 1, F.size(m)), own, lambda x, y: F.length(x) + y))
+            all_spans = F.zip_with(ends, own, lambda e, n: F.struct((e - n).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
             if wanted is None:
                 return all_spans
             return util.let(wanted, lambda k: F.filter(all_spans, lambda s, i: F.get(k, i)))
@@ -162,42 +156,61 @@ def _random(model: dict, token: Column, limit: float) -> Column:
     return util.let(ratio, of_table)
 
 
-def _without(span: Column, base: Column) -> Column:
-    """What is left of a span beside the base spans, which are in order."""
-    piece = lambda a, b: F.array(F.struct(a.alias("start"), span["kind"].alias("kind"), b.alias("end")))
-    start = F.struct(span["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("out"))
+def _replaced(text: Column, found: Column, by) -> Column:
+    """``text`` with each run of overlapping spans replaced by what ``by`` makes of its length.
+
+    Linear in the text: characters are an array, and what a run reaches is a running maximum.
+    """
+
+    def of_chars(chars):
+        def of_reach(reach):
+            before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+            last = F.coalesce(F.get(reach, F.size(reach) - 1), F.lit(0))
+            firsts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i)["start"] >= before(i)))
+
+            def of_firsts(f):
+                def piece(i, k):
+                    start, end = F.get(found, i)["start"], F.when(k + 1 < F.size(f), before(F.get(f, k + 1))).otherwise(last)
+                    return F.concat(F.array_join(F.slice(chars, before(i) + 1, start - before(i)), ""), by(end - start))
+
+                tail = F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), "")
+                return F.concat(F.array_join(F.transform(f, piece), ""), tail)
+
+            return util.let(firsts, of_firsts)
 
-    def step(acc, x):
-        gap = F.when(x["start"] > acc["at"], F.concat(acc["out"], piece(acc["at"], x["start"]))).otherwise(acc["out"])
-        meets = (x["start"] < span["end"]) & (x["end"] > acc["at"])
-        return F.struct(F.when(meets, x["end"]).otherwise(acc["at"]).alias("at"), F.when(meets, gap).otherwise(acc["out"]).alias("out"))
+        return util.let(util.running(F.transform(found, lambda s: s["end"]), F.greatest), of_reach)
 
-    return F.aggregate(base, start, step, lambda acc: F.when(acc["at"] < span["end"], F.concat(acc["out"], piece(acc["at"], span["end"]))).otherwise(acc["out"]))
+    return F.when(F.size(found) > 0, util.let(F.split(text, ""), of_chars)).otherwise(text)
 
 
 def _long_enough(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 8)
 
 
-def spans(text: Column, model: dict | None, limit: float = LIMIT) -> tuple[Column, Column]:
-    """Base spans and the method's further spans of a text that is not null, each as (start, kind, end) in order."""
+def base_spans(text: Column) -> Column:
+    """Spans of the base patterns in a text that is not null, as (start, kind, end) in order."""
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     lower = F.lower(text)
     hint = F.lit(False)
     for word in ASSIGN_WORDS:
         hint = hint | F.contains(lower, F.lit(word))
-    base = F.concat(
-        F.when(hint, _matches(text, ASSIGN, 0, _long_enough)).otherwise(none),
-        F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS, 1)).otherwise(none),
-        F.when(text.rlike(HEX), _matches(text, HEX, 2)).otherwise(none),
+    return F.array_sort(
+        F.concat(
+            F.when(hint, _matches(text, ASSIGN, 0, _long_enough)).otherwise(none),
+            F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS, 1)).otherwise(none),
+            F.when(text.rlike(HEX), _matches(text, HEX, 2)).otherwise(none),
+        )
     )
-    base = F.array_sort(base)
+
+
+def model_spans(text: Column, model: dict | None, limit: float = LIMIT) -> Column:
+    """Spans of the models, in order."""
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     if model is None:
-        return base, none
+        return none
     parts = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda x: _random(model, x, limit))
     placed = lambda s, ps: F.transform(ps, lambda p: F.struct((s["start"] + p["a"]).alias("start"), s["kind"].alias("kind"), (s["start"] + p["b"]).alias("end")))
-    more = F.when(text.rlike(CANDIDATE), F.flatten(F.zip_with(_matches(text, CANDIDATE, 3), parts, placed))).otherwise(none)
-    return base, more
+    return F.when(text.rlike(CANDIDATE), F.flatten(F.zip_with(_matches(text, CANDIDATE, 3), parts, placed))).otherwise(none)
 
 
 def _text_of(found: Column) -> Column:
@@ -208,33 +221,28 @@ def _text_of(found: Column) -> Column:
 def scan_secrets(docs: DataFrame, model: dict | None, text_col: str = "text", limit: float = LIMIT) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``, arrays of (start, kind, end).
 
-    Places count code points, ends are exclusive, kinds index ``KINDS``. Spans of
-    the models are cut around base spans. Null and empty texts have no spans;
-    columns of these names are replaced.
+    Places count code points, ends are exclusive, kinds index ``KINDS``. The
+    models judge what stands beside base spans, of ``LEAST`` characters or more.
+    Equal or overlapping base spans of different kinds all stay, in the order of
+    start, then kind. Null and empty texts have no spans; very long texts are
+    taken whole; repeated rows stay; columns of these names are replaced; an
+    empty table stays empty.
     """
 
     def found(t):
-        base, more = spans(t, model, limit)
-
         def both(b):
-            apart = F.flatten(F.transform(more, lambda s: _without(s, b)))
-            return F.struct(b.alias("base_spans"), F.array_sort(F.concat(b, apart)).alias("all_spans"))
+            beside = _replaced(t, b, lambda n: F.repeat(F.lit(" "), n))
+            more = util.let(beside, lambda x: model_spans(x, model, limit))
+            return F.struct(b.alias("base_spans"), F.array_sort(F.concat(b, more)).alias("all_spans"))
 
-        return util.let(base, both)
+        return util.let(base_spans(t), both)
 
     return util.computed(docs, util.let(F.coalesce(F.col(text_col), F.lit("")), found))
 
 
 def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
     """``text`` with each run of overlapping spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    whole = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    return _replaced(text, found, lambda n: F.lit(mark))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -252,7 +260,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets blotted out; ``n_chars`` follows the text, other columns stay."""
+    """Documents with their secrets blotted out; ``n_chars`` follows the text, other columns stay, whatever their names.
+
+    Null and empty texts, repeated rows and an empty table stay as they are.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     out = scan_secrets(rows, train(labelled_samples(spark)))
     out = util.computed(out, F.struct(redact(F.col("text"), F.col("all_spans")).alias("_text"), (F.size("all_spans") > 0).alias("_found")))

@@ -31,6 +31,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(a: Column, of) -> Column:
+    """Running results of an associative ``of`` over an array: by doubling, so that n values cost n log n steps."""
+    powers = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(a)))), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    step = lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, of(F.get(acc, i - p), x)).otherwise(x))
+    return F.aggregate(powers, a, step)
+
+
+def prefix_sums(a: Column) -> Column:
+    return running(a, lambda x, y: x + y)
+
+
 def computed(df: DataFrame, values: Column) -> DataFrame:
     """``df`` with the fields of the struct ``values`` as columns, replacing any of these names.
 

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from conftest import SCHEMA, clashing, sentence
 
+from pyspark.sql import functions as F
+
 from claimloom.llm import decontam, jaccard, substrings
 
 
@@ -219,6 +222,68 @@ def test_decontamination_part_of_a_long_item(spark):
     assert [r["doc_id"] for r in out.collect()] == [1]
 
 
+def brute_contaminated(rows, items):
+    split = lambda t: [w for w in re.split(decontam.SEPARATORS, (t or "").lower()) if w]
+    found = {}
+    for doc_id, text, *_ in rows:
+        w = split(text)
+        for item_id, t in set(items):
+            x = split(t)
+            if len(x) < 9:
+                continue
+            hits = set()
+            for mask in decontam.MASKS:
+                at = {}
+                for i in range(len(x) - mask[-1]):
+                    at.setdefault(tuple(x[i + o] for o in mask), []).append(i)
+                for j in range(len(w) - mask[-1]):
+                    hits |= {j - i for i in at.get(tuple(w[j + o] for o in mask), ())}
+            for d in hits:
+                near = [e for e in hits if d - decontam.GAP <= e <= d]
+                same = [any(0 <= i + e < len(w) and w[i + e] == x[i] for e in near) for i in range(len(x))]
+                run = max(sum(same[i : i + 20]) for i in range(max(1, len(same) - 19)))
+                if sum(same) >= 0.6 * len(x) or len(x) >= 20 and run >= 16:
+                    found[doc_id, text, item_id] = max(found.get((doc_id, text, item_id), 0), sum(same) / len(x))
+    return Counter((d, i, round(o, 9)) for (d, _, i), o in found.items())
+
+
+def test_decontamination_against_brute_force(spark):
+    """Words changed, left out and put in at all rates; items without an id, and two texts with one."""
+    rng = random.Random(21)
+    items = [(i if i % 7 else None, sentence(rng, rng.randint(9, 60))) for i in range(40)] + [(1, sentence(rng, 30))]
+    rows = []
+    for i in range(120):
+        words = items[i % 41][1].split()
+        for _ in range(rng.randint(0, len(words) // 2)):
+            at, way = rng.randrange(len(words)), rng.random()
+            words[at : at + 1] = [] if way < 0.2 else ["new", words[at]] if way < 0.4 else ["changed"]
+            words = words or ["x"]
+        rows.append((i, f"{sentence(rng, rng.randint(0, 40))} {' '.join(words)} {sentence(rng, rng.randint(0, 40))}", "en", "s", 0))
+    rows.append((200, "to be or not to be " * 300, "en", "s", 0))
+    items.append((90, "to be or not to be " * 6))
+    out = decontam.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"], round(r["overlap"], 9)) for r in out) == brute_contaminated(rows, items)
+    assert len(out) > 60
+
+
+def test_decontamination_over_a_word_put_in(spark):
+    item = sentence(random.Random(22), 24).split()
+    text = " ".join([*item[:12], "moreover", *item[12:]])
+    out = decontam.contaminated(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(None, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r["item_id"], r["n_matched"]) for r in out] == [(None, 24)]
+
+
+@pytest.mark.parametrize("of", [jaccard, decontam])
+def test_stages_keep_columns_of_any_name(spark, docs, tmp_path, of):
+    odd = ["_keep", "_h", "_hash", "_id", "_row", "a.b", "h", "k", "component", "sig"]
+    spark.createDataFrame([(1, sentence(random.Random(1), 30))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(odd)])
+    out = of.stage(spark, wide, str(tmp_path))
+    assert out.columns == wide.columns
+    plain = of.stage(spark, docs, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((r["doc_id"], r["text"]) for r in plain.collect())
+
+
 def test_decontamination_empty(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.contaminated(docs, none).count() == 0

@@ -1,6 +1,7 @@
 """License, quality, secret and URL scans, and sharding, against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -245,5 +246,27 @@ def test_communication_matrix():
     assert sharding.hypergeometric(rng, 10**10, 10**10, 10**9) > 0
 
 
-def test_hash_of_no_spans():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_redaction_of_many_spans(spark):
+    """Overlapping spans and characters beyond the first plane, against plain Python."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(30):
+        text = "".join(rng.choice("ab\u00e9\U0001f600 ") for _ in range(rng.choice([1, 40, 3000])))
+        spans = sorted({(a, k, min(len(text), a + rng.randint(1, 9))) for a in range(len(text)) for k in range(2) if rng.random() < 0.1})
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "doc_id int, text string, found array<struct<start:int,kind:int,end:int>>")
+    out = {r["doc_id"]: r["x"] for r in df.select("doc_id", secrets.redact(F.col("text"), F.col("found"), "#").alias("x")).collect()}
+    for i, text, spans in rows:
+        want, at = "", 0
+        for a, _, b in spans:
+            want += text[at:a] + "#" if a >= at else ""
+            at = max(at, b)
+        assert out[i] == want + text[at:]
+
+
+def test_running(spark):
+    values = [random.Random(n).choices(range(-9, 9), k=n) for n in (0, 1, 2, 3, 7, 8, 100)]
+    df = spark.createDataFrame([(v,) for v in values], "a array<int>")
+    for r in df.select("a", util.prefix_sums(F.col("a")).alias("s"), util.running(F.col("a"), F.greatest).alias("m")).collect():
+        assert r["s"] == list(itertools.accumulate(r["a"])) and r["m"] == list(itertools.accumulate(r["a"], max))
+
