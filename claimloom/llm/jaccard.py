@@ -37,7 +37,7 @@ from .substrings import _mix, gram_hashes, word_hashes
 #: Defaults of the operator and the pipeline's stage: shingles of five words, linked from a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
 #: Documents of a batch and their bytes; pieces in which a pair's overlap is counted.
-BATCH, BATCH_BYTES, PIECES = 2000, 1 << 24, 8
+BATCH, BATCH_BYTES, PIECES = 2000, 1 << 23, 8
 #: Rounds with leaders; from the second on, a group is compared in full if that gives a member no more pairs than this.
 ROUNDS, SMALL = 3, 64
 #: Owner of a shingle that several documents of a batch hold.
@@ -200,7 +200,7 @@ def _sets(shingle: int, fragments: int):
     """Rows (v, text) to one row for each batch, with its sets, and one for each fragment of it, with how many of the batch's sets hold each shingle."""
 
     def run(batches):
-        for number, b in _batches(batches, BATCH // 4, 1):
+        for number, b in _batches(batches, BATCH // 8, 1):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
             flat = np.concatenate(sets)
             tokens, counts = np.unique(flat, return_counts=True)
@@ -351,10 +351,10 @@ def _compared(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
     of_lead = pieces.select(F.col("v").alias("lead"), "piece", F.col("tokens").alias("lead_tokens"), F.col("df").alias("lead_df"))
     met = pairs.join(own, "v").join(of_lead, ["lead", "piece"])
     counted = met.select("lead", "v", "group", "tokens", "df", "lead_tokens", "lead_df").mapInArrow(_partial, "lead bigint, v bigint, k bigint, ranks array<int>, diff array<bigint>")
-    total = util.stored(counted.groupBy("lead", "v").agg(F.sum("k").alias("k"), F.collect_list(F.struct("ranks", "diff")).alias("parts")), "overlaps")
+    total = util.stored(counted.groupBy("lead", "v").agg(F.sum("k").alias("k"), F.collect_list(F.struct("ranks", "diff")).alias("parts")), "overlaps", batch=500)
     size = pieces.filter("piece = 0").select("v", "n", "lone")
     of_pairs = total.join(size, "v").join(size.toDF("lead", "n_lead", "lone_lead"), "lead").select("lead", "v", "n", "lone", "n_lead", "lone_lead", "k", "parts")
-    out = util.stored(of_pairs.mapInArrow(_marks(percent), "lead bigint, v bigint, linked boolean, marks array<struct<side:int,token:bigint,rest:bigint,d:bigint>>"), "compared")
+    out = util.stored(of_pairs.mapInArrow(_marks(percent), "lead bigint, v bigint, linked boolean, marks array<struct<side:int,token:bigint,rest:bigint,d:bigint>>"), "compared", batch=500)
     util.discard(total)
     return out
 
@@ -446,7 +446,7 @@ def _placed(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS, i
     dealt = scanned.filter("fragment >= 0").select("fragment", "batch", "tokens", "owners").repartition(fragments, "fragment").sortWithinPartitions("fragment")
     hits = dealt.mapInArrow(_shared, "batch bigint, hits binary").groupBy("batch").agg(F.collect_list("hits").alias("hits"))
     judged = scanned.filter("fragment < 0").select("batch", "docs").join(hits, "batch", "left").select("batch", "docs", "hits")
-    sets = util.stored(judged.mapInArrow(_judge(percent), "rid bigint, doc_id bigint, h bigint, n bigint, sig binary, open boolean"), "sets")
+    sets = util.stored(judged.mapInArrow(_judge(percent), "rid bigint, doc_id bigint, h bigint, n bigint, sig binary, open boolean"), "sets", batch=64)
     util.discard(scanned)
     util.release(spark)
 
@@ -455,12 +455,12 @@ def _placed(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS, i
     wanted = classes.filter("open").select("v", F.col("row.doc_id").alias("_doc_id"), F.col("row.h").alias("_h"))
     held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))).select("v", "text").dropDuplicates(["v"])
     schema = "batch bigint, fragment int, tokens binary, counts binary, vs array<bigint>, sizes array<bigint>, flat binary"
-    counted = util.stored(held.mapInArrow(_sets(shingle, fragments), schema), "counted")
+    counted = util.stored(held.mapInArrow(_sets(shingle, fragments), schema), "counted", batch=BATCH // 8)
     util.release(spark)
     dealt = counted.filter("fragment >= 0").select("fragment", "batch", "tokens", "counts").repartition(fragments, "fragment").sortWithinPartitions("fragment")
     df = dealt.mapInArrow(_frequencies, "batch bigint, fragment int, df binary").groupBy("batch").agg(F.collect_list(F.struct("fragment", "df")).alias("found"))
     held = counted.filter("fragment < 0").select("batch", "vs", "sizes", "flat").join(df, "batch")
-    pieces = util.stored(held.mapInArrow(_pieces(percent), "v bigint, piece int, n bigint, lone bigint, tokens array<bigint>, df array<int>, keys array<bigint>"), "pieces")
+    pieces = util.stored(held.mapInArrow(_pieces(percent), "v bigint, piece int, n bigint, lone bigint, tokens array<bigint>, df array<int>, keys array<bigint>"), "pieces", batch=32)
     util.discard(counted)
     util.release(spark)
 

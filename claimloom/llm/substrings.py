@@ -31,16 +31,15 @@ _known: dict[bytes, int] = {}
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; remembers up to a number of words."""
-    if len(_known) > 300_000:
+    if len(_known) > 150_000:
         _known.clear()
-    get, out = _known.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(w) < 40:
-                _known[w] = h
-        out.append(h)
+    out = list(map(_known.get, words))
+    if None in out:
+        for i, w in enumerate(words):
+            if out[i] is None:
+                out[i] = xxhash.xxh64_intdigest(w)
+                if len(w) < 40:
+                    _known[w] = out[i]
     return np.array(out, dtype=np.uint64)
 
 
