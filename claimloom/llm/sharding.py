@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size.
 
-Rows sit in source blocks. A communication matrix says how many rows each block
+Rows sit in source blocks, the partitions of the table. A communication matrix says how many rows each block
 sends to each shard; its rows are drawn from the multivariate hypergeometric
 law, which is the law that a uniform shuffle of all rows induces. Each block
 permutes its rows and cuts the permutation by its row of the matrix, the rows
@@ -9,6 +9,7 @@ are exchanged, and each shard permutes again.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -19,10 +20,10 @@ from pyspark.sql.window import Window
 from . import util
 
 SHARDS = 40
-#: Rows of a source block and of a cell of a shard, on average at most.
-BLOCK_ROWS, CELL_ROWS = 250_000, 100_000
-#: Blocks and cells of a shard, at least.
-LEAST_BLOCKS, LEAST_CELLS = 64, 4
+#: Source blocks at most: more partitions are read several at a time.
+MOST_BLOCKS = 20_000
+#: Rows of a cell of a shard, on average at most, and cells of a shard, at least.
+CELL_ROWS, LEAST_CELLS = 100_000, 4
 
 
 def _log_pmf(k: int, good: int, bad: int, n: int) -> float:
@@ -79,38 +80,33 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17, i
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Shard sizes differ by one row at most; within them every assignment is
-    equally likely. ``slot`` runs from 0 without gaps in each shard. Keys of the
-    permutations depend on id, text and seed alone, so a task that runs again
-    gives the same rows. A null text has size 16 and the CRC of no bytes.
-    Repeated rows are rows of their own; an empty table gives no rows.
+    equally likely. ``slot`` runs from 0 without gaps in each shard. Source blocks
+    are the partitions of ``docs``: each is permuted where it lies and written
+    with the places of its rows, so that what follows reads fixed places and a
+    task that runs again gives the same rows. A null text has size 16 and the CRC
+    of no bytes. Repeated rows and ties are rows of their own; very long texts
+    count whole and do not travel; an empty table gives no rows; other columns
+    are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    key = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "doc_id", "text")
-    total = rows.count()
-    n_blocks = max(LEAST_BLOCKS, -(-total // BLOCK_ROWS))
-    block = F.pmod(key(0), F.lit(n_blocks)).cast("int")
-    counts = dict(rows.groupBy(block.alias("block")).count().collect())  # one number per block
-    sizes = [counts.get(b, 0) for b in range(n_blocks)]
-    matrix = communication_matrix(sizes, [total // shards + (s < total % shards) for s in range(shards)], seed)
-    ends = []
-    for b, row in enumerate(matrix):
-        at, cum = 0, []
-        for k in row:
-            at += k
-            cum.append(at)
-        ends.append({"block": b, "ends": cum})
-    cuts = util.literal_rows(spark, ends, "block int, ends array<bigint>")
+    bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(bytes_).cast("bigint") + 16).alias("size"), F.crc32(bytes_).alias("text_crc32"))
+    slim = slim.coalesce(MOST_BLOCKS).withColumn("_at", F.monotonically_increasing_id())
+    permuted = slim.sortWithinPartitions(F.xxhash64(F.lit(seed), F.lit(1), "_at"), "_at").drop("_at").withColumn("place", F.monotonically_increasing_id())
+    permuted = util.stored(permuted, "permuted")
+    block, rank = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))  # a place is the partition and the row's number in it
+    counts = sorted(permuted.groupBy(block.alias("block")).count().collect())  # one number per partition, MOST_BLOCKS at most
+    total = sum(n for _, n in counts)
+    matrix = communication_matrix([n for _, n in counts], [total // shards + (s < total % shards) for s in range(shards)], seed)
+    cuts = util.literal_rows(spark, [{"block": b, "ends": list(itertools.accumulate(row))} for (b, _), row in zip(counts, matrix, strict=True)], "block int, ends array<bigint>")
     n_cells = max(LEAST_CELLS, -(-total // (shards * CELL_ROWS)))
-    bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = rows.select("doc_id", (F.octet_length(bytes_).cast("bigint") + 16).alias("size"), F.crc32(bytes_).alias("text_crc32"), block.alias("block"), key(1).alias("first"), key(2).alias("second"))
-    ranked = slim.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("first", "doc_id", "text_crc32")))
-    placed = ranked.join(cuts, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("rank"))))
-    placed = util.stored(placed.select("doc_id", "size", "text_crc32", "shard", "second", F.pmod("second", F.lit(n_cells)).cast("int").alias("cell")), "shards")
-    cells = placed.groupBy("shard", "cell").count()
+    second = F.xxhash64(F.lit(seed), F.lit(2), "place")
+    placed = permuted.withColumn("block", block).join(cuts, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e <= rank)))
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", "place", second.alias("second"), F.pmod(second, F.lit(n_cells)).cast("int").alias("cell"))
+    cells = util.stored(placed.groupBy("shard", "cell").count(), "cells")
     offsets = cells.withColumn("offset", F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
     offsets = offsets.select("shard", "cell", F.coalesce("offset", F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("second", "doc_id", "text_crc32"))
+    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("second", "place"))
     return placed.withColumn("within", within).join(offsets, ["shard", "cell"]).select(
         "doc_id",
         "size",
