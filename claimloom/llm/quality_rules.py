@@ -78,9 +78,10 @@ def add_repeat_words(df: DataFrame, words: str) -> DataFrame:
     """Adds n_repeat_words: words of the array ``words`` that 3-word windows found twice or more cover.
 
     Each window is a long: a hash in the high bits, its place in the low ones.
-    Sorting brings equal windows together; the words themselves confirm. The
-    steps are operators of their own so that the sort runs in generated code on
-    primitive longs.
+    Sorting brings equal windows together; the words themselves confirm. Where
+    they do not, different windows share a hash, and the document's windows are
+    sorted by their words instead. The steps are operators of their own so that
+    the sort runs in generated code on primitive longs.
     """
     w, mask = F.col(words), F.col("_mask")
     bits = F.length(F.bin(F.size(words)))
@@ -98,8 +99,22 @@ def add_repeat_words(df: DataFrame, words: str) -> DataFrame:
         same = [F.get(w, place(i) + k) == F.get(w, place(i - 1) + k) for k in range(3)]
         return same[0] & same[1] & same[2]
 
-    twice = F.filter(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), alike), confirmed)
-    places = F.flatten(F.transform(twice, lambda i: F.array(F.get(s, i).bitwiseAND(mask), F.get(s, i - 1).bitwiseAND(mask))))
+    near = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), alike)
+
+    def by_words(_):
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, 3)).alias("x"), i.cast("bigint").alias("i")))
+
+        def of_sorted(a):
+            same = F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), lambda i: F.get(a, i)["x"] == F.get(a, i - 1)["x"])
+            return F.flatten(F.transform(same, lambda i: F.array(F.get(a, i)["i"], F.get(a, i - 1)["i"])))
+
+        return util.let(F.array_sort(each), of_sorted)
+
+    def places_of(near):
+        by_hash = F.flatten(F.transform(near, lambda i: F.array(F.get(s, i).bitwiseAND(mask), F.get(s, i - 1).bitwiseAND(mask))))
+        return F.when(F.forall(near, confirmed), by_hash).otherwise(by_words(near))
+
+    places = util.let(near, places_of)
 
     def length(p):
         steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("bigint"))))
@@ -144,13 +159,17 @@ def _own(lang_col: str, lang: str, langs: list[str]) -> Column:
     return (F.col(lang_col) == lang) | ~F.coalesce(known, F.lit(False))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
 def fit_references(measures: DataFrame, langs: list[str], lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """Mean histograms of each language over all its documents of the least length.
+    """Mean histograms of each language over all its documents that pass the base rules.
 
     Takes what :func:`measured` gives. The result has one row per language of
     ``langs``, of fixed length; languages without such documents are left out.
     """
-    m = measures.filter(F.col(lang_col).isin(langs) & (F.col("n_words") >= LEAST_WORDS))
+    m = measures.filter(F.col(lang_col).isin(langs) & ~_base_failed())
     m = m.select(F.col(lang_col).alias("lang"), F.col("_chars").alias("c"), F.coalesce(*[F.col("_words")[i] for i in range(len(langs))]).alias("w"))
     n_words = len(next(iter(COMMON.values()))) + 1
     means = [F.avg(F.col("c")[i]) for i in range(len(CLASSES))], [F.avg(F.col("w")[i]) for i in range(n_words)]
@@ -165,7 +184,8 @@ def judge(docs: DataFrame, references: dict | None = None, text_col: str = "text
     written to the shared folder once and serve both the fit and the verdicts.
     A document whose language has no reference, or is null, is held against the
     nearest one. Null and empty texts have no words and fail the base rules.
-    Columns of ``docs`` with the same names are replaced; repeated rows stay.
+    Columns of ``docs`` with the same names are replaced; repeated rows stay;
+    very long texts are taken whole; an empty table stays empty.
     """
     langs = list(COMMON)
     out = measured(docs, langs, text_col, lang_col)
@@ -179,8 +199,7 @@ def judge(docs: DataFrame, references: dict | None = None, text_col: str = "text
     own = lambda x: _own(lang_col, x, list(references))
     chars = nearest([F.when(own(x), js_distance(F.col("_chars"), r)) for i, x, r in refs("chars")])
     words = nearest([F.when(own(x), js_distance(F.col("_words")[i], r)) for i, x, r in refs("words")])
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = util.computed(out, F.struct(failed.alias("base_failed"), F.round(chars, 6).alias("char_distance"), F.round(words, 6).alias("word_distance"))).drop("_chars", "_words")
+    out = util.computed(out, F.struct(_base_failed().alias("base_failed"), F.round(chars, 6).alias("char_distance"), F.round(words, 6).alias("word_distance"))).drop("_chars", "_words")
     far = (F.col("char_distance") > char_limit) | (F.col("word_distance") > word_limit)
     return out.withColumn("kept", ~F.col("base_failed") & ~((F.col("n_words") >= guard_words) & far))
 
