@@ -52,10 +52,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
 
     ``rules`` has host, path and verdict. A rule fits its host and all
     subdomains where the URL's path starts with the rule's path; the longest
-    wins, ``block`` before ``allow`` where one expression has both. URLs that no
+    wins, of equally long ones the last in the order of the alphabet, and
+    ``block`` before ``allow`` where one expression has both. URLs that no
     rule fits get ``default``. Null and malformed URLs have an empty host and
     path and get ``default``; repeated rows come back as often as they came in;
-    further columns of either table are ignored; rules with a null are ignored.
+    further columns of either table are ignored; rules with a null are ignored;
+    very long URLs are taken whole; without rules or pages nothing fits or comes.
     """
     rules = rules.select("host", "path", "verdict").dropna()
     shape = rules.agg(
@@ -71,9 +73,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     host, path = url_parts(F.col("url"))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").alias("copies"))
     base = base.withColumns({"host": host, "path": path})
-    found = base.withColumn("e", F.explode_outer(expressions(F.col("host"), F.col("path"), sorted(shape["labels"]), sorted(shape["lengths"])) if shape["n"] else F.lit(None).cast("array<struct<h:string,p:string>>")))
-    found = found.withColumn("digest", F.sha2(F.concat_ws("\x00", "e.h", "e.p"), 256)).withColumn("digest", F.when(F.col("e").isNotNull(), F.col("digest")))
-    found = found.withColumn("short", F.substring("digest", 1, SHORT)).join(keyed, "short", "left")
+    made = expressions(F.col("host"), F.col("path"), sorted(shape["labels"]), sorted(shape["lengths"])) if shape["n"] else F.lit(None).cast("array<struct<h:string,p:string>>")
+    base = base.withColumn("all", F.coalesce(made, F.expr("cast(array() as array<struct<h:string,p:string>>)")))
+    found = base.filter(F.size("all") > 0).withColumn("e", F.explode("all")).drop("all")
+    found = found.withColumn("digest", F.sha2(F.concat_ws("\x00", "e.h", "e.p"), 256)).drop("e")
+    found = found.withColumn("short", F.substring("digest", 1, SHORT)).join(keyed, "short", "left").drop("short")
+    # pages without an expression meet no rule and stay out of the join
+    found = found.unionByName(base.filter(F.size("all") == 0).drop("all"), allowMissingColumns=True)
     fits = F.col("digest") == F.col("rule_digest")
     best = found.groupBy("id", "url").agg(
         F.first("copies").alias("copies"),
