@@ -139,24 +139,29 @@ def _count(window: int):
     def repeated(rows):
         if len(rows) < 2:
             return
-        seen: dict[bytes, int] = {}
-        cut = []
+        cut, windows = [], []
         for _, _, _, packed in rows:
             ends = np.flatnonzero(np.frombuffer(packed, dtype=np.uint8) == 32)
             ends = [*ends.tolist(), len(packed)]
             starts = [0, *[e + 1 for e in ends[:-1]]]
             own = [packed[starts[i] : ends[i + window - 1]] for i in range(len(ends) - window + 1)]
-            cut.append(own)
-            for w in own:
-                seen[w] = seen.get(w, 0) + 1
-        for (doc_id, h, first, _), own in zip(rows, cut, strict=True):
+            cut.append(len(own))
+            windows += own
+        order = sorted(range(len(windows)), key=windows.__getitem__)
+        twice = bytearray(len(windows))
+        for x, y in zip(order, order[1:], strict=False):
+            if windows[x] == windows[y]:
+                twice[x] = twice[y] = 1
+        at = 0
+        for (doc_id, h, first, _), n in zip(rows, cut, strict=True):
             run = None
-            for i, w in enumerate([*own, None]):
-                if w is not None and seen[w] > 1:
+            for i, again in enumerate([*twice[at : at + n], 0]):
+                if again:
                     run = i if run is None else run
                 elif run is not None:
                     yield doc_id, h, first + run, first + i + window - 1
                     run = None
+            at += n
 
     def run(batches):
         key, rows, out = None, [], []
@@ -207,9 +212,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = M, bucket: in
 
     A word goes if a window that covers it starts at a second place, in any
     document or the same one; all places count on the input. A null text is
-    empty. Rows that repeat id and text are places of their own. Documents
-    shorter than a window keep all words (``kept_text`` is null where nothing
-    goes). Other columns are ignored.
+    empty. Rows that repeat id and text are places of their own, under one id or
+    none. Documents shorter than a window keep all words (``kept_text`` is null
+    where nothing goes). Very long texts are taken whole; an empty table gives no
+    rows. Other columns are ignored. Windows of a bucket are compared word by
+    word; those of minimisers met more than ``bucket`` times by 128-bit digests.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
