@@ -37,7 +37,7 @@ from .substrings import _mix, gram_hashes, word_hashes
 #: Defaults of the operator and the pipeline's stage: shingles of five words, linked from a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
 #: Documents of a batch and their bytes; pieces in which a pair's overlap is counted.
-BATCH, BATCH_BYTES, PIECES = 2000, 1 << 23, 8
+BATCH, BATCH_BYTES, PIECES = 1000, 1 << 22, 8
 #: Rounds with leaders; from the second on, a group is compared in full if that gives a member no more pairs than this.
 ROUNDS, SMALL = 3, 64
 #: Owner of a shingle that several documents of a batch hold.
@@ -200,7 +200,7 @@ def _sets(shingle: int, fragments: int):
     """Rows (v, text) to one row for each batch, with its sets, and one for each fragment of it, with how many of the batch's sets hold each shingle."""
 
     def run(batches):
-        for number, b in _batches(batches, BATCH // 8, 1):
+        for number, b in _batches(batches, BATCH // 4, 1):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
             flat = np.concatenate(sets)
             tokens, counts = np.unique(flat, return_counts=True)
@@ -455,7 +455,7 @@ def _placed(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS, i
     wanted = classes.filter("open").select("v", F.col("row.doc_id").alias("_doc_id"), F.col("row.h").alias("_h"))
     held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))).select("v", "text").dropDuplicates(["v"])
     schema = "batch bigint, fragment int, tokens binary, counts binary, vs array<bigint>, sizes array<bigint>, flat binary"
-    counted = util.stored(held.mapInArrow(_sets(shingle, fragments), schema), "counted", batch=BATCH // 8)
+    counted = util.stored(held.mapInArrow(_sets(shingle, fragments), schema), "counted", batch=BATCH // 4)
     util.release(spark)
     dealt = counted.filter("fragment >= 0").select("fragment", "batch", "tokens", "counts").repartition(fragments, "fragment").sortWithinPartitions("fragment")
     df = dealt.mapInArrow(_frequencies, "batch bigint, fragment int, df binary").groupBy("batch").agg(F.collect_list(F.struct("fragment", "df")).alias("found"))
