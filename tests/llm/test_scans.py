@@ -125,6 +125,24 @@ def test_wrapped_licenses(spark):
         assert out[i][0] == x and (out[i][1] >= licenses.THRESHOLD or not x), i
 
 
+def test_licenses_lower_only_a_to_z(spark):
+    rows = [(1, "this wor\u212a is licensed under a creative commons attribution 4 0 international"), (2, "THIS WORK is licensed under a creative commons attribution 4 0 international")]
+    out = {r["doc_id"]: r["score"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), sorted({w for t, _ in licenses.TEMPLATES for w in t.split()})).collect()}
+    assert out == {1: 11 / 13, 2: 12 / 13}
+
+
+def test_a_thousand_templates(spark):
+    """The plan does not grow with the table of templates, and every template is found."""
+    rng = random.Random(31)
+    templates = [(sentence(rng, rng.randint(8, 30)), f"label{i}") for i in range(1000)]
+    rows = [(i, f"{sentence(rng, 20)}\n{' '.join(templates[i][0].split())}\n") for i in range(0, 1000, 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = lambda t: licenses.scan_licenses(df, licenses.template_order(df, t), t)._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+    assert nodes(templates) == nodes(templates[:5])
+    out = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df, licenses.template_order(df, templates), templates).collect()}
+    assert all(f"label{i}" in out[i].split(",") for i, _ in rows)
+
+
 def test_licenses_empty(empty):
     assert licenses.scan_licenses(empty, licenses.template_order(empty)).count() == 0
 
@@ -229,11 +247,23 @@ def test_shards(spark, docs, docs_rows, empty):
     assert set(sizes) == set(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
     for s in sizes:
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sizes[s]))
-    again = sharding.shuffle_into_shards(docs.repartition(13), shards=7).collect()
-    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in again if r["doc_id"] != 2) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in out if r["doc_id"] != 2)
     assert sharding.shuffle_into_shards(empty).count() == 0
 
 
+def test_shards_of_equal_rows_and_of_the_query(spark, tmp_path):
+    """A text repeated over and over spreads like any other; 40 shards, gapless slots, the same rows from the same files."""
+    rows = [(i % 3, "same") for i in range(4000)] + [(None, None), (5, "x" * 100000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.query(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["law"], r["grown_shard"]) for r in out) == Counter((i, len((t or "").encode()) + 16, "rows", None) for i, t in rows)
+    by_shard = {s: [r for r in out if r["shard"] == s] for s in range(40)}
+    assert {len(x) for x in by_shard.values()} == {100, 101} and sum(map(len, by_shard.values())) == len(rows)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by_shard.values())
+    assert all(10 < sum(r["doc_id"] == 1 for r in x) < 60 for x in by_shard.values())
+    again = sharding.query(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in again) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in out)
+
+
 def test_communication_matrix():
     blocks, shards = [5, 0, 17, 40], [16, 16, 15, 15]
     m = sharding.communication_matrix(blocks, shards, 1)
