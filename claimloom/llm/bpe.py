@@ -34,7 +34,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings by merge ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000, max_pairs: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000, max_pairs: int = 300_000):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -212,7 +212,7 @@ def decode_stream(tokens: list[bytes], ids, chunk: int = 4096):
 class Codec:
     """A pattern that splits texts, and the transducer; remembers pieces up to a bound."""
 
-    def __init__(self, ranks_data: bytes, pattern: str, max_pieces: int = 150_000):
+    def __init__(self, ranks_data: bytes, pattern: str, max_pieces: int = 300_000):
         import regex
 
         self.split = regex.compile(pattern).findall

@@ -92,7 +92,7 @@ def add_repeat_words(df: DataFrame, words: str) -> DataFrame:
     s = F.col("_packed")
 
     def alike(i):
-        return F.get(s, i).bitwiseXOR(F.get(s, i - 1)) <= mask
+        return F.get(s, i).bitwiseAND(F.bitwise_not(mask)) == F.get(s, i - 1).bitwiseAND(F.bitwise_not(mask))
 
     def confirmed(i):
         place = lambda k: F.get(s, k).bitwiseAND(mask).cast("int")
@@ -100,28 +100,25 @@ def add_repeat_words(df: DataFrame, words: str) -> DataFrame:
         return same[0] & same[1] & same[2]
 
     near = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), alike)
+    df = util.computed(df, F.struct(near.alias("_near")))
+    pairs = F.transform("_near", lambda i: F.when(confirmed(i), F.array(F.get(s, i).bitwiseAND(mask), F.get(s, i - 1).bitwiseAND(mask))))
+    df = util.computed(df, F.struct(pairs.alias("_pairs")))
 
-    def by_words(_):
-        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, 3)).alias("x"), i.cast("bigint").alias("i")))
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, 3)).alias("x"), i.cast("bigint").alias("i")))
 
-        def of_sorted(a):
-            same = F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), lambda i: F.get(a, i)["x"] == F.get(a, i - 1)["x"])
-            return F.flatten(F.transform(same, lambda i: F.array(F.get(a, i)["i"], F.get(a, i - 1)["i"])))
+    def of_sorted(a):
+        same = F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), lambda i: F.get(a, i)["x"] == F.get(a, i - 1)["x"])
+        return F.flatten(F.transform(same, lambda i: F.array(F.get(a, i)["i"], F.get(a, i - 1)["i"])))
 
-        return util.let(F.array_sort(each), of_sorted)
-
-    def places_of(near):
-        by_hash = F.flatten(F.transform(near, lambda i: F.array(F.get(s, i).bitwiseAND(mask), F.get(s, i - 1).bitwiseAND(mask))))
-        return F.when(F.forall(near, confirmed), by_hash).otherwise(by_words(near))
-
-    places = util.let(near, places_of)
+    shared = F.exists("_pairs", lambda x: x.isNull())
+    places = F.when(shared, util.let(F.array_sort(each), of_sorted)).otherwise(F.flatten("_pairs"))
 
     def length(p):
         steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("bigint"))))
         return F.aggregate(steps, F.lit(0).cast("bigint"), lambda x, y: x + y)
 
     n = F.when(F.size(words) >= 3, util.let(F.array_sort(F.array_distinct(places)), length)).otherwise(F.lit(0).cast("bigint"))
-    return util.computed(df, F.struct(n.alias("n_repeat_words"))).drop("_mask", "_packed")
+    return util.computed(df, F.struct(n.alias("n_repeat_words"))).drop("_mask", "_packed", "_near", "_pairs")
 
 
 def base_counts(text: Column, w: Column) -> dict[str, Column]:
