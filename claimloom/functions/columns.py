@@ -96,10 +96,11 @@ def consistency_status(raw: Column) -> Column:
 
 def reason_bucket(reason: Column) -> Column:
     """Refusal text without quoted specifics and tails, lower case, 72 characters at most."""
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     bare = F.regexp_replace(reason, "`[^`]*(`|$)", "")
     head = F.split_part(F.split_part(bare, F.lit(", got"), F.lit(1)), F.lit("; skipped:"), F.lit(1))
-    head = F.trim(F.regexp_replace(F.lower(F.trim(head)), r"[:\s]+$", ""))
-    return F.when(head == "", F.lower(F.trim(reason))).otherwise(F.substring(head, 1, 72))
+    head = trim(F.regexp_replace(F.lower(trim(head)), r"(?U)[:\s]+$", ""))
+    return F.when(head == "", F.lower(trim(reason))).otherwise(F.substring(head, 1, 72))
 
 
 def effect_class(kind: Column, ordering: Column, drop_kind: Column) -> Column:
@@ -107,7 +108,7 @@ def effect_class(kind: Column, ordering: Column, drop_kind: Column) -> Column:
     return (
         F.when(kind.isin("reads", "writes", "io", "panics", "unsafe"), "block")
         .when(kind == "atomic_access", F.when(ordering.isNotNull(), "informational").otherwise("memento-required"))
-        .when(kind == "drop", F.when(drop_kind == "trivial", "informational").otherwise("memento-required"))
+        .when(kind == "drop", F.when(drop_kind.isin("trivial", "structural"), "informational").otherwise("memento-required"))
         .otherwise("memento-required")
     )
 
@@ -126,8 +127,22 @@ def verifier_name(symbol: Column) -> Column:
     return F.when(at > 0, F.substring(symbol, at + 1, F.length(symbol))).otherwise(symbol)
 
 
+#: Builtin types of which any two different ones are disjoint, but for bool and int.
+BUILTINS = ["int", "str", "float", "complex", "bytes", "bytearray", "list", "tuple", "dict", "set", "frozenset", "bool", "NoneType", "type"]
+
+
 def disjoint_types(a: Column, b: Column) -> Column:
-    return (a != b) & ~(a.isin("int", "bool") & b.isin("int", "bool"))
+    """Whether no value is an instance of both; types that are not builtin may share instances."""
+    return a.isin(BUILTINS) & b.isin(BUILTINS) & (a != b) & ~(a.isin("int", "bool") & b.isin("int", "bool"))
+
+
+def is_witness_member(json: Column) -> Column:
+    return F.coalesce(F.get_json_object(member_body(json), "$.evidence.proofType") == "custom", F.lit(False))
+
+
+def is_panic_site(panic_site: Column, effect_site: Column) -> Column:
+    """The flag where it is given, else whether the effect is that of panics."""
+    return F.coalesce(panic_site, effect_site == "panic-freedom", F.lit(False))
 
 
 def residual(assert_macros: Column, discharged: Column) -> Column:

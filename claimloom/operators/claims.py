@@ -130,9 +130,20 @@ def rollup_paths(loci: DataFrame) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, by: str | None, member: str) -> DataFrame:
-    """SHA-256 twin of the set id: members sorted, duplicates kept. For bounded groups."""
-    agg = [F.sha2(F.array_join(F.array_sort(F.collect_list(member)), "\n").cast("binary"), 256).alias("digest"), F.count("*").alias("n"), F.count_distinct(member).alias("n_distinct")]
-    return (rows.groupBy(by) if by else rows.groupBy()).agg(*agg)
+    """Digest of a group's members, duplicates kept, with their number and that of distinct ones.
+
+    Two levels, so that no group comes together in one row: members fall into
+    65,536 buckets by the first digits of their SHA-256; each bucket's digest is
+    that of its sorted members with their numbers, and the group's that of the
+    bucket digests in order.
+    The exact id of a set that fits a row is ``functions.canon.set_cid``.
+    """
+    keys = [by] if by else []
+    parts = rows.filter(F.col(member).isNotNull()).groupBy(*keys, F.substring(F.sha2(F.col(member).cast("binary"), 256), 1, 4).alias("_b"), F.col(member).alias("_m")).agg(F.count("*").alias("_n"))
+    line = F.concat_ws(":", F.col("_m"), F.col("_n").cast("string"))
+    buckets = parts.groupBy(*keys, "_b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_m", line.alias("l")))), lambda x: x["l"]), "\n").cast("binary"), 256).alias("_d"), F.sum("_n").alias("_n"), F.count("*").alias("_k"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "\n").cast("binary"), 256)
+    return buckets.groupBy(*keys).agg(whole.alias("digest"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_k"), F.lit(0)).alias("n_distinct"))
 
 
 def floor_checks(signals: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -18,30 +21,41 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFrame:
-    """(start, node, depth): all nodes each start reaches, with the least depth.
+def reach(edges: DataFrame, starts: DataFrame, wide: int = 8) -> DataFrame:
+    """(start, node, depth): all nodes each start reaches, with the least depth, however deep.
 
     Only the frontier is joined in each round, against nodes seen before, so
-    cycles end; a round costs what it finds.
+    cycles end; a round costs what it finds. After every ``wide`` rounds links
+    come to span twice as many hops, so that long chains take few rounds: a round
+    over links of up to k hops finds exactly the next k depths.
     """
-    seen = _kept(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    links = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
-    for depth in range(1, limit + 1):
-        step = frontier.join(links, "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = _kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    seen = [kept(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())]
+    links = edges.filter("src is not null and dst is not null").select(F.col("src").alias("node"), "dst", F.lit(1).alias("hops")).distinct()
+    for count in itertools.count(1):
+        step = seen[-1].join(links, "node").groupBy("start", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
+        frontier = kept(step.join(reduce(DataFrame.unionByName, seen).select("start", "node"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = _kept(seen.unionByName(frontier))
-    raise RuntimeError(f"deeper than {limit}")
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(frontier)
+        if count % wide == 0:
+            further = links.select("node", F.col("dst").alias("via"), F.col("hops").alias("h")).join(links.withColumnRenamed("node", "via"), "via").select("node", "dst", (F.col("h") + F.col("hops")).alias("hops"))
+            links = kept(links.unionByName(further).groupBy("node", "dst").agg(F.min("hops").alias("hops")))
+            seen = [kept(reduce(DataFrame.unionByName, seen[:-1])), frontier]
+    raise AssertionError
+
+
+def direct(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (a, c) with ``known``: whether an edge says so itself."""
+    own = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.lit(True).alias("known")).distinct()
+    return pairs.join(own, ["a", "c"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def implies(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (a, c) with ``how``: reflexive, direct, transitive or none."""
-    direct = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.lit(True).alias("_d")).distinct()
+    own = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.lit(True).alias("_d")).distinct()
     far = reach(edges, pairs.select(F.col("a").alias("start")).distinct()).select(F.col("start").alias("a"), F.col("node").alias("c"), F.lit(True).alias("_t"))
     how = F.when(F.col("a") == F.col("c"), "reflexive").when(F.col("_d"), "direct").when(F.col("_t"), "transitive").otherwise("none")
-    return pairs.join(direct, ["a", "c"], "left").join(far, ["a", "c"], "left").select("a", "c", how.alias("how"))
+    return pairs.join(own, ["a", "c"], "left").join(far, ["a", "c"], "left").select("a", "c", how.alias("how"))
 
 
 def outlives(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,35 +64,51 @@ def outlives(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return how.select("a", "c", ((F.col("how") != "none") | (F.col("a") == "'static") | (F.col("c") == "'static")).alias("holds"))
 
 
-def propagate_effects(functions: DataFrame, callsites: DataFrame, changed: DataFrame, limit: int = 1000) -> DataFrame:
-    """One decision for each function that a changed effect reaches: halt, refuse or widen.
+def propagate_effects(functions: DataFrame, callsites: DataFrame, changed: DataFrame) -> DataFrame:
+    """One decision for each function that a changed effect reaches: halt, refuse or widen; and an error for each call site or function that is unknown.
 
-    Functions have name, admitted and forbidden (arrays); call sites have cid,
-    containing_fn, callee; changes have cid, effect. Level by level from callee
-    to callers; within a level the least call site decides. A function that
-    admits or forbids the effect ends the way; the first decision stays.
+    Functions have name, function_cid, signature_cid, forbidding_contract_cid
+    (these may be null or absent), admitted and forbidden (arrays); call sites
+    have cid, containing_fn, callee; changes have cid, effect and may have
+    dimension and seq, their order. Level by level from callee to callers; within a level the first in
+    the order of a queue decides: changes by ``seq``, callers by the order of
+    the decision that reached them, then by call site. A function that admits or
+    forbids the effect ends the way; the first decision stays.
     """
-    spots = callsites.select(F.col("cid"), F.col("containing_fn").alias("name"))
-    pending = changed.select("cid", "effect").join(spots, "cid")
-    decided = None
-    for level in range(limit):
-        first = pending.groupBy("name").agg(F.min(F.struct("cid", "effect")).alias("w"))
-        if decided is not None:
-            first = first.join(decided.select("name"), "name", "left_anti")
-        judged = first.join(functions, "name").select(
-            "name",
-            F.when(F.array_contains("admitted", F.col("w.effect")), "halt").when(F.array_contains("forbidden", F.col("w.effect")), "refuse").otherwise("widen").alias("decision"),
-            F.col("w.effect").alias("effect"),
-            F.col("w.cid").alias("trigger"),
-            F.lit(level).alias("level"),
+    given = lambda df, **types: df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
+    functions = given(functions, function_cid="string", signature_cid="string", forbidding_contract_cid="string")
+    changed = given(changed, dimension="string", seq="bigint").fillna(0, ["seq"])
+    spots = callsites.select("cid", F.col("containing_fn").alias("name"))
+    pending = kept(changed.select("cid", "dimension", "effect", F.array(F.format_string("%020d", "seq")).alias("turn")).join(spots, "cid", "left"))
+    out = None
+    for level in itertools.count():
+        first = pending.groupBy("name", F.when(F.col("name").isNull(), F.col("cid")).alias("_lost")).agg(F.min(F.struct("turn", "cid", "dimension", "effect")).alias("w"))
+        if out is not None:
+            first = first.join(out.select(F.col("name").alias("_done")), F.col("name") == F.col("_done"), "left_anti")
+        facts = functions.select(F.col("name").alias("_name"), "function_cid", "signature_cid", "forbidding_contract_cid", "admitted", "forbidden")
+        met = first.join(facts, F.col("name") == F.col("_name"), "left")
+        admits, forbids = F.array_contains("admitted", F.col("w.effect")), F.array_contains("forbidden", F.col("w.effect"))
+        decision = F.when(F.col("name").isNull(), "unknown-callsite").when(F.col("_name").isNull(), "unknown-function").when(admits, "halt").when(forbids, "refuse").otherwise("widen")
+        judged = kept(
+            met.withColumn("decision", decision).select(
+                "name",
+                "decision",
+                "function_cid",
+                F.when(F.col("decision") == "halt", F.col("signature_cid")).when(F.col("decision") == "refuse", F.coalesce("forbidding_contract_cid", "signature_cid")).alias("deciding_cid"),
+                F.when(F.col("decision") == "widen", F.col("w.dimension")).alias("dimension"),
+                F.col("w.effect").alias("effect"),
+                F.when(F.col("decision") != "halt", F.col("w.cid")).alias("trigger"),
+                F.when(F.col("decision") == "halt", "signature already admits").when(F.col("decision") == "refuse", "contract forbids widening").alias("reason"),
+                F.lit(level).alias("level"),
+                F.col("w.turn").alias("_turn"),
+            )
         )
-        judged = _kept(judged)
         if judged.isEmpty():
-            return decided if decided is not None else judged
-        decided = judged if decided is None else _kept(decided.unionByName(judged))
-        widened = judged.filter("decision = 'widen'").select(F.col("name").alias("callee"), "effect")
-        pending = callsites.filter(F.col("callee").isNotNull()).join(widened, "callee").select("cid", "effect", F.col("containing_fn").alias("name"))
-    raise RuntimeError("propagation did not end")
+            break
+        out = judged if out is None else kept(out.unionByName(judged))
+        widened = judged.filter("decision = 'widen'").select(F.col("name").alias("callee"), "dimension", "effect", "_turn")
+        pending = callsites.filter(F.col("callee").isNotNull()).join(widened, "callee").select("cid", "dimension", "effect", F.concat("_turn", F.array("cid")).alias("turn"), F.col("containing_fn").alias("name"))
+    return (judged if out is None else out).drop("_turn")
 
 
 def compose_edges(steps: DataFrame) -> DataFrame:

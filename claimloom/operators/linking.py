@@ -14,11 +14,18 @@ def name_index(contracts: DataFrame) -> DataFrame:
 
 
 def resolve(edges: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Edges with ``resolved``: the direct target if given, else kit and name of the symbol."""
+    """Edges with ``resolved``: the direct target if given, else kit and name of the symbol.
+
+    Edges with a target or without a whole symbol look nothing up, so they stay
+    out of the join and do not meet on a null key.
+    """
     kit, name = C.split_symbol(F.col("target_symbol"))
     keyed = edges.withColumns({"_kit": kit, "_name": name})
-    index = name_index(contracts).select(F.col("kit").alias("_kit"), F.col("name").alias("_name"), "resolved_cid")
-    return keyed.join(index, ["_kit", "_name"], "left").withColumn("resolved", F.coalesce("target_cid", "resolved_cid")).drop("_kit", "_name", "resolved_cid")
+    asks = F.col("target_cid").isNull() & F.col("_name").isNotNull()
+    index = name_index(contracts).select(F.col("kit").alias("_kit"), F.col("name").alias("_name"), F.col("resolved_cid").alias("resolved"))
+    looked_up = keyed.filter(asks).join(index, ["_kit", "_name"], "left")
+    given = keyed.filter(~asks).withColumn("resolved", F.col("target_cid"))
+    return looked_up.unionByName(given).drop("_kit", "_name")
 
 
 def verifier_edges(edges: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -32,11 +39,14 @@ def verifier_edges(edges: DataFrame, contracts: DataFrame) -> DataFrame:
 def obligations(edges: DataFrame, contracts: DataFrame) -> DataFrame:
     """Each edge with its outcome: the caller's post is tested before the callee's pre.
 
-    ``needs-decision`` marks implications of two different formulas.
+    ``needs-decision`` marks implications of two different formulas. Of rows that
+    share a contract id the least formula counts. Unresolved edges ask for no
+    precondition and stay out of that join.
     """
-    posts = contracts.select(F.col("contract_cid").alias("source_cid"), F.col("post").alias("source_post")).dropDuplicates(["source_cid"])
-    pres = contracts.select(F.col("contract_cid").alias("resolved"), F.col("pre").alias("target_pre")).dropDuplicates(["resolved"])
-    joined = resolve(edges, contracts).join(posts, "source_cid", "left").join(pres, "resolved", "left")
+    posts = contracts.groupBy(F.col("contract_cid").alias("source_cid")).agg(F.min("post").alias("source_post"))
+    pres = contracts.groupBy(F.col("contract_cid").alias("resolved")).agg(F.min("pre").alias("target_pre"))
+    known = resolve(edges, contracts).join(posts, "source_cid", "left")
+    joined = known.filter("resolved is not null").join(pres, "resolved", "left").unionByName(known.filter("resolved is null"), allowMissingColumns=True)
     outcome = (
         F.when(F.col("resolved").isNull(), "unresolved-symbol")
         .when(F.col("source_post").isNull(), "unprovable-obligation")
@@ -53,10 +63,29 @@ def bridges(edges: DataFrame, contracts: DataFrame) -> DataFrame:
     return out.select(F.col("resolved").alias("target_contract_cid"), F.col("source_cid").alias("source_contract_cid"), "line", F.col("target_symbol").alias("symbol"))
 
 
-def pinned(callsites: DataFrame, members: DataFrame) -> DataFrame:
-    """Call sites with ``pin``: whether the target is a member of the bundle it is pinned to."""
+def pinned(callsites: DataFrame, members: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
+    """Call sites (target_cid, pinned_bundle) with ``pin``: ok, or which of the ways a target fails.
+
+    In this order: no-target, not-a-contract (where contracts are given),
+    bundle-absent, not-a-member. A site that pins nothing is ok.
+    """
     own = members.select(F.col("bundle_cid").alias("pinned_bundle"), F.col("member_cid").alias("target_cid"), F.lit(True).alias("_in")).distinct()
-    return callsites.join(own, ["pinned_bundle", "target_cid"], "left").withColumn("pin", F.when(F.col("_in"), "ok").otherwise("not-a-member")).drop("_in")
+    bundles = members.select(F.col("bundle_cid").alias("pinned_bundle"), F.lit(True).alias("_there")).distinct()
+    out = callsites.join(own, ["pinned_bundle", "target_cid"], "left").join(bundles, "pinned_bundle", "left")
+    kind = F.lit(True)
+    if contracts is not None:
+        out = out.join(contracts.select(F.col("contract_cid").alias("target_cid"), F.lit(True).alias("_kind")).distinct(), "target_cid", "left")
+        kind = F.col("_kind")
+    missing = lambda c: F.coalesce(~c, F.lit(True))
+    pin = (
+        F.when(F.col("target_cid").isNull(), "no-target")
+        .when(missing(kind), "not-a-contract")
+        .when(F.col("pinned_bundle").isNull(), "ok")
+        .when(F.col("_there").isNull(), "bundle-absent")
+        .when(F.col("_in").isNull(), "not-a-member")
+        .otherwise("ok")
+    )
+    return out.withColumn("pin", pin).drop("_in", "_there", "_kind")
 
 
 def member_bundle(members: DataFrame) -> DataFrame:
@@ -90,9 +119,7 @@ def annotate(annotations: DataFrame, census: DataFrame) -> DataFrame:
     return a.join(c, key, "full").select(*key, "status", state.alias("state"))
 
 
-def with_universals(obligation_rows: DataFrame, universals: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Every obligation with all closed universals as one array; their number is checked."""
-    if universals.limit(limit + 1).count() > limit:
-        raise ValueError("too many universals for every row to carry")
-    one = universals.agg(F.array_sort(F.collect_set("formula")).alias("universals")).withColumn("_k", F.lit(1))
-    return obligation_rows.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+def with_universals(obligation_rows: DataFrame, universals: DataFrame) -> DataFrame:
+    """Every obligation with all closed universals as one array: one row joins all, and Spark sends it along if it is small."""
+    one = universals.agg(F.array_sort(F.collect_set("formula")).alias("universals"))
+    return obligation_rows.join(one)

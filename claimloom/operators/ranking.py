@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 
 def name_winners(contracts: DataFrame) -> DataFrame:
     """Contract for each name: one with a precondition wins, then the first loaded.
@@ -37,9 +39,20 @@ def duplicates(rows: DataFrame, keys: list[str], order: str = "load_seq") -> Dat
 
 
 def unique_names(rows: DataFrame, label: str, order: str) -> DataFrame:
-    """Adds ``unique_name``: repeats get a suffix from 2 on."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return rows.withColumn("unique_name", F.when(rank == 1, F.col(label)).otherwise(F.concat_ws("_", F.col(label), rank.cast("string"))))
+    """Adds ``unique_name``: repeats get a suffix from 2 on.
+
+    Rows are sorted over all partitions by label and order; a row's rank is its
+    place in its own piece of the label plus the pieces before, so that a label
+    that many rows have is not one task.
+    """
+    ranged = kept(rows.repartitionByRange(label, order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy(label, "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = kept(sizes.select(F.col(label).alias("_l"), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before")))
+    within = F.row_number().over(Window.partitionBy(label, "_p").orderBy(order))
+    placed = ranged.withColumn("_within", within).join(offsets, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
+    rank = F.col("_within") + F.col("_before")
+    return placed.withColumn("unique_name", F.when(rank == 1, F.col(label)).otherwise(F.concat_ws("_", F.col(label), rank.cast("string")))).select(*rows.columns, "unique_name")
 
 
 def portfolio(runs: DataFrame, by: str, consensus: bool = False) -> DataFrame:

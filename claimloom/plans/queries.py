@@ -131,11 +131,16 @@ def e6_verifier_edges(edges, contracts):
     return linking.verifier_edges(edges, contracts)
 
 
-@query("""WITH m AS (SELECT DISTINCT bundle_cid, member_cid FROM members)
-SELECT source_cid, target_cid, CASE WHEN m.member_cid IS NULL THEN 'not-a-member' ELSE 'ok' END AS pin FROM call_edges e LEFT JOIN m ON m.bundle_cid = 'b7' AND m.member_cid = e.target_cid WHERE target_cid IS NOT NULL""", "call_edges", "members")
-def e4_bundle_pin(edges, members):
-    sites = edges.filter("target_cid is not null").select("source_cid", "target_cid", F.lit("b7").alias("pinned_bundle"))
-    return linking.pinned(sites, members).select("source_cid", "target_cid", "pin")
+PINNED = "SELECT source_cid, target_cid, CASE WHEN line > 5 THEN 'b200' WHEN line <> 4 THEN concat('b', CAST(CAST(substr(source_cid, 10) AS BIGINT) % 97 AS STRING)) END AS pinned_bundle FROM call_edges"
+
+
+@query(f"""WITH e AS ({PINNED}), m AS (SELECT DISTINCT bundle_cid, member_cid FROM members), b AS (SELECT DISTINCT bundle_cid FROM members), c AS (SELECT DISTINCT contract_cid FROM contracts WHERE pre IS NOT NULL)
+SELECT source_cid, target_cid, pinned_bundle, CASE WHEN target_cid IS NULL THEN 'no-target' WHEN c.contract_cid IS NULL THEN 'not-a-contract' WHEN pinned_bundle IS NULL THEN 'ok' WHEN b.bundle_cid IS NULL THEN 'bundle-absent' WHEN m.member_cid IS NULL THEN 'not-a-member' ELSE 'ok' END AS pin
+FROM e LEFT JOIN m ON m.bundle_cid = pinned_bundle AND m.member_cid = target_cid LEFT JOIN b ON b.bundle_cid = pinned_bundle LEFT JOIN c ON c.contract_cid = target_cid""", "call_edges", "members", "contracts")
+def e4_bundle_pin(edges, members, contracts):
+    own = F.concat(F.lit("b"), (F.substring("source_cid", 10, 20).cast("bigint") % 97).cast("string"))
+    sites = edges.select("source_cid", "target_cid", F.when(F.col("line") > 5, "b200").when(F.col("line") != 4, own).alias("pinned_bundle"))
+    return linking.pinned(sites, members, contracts.filter("pre is not null")).select("source_cid", "target_cid", "pinned_bundle", "pin")
 
 
 @query("SELECT member_cid, min(bundle_cid) AS bundle_cid FROM members GROUP BY member_cid", "members")
@@ -150,35 +155,43 @@ def e10_producer_post(edges, contracts):
     return linking.producer_posts(edges.select("source_cid", F.col("target_symbol").alias("symbol")), rows, contracts).select("source_cid", "symbol", "contract_cid", "post")
 
 
-@query("""WITH s AS (SELECT file, line, target_symbol, min(source_cid) AS t FROM call_edges WHERE line = 1 GROUP BY 1, 2, 3), y AS (SELECT target_symbol, max(source_cid) AS t FROM call_edges GROUP BY 1)
+@query("""WITH s AS (SELECT file, line, target_symbol, min(source_cid) AS t FROM call_edges WHERE target_cid IS NOT NULL GROUP BY 1, 2, 3), y AS (SELECT target_symbol, max(source_cid) AS t FROM call_edges GROUP BY 1)
 SELECT e.source_cid, e.target_symbol AS symbol, e.line, coalesce(s.t, y.t) AS target FROM call_edges e LEFT JOIN s ON s.file = e.file AND s.line = e.line AND s.target_symbol = e.target_symbol LEFT JOIN y ON y.target_symbol = e.target_symbol""", "call_edges")
 def e2_scoped_bridge(edges):
-    uses = edges.select("source_cid", F.lit("b").alias("bundle_cid"), "file", "line", F.col("target_symbol").alias("symbol"))
-    by_site = ranking.first_by(uses.filter("line = 1"), ["bundle_cid", "file", "line", "symbol"], "source_cid", "source_cid").withColumnRenamed("source_cid", "target")
+    uses = edges.select("source_cid", F.lit("b").alias("bundle_cid"), "file", "line", F.col("target_symbol").alias("symbol"), "target_cid")
+    by_site = ranking.first_by(uses.filter("target_cid is not null"), ["bundle_cid", "file", "line", "symbol"], "source_cid", "source_cid").withColumnRenamed("source_cid", "target")
     by_symbol = ranking.last_by(uses, ["symbol"], "source_cid", "source_cid").withColumnRenamed("source_cid", "target")
     return linking.scoped_bridge(uses, by_site, by_symbol).select("source_cid", "symbol", "line", "target")
 
 
-@query("""WITH a AS (SELECT DISTINCT event_type AS file, user_id AS line, 'f' AS callee FROM report_rows WHERE event_id % 10 = 0), c AS (SELECT event_type AS file, user_id AS line, 'f' AS callee, min(status) AS status FROM report_rows WHERE event_id % 4 = 0 GROUP BY 1, 2)
+@query("""WITH a AS (SELECT DISTINCT event_type AS file, user_id AS line, 'f' AS callee FROM report_rows WHERE method = 'reflexive'), c AS (SELECT event_type AS file, user_id AS line, 'f' AS callee, min(status) AS status FROM report_rows WHERE row_class = 'callsite' GROUP BY 1, 2)
 SELECT coalesce(a.file, c.file) AS file, coalesce(a.line, c.line) AS line, 'f' AS callee, status, CASE WHEN c.file IS NULL THEN 'stale' WHEN a.file IS NULL THEN 'unannotated' WHEN status = 'discharged' THEN 'already-proven' ELSE 'matched' END AS state FROM a FULL JOIN c ON a.file = c.file AND a.line = c.line""", "report_rows")
 def e14_annotation_census(rows):
     place = [F.col("event_type").alias("file"), F.col("user_id").alias("line"), F.lit("f").alias("callee")]
-    annotations = rows.filter("event_id % 10 = 0").select(*place).distinct()
-    census = rows.filter("event_id % 4 = 0").groupBy(*place).agg(F.min("status").alias("status"))
+    annotations = rows.filter("method = 'reflexive'").select(*place).distinct()
+    census = rows.filter("row_class = 'callsite'").groupBy(*place).agg(F.min("status").alias("status"))
     return linking.annotate(annotations, census)
 
 
 @query("""WITH u AS (SELECT string_agg(f, ',' ORDER BY f) AS universals FROM (SELECT DISTINCT method AS f FROM report_rows WHERE method IS NOT NULL))
-SELECT source_cid, line, universals FROM call_edges, u WHERE line = 1""", "call_edges", "report_rows")
+SELECT source_cid, line, universals FROM call_edges, u""", "call_edges", "report_rows")
 def e16_ambient_universals(edges, rows):
     universals = rows.filter("method is not null").select(F.col("method").alias("formula")).distinct()
-    return linking.with_universals(edges.filter("line = 1"), universals).select("source_cid", "line", F.array_join("universals", ",").alias("universals"))
+    return linking.with_universals(edges, universals).select("source_cid", "line", F.array_join("universals", ",").alias("universals"))
+
+
+ASKED = "p AS (SELECT DISTINCT a, c FROM (SELECT src AS a, dst AS c FROM implications UNION ALL SELECT s.src, e.dst FROM implications s JOIN implications e ON e.src = s.dst UNION ALL SELECT dst, src FROM implications)), d AS (SELECT DISTINCT src, dst FROM implications)"
+
 
+def _asked(edges):
+    """Questions: every edge, its two-step successors, and its converse."""
+    two = edges.select(F.col("src").alias("a"), F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), F.col("dst").alias("c")), "via").select("a", "c")
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("c")).unionByName(two).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("c"))).distinct()
 
-@query("SELECT a.src, a.dst, b.src IS NOT NULL AS known FROM implications a LEFT JOIN (SELECT DISTINCT src, dst FROM implications WHERE src LIKE 'n%') b ON a.src = b.src AND a.dst = b.dst", "implications")
+
+@query(f"WITH {ASKED} SELECT a, c, d.src IS NOT NULL AS known FROM p LEFT JOIN d ON d.src = a AND d.dst = c", "implications")
 def e11_direct_implication(edges):
-    known = edges.filter("src like 'n%'").distinct().withColumn("known", F.lit(True))
-    return edges.join(known, ["src", "dst"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return graph.direct(_asked(edges), edges)
 
 
 @query("SELECT name, behaviour FROM claims_before WHERE behaviour IN (SELECT behaviour FROM claims_after)", "claims_before", "claims_after")
@@ -267,12 +280,16 @@ def f19_solver_telemetry(runs):
     return claims.solver_telemetry(runs)
 
 
-@query("SELECT kit, sha256(string_agg(contract_cid, chr(10) ORDER BY contract_cid)) AS digest, count(*) AS n, count(DISTINCT contract_cid) AS n_distinct FROM contracts GROUP BY kit", "contracts")
+@query("""WITH x AS (SELECT kit, contract_cid AS m, substr(sha256(contract_cid), 1, 4) AS b, count(*) AS n FROM contracts WHERE contract_cid IS NOT NULL GROUP BY ALL),
+y AS (SELECT kit, b, sha256(string_agg(concat(m, ':', n), chr(10) ORDER BY m)) AS d, sum(n) AS n, count(*) AS k FROM x GROUP BY ALL)
+SELECT kit, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS n_distinct FROM y GROUP BY kit""", "contracts")
 def f9_contract_set(contracts):
     return claims.set_digest(contracts, "kit", "contract_cid")
 
 
-@query("SELECT bundle_cid, sha256(string_agg(member_cid, chr(10) ORDER BY member_cid)) AS digest, count(*) AS n, count(DISTINCT member_cid) AS n_distinct, count(*) <> count(DISTINCT member_cid) AS rejected FROM members GROUP BY bundle_cid", "members")
+@query("""WITH x AS (SELECT bundle_cid, member_cid AS m, substr(sha256(member_cid), 1, 4) AS b, count(*) AS n FROM members WHERE member_cid IS NOT NULL GROUP BY ALL),
+y AS (SELECT bundle_cid, b, sha256(string_agg(concat(m, ':', n), chr(10) ORDER BY m)) AS d, sum(n) AS n, count(*) AS k FROM x GROUP BY ALL)
+SELECT bundle_cid, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS n_distinct, sum(n) <> sum(k) AS rejected FROM y GROUP BY bundle_cid""", "members")
 def f11_distinct_set(members):
     return claims.set_digest(members, "bundle_cid", "member_cid").withColumn("rejected", F.col("n") != F.col("n_distinct"))
 
@@ -390,27 +407,19 @@ def j1_transitive_implication(edges):
     return graph.reach(edges, edges.select(F.col("src").alias("start")).distinct()).select("start", "node")
 
 
-PAIRS = "p AS (SELECT DISTINCT s.src AS a, e.dst AS c FROM implications s JOIN implications e ON s.src LIKE 'n%' AND e.src LIKE 'n%'), d AS (SELECT DISTINCT src, dst FROM implications)"
-
-
-def _pairs(edges):
-    few = edges.filter("src like 'n%'")  # the 25 nations
-    return few.select(F.col("src").alias("a"), F.lit(1).alias("k")).join(few.select(F.col("dst").alias("c"), F.lit(1).alias("k")), "k").select("a", "c").distinct()
-
-
-@query(f"{REACH}, {PAIRS} SELECT a, c, CASE WHEN a = c THEN 'reflexive' WHEN d.src IS NOT NULL THEN 'direct' WHEN w.start IS NOT NULL THEN 'transitive' ELSE 'none' END AS how FROM p LEFT JOIN d ON d.src = a AND d.dst = c LEFT JOIN w ON w.start = a AND w.node = c", "implications")
+@query(f"{REACH}, {ASKED} SELECT a, c, CASE WHEN a = c THEN 'reflexive' WHEN d.src IS NOT NULL THEN 'direct' WHEN w.start IS NOT NULL THEN 'transitive' ELSE 'none' END AS how FROM p LEFT JOIN d ON d.src = a AND d.dst = c LEFT JOIN w ON w.start = a AND w.node = c", "implications")
 def j2_implication_ladder(edges):
-    return graph.implies(_pairs(edges), edges)
+    return graph.implies(_asked(edges), edges)
 
 
-@query(f"{REACH}, {PAIRS} SELECT a, c, a = c OR w.start IS NOT NULL AS holds FROM p LEFT JOIN w ON w.start = a AND w.node = c", "implications")
+@query(f"{REACH}, {ASKED} SELECT a, c, a = c OR w.start IS NOT NULL AS holds FROM p LEFT JOIN w ON w.start = a AND w.node = c", "implications")
 def j3_outlives(edges):
-    return graph.outlives(_pairs(edges), edges)
+    return graph.outlives(_asked(edges), edges)
 
 
-@query("SELECT a.src AS left_cid, a.dst AS right_cid, b.dst AS beyond FROM implications a JOIN implications b ON b.src = a.dst", "implications")
-def j8_edge_composition(edges):
-    return edges.select(F.col("src").alias("left_cid"), F.col("dst").alias("right_cid")).join(edges.select(F.col("src").alias("right_cid"), F.col("dst").alias("beyond")), "right_cid")
+@query("SELECT a.obligation AS path, a.step AS n, a.version AS left_cid, b.version AS right_cid FROM runs a JOIN runs b ON a.obligation = b.obligation AND b.step = a.step + 1", "runs")
+def j8_edge_composition(runs):
+    return graph.compose_edges(runs.select(F.col("obligation").alias("path"), F.col("step").alias("n"), F.col("version").alias("cid")))
 
 
 @query(None, "implications")
@@ -458,9 +467,11 @@ def e20_witness_resolution(witnesses):
     return witnesses.withColumn("rank", rank).groupBy("page_id").agg(F.max("rank").alias("rank")).select("page_id", F.get(names, F.col("rank")).alias("resolution"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (outcome = 'passed') AS passed, sha256(string_agg(body_cid, chr(10) ORDER BY body_cid)) AS digest FROM witnesses", "witnesses")
+@query("""WITH x AS (SELECT body_cid AS m, substr(sha256(body_cid), 1, 4) AS b, count(*) AS n FROM witnesses WHERE body_cid IS NOT NULL GROUP BY ALL),
+y AS (SELECT b, sha256(string_agg(concat(m, ':', n), chr(10) ORDER BY m)) AS d, sum(n) AS n, count(*) AS k FROM x GROUP BY ALL)
+SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS n_distinct, (SELECT count(*) FILTER (outcome = 'passed') FROM witnesses) AS passed FROM y""", "witnesses")
 def f23_witness_package(witnesses):
-    return claims.set_digest(witnesses, None, "body_cid").join(witnesses.agg(F.count_if(F.col("outcome") == "passed").alias("passed"))).select("n", "passed", "digest")
+    return claims.set_digest(witnesses, None, "body_cid").join(witnesses.agg(F.count_if(F.col("outcome") == "passed").alias("passed"))).select("n", "n_distinct", "passed", "digest")
 
 
 LEDGER = "SELECT count(*) AS assert_macros, count(*) FILTER (state = 'discharged') AS discharged"
@@ -473,9 +484,9 @@ def _ledger(rows):
     return one.withColumns({c: null for c in diff.AXIS} | {"assertion_multiset_cid": F.lit(None).cast("string")})
 
 
-@query(f"WITH b AS ({LEDGER} FROM ledger WHERE file <> 'src3'), a AS ({LEDGER} FROM ledger) SELECT b.assert_macros - b.discharged AS before_residual, a.assert_macros - a.discharged AS after_residual, a.assert_macros - a.discharged <= b.assert_macros - b.discharged AS ok FROM a, b", "ledger")
+@query(f"WITH b AS ({LEDGER} FROM ledger WHERE state <> 'unclassified'), a AS ({LEDGER} FROM ledger) SELECT b.assert_macros - b.discharged AS before_residual, a.assert_macros - a.discharged AS after_residual, a.assert_macros - a.discharged <= b.assert_macros - b.discharged AS ok FROM a, b", "ledger")
 def m2_residual_gate(ledger):
-    return diff.residual_gate(_ledger(ledger.filter("file <> 'src3'")), _ledger(ledger))
+    return diff.residual_gate(_ledger(ledger.filter("state <> 'unclassified'")), _ledger(ledger))
 
 
 @query("""WITH s AS (SELECT count(*) FILTER (status = 'undecidable') AS silently_dropped, count(*) FILTER (panic_site AND status = 'discharged' AND method IS DISTINCT FROM 'panic-safe') AS false_pass, 0 AS dropped_sites, count(*) FILTER (method IS NULL) AS unnamed, count(*) AS n FROM report_rows)
@@ -535,17 +546,18 @@ def c40_d4_k5_readable_formulas(loci):
 
 @query("SELECT event_id, lower(concat('cannot read ', event_type)) AS bucket FROM report_rows", "report_rows")
 def c45_reason_bucket(rows):
-    reason = F.concat(F.lit("Cannot read "), F.col("event_type"), F.lit("`x.y`: , got "), F.col("status"))
+    reason = F.concat(F.lit("\t\u00a0Cannot read "), F.col("event_type"), F.lit("`x.y`:\n , got "), F.col("status"))
     return rows.select("event_id", C.reason_bucket(reason).alias("bucket"))
 
 
 KINDS = ["reads", "io", "atomic_access", "drop", "opaque_loop", "panics", "early_return"]
 
 
-@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'block' WHEN 1 THEN 'block' WHEN 5 THEN 'block' WHEN 2 THEN CASE WHEN method IS NULL THEN 'memento-required' ELSE 'informational' END ELSE 'memento-required' END AS class FROM report_rows", "report_rows")
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'block' WHEN 1 THEN 'block' WHEN 5 THEN 'block' WHEN 2 THEN CASE WHEN method IS NULL THEN 'memento-required' ELSE 'informational' END WHEN 3 THEN CASE WHEN status IN ('discharged', 'refused') THEN 'informational' ELSE 'memento-required' END ELSE 'memento-required' END AS class FROM report_rows", "report_rows")
 def c47_effect_class(rows):
     kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 7).cast("int"))
-    return rows.select("event_id", C.effect_class(kind, F.col("method"), F.col("status")).alias("class"))
+    drop = F.when(F.col("status") == "discharged", "trivial").when(F.col("status") == "refused", "structural").otherwise("custom")
+    return rows.select("event_id", C.effect_class(kind, F.col("method"), drop).alias("class"))
 
 
 @query("""WITH c AS (SELECT CASE event_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'lossy' WHEN 2 THEN 'gap' ELSE 'odd' END AS verdict, event_id % 3 = 0 AS witness, event_id % 5 = 0 AS loss, event_id % 2 = 0 AS gap FROM report_rows)

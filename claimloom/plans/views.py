@@ -1,6 +1,6 @@
 """Claim-shaped views over the star-schema tables.
 
-Each view is one SQL text that Spark and DuckDB both read, but for ``TWIN_ONLY``;
+Each view is one SQL text that Spark and DuckDB both read;
 ``{sha}`` stands for the engine's SHA-256 of a column.
 """
 
@@ -11,8 +11,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    "claims_before": "SELECT concat(source, ':', CAST(doc_id AS STRING)) AS name, {sha:text} AS behaviour FROM documents WHERE doc_id % 10 <> 0",
-    "claims_after": "SELECT concat(source, ':', CAST(doc_id AS STRING), CASE WHEN doc_id % 10 = 2 THEN ':v2' ELSE '' END) AS name, {sha:text} AS behaviour FROM documents WHERE doc_id % 10 <> 1",
+    "claims_before": "SELECT concat(source, ':', CAST(doc_id AS STRING)) AS name, {sha:text} AS behaviour FROM documents",
+    "claims_after": """
+        SELECT concat(source, ':', CAST(doc_id AS STRING), CASE WHEN lang = 'de' THEN ':v2' ELSE '' END) AS name, {sha:body} AS behaviour
+        FROM (SELECT doc_id, source, lang, CASE WHEN lang = 'fr' THEN concat(text, '.') ELSE text END AS body FROM documents) d""",
     "contracts": """
         SELECT 'part' AS kit, CAST(p_partkey AS STRING) AS name, concat('c:part:', CAST(p_partkey AS STRING)) AS contract_cid, CASE WHEN p_size > 25 THEN 'size>25' END AS pre, CASE WHEN p_size % 2 = 0 THEN 'ok' END AS post, p_partkey AS load_seq FROM part
         UNION ALL SELECT 'supplier', CAST(s_suppkey AS STRING), concat('c:supplier:', CAST(s_suppkey AS STRING)), CASE WHEN s_acctbal < 2000 THEN 'solvent' END, 'ok', s_suppkey FROM supplier
@@ -34,7 +36,12 @@ VIEWS = {
     "implications": """
         SELECT concat('n', CAST(n_nationkey AS STRING)) AS src, concat('r', CAST(n_regionkey AS STRING)) AS dst FROM nation
         UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), concat('n', CAST((r_regionkey * 5 + 1) % 25 AS STRING)) FROM region
-        UNION ALL SELECT concat('t', CAST(conv_id AS STRING), ':', CAST(turn AS STRING)), concat('t', CAST(conv_id AS STRING), ':', CAST(turn + 1 AS STRING)) FROM conversations WHERE conv_id < 200""",
+        UNION ALL SELECT concat('t', CAST(conv_id AS STRING), ':', CAST(turn AS STRING)), concat('t', CAST(conv_id AS STRING), ':', CAST(turn + 1 AS STRING)) FROM conversations""",
+    "pool": """
+        SELECT p_partkey AS load_seq, concat('c:part:', CAST(p_partkey AS STRING)) AS cid, concat('{"header":{"kind":"', CASE WHEN p_size % 4 = 0 THEN 'bridge' ELSE 'contract' END,
+          CASE WHEN p_size % 6 = 1 THEN '","contractName":"' ELSE '","name":"' END, p_brand, '","invVerification":"', CASE WHEN p_size % 3 = 0 THEN 'obligation' ELSE 'assertion' END,
+          '","inv":', CASE WHEN p_size % 5 = 0 THEN '"text"' ELSE concat('{"kind":"atomic","name":"<","args":[{"kind":"var","name":"x"},{"kind":"const","value":', CAST(p_size AS STRING), '}]}') END,
+          CASE WHEN p_size % 7 = 0 THEN ',"evidence":{"proofType":"custom"}' ELSE '' END, '}}') AS body FROM part""",
     "ledger": """
         SELECT d.source AS file, CASE WHEN l.quality IS NULL THEN 'unclassified' WHEN l.toxic = 1 THEN 'refused' WHEN l.quality = 1 THEN 'discharged' ELSE 'other' END AS state
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
@@ -47,20 +54,17 @@ VIEWS = {
     "evidence": "SELECT user_id, CASE WHEN event_id % 29 = 0 THEN 'refuse' WHEN event_id % 6 = 0 THEN 'lossy' ELSE 'exact' END AS verdict, event_type AS dimension, concat('d', CAST(event_id % 4 AS STRING)) AS formula FROM events",
     "loci": "SELECT concat('s', CAST(p_size AS STRING)) AS file, CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE concat(p_brand, '.', replace(p_type, ' ', '.')) END AS path, p_brand AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'warranted' ELSE 'refused' END AS status FROM part",
 }
-#: Row filters of the twins' text that Spark does not apply: queries take all rows.
-TWIN_ONLY = {"implications": " WHERE conv_id < 200"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def text(name: str, engine: str) -> str:
     form = "sha2({}, 256)" if engine == "spark" else "sha256({})"
-    sql = VIEWS[name].replace(TWIN_ONLY[name], "") if engine == "spark" and name in TWIN_ONLY else VIEWS[name]
-    return re.sub(r"\{sha:(\w+)\}", lambda m: form.format(m[1]), sql)
+    return re.sub(r"\{sha:(\w+)\}", lambda m: form.format(m[1]), VIEWS[name])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only the tables it names are read."""
-    sql = text(name, "spark")
+    sql = text(name, "spark").replace("{", "{{").replace("}", "}}")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)

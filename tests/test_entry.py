@@ -17,5 +17,5 @@ def test_with_and_without_documents(tmp_path):
     shutil.copytree(ROOT / "claimloom", tmp_path / "claimloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     assert run(tmp_path).split()[1] == "False"
-    if (ROOT / "corpus_pipeline.py").exists():
+    if (ROOT / "claimloom" / "llm" / "registry.py").exists():
         assert run(ROOT).split()[1] == "True"
