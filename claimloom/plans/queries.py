@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs
-from ..operators import algebra, claims, diff, gates, graph, linking, ranking
+from ..operators import algebra, claims, diff, gates, graph, linking, pool, ranking
 from ..sources import sinks
 from .views import view, with_views
 
@@ -609,6 +609,141 @@ def a4_b1_bundle_round_trip(loci):
     found = bundles.select(F.col("name").alias("path"), "content", F.col("bundle_cid").alias("expected")).mapInPandas(udfs.explode_members, "path string, bundle_cid string, member_cid string, body string, error string")
     return found.groupBy(F.col("path").alias("name")).agg(F.count("member_cid").alias("members"), F.count("error").cast("int").alias("errors"))
 
+POOL = """m AS (SELECT cid, load_seq, body->>'$.header.kind' AS kind, coalesce(body->>'$.header.contractName', body->>'$.header.name') AS name, body->'$.header.inv' AS inv, body->>'$.header.invVerification' AS how, body->>'$.header.evidence.proofType' AS proof FROM pool)"""
+
+
+@query(f"WITH {POOL} SELECT cid, name, CASE WHEN json_type(inv) = 'OBJECT' THEN CAST(inv AS VARCHAR) ELSE inv->>'$' END AS inv, load_seq FROM m WHERE kind = 'contract'", "pool")
+def d1_c7_c9_c16_pool_contracts(members):
+    return pool.contracts(members).select("cid", "name", "inv", "load_seq")
+
+
+@query(f"WITH {POOL} SELECT cid AS property_cid, name AS property_name, CAST(inv AS VARCHAR) AS formula FROM m WHERE kind = 'contract' AND how = 'obligation' AND json_type(inv) = 'OBJECT'", "pool")
+def d14_direct_formula_claims(members):
+    return pool.direct_formula_claims(members)
+
+
+@query(f"WITH {POOL} SELECT cid, kind FROM m WHERE proof = 'custom'", "pool")
+def d3_witness_members(members):
+    return pool.witness_members(members).select("cid", C.member_kind(F.col("body")).alias("kind"))
+
+
+@query(f"WITH {POOL} SELECT count(*) FILTER (proof = 'custom') > 0 AS has_witnesses FROM m", "pool")
+def d11_has_witnesses(members):
+    return pool.has_witnesses(members)
+
+
+@query("SELECT event_id, coalesce(CASE WHEN user_id % 3 > 0 THEN panic_site END, CASE WHEN method = 'vacuous' THEN true WHEN method IS NOT NULL THEN false END, false) AS panic FROM report_rows", "report_rows")
+def d6_panic_sites(rows):
+    effect = F.when(F.col("method") == "vacuous", "panic-freedom").when(F.col("method").isNotNull(), "io")
+    return rows.select("event_id", C.is_panic_site(F.when(F.col("user_id") % 3 > 0, F.col("panic_site")), effect).alias("panic"))
+
+
+@query("""WITH f AS (SELECT behaviour, arg_min(name, name) AS name FROM claims_after GROUP BY behaviour)
+SELECT b.name AS asked, f.name AS cid, a.behaviour AS body FROM claims_before b LEFT JOIN f ON f.behaviour = b.behaviour LEFT JOIN claims_after a ON a.name = f.name""", "claims_before", "claims_after")
+def d9_member_by_formula(before, after):
+    facts = after.select(F.col("behaviour").alias("formula_cid"), F.col("name").alias("cid"), F.col("name").alias("load_seq"))
+    asked = before.select(F.col("name").alias("asked"), F.col("behaviour").alias("formula_cid"))
+    return pool.by_formula(asked, facts, after.select(F.col("name").alias("cid"), F.col("behaviour").alias("body"))).select("asked", "cid", "body")
+
+
+@query("""WITH l AS (SELECT target_symbol AS callee, target_cid AS arg_term, min(source_cid) AS locus FROM call_edges WHERE target_cid IS NOT NULL GROUP BY 1, 2)
+SELECT e.source_cid, e.line, l.locus FROM call_edges e LEFT JOIN l ON l.callee = e.target_symbol AND l.arg_term = e.target_cid""", "call_edges")
+def e3_panic_loci(edges):
+    rows = edges.withColumnsRenamed({"target_symbol": "callee", "target_cid": "arg_term"})
+    return pool.panic_loci(rows, rows.select("callee", "arg_term", F.col("source_cid").alias("locus"), F.col("source_cid").alias("load_seq"))).select("source_cid", "line", "locus")
+
+
+@query("""WITH s AS (SELECT kind, list(DISTINCT path) AS g FROM loci WHERE status = 'warranted' GROUP BY kind),
+r AS (SELECT l.file, l.path, l.kind, l.status, CASE WHEN length(l.file) = 2 THEN 'unknown-class' WHEN l.status = 'refused' AND length(l.path) % 5 = 0 THEN 'guarded' WHEN s.g IS NULL THEN 'no-shape' WHEN list_contains(s.g, l.path) THEN 'guaranteed' ELSE 'not-guaranteed' END AS reason FROM loci l LEFT JOIN s ON s.kind = l.kind)
+SELECT file, path, reason, CASE WHEN reason IN ('guarded', 'guaranteed') THEN 'discharged' ELSE 'unproven' END AS status FROM r""", "loci")
+def e15_attribute_safety(loci):
+    own = F.when((F.col("status") == "refused") & (F.length("path") % 5 == 0), F.array("path")).otherwise(F.expr("cast(array() as array<string>)"))
+    sites = loci.select("file", F.when(F.length("file") == 2, "").otherwise(F.col("kind")).alias("receiver_class"), F.col("path").alias("attribute"), own.alias("guards"))
+    shapes = loci.filter("status = 'warranted'").select(F.col("kind").alias("class_name"), F.col("path").alias("attribute"))
+    return pool.attribute_safety(sites, shapes).select("file", F.col("attribute").alias("path"), "reason", "status")
+
+
+@query("""WITH l AS (SELECT event_type AS shape, min(verdict) AS status FROM (SELECT dimension AS event_type, verdict FROM evidence WHERE verdict <> 'exact') GROUP BY 1), c AS (SELECT event_type AS shape, count(*) AS n FROM report_rows GROUP BY 1 UNION ALL SELECT 'new-shape', count(*) FROM report_rows),
+r AS (SELECT coalesce(l.status, 'unknown') AS status, sum(c.n) AS n FROM c LEFT JOIN l USING (shape) GROUP BY 1) SELECT status, CAST(n AS BIGINT) AS n, round(100 * n / (SELECT greatest(sum(n), 1) FROM r), 2) AS pct FROM r""", "report_rows", "evidence")
+def e19_census_report(rows, evidence):
+    census = rows.groupBy(F.col("event_type").alias("shape")).agg(F.count("*").alias("count")).unionByName(rows.agg(F.lit("new-shape").alias("shape"), F.count("*").alias("count")))
+    return pool.census_report(census, evidence.filter("verdict <> 'exact'").select(F.col("dimension").alias("shape"), F.col("verdict").alias("status")))
+
+
+@query("SELECT DISTINCT path AS shape FROM loci WHERE path NOT IN (SELECT path FROM loci WHERE status = 'warranted') ORDER BY 1", "loci")
+def i6_ledger_totality(loci):
+    return pool.unaccounted(loci.select(F.col("path").alias("shape")), loci.filter("status = 'warranted'").select(F.col("path").alias("shape")))
+
+
+@query("SELECT CAST(coalesce(sum(wall_ms), 0) AS BIGINT) AS wall_ms, CAST(coalesce(sum(step), 0) AS BIGINT) AS step FROM runs", "runs")
+def f24_ledger_recompute(runs):
+    return pool.ledger_totals(runs, ["wall_ms", "step"])
+
+
+@query("SELECT contract_cid, kit FROM contracts WHERE contract_cid IN (SELECT target_cid FROM call_edges WHERE target_cid IS NOT NULL)", "contracts", "call_edges")
+def e17_report_mementos(contracts, edges):
+    mementos = contracts.select("contract_cid", "kit", F.col("contract_cid").alias("group"))
+    return pool.report_mementos(mementos, edges.filter("target_cid is not null").select(F.col("target_cid").alias("group"))).select("contract_cid", "kit")
+
+
+@query("SELECT concat(kind, chr(9), path, chr(9), file, chr(9), status) AS line FROM loci ORDER BY line", "loci")
+def f13_dependency_lines(loci):
+    return pool.dependency_lines(loci.select(F.col("kind").alias("name"), F.col("path").alias("version"), F.col("file").alias("source"), F.col("status").alias("checksum")))
+
+
+@query("SELECT event_type AS file, user_id AS line, coalesce(method, '') AS callee, status AS reason, event_id FROM report_rows ORDER BY 1, 2, 3, 4", "report_rows")
+def h3_site_order(rows):
+    return pool.in_site_order(rows.select(F.col("event_type").alias("file"), F.col("user_id").alias("line"), F.coalesce("method", F.lit("")).alias("callee"), F.col("status").alias("reason"), "event_id"))
+
+
+@query("""SELECT contract_cid, concat('{"kind":"bridge","name":"call:', kit, ':', name, '","schemaVersion":"1","sourceContractCid":"', contract_cid, '","sourceLayer":"', kit, '","sourceSymbol":"', name, '","target":{"cid":"', contract_cid, '","kind":"contract"},"targetContractCid":"', contract_cid, '","targetLayer":"table"}') AS body FROM contracts""", "contracts")
+def k14_bridge_bodies(contracts):
+    calls = contracts.select("contract_cid", F.lit("call").alias("verb"), F.col("name").alias("function"), F.col("kit").alias("source_layer"), F.lit("table").alias("target_layer"), F.col("contract_cid").alias("target_cid"))
+    return pool.bridge_bodies(calls).select("contract_cid", "body")
+
+
+@query("""SELECT contract_cid, concat('{"contractName":"call-callsite:', name, '",', CASE WHEN post IS NULL THEN '' ELSE concat('"op_cid":"', post, '",') END, '"post":{"args":[{"args":[{"kind":"var","name":"x"},{"kind":"var","name":"', kit, '"}],"kind":"ctor","name":"', name, '"}],"kind":"atomic"}}') AS body FROM contracts""", "contracts")
+def k15_implication_bodies(contracts):
+    calls = contracts.select("contract_cid", F.lit("call").alias("verb"), F.col("name").alias("function"), F.array(F.lit("x"), F.col("kit")).alias("params"), F.col("post").alias("op_cid"))
+    return pool.implication_bodies(calls).select("contract_cid", "body")
+
+
+@query("""WITH f AS (SELECT obligation, count(*) AS n, count(*) FILTER (verdict = 'unsatisfied') AS failed, min(CASE WHEN verdict = 'unsatisfied' THEN version END) AS first_failed FROM runs GROUP BY 1),
+r AS (SELECT o.name AS property, CASE WHEN o.post IS NOT NULL THEN o.name END AS package, f.first_failed, CASE WHEN o.post IS NULL THEN 'no-package' WHEN f.n IS NULL THEN 'unresolved' WHEN f.n <> 4 THEN 'count-differs' WHEN f.failed > 0 THEN 'failed-outcomes' ELSE 'all-passed' END AS reason FROM contracts o LEFT JOIN f ON f.obligation = o.name AND o.post IS NOT NULL)
+SELECT property, package, reason, first_failed, CASE reason WHEN 'all-passed' THEN 'discharged' WHEN 'no-package' THEN 'undecidable' ELSE 'unsatisfied' END AS verdict FROM r""", "contracts", "runs")
+def l10_witness_discharge(contracts, runs):
+    asked = contracts.select(F.col("name").alias("property"), F.when(F.col("post").isNotNull(), F.col("name")).alias("package"), F.lit(4).alias("claimed"))
+    return pool.witness_discharge(asked, runs.select(F.col("obligation").alias("package"), F.col("version").alias("test"), (F.col("verdict") != "unsatisfied").alias("passed")))
+
+
+@query("""WITH c AS (SELECT behaviour AS post_hash, name AS pre_hash, min(name) AS cached FROM claims_after WHERE NOT ends_with(name, ':v2') GROUP BY 1, 2)
+SELECT b.name, c.cached FROM claims_before b LEFT JOIN c ON c.post_hash = b.behaviour AND c.pre_hash = b.name""", "claims_before", "claims_after")
+def e12_cached_implications(before, after):
+    cache = after.select(F.col("behaviour").alias("post_hash"), F.col("name").alias("pre_hash"), F.col("name").alias("cid"), (~F.col("name").endswith(":v2")).alias("valid"))
+    return pool.cached_implications(before.select(F.col("behaviour").alias("post_hash"), F.col("name").alias("pre_hash"), "name"), cache).select("name", "cached")
+
+
+@query("SELECT event_type AS file, user_id AS line, row_class AS callee, arg_min(status, event_id) AS category, CAST(NULL AS VARCHAR) AS error FROM report_rows GROUP BY 1, 2, 3", "report_rows")
+def e24_annotations(rows):
+    return pool.annotations(rows.select(F.col("event_type").alias("file"), F.col("user_id").alias("line"), F.col("row_class").alias("callee"), F.col("status").alias("category"), F.col("event_id").alias("load_seq"), F.lit(None).cast("string").alias("error")))
+
+
+@query("""WITH d AS (SELECT name, load_seq AS pos, CASE WHEN kit = 'part' THEN pre END AS pre, CASE WHEN kit = 'part' THEN post END AS post, coalesce(pre, post) AS inv FROM contracts),
+f AS (SELECT name, inv, min(pos) AS pos FROM d WHERE pre IS NULL AND post IS NULL AND inv IS NOT NULL GROUP BY 1, 2)
+SELECT name, min(pos) AS pos, CAST(NULL AS VARCHAR) AS pre, CAST(NULL AS VARCHAR) AS post, list(inv ORDER BY pos, inv) AS invs FROM f GROUP BY name
+UNION ALL SELECT name, pos, pre, post, CASE WHEN inv IS NULL THEN [] ELSE [inv] END FROM d WHERE NOT (pre IS NULL AND post IS NULL AND inv IS NOT NULL)""", "contracts")
+def f2_coalesced_declarations(contracts):
+    own = F.col("kit") == "part"
+    return pool.coalesce_declarations(contracts.select("name", F.col("load_seq").alias("pos"), F.when(own, F.col("pre")).alias("pre"), F.when(own, F.col("post")).alias("post"), F.coalesce("pre", "post").alias("inv")))
+
+
+@query("SELECT DISTINCT path AS cid, CASE WHEN length(path) % 2 = 0 THEN 'discharged' ELSE 'unsatisfied' END AS verdict, CASE WHEN length(path) % 2 = 0 THEN 'solver-substantive' END AS method FROM loci", "loci")
+def l2_self_posts(loci):
+    const = lambda v: F.concat(F.lit('{"kind":"const","value":'), v.cast("string"), F.lit("}"))
+    atom = lambda op, v: F.concat(F.lit('{"kind":"atomic","name":"' + op + '","args":[{"kind":"var","name":"result"},'), const(v), F.lit("]}"))
+    post = F.concat(F.lit('{"kind":"and","operands":['), atom("=", F.length("path") % 2), F.lit(","), atom("<", F.lit(1)), F.lit("]}"))
+    return pool.self_posts(loci.select(F.col("path").alias("cid"), post.alias("post")).distinct(), algebra.ground_solver)
+
 
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)

@@ -180,3 +180,17 @@ def test_ground_values():
     with pytest.raises(smt.Refused):
         smt.derive_query(tree, {})
     assert smt.disjoint_types("int", "str") and not smt.disjoint_types("int", "bool") and not smt.disjoint_types("int", "Foo")
+
+
+@pytest.mark.parametrize("pattern", ["(?i)abc", "(?P<n>x)", "a*+", "a*?", r"\\bfoo", r"(a)\\1", "(?>ab)", "(?<=a)b", "[a", "(ab", r"[\\D]x[\\Wa]"])
+def test_patterns_that_are_refused(pattern):
+    with pytest.raises(smt.Refused):
+        smt.reglan(pattern.replace("\\\\", "\\"))
+
+
+def test_patterns():
+    assert smt.reglan(".") == '(re.inter re.allchar (re.comp (str.to_re "\\u{a}")))'
+    assert smt.reglan("^ab$") == smt.reglan("ab") and smt.reglan("^a|b$") == smt.reglan("a|b")
+    assert smt.reglan(r"\D") == '(re.diff re.allchar (re.range "0" "9"))' and "re.union" in smt.reglan(r"\s")
+    assert smt.reglan("[+?]+") == '(re.+ (re.union (str.to_re "+") (str.to_re "?")))'
+    assert smt.disjoint_types("bytearray", "type") and not smt.disjoint_types("Animal", "Dog")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import bundle, canon, columns, crypto, udfs
 from claimloom.functions.formula import atom, const, var
 from claimloom.frontends import python_source as py
-from claimloom.operators import algebra, claims, diff, gates, graph, linking
+from claimloom.operators import algebra, claims, diff, gates, graph, linking, pool, ranking
 from claimloom.sources import bundles, sinks
 from claimloom.streaming import relink
 
@@ -79,6 +79,47 @@ def test_reach_with_cycle(spark):
     assert {(r["a"], r["c"]) for r in graph.outlives(pairs, edges).filter("holds").collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("'static", "q")}
 
 
+def test_reach_over_a_long_chain(spark):
+    edges = frame(spark, [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("n300", "n7")], "src string, dst string")
+    out = graph.reach(edges, frame(spark, [("n0",), ("n290",)], "start string"))
+    got = {(r["start"], r["node"]): r["depth"] for r in out.collect()}
+    want = {("n0", f"n{i}"): i for i in range(301)} | {("n290", f"n{i}"): i - 290 if i >= 290 else 11 + i - 7 for i in range(7, 301)}
+    assert got == want
+
+
+def test_unknown_functions_and_call_sites_are_errors(spark):
+    functions = frame(spark, [("f", "cf", "sf", None, [], []), ("g", "cg", "sg", "k", [], ["io"]), ("h", "ch", "sh", None, ["io"], [])], "name string, function_cid string, signature_cid string, forbidding_contract_cid string, admitted array<string>, forbidden array<string>")
+    sites = frame(spark, [("a", "f", None), ("b", "g", "f"), ("c", "lost", "f"), ("d", "h", "f"), ("e", "f", None)], "cid string, containing_fn string, callee string")
+    changed = frame(spark, [("e", "dim", "io", 1), ("a", None, "io", 2), ("gone", None, "io", 3)], "cid string, dimension string, effect string, seq bigint")
+    out = {r["name"] or r["trigger"]: (r["decision"], r["trigger"], r["dimension"], r["deciding_cid"]) for r in graph.propagate_effects(functions, sites, changed).collect()}
+    assert out == {"f": ("widen", "e", "dim", None), "g": ("refuse", "b", None, "k"), "h": ("halt", None, None, "sh"), "lost": ("unknown-function", "c", None, None), "gone": ("unknown-callsite", "gone", None, None)}
+
+
+def test_all_rules_are_read(spark, tmp_path):
+    (tmp_path / "r.json").write_text("[" + ",".join(f'{{"op":"o{i}","params":["x"],"template":"{{\\"kind\\":\\"var\\"}}"}}' for i in range(10_001)) + "]")
+    assert len(bundles.rules(spark, str(tmp_path))) == 10_001
+
+
+def test_unique_names_of_one_label(spark):
+    rows = frame(spark, [("hot", i) for i in range(500)] + [("cold", 1), (None, 1), (None, 2)], "label string, at int")
+    out = ranking.unique_names(rows.repartition(7), "label", "at").collect()
+    assert sorted(r["unique_name"] for r in out if r["label"] == "hot") == sorted(["hot"] + [f"hot_{i}" for i in range(2, 501)])
+    assert {r["at"]: r["unique_name"] for r in out if r["label"] == "hot"}[41] == "hot_42" and [r["unique_name"] for r in out if r["label"] == "cold"] == ["cold"]
+
+
+def test_pinned_targets(spark):
+    sites = frame(spark, [(None, "b"), ("x", "b"), ("c", None), ("c", "no"), ("c", "b2"), ("c", "b")], "target_cid string, pinned_bundle string")
+    members = frame(spark, [("b", "c"), ("b2", "d"), ("b", "x")], "bundle_cid string, member_cid string")
+    out = linking.pinned(sites, members, frame(spark, [("c",)], "contract_cid string")).collect()
+    assert {(r["target_cid"], r["pinned_bundle"]): r["pin"] for r in out} == {(None, "b"): "no-target", ("x", "b"): "not-a-contract", ("c", None): "ok", ("c", "no"): "bundle-absent", ("c", "b2"): "not-a-member", ("c", "b"): "ok"}
+
+
+def test_annotations_with_an_error(spark):
+    rows = frame(spark, [("f", 1, "c", "panic", 2, None), ("f", 1, "c", "io", 1, None), ("g", 2, "c", None, 3, "broken")], "file string, line int, callee string, category string, load_seq int, error string")
+    assert [tuple(r) for r in pool.annotations(rows.filter("error is null")).collect()] == [("f", 1, "c", "io", None)]
+    assert [tuple(r) for r in pool.annotations(rows).collect()] == [("g", 2, "c", None, "broken")]
+
+
 def test_linking_is_partition_invariant(spark):
     contracts = frame(spark, [("k", "f", "c:f", "p", None), ("k", "g", "c:g", None, "p")], "kit string, name string, contract_cid string, pre string, post string")
     edges = frame(spark, [("c:g", None, "k:f", 1), ("c:f", None, "k:g", 2), ("c:g", None, "k:no", 3), ("c:g", "c:g", "k:f", 4)], "source_cid string, target_cid string, target_symbol string, line long")
