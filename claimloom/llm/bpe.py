@@ -34,7 +34,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings by merge ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000, max_pairs: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000, max_pairs: int = 500_000):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -212,11 +212,11 @@ def decode_stream(tokens: list[bytes], ids, chunk: int = 4096):
 class Codec:
     """A pattern that splits texts, and the transducer; remembers pieces up to a bound."""
 
-    def __init__(self, ranks_data: bytes, pattern: str, max_pieces: int = 300_000):
+    def __init__(self, ranks_data: bytes, pattern: str, max_pieces: int = 400_000):
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(load_ranks(ranks_data))
+        self.transducer = Transducer(load_ranks(ranks_data), max_pairs=max_pieces)
         self.max_pieces = max_pieces
         self.pieces: dict[str, bytes] = {}
 
@@ -243,26 +243,27 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(ranks_data: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary and process."""
-    key = hashlib.sha256(ranks_data + pattern.encode()).hexdigest()
+def codec(ranks_data: bytes, pattern: str, max_pieces: int = 400_000) -> Codec:
+    """One codec for each vocabulary and process; ``max_pieces`` bounds what it remembers, not what it encodes."""
+    key = hashlib.sha256(ranks_data + f"{max_pieces} {pattern}".encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks_data, pattern)
+        _codecs[key] = Codec(ranks_data, pattern, max_pieces)
     return _codecs[key]
 
 
-def encode_documents(docs: DataFrame, ranks_data: bytes, pattern: str, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_data: bytes, pattern: str, keep_ids: bool = True, max_pieces: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
     The ids are decoded again; ``decoded_sha256`` is of that text. Null and empty
-    texts have no tokens. Repeated rows stay; other columns are ignored.
+    texts have no tokens. Repeated rows stay; very long texts are taken whole; an
+    empty table gives no rows; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks_data)  # a vocabulary file: its size is fixed
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
-        c = codec(held.value, pattern)
+        c = codec(held.value, pattern, max_pieces)
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
@@ -301,5 +302,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return encode_documents(docs, *vocabulary())
+    """Token ids of every document: doc_id, n_tokens, the digests and ids; the last stage, so other columns do not come along.
+
+    Remembers fewer pieces than the query, as its workers also serve the stages before.
+    """
+    return encode_documents(docs, *vocabulary(), max_pieces=150_000)
