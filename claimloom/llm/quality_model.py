@@ -122,6 +122,7 @@ class Model:
         self.mean, self.scale = np.zeros(d), np.ones(d)
         self.beta = np.zeros(features + 1)
         self.at, self.level = np.array([0.0, 1.0]), np.array([0.5, 0.5])
+        self.fitted = False
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -132,6 +133,8 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated scores; a thousandth comes from the ridge score, so that steps of the calibration keep its order."""
+        if not self.fitted:
+            return np.full(len(x), 0.5)
         raw = self.ridge(x)
         smooth = 1 / (1 + np.exp(-4 * np.clip(raw - 0.5, -5, 5)))
         return np.clip(0.999 * np.interp(raw, self.at, self.level) + 0.001 * smooth, 0, 1)
@@ -161,6 +164,7 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     s = _sums(train, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * d)
     if not s[0]:
         return model
+    model.fitted = True
     model.mean = s[1 : d + 1] / s[0]
     model.scale = np.sqrt(np.maximum(s[d + 1 :] / s[0] - model.mean**2, 1e-8)) + 1e-4
     k = len(model.beta)
@@ -209,8 +213,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     Learns from labelled documents that are not held out. Rows with a null id or
     label are not learned from; a document with several label rows counts once
-    for each. Null and empty texts are scored as texts without statistics;
-    repeated rows stay; other columns of either table are ignored.
+    for each. Null and empty texts are scored as texts without statistics; very
+    long texts are taken whole; repeated rows stay, and ties in score too; empty
+    tables give no rows; other columns of either table are ignored.
     """
     measured = util.stored(with_statistics(docs), "statistics")
     y = labels.select("doc_id", F.col("quality").cast("double").alias("y")).dropna()
