@@ -80,7 +80,7 @@ def self_check_bucket(status: Column, method: Column, panic_site: Column) -> Col
 def claim_bucket(verdict: Column, method: Column, obligation_class: Column) -> Column:
     """One of six buckets for a verified claim."""
     return (
-        F.when(verdict != "discharged", "undecidable")
+        F.when(F.coalesce(verdict != "discharged", F.lit(True)), "undecidable")
         .when(method == "reflexive", "reflexive")
         .when(method == "panic-safe", "panicSafe")
         .when(method == "solver-substantive", "substantive")
@@ -151,3 +151,13 @@ def residual(assert_macros: Column, discharged: Column) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+#: Tokens of an assertion's argument: string literals whole, words, runs of operators, single brackets and separators.
+TOKENS = r'"(?:[^"\\]|\\.)*"|[A-Za-z0-9_]+|[()\[\]{},;]|[^A-Za-z0-9_\s"()\[\]{},;]+|"'
+
+
+def assertion_site(path: Column, argument: Column) -> Column:
+    """Text of an assertion that does not change with its white space, but with its path and every token; its content id names the site."""
+    tokens = F.regexp_extract_all(argument, F.lit(TOKENS), F.lit(0))
+    return F.concat(path, F.lit("!("), F.array_join(tokens, " "), F.lit(")"))

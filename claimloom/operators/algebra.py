@@ -46,8 +46,28 @@ def weaken(obligations: DataFrame, facts: DataFrame) -> DataFrame:
 def opaque_effects(functions: DataFrame, discharged: DataFrame) -> DataFrame:
     """Opaque effects (function, effect key) without a discharge memento."""
     effects = functions.select("function", F.explode("effects").alias("e")).select("function", F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
-    opaque = effects.filter(F.col("kind").isin("opaque_loop", "unresolved_call", "closure_capture", "pinned_reference", "raw_pointer_provenance", "possible_aliasing"))
-    return opaque.join(discharged.select("key").distinct(), "key", "left_anti")
+    return effects.filter(F.col("kind").isin(*sorted(formula.OPAQUE))).join(discharged.select("key").distinct(), "key", "left_anti")
+
+
+def compose_checked(pairs: DataFrame, discharged: DataFrame) -> DataFrame:
+    """Pairs (id, outer, inner, formal) of contracts as JSON to (id, composed): a contract, or why there is none.
+
+    The opaque effects of both sides look up the discharges (key) in a join; what
+    is left open travels with its pair. An effect without a key is open.
+    """
+    schema = "struct<effects:array<struct<kind:string,key:string>>>"
+    none = F.expr("cast(array() as array<struct<kind:string,key:string>>)")
+    effects = F.concat(*[F.coalesce(F.from_json(c, schema)["effects"], none) for c in ("outer", "inner")])
+    open_ = opaque_effects(pairs.select(F.col("id").alias("function"), effects.alias("effects")), discharged)
+    blocked = open_.groupBy(F.col("function").alias("id")).agg(F.collect_set(F.coalesce("key", F.lit(""))).alias("open"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = zip(pdf["outer"], pdf["inner"], pdf["formal"], pdf["open"], strict=True)
+            made = [json.dumps(formula.compose_checked(json.loads(o), json.loads(i), int(n), list(k) if k is not None else []), sort_keys=True) for o, i, n, k in rows]
+            yield pd.DataFrame({"id": pdf["id"], "composed": made})
+
+    return pairs.join(blocked, "id", "left").select("id", "outer", "inner", "formal", "open").mapInPandas(run, "id string, composed string")
 
 
 def is_pure(effects):

@@ -57,6 +57,32 @@ def markdown(summary: DataFrame) -> DataFrame:
     return summary.select(text.alias("markdown"))
 
 
+def report_markdown(gated: DataFrame, residual: DataFrame | None = None, require: str | None = None, frozen: bool = False) -> DataFrame:
+    """Report of a comparison as one Markdown text: verdict, mode, counts with their bump, and the residual if there is one.
+
+    ``gated`` is the row of :func:`gate`, ``residual`` that of
+    :func:`residual_gate`. The changes themselves are :func:`change_lines`.
+    """
+    mode = "frozen (any change fails)" if frozen else f"require {require}" if require else "default (loss or growth fails)"
+    counts = ("new_behaviours", "lost_behaviours", "held", "renamed")
+    vacuous = C.all_of([F.col(c) == 0 for c in counts])
+    behaviour = F.format_string("**Behaviour:** %d new, %d lost, %d held, %d renamed; bump `%s`", *counts, F.col("bump"))
+    parts = [F.when(vacuous, "**Behaviour:** vacuous; nothing on either side").otherwise(behaviour)]
+    ok = F.col("ok")
+    if residual is not None:
+        gated = gated.join(residual.select("before_residual", "after_residual", F.col("ok").alias("_residual_ok")))  # one row on each side
+        ok = ok & F.col("_residual_ok")
+        parts.append(F.format_string("**Residual:** %d to %d (%+d)", "before_residual", "after_residual", F.col("after_residual") - F.col("before_residual")))
+    head = F.concat(F.lit("### Claim diff: "), F.when(ok, "PASS").otherwise("FAIL"))
+    return gated.select(F.concat_ws("\n\n", head, F.lit(f"**Mode:** `{mode}`"), *parts).alias("markdown"))
+
+
+def change_lines(classified: DataFrame) -> DataFrame:
+    """(behaviour, line) of what changed, in order: +, - or ~ with the names."""
+    line = F.when(F.col("status") == "new", F.concat(F.lit("+ "), "to_names")).when(F.col("status") == "lost", F.concat(F.lit("- "), "from_names")).otherwise(F.concat(F.lit("~ "), "from_names", F.lit(" -> "), "to_names"))
+    return classified.filter("status <> 'held'").select("behaviour", line.alias("line")).orderBy("line", "behaviour")
+
+
 AXIS = ["source_loci", "source_warranted", "source_support", "source_refused", "source_inactive", "source_refuted", "unclassified_source"]
 COUNTERS = ["assert_macros", "discharged", "refused", "unaccounted"]
 

@@ -146,6 +146,22 @@ def witness_discharge(claims: DataFrame, packages: DataFrame) -> DataFrame:
     return met.select("property", "package", verdict.alias("verdict"), reason.alias("reason"), "first_failed")
 
 
+def rerun_discharge(pins: DataFrame, runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Pins (suite, pinned) with ``verdict`` and ``reason`` from a suite or a build that ran again.
+
+    Runs (suite, cid) hold the recomputed id, outcomes (suite, test, outcome) its
+    parts. A pin that did not run or whose id differs is refused, then one with
+    an outcome other than passed. ``n_tests``, ``n_failed`` and the least
+    ``first_failed`` come along. Of repeated runs of a suite the least id counts.
+    """
+    run = runs.filter("suite is not null").groupBy("suite").agg(F.min("cid").alias("_cid"))
+    failed = F.coalesce(F.col("outcome") != "passed", F.lit(True))
+    parts = outcomes.filter("suite is not null").groupBy("suite").agg(F.count("*").alias("n_tests"), F.count_if(failed).alias("n_failed"), F.min(F.when(failed, F.col("test"))).alias("first_failed"))
+    met = pins.join(run, "suite", "left").join(parts, "suite", "left").fillna(0, ["n_tests", "n_failed"])
+    reason = F.when(F.col("_cid").isNull(), "not-run").when(~F.col("_cid").eqNullSafe(F.col("pinned")), "not-reproduced").when(F.col("n_failed") > 0, "failed-outcomes").otherwise("reproduced")
+    return met.select("suite", "pinned", F.when(reason == "reproduced", "discharged").otherwise("refused").alias("verdict"), reason.alias("reason"), "n_tests", "n_failed", "first_failed")
+
+
 def cached_implications(pairs: DataFrame, cache: DataFrame) -> DataFrame:
     """Pairs (post_hash, pre_hash) with ``cached``: the least id of a cached implication of that property with a valid signature."""
     valid = cache.filter("valid").groupBy("post_hash", "pre_hash").agg(F.min("cid").alias("cached"))

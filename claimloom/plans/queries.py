@@ -745,6 +745,64 @@ def l2_self_posts(loci):
     return pool.self_posts(loci.select(F.col("path").alias("cid"), post.alias("post")).distinct(), algebra.ground_solver)
 
 
+SPLIT = """CASE WHEN status <> 'discharged' THEN 'undecidable' WHEN method = 'reflexive' THEN 'reflexive' WHEN method = 'panic-safe' THEN 'panicSafe' WHEN method = 'solver-substantive' THEN 'substantive'
+  WHEN obligation_class = 'vacuous' THEN 'vacuous' ELSE 'hashTier' END"""
+
+
+@query(f"""WITH c AS (SELECT status, {SPLIT} AS b FROM report_rows), t AS (SELECT count(*) AS total_claims, count(*) FILTER (status = 'discharged') AS discharged, count(*) FILTER (status <> 'discharged') AS failed,
+  {", ".join(f"count(*) FILTER (b = '{n}') AS split_{n}" for n in ("reflexive", "panicSafe", "substantive", "vacuous", "hashTier", "undecidable"))} FROM c),
+w AS (SELECT count(*) AS witnesses, count(*) FILTER ({WITNESS} = 'verified') AS verified FROM witnesses) SELECT *, failed = 0 AND total_claims > 0 AND witnesses = verified AS ok FROM t, w""", "report_rows", "witnesses")
+def b6_receipt_totals(rows, witnesses):
+    return sinks.verification_receipt(rows, l9_witness_verify(witnesses))
+
+
+@query(f"""WITH {SUMMARY}, lb AS ({LEDGER} FROM ledger WHERE state <> 'unclassified'), la AS ({LEDGER} FROM ledger),
+m AS (SELECT lb.assert_macros - lb.discharged AS x, la.assert_macros - la.discharged AS y FROM la, lb)
+SELECT concat('### Claim diff: ', CASE WHEN lost_behaviours = 0 AND new_behaviours + held + renamed > 0 AND y <= x THEN 'PASS' ELSE 'FAIL' END, chr(10), chr(10), '**Mode:** `default (loss or growth fails)`', chr(10), chr(10),
+  '**Behaviour:** ', new_behaviours, ' new, ', lost_behaviours, ' lost, ', held, ' held, ', renamed, ' renamed; bump `', bump, '`', chr(10), chr(10), '**Residual:** ', x, ' to ', y, ' (', CASE WHEN y >= x THEN '+' ELSE '' END, y - x, ')') AS markdown FROM t, m""", "claims_before", "claims_after", "ledger")
+def b5_diff_report(before, after, ledger):
+    gated = diff.gate(diff.summarize(diff.classify(before, after)))
+    return diff.report_markdown(gated, diff.residual_gate(_ledger(ledger.filter("state <> 'unclassified'")), _ledger(ledger)))
+
+
+@query(f"""WITH {CLASSIFIED} SELECT behaviour, CASE status WHEN 'new' THEN concat('+ ', to_names) WHEN 'lost' THEN concat('- ', from_names) ELSE concat('~ ', from_names, ' -> ', to_names) END AS line FROM c WHERE status <> 'held'""", "claims_before", "claims_after")
+def b5_diff_lines(before, after):
+    return diff.change_lines(diff.classify(before, after))
+
+
+@query("""SELECT path, concat('assert_eq!(kind == x . ', replace(kind, '#', ' # '), ' , "', replace(path, '.', '  '), '")') AS site FROM (SELECT DISTINCT path, kind FROM loci)""", "loci")
+def c44_assertion_site(loci):
+    argument = F.concat(F.lit("kind==x."), F.col("kind"), F.lit('\n\t, "'), F.replace("path", F.lit("."), F.lit("  ")), F.lit('" '))
+    return loci.select("path", "kind").distinct().select("path", C.assertion_site(F.lit("assert_eq"), argument).alias("site"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS suite, concat(l_orderkey, ':', count(*)) AS cid, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS bad, min(CASE WHEN l_returnflag = 'R' THEN concat('t', l_linenumber) END) AS first FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT o_orderkey AS suite, concat(o_orderkey, ':', CASE o_orderstatus WHEN 'P' THEN 0 ELSE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END) AS pinned FROM orders),
+v AS (SELECT suite, pinned, CASE WHEN cid IS NULL THEN 'not-run' WHEN cid <> pinned THEN 'not-reproduced' WHEN bad > 0 THEN 'failed-outcomes' ELSE 'reproduced' END AS reason, coalesce(n, 0) AS n_tests, coalesce(bad, 0) AS n_failed, first AS first_failed FROM p LEFT JOIN r USING (suite))
+SELECT suite, pinned, CASE reason WHEN 'reproduced' THEN 'discharged' ELSE 'refused' END AS verdict, reason, n_tests, n_failed, first_failed FROM v""", "lineitem", "orders")
+def l17_rerun_discharge(lines, orders):
+    counts = lines.groupBy(F.col("l_orderkey").alias("suite")).agg(F.count("*").alias("n"))
+    runs = counts.select("suite", F.concat_ws(":", F.col("suite").cast("string"), F.col("n").cast("string")).alias("cid"))
+    known = orders.select(F.col("o_orderkey").alias("suite"), "o_orderstatus").join(counts, "suite", "left")
+    pinned = F.concat_ws(":", F.col("suite").cast("string"), F.when(F.col("o_orderstatus") == "P", 0).otherwise(F.coalesce("n", F.lit(0))).cast("string"))
+    outcomes = lines.select(F.col("l_orderkey").alias("suite"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("test"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("passed").alias("outcome"))
+    return pool.rerun_discharge(known.select("suite", pinned.alias("pinned")), runs, outcomes)
+
+
+@query("""SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'opaque' WHEN 1 THEN 'impure' WHEN 2 THEN 'no-result' ELSE 'made' END AS outcome FROM nation""", "nation")
+def k16_checked_composition(nations):
+    key, number = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    equation = F.concat(F.lit('{"kind":"atomic","name":"=","args":[{"kind":"var","name":"result"},{"kind":"const","value":'), number, F.lit("}]}"))
+    bound = '{"kind":"atomic","name":"<","args":[{"kind":"var","name":"x"},{"kind":"const","value":99}]}'
+    loop = F.concat(F.lit('{"kind":"opaque_loop","key":"k'), number, F.lit('"}'))
+    effects = F.when(key % 4 == 1, F.lit('{"kind":"io","key":"f"}')).otherwise(loop)
+    inner = F.concat(F.lit('{"formals":["y"],"effects":['), effects, F.lit('],"post":'), F.when(key % 4 == 2, F.lit(bound)).otherwise(equation), F.lit("}"))
+    pairs = nations.select(key.alias("id"), F.lit('{"formals":["x"],"effects":[],"pre":' + bound + "}").alias("outer"), inner.alias("inner"), F.lit(0).alias("formal"))
+    discharged = nations.filter(key % 4 != 0).select(F.concat(F.lit("k"), number).alias("key"))
+    made = algebra.compose_checked(pairs.withColumn("id", F.col("id").cast("string")), discharged)
+    return made.select(F.col("id").cast("int").alias("id"), F.coalesce(F.get_json_object("composed", "$.refused"), F.lit("made")).alias("outcome"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 

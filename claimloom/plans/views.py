@@ -63,7 +63,9 @@ def text(name: str, engine: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; only the tables it names are read."""
+    """A view or a table as a DataFrame; only the tables it names are read."""
+    if name in TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = text(name, "spark").replace("{", "{{").replace("}", "}}")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     for t in used:

@@ -48,6 +48,23 @@ def witness_packages(witnesses: DataFrame) -> DataFrame:
     return out.withColumn("package_cid", udfs.cid("content"))
 
 
+def verification_receipt(claims: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """One row: totals of claims (status, method, obligation_class) and of witnesses (result), the split of claims, and ``ok``.
+
+    Claims themselves go out row by row with :func:`report_json`. ``ok`` asks for
+    no failed claim and only verified witnesses; no claims at all are not ok.
+    """
+    from ..functions import columns as C
+
+    done = F.col("status") == "discharged"
+    bucket = C.claim_bucket(F.col("status"), F.col("method"), F.col("obligation_class"))
+    split = [F.count_if(bucket == b).alias(f"split_{b}") for b in ("reflexive", "panicSafe", "substantive", "vacuous", "hashTier", "undecidable")]
+    one = claims.agg(F.count("*").alias("total_claims"), F.count_if(done).alias("discharged"), F.count_if(F.coalesce(~done, F.lit(True))).alias("failed"), *split)
+    audit = witnesses.agg(F.count("*").alias("witnesses"), F.count_if(F.col("result") == "verified").alias("verified"))
+    ok = (F.col("failed") == 0) & (F.col("total_claims") > 0) & (F.col("verified") == F.col("witnesses"))
+    return one.join(audit).withColumn("ok", ok)  # one row on each side
+
+
 def report_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 

@@ -249,3 +249,46 @@ def test_gates(spark):
     assert {r["outcome"]: r["n"] for r in gates.claim_report(rows).collect()} == {"exact": 1, "lossy": 1, "gap": 1, "invalid": 2}
     assert gates.release({"a": [("x", True)]})["ok"] and not gates.release({})["ok"]
     assert gates.rewriting_gate([], False) == "accepted" and gates.rewriting_gate([{}], False) == "rejected"
+
+
+def test_assertion_site_ignores_space_outside_literals(spark):
+    rows = [("assert_eq", "a+b,  c"), ("assert_eq", "a + b,\n c"), ("assert_eq", "ab, c"), ("assert", "a+b, c"), ("assert_eq", 'f("a b")'), ("assert_eq", 'f( "a  b" )'), ("assert_eq", None), ("assert_eq", "")]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, a string").select(columns.assertion_site(F.col("p"), F.col("a"))).collect()]
+    assert got[0] == got[1] == "assert_eq!(a + b , c)"
+    assert len(set(got)) == 7 and got[6] is None and got[7] == "assert_eq!()"
+
+
+def test_rerun_discharge(spark):
+    pins = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), (None, "5"), ("e", None)], "suite string, pinned string")
+    runs = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3"), ("e", "6"), (None, "5")], "suite string, cid string")
+    outcomes = spark.createDataFrame([("a", "t1", "passed"), ("c", "t2", "failed"), ("c", "t1", None), ("b", "t1", "failed")], "suite string, test string, outcome string")
+    got = {r["suite"]: (r["verdict"], r["reason"], r["n_tests"], r["n_failed"], r["first_failed"]) for r in pool.rerun_discharge(pins, runs, outcomes).collect()}
+    assert got["a"] == ("discharged", "reproduced", 1, 0, None)
+    assert got["b"] == ("refused", "not-reproduced", 1, 1, "t1")
+    assert got["c"] == ("refused", "failed-outcomes", 2, 2, "t1")
+    assert got["d"][1] == got[None][1] == "not-run" and got["e"][1] == "not-reproduced"
+
+
+def test_checked_composition(spark):
+    x, r = {"kind": "var", "name": "x"}, {"kind": "var", "name": "result"}
+    seven = {"kind": "const", "value": 7}
+    less = lambda a: {"kind": "atomic", "name": "<", "args": [a, {"kind": "const", "value": 9}]}
+    outer = {"formals": ["x"], "pre": less(x), "effects": []}
+    inner = lambda *effects: {"formals": ["y"], "post": {"kind": "atomic", "name": "=", "args": [r, seven]}, "effects": list(effects)}
+    loop, keyless, write = {"kind": "opaque_loop", "key": "k"}, {"kind": "opaque_loop"}, {"kind": "io", "key": "f"}
+    cases = {"plain": (inner(), 0), "done": (inner(loop), 0), "open": (inner({"kind": "opaque_loop", "key": "q"}), 0), "keyless": (inner(keyless), 0), "io": (inner(write), 0), "formal": (inner(), 1), "result": ({**inner(), "post": less(r)}, 0)}
+    rows = [(i, json.dumps(outer), json.dumps(c), n) for i, (c, n) in cases.items()]
+    pairs = spark.createDataFrame(rows, "id string, outer string, inner string, formal int")
+    done = spark.createDataFrame([("k",), ("k",), (None,)], "key string")
+    got = {i: json.loads(c) for i, c in algebra.compose_checked(pairs, done).collect()}
+    assert got["plain"] == got["done"] and got["plain"]["formals"] == ["y"] and json.dumps(less(seven), sort_keys=True) in json.dumps(got["plain"]["pre"], sort_keys=True)
+    assert {i: got[i].get("refused") for i in ("open", "keyless", "io", "formal", "result")} == {"open": "opaque", "keyless": "opaque", "io": "impure", "formal": "no-formal", "result": "no-result"}
+    assert got["open"]["effects"] == ["q"]
+
+
+def test_report_of_nothing_is_vacuous_and_fails(spark):
+    none = spark.createDataFrame([], "name string, behaviour string")
+    text = diff.report_markdown(diff.gate(diff.summarize(diff.classify(none, none)), frozen=True), frozen=True).first()[0]
+    assert text.startswith("### Claim diff: FAIL") and "frozen" in text and "vacuous" in text
+    claims = spark.createDataFrame([], "status string, method string, obligation_class string")
+    assert not sinks.verification_receipt(claims, spark.createDataFrame([], "result string")).first()["ok"]
