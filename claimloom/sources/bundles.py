@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
+import subprocess
+import tarfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,43 @@ def from_bytes(rows: DataFrame) -> DataFrame:
     return once.select("path", F.col("bytes").alias("content"), F.col("expected_cid").alias("expected")).mapInPandas(udfs.explode_members, MEMBERS)
 
 
+def git_revision(spark: SparkSession, repo: str, rev: str, folder: str, path: str = "", pattern: str = "*.proof") -> DataFrame:
+    """Bundle files of ``path`` at a revision of a git repository, as :func:`scan` reads them.
+
+    Matching files of the revision's archive are streamed one by one into a
+    subfolder of the shared ``folder``; the working tree is not touched. A
+    revision or path that git does not know is an error, one without such files
+    gives no rows.
+    """
+    if rev.startswith("-") or ":" in rev:
+        raise ValueError(f"not a revision: {rev!r}")
+    tree = f"{rev}:{path}" if path not in ("", ".") else rev
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = f"{folder}/{hashlib.sha256(f'{repo}\n{tree}'.encode()).hexdigest()[:16]}"
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    fs.delete(base, True)  # of an earlier run
+    fs.mkdirs(base)
+    with subprocess.Popen(["git", "-C", repo, "archive", "--format=tar", tree], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as git:
+        try:
+            with tarfile.open(fileobj=git.stdout, mode="r|") as archive:
+                for entry in archive:
+                    if entry.isfile() and ".." not in entry.name.split("/") and fnmatch.fnmatch(entry.name.rpartition("/")[2], pattern):
+                        content, out = archive.extractfile(entry), fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{entry.name}"), True)
+                        try:
+                            while chunk := content.read(1 << 20):
+                                out.write(bytearray(chunk))
+                        finally:
+                            out.close()
+        except tarfile.ReadError:
+            pass  # git says below what was wrong
+        git.stdout.read()
+        error = git.stderr.read().decode(errors="replace").strip()
+    if git.returncode:
+        raise ValueError(f"git archive {tree}: {error}")
+    return scan(spark, root, pattern)
+
+
 def fingerprints(spark: SparkSession, root: str) -> DataFrame:
     """Id of every bundle file of a directory."""
     return scan(spark, root).select("path", udfs.cid("content").alias("cid"))

@@ -1,4 +1,5 @@
 import json
+import subprocess
 
 import pytest
 from pyspark.sql import Row
@@ -292,3 +293,27 @@ def test_report_of_nothing_is_vacuous_and_fails(spark):
     assert text.startswith("### Claim diff: FAIL") and "frozen" in text and "vacuous" in text
     claims = spark.createDataFrame([], "status string, method string, obligation_class string")
     assert not sinks.verification_receipt(claims, spark.createDataFrame([], "result string")).first()["ok"]
+
+
+def test_git_revision(spark, tmp_path):
+    repo = tmp_path / "repo"
+    (repo / "sub").mkdir(parents=True)
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for n, text in enumerate(("first", "second")):
+        (repo / "sub" / "a.proof").write_text(text)
+        (repo / "b.proof").write_text("same")
+        (repo / f"other{n}.txt").write_text("x")
+        git("add", "-A")
+        git("commit", "-q", "-m", text)
+    (repo / "sub" / "a.proof").write_text("not committed")
+    read = lambda *a: sorted((r["stem"], bytes(r["content"])) for r in bundles.git_revision(spark, str(repo), a[0], f"file://{tmp_path}/out", *a[1:]).collect())
+    assert read("HEAD~1") == [("a", b"first"), ("b", b"same")]
+    assert read("HEAD") == read("HEAD", ".") == [("a", b"second"), ("b", b"same")]
+    assert read("HEAD", "sub") == [("a", b"second")]
+    assert read("HEAD", "", "*.none") == []
+    for bad in ("--output=x", "HEAD:sub", "missing"):
+        with pytest.raises(ValueError):
+            read(bad)
+    with pytest.raises(ValueError):
+        read("HEAD", "missing")
