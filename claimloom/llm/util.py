@@ -90,25 +90,26 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def stored(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stored(df: DataFrame, name: str, batch: int = 2000, into: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; with ``into``, add it to a table written before.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     The table goes when the process ends, or by :func:`discard`. Python steps on
     the way get ``batch`` rows at a time, fewer where rows are long.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = into._claimloom_path if into is not None else os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     wanted = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}  # the table stands, so the shuffle files behind it can go at once
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.mode("append").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    _written.append((spark, path))
+    if into is None:
+        _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._claimloom_path = path
     return out
