@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, licenses, quality_model, quality_rules, secrets, sharding, substrings, topk, urls
+from . import bpe, conversations, decontam, jaccard, licenses, quality_model, quality_rules, secrets, sharding, substrings, topk, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scans": secrets.query,
         "op9_url_filters": urls.query,
         "op10_sharding": sharding.query,
+        "op11_conversation_repair": conversations.query,
         "op12_exact_top_k": topk.query,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substrings.SQL,
         "op4_license_scans": licenses.sql(),
         "op9_url_filters": urls.SQL,
+        "op11_conversation_repair": conversations.SQL,
         "op12_exact_top_k": topk.SQL,
     }
