@@ -200,28 +200,32 @@ def repeated(rows: DataFrame) -> DataFrame:
 RUNS = "conv_id bigint, place bigint, codes binary"
 
 
-def _runs(batches):
+def _runs(run_rows: int):
     """Runs of places without gaps of one conversation, as one byte a row."""
-    conv, first, codes = None, None, bytearray()
-    out: list[tuple] = []
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["conv_id", "place", "codes"])
-
-    for batch in batches:
-        for c, place, code in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if first is None or c != conv or place != first + len(codes) or len(codes) == RUN_ROWS:
-                if first is not None:
-                    out.append((conv, first, bytes(codes)))
-                conv, first, codes = c, place, bytearray()
-            codes.append(code)
-        if len(out) >= 5000:
+    def run(batches):
+        conv, first, codes = None, None, bytearray()
+        out: list[tuple] = []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["conv_id", "place", "codes"])
+
+        for batch in batches:
+            for c, place, code in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if first is None or c != conv or place != first + len(codes) or len(codes) == run_rows:
+                    if first is not None:
+                        out.append((conv, first, bytes(codes)))
+                    conv, first, codes = c, place, bytearray()
+                codes.append(code)
+            if len(out) >= 5000:
+                yield batch_of(out)
+                out = []
+        if first is not None:
+            out.append((conv, first, bytes(codes)))
+        if out:
             yield batch_of(out)
-            out = []
-    if first is not None:
-        out.append((conv, first, bytes(codes)))
-    if out:
-        yield batch_of(out)
+
+    return run
 
 
 def _summed(batches):
@@ -341,7 +345,7 @@ def _repaired(batches):
         yield batch_of(out)
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """One row per conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     Rows are damaged first (see :func:`damaged`), a null role, text, id or turn counting
@@ -360,7 +364,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     at = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
     fault = F.when((F.col("fault") == "blank") | F.col("again"), MUST_GO).when(F.col("fault") == "truncated", CUT).otherwise(SOUND)
     coded = placed.join(again, "place", "left").select("conv_id", "place", (at * 3 + fault).alias("code"))
-    runs = util.stored(coded.repartitionByRange("place").sortWithinPartitions("place").mapInArrow(_runs, RUNS), "runs", batch=10_000)
+    runs = util.stored(coded.repartitionByRange("place").sortWithinPartitions("place").mapInArrow(_runs(run_rows), RUNS), "runs", batch=10_000)
     several = runs.groupBy("conv_id").count().filter("count > 1").select(F.col("conv_id").alias("c"))
     sums = runs.join(several, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").mapInArrow(_summed, "conv_id bigint, place bigint, sums array<bigint>")
     ends = sums.groupBy("conv_id").applyInPandas(_chained, "place bigint, begin int, end int, cost bigint, tail int")

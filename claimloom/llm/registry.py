@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, decontam, jaccard, licenses, quality_model, quality_rules, secrets, sharding, substrings, topk, urls
+from . import bpe, conversations, decontam, jaccard, licenses, quality_model, quality_rules, secrets, sharding, substrings, topk, trie, urls
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_sharding": sharding.query,
         "op11_conversation_repair": conversations.query,
         "op12_exact_top_k": topk.query,
+        "op13_prefix_trie": trie.query,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_url_filters": urls.SQL,
         "op11_conversation_repair": conversations.SQL,
         "op12_exact_top_k": topk.SQL,
+        "op13_prefix_trie": trie.SQL,
     }

@@ -102,26 +102,31 @@ def _packed_rows(ids, null, at, m):
             yield (int(at.min()), is_query, len(at[rows]), m.dtype.str, *(x[rows].tobytes() for x in (ids, null, at, m)))
 
 
-def _pack(batches):
-    held: list[tuple] = []
-    rows = cells = 0
-
-    def flush():
-        ids, null, at, flat, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
-        out = list(_packed_rows(ids, null, at, matrix(flat, lengths)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), PACKED_TYPE, strict=True)], schema=PACKED_TYPE)
-
-    for whole in batches:
-        for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-            v = batch.column(1)
-            if rows and (rows + batch.num_rows > TILE_ROWS or cells + len(v.flatten()) > TILE_CELLS):
-                yield flush()
-                held, rows, cells = [], 0, 0
-            ids = batch.column(0)
-            held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), v.flatten().to_numpy(zero_copy_only=False), np.asarray(v.value_lengths())))
-            rows, cells = rows + batch.num_rows, cells + len(v.flatten())
-    if rows:
-        yield flush()
+def _pack(tile_rows: int):
+    """Shards and query blocks of one task."""
+
+    def run(batches):
+        held: list[tuple] = []
+        rows = cells = 0
+
+        def flush():
+            ids, null, at, flat, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = list(_packed_rows(ids, null, at, matrix(flat, lengths)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), PACKED_TYPE, strict=True)], schema=PACKED_TYPE)
+
+        for whole in batches:
+            for batch in (whole.slice(i, min(512, tile_rows)) for i in range(0, whole.num_rows, min(512, tile_rows))):
+                v = batch.column(1)
+                if rows and (rows + batch.num_rows > tile_rows or cells + len(v.flatten()) > TILE_CELLS):
+                    yield flush()
+                    held, rows, cells = [], 0, 0
+                ids = batch.column(0)
+                held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), v.flatten().to_numpy(zero_copy_only=False), np.asarray(v.value_lengths())))
+                rows, cells = rows + batch.num_rows, cells + len(v.flatten())
+        if rows:
+            yield flush()
+
+    return run
 
 
 def _unpacked(n, kind, ids, nulls, ats, vectors) -> tuple:
@@ -149,12 +154,12 @@ def _tiles(k: int):
     return run
 
 
-def _merge(k: int):
+def _merge(k: int, fan: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         b = Best(int(part["n"].iloc[0]), k)
         for data in part["lists"]:
             b.add_packed(data)
-        return pd.DataFrame([(part["block"].iloc[0], part["node"].iloc[0] // FAN, b.n, b.packed())], columns=["block", "node", "n", "lists"])
+        return pd.DataFrame([(part["block"].iloc[0], part["node"].iloc[0] // fan, b.n, b.packed())], columns=["block", "node", "n", "lists"])
 
     return run
 
@@ -178,14 +183,14 @@ def _whole(x: Column, scale: float) -> Column:
     return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
 
 
-def _waves(blocks: DataFrame) -> int:
+def _waves(blocks: DataFrame, most_bytes: int) -> int:
     """Waves to deal the query blocks to, so that none is larger than its bound."""
     weight = F.sum(F.octet_length("vectors") + F.col("n") * LIST_BYTES)
-    whole = blocks.agg(weight.alias("w"), F.max(F.octet_length("vectors") + F.col("n") * LIST_BYTES).alias("most")).first()
+    whole = blocks.agg(weight.alias("w"), F.max(F.octet_length("vectors") + F.col("n") * LIST_BYTES).alias("most"), F.count(F.lit(1)).alias("n")).first()
     if not whole["w"]:
         return 0
-    waves = -(-whole["w"] // WAVE_BYTES)
-    while waves > 1 and blocks.groupBy(_wave(waves)).agg(weight.alias("w")).agg(F.max("w")).first()[0] > max(WAVE_BYTES, 2 * whole["most"]):
+    waves = min(-(-whole["w"] // most_bytes), whole["n"])
+    while waves > 1 and blocks.groupBy(_wave(waves)).agg(weight.alias("w")).agg(F.max("w")).first()[0] > max(most_bytes, 2 * whole["most"]):
         waves *= 2
     return waves
 
@@ -194,7 +199,7 @@ def _wave(waves: int) -> Column:
     return F.pmod(F.xxhash64("shard"), F.lit(waves))
 
 
-def top_k(vectors: DataFrame, k: int = K, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = TILE_ROWS, wave_bytes: int = WAVE_BYTES, fan: int = FAN) -> DataFrame:
     """The k highest scores of every query: query_id, rank from 1, vec_id, score.
 
     A component x counts as floor(scale * x). Queries are the rows whose id is
@@ -203,24 +208,24 @@ def top_k(vectors: DataFrame, k: int = K, scale: float = 64.0, id_col: str = "ve
     and is never a query. Null vectors and vectors with null or non-finite
     components take no part; missing components of shorter vectors are 0, so an
     empty one scores 0. Sums are exact; one that leaves long stands at its limit.
-    Query blocks are broadcast in waves of ``WAVE_BYTES``, each of which reads the
+    Query blocks are broadcast in waves of ``wave_bytes``, each of which reads the
     packed shards once. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("raw"))
     bad = F.exists("raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     slim = slim.filter(F.col("raw").isNotNull() & ~bad).select("vec_id", F.transform("raw", lambda x: _whole(x, scale)).alias("v"), F.monotonically_increasing_id().alias("at"))
-    packed = util.stored(slim.mapInArrow(_pack, PACKED), "packed", batch=512)
+    packed = util.stored(slim.mapInArrow(_pack(tile_rows), PACKED), "packed", batch=512)
     shards, blocks = packed.filter("not is_query").drop("is_query").withColumn("node", F.spark_partition_id().cast("bigint")), packed.filter("is_query")
-    found, waves = None, _waves(blocks)
+    found, waves = None, _waves(blocks, wave_bytes)
     for wave in range(waves):
         asked = blocks.filter(_wave(waves) == wave).select(F.col("shard").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("n", "kind", "ids", "nulls", "ats", "vectors")])
         lists = util.stored(shards.crossJoin(F.broadcast(asked)).mapInPandas(_tiles(k), LISTS), "lists", batch=4)  # tiles of blocks: the wave's size was checked
         nodes = lists.agg(F.max("node")).first()[0]
         while nodes:
-            merged = util.stored(lists.groupBy("block", F.floor(F.col("node") / FAN)).applyInPandas(_merge(k), LISTS), "merged")
+            merged = util.stored(lists.groupBy("block", F.floor(F.col("node") / fan)).applyInPandas(_merge(k, fan), LISTS), "merged")
             util.discard(lists)
-            lists, nodes = merged, nodes // FAN
+            lists, nodes = merged, nodes // fan
         ids = asked.select("block", "q_ids")
         found = util.stored(lists.join(ids, "block").select("lists", "q_ids").mapInArrow(_result, RESULT), "found", batch=16, into=found)
         util.discard(lists)
