@@ -63,6 +63,13 @@ def ladder(tiers: list[tuple[str, Column]], status: str = "discharged") -> tuple
     return F.when(method.isNotNull(), status).otherwise("undecidable"), method
 
 
+def settled(obligations: DataFrame) -> DataFrame:
+    """Obligations as report rows: the outcome is the method, and its status follows from it."""
+    outcome = F.col("outcome")
+    status = F.when(outcome.isin("vacuous", "equal", "implied"), "discharged").when(outcome == "refuted", "unsatisfied").when(outcome.isin("unresolved-symbol", "unprovable-obligation"), "refused").otherwise("undecidable")
+    return obligations.withColumns({"method": outcome, "status": status})
+
+
 def report(rows: DataFrame) -> DataFrame:
     """Counters over report rows (row_class, status). Self posts and consistency rows count as passes or violations, not as call sites.
 

@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+_written: list[tuple[SparkSession, str]] = []
+
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; set only where it is unset, on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = own.get() if own.isDefined() else None
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="claimloom-"))
-    return df.checkpoint()
+        found = tempfile.mkdtemp(prefix="claimloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, with its lineage cut. It goes when the process ends."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for spark, path in _written:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone already
+            return
 
 
 def reach(edges: DataFrame, starts: DataFrame, wide: int = 8) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs
-from ..operators import algebra, claims, diff, gates, graph, linking, pool, ranking
+from ..operators import algebra, claims, decide, diff, gates, graph, linking, pool, ranking
 from ..sources import sinks
 from .views import view, with_views
 
@@ -803,6 +803,30 @@ def k16_checked_composition(nations):
     return made.select(F.col("id").cast("int").alias("id"), F.coalesce(F.get_json_object("composed", "$.refused"), F.lit("made")).alias("outcome"))
 
 
+#: The difference part as SQL: shortest paths between 0, x, y, z and w for every post, by one edge a step; then each pre against them.
+DECIDED = """e AS (SELECT *, instr(target_symbol, ':') AS p FROM call_edges), i AS (SELECT kit, name, min(contract_cid) AS resolved_cid FROM formula_contracts GROUP BY kit, name),
+v AS (SELECT e.source_cid, e.target_symbol, e.line, coalesce(e.target_cid, i.resolved_cid) AS resolved FROM e LEFT JOIN i ON e.p > 1 AND i.kit = substr(target_symbol, 1, e.p - 1) AND i.name = substr(target_symbol, e.p + 1)),
+posts AS (SELECT DISTINCT post, xy, yz, zx, xw, z0, opaque FROM order_posts),
+steps AS (SELECT post, u, v, min(w) AS w FROM (SELECT post, 'x' AS u, 'y' AS v, xy AS w FROM posts UNION ALL SELECT post, 'y', 'z', yz FROM posts UNION ALL SELECT post, 'z', '0', z0 FROM posts UNION ALL SELECT post, 'z', 'x', zx FROM posts WHERE zx IS NOT NULL
+  UNION ALL SELECT post, 'x', 'w', 0 FROM posts WHERE xw = 1 UNION ALL SELECT post, 'w', 'x', 0 FROM posts WHERE xw = 1 UNION ALL SELECT post, n, n, 0 FROM posts, (VALUES ('0'), ('x'), ('y'), ('z'), ('w')) t(n)) a GROUP BY post, u, v),
+d AS (SELECT post, u, v, CAST(w AS BIGINT) AS w, 1 AS round FROM steps
+  UNION ALL SELECT d.post, d.u, s.v, min(d.w + s.w)::BIGINT, d.round + 1 FROM d JOIN steps s ON s.post = d.post AND s.u = d.v WHERE d.round < 8 GROUP BY d.post, d.u, s.v, d.round),
+far AS (SELECT post, bool_or(u = v AND w < 0) AS never, min(w) FILTER (u = 'x' AND v = 'z') AS xz, min(w) FILTER (u = 'x' AND v = '0') AS x0, min(w) FILTER (u = 'y' AND v = 'z') AS yz, min(w) FILTER (u = 'x' AND v = 'w') AS xw, min(w) FILTER (u = 'w' AND v = 'x') AS wx FROM d WHERE round = 8 GROUP BY post),
+j AS (SELECT v.*, o.post, o.opaque, t.pre, f.never OR coalesce(CASE WHEN t.kit = 'supplier' THEN f.yz < t.yz ELSE f.xz <= t.xz AND (t.x0 IS NULL OR coalesce(f.x0 <= t.x0, false)) AND (t.fxw = 0 OR coalesce(f.xw <= 0 AND f.wx <= 0, false)) END, false) AS follows
+  FROM v LEFT JOIN order_posts o ON o.contract_cid = v.source_cid LEFT JOIN callee_pres t ON t.contract_cid = v.resolved LEFT JOIN far f ON f.post = o.post),
+r AS (SELECT source_cid, target_symbol, line, resolved, post, pre, CASE WHEN resolved IS NULL THEN 'unresolved-symbol' WHEN post IS NULL THEN 'unprovable-obligation' WHEN pre IS NULL THEN 'vacuous' WHEN follows THEN 'implied' WHEN opaque = 1 THEN 'undecidable' ELSE 'refuted' END AS outcome FROM j)"""
+
+
+@query(f"WITH RECURSIVE {DECIDED} SELECT source_cid, target_symbol, line, outcome FROM r", "call_edges", "formula_contracts")
+def e9_decided_obligations(edges, contracts):
+    return decide.decided(linking.obligations(edges, contracts)).select("source_cid", "target_symbol", "line", "outcome")
+
+
+@query(f"""WITH RECURSIVE {DECIDED} SELECT outcome AS method, CASE WHEN outcome IN ('vacuous', 'implied') THEN 'discharged' WHEN outcome = 'refuted' THEN 'unsatisfied' WHEN outcome IN ('unresolved-symbol', 'unprovable-obligation') THEN 'refused' ELSE 'undecidable' END AS status, count(*) AS n FROM r GROUP BY 1, 2""", "call_edges", "formula_contracts")
+def l1_decided_ladder(edges, contracts):
+    return claims.histogram(claims.settled(decide.decided(linking.obligations(edges, contracts))), "method", "status")
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 

@@ -10,7 +10,36 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-VIEWS = {
+
+
+def _atom(op: str, left: str, right: str, k: str) -> str:
+    """SQL text of an atom ``left - right op k`` as JSON; without ``right``, of ``left op k``."""
+    var = '{"kind":"var","name":"%s"}'
+    side = '{"kind":"ctor","name":"-","args":[%s,%s]}' % (var % left, var % right) if right else var % left
+    return f"""'{{"kind":"atomic","name":"{op}","args":[{side},{{"kind":"const","value":', CAST({k} AS STRING), '}}]}}'"""
+
+
+F_OF_X_IS_F_OF_W = """'{"kind":"atomic","name":"=","args":[{"kind":"ctor","name":"f","args":[{"kind":"var","name":"x"}]},{"kind":"ctor","name":"f","args":[{"kind":"var","name":"w"}]}]}'"""
+#: Posts of orders and preconditions of parts and suppliers as formula trees, beside the numbers they are made of.
+ORDER_POSTS = f"""SELECT contract_cid, xy, yz, zx, xw, z0, opaque, concat('{{"kind":"and","operands":[', {_atom("<=", "x", "y", "xy")}, ',', {_atom("<=", "y", "z", "yz")}, ',', {_atom("<=", "z", "", "z0")},
+          CASE WHEN zx IS NULL THEN '' ELSE concat(',', {_atom("<=", "z", "x", "zx")}) END, CASE WHEN xw = 1 THEN ',{{"kind":"atomic","name":"=","args":[{{"kind":"var","name":"x"}},{{"kind":"var","name":"w"}}]}}' ELSE '' END,
+          CASE WHEN opaque = 1 THEN ',{{"kind":"atomic","name":"opaque","args":[]}}' ELSE '' END, ']}}') AS post
+        FROM (SELECT concat('c:orders:', CAST(o_orderkey AS STRING)) AS contract_cid, o_orderkey % 7 - 2 AS xy, o_custkey % 9 - 3 AS yz, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 5 - 1 END AS zx,
+          CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS xw, o_orderkey % 13 AS z0, CASE WHEN o_orderkey % 10 = 9 THEN 1 ELSE 0 END AS opaque FROM orders WHERE o_orderstatus <> 'P') n"""
+CALLEE_PRES = f"""SELECT kit, name, contract_cid, load_seq, xz, x0, fxw, yz, CASE WHEN kit = 'supplier' THEN concat('{{"kind":"and","operands":[', {_atom("<", "y", "z", "yz")}, ']}}')
+          ELSE concat('{{"kind":"and","operands":[', {_atom("<=", "x", "z", "xz")}, CASE WHEN x0 IS NULL THEN '' ELSE concat(',', {_atom("<=", "x", "", "x0")}) END, CASE WHEN fxw = 1 THEN concat(',', {F_OF_X_IS_F_OF_W}) ELSE '' END, ']}}') END AS pre
+        FROM (SELECT 'part' AS kit, CAST(p_partkey AS STRING) AS name, concat('c:part:', CAST(p_partkey AS STRING)) AS contract_cid, p_partkey AS load_seq, p_size % 12 - 2 AS xz, CASE WHEN p_size % 2 = 0 THEN p_size END AS x0,
+            CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS fxw, CAST(NULL AS BIGINT) AS yz FROM part WHERE p_size % 9 > 0
+          UNION ALL SELECT 'supplier', CAST(s_suppkey AS STRING), concat('c:supplier:', CAST(s_suppkey AS STRING)), s_suppkey, NULL, NULL, 0, s_suppkey % 6 FROM supplier WHERE s_acctbal < 2000) n"""
+
+VIEWS: dict[str, str] = {
+    "order_posts": ORDER_POSTS,
+    "callee_pres": CALLEE_PRES,
+    "formula_contracts": f"""
+        SELECT c.kit, c.name, c.contract_cid, p.pre, o.post, c.load_seq FROM (SELECT 'part' AS kit, CAST(p_partkey AS STRING) AS name, concat('c:part:', CAST(p_partkey AS STRING)) AS contract_cid, p_partkey AS load_seq FROM part
+          UNION ALL SELECT 'supplier', CAST(s_suppkey AS STRING), concat('c:supplier:', CAST(s_suppkey AS STRING)), s_suppkey FROM supplier
+          UNION ALL SELECT 'orders', CAST(o_orderkey AS STRING), concat('c:orders:', CAST(o_orderkey AS STRING)), o_orderkey FROM orders) c
+        LEFT JOIN ({ORDER_POSTS}) o ON o.contract_cid = c.contract_cid LEFT JOIN ({CALLEE_PRES}) p ON p.contract_cid = c.contract_cid""",
     "claims_before": "SELECT concat(source, ':', CAST(doc_id AS STRING)) AS name, {sha:text} AS behaviour FROM documents",
     "claims_after": """
         SELECT concat(source, ':', CAST(doc_id AS STRING), CASE WHEN lang = 'de' THEN ':v2' ELSE '' END) AS name, {sha:body} AS behaviour
