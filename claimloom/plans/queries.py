@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs
-from ..operators import algebra, claims, decide, diff, gates, graph, linking, pool, ranking
+from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking
 from ..sources import sinks
 from .views import view, with_views
 
@@ -827,6 +827,38 @@ def l1_decided_ladder(edges, contracts):
     return claims.histogram(claims.settled(decide.decided(linking.obligations(edges, contracts))), "method", "status")
 
 
+@query("""WITH RECURSIVE walk AS (SELECT op, n AS place, callee, more AS total, flaw AS why, 0 AS depth FROM part_bodies
+  UNION ALL SELECT w.op, b.n, b.callee, w.total + b.more, b.flaw, w.depth + 1 FROM walk w JOIN part_bodies b ON b.n = w.callee WHERE w.why IS NULL AND w.callee <> w.place AND w.depth < 9),
+last AS (SELECT op, max(depth) AS depth, arg_max(total, depth) AS total, arg_max(CASE WHEN why IS NOT NULL THEN why WHEN callee = place THEN 'recursive' END, depth) AS why FROM walk GROUP BY op),
+c AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_linenumber = 5 THEN 'not-body-bearing' WHEN l_linenumber = 4 THEN 'shape' ELSE why END AS reason, CASE l_linenumber WHEN 2 THEN 'body-eq-same-callee' WHEN 3 THEN 'body-eq-nested-call' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'body-call-expected' END AS tier,
+  l_linenumber = 2 OR total = l_partkey % 4 * 7 + 1 AS holds, l_linenumber = 2 OR l_linenumber = 6 AND depth = 0 AS same FROM lineitem JOIN last ON op = concat('part', l_partkey))
+SELECT l_orderkey, line, tier, reason, CASE WHEN reason IS NULL AND holds THEN CASE WHEN same THEN 'reflexive' ELSE 'solver-substantive' END END AS method,
+  CASE WHEN reason = 'not-body-bearing' THEN 'open' WHEN reason IS NOT NULL THEN 'refused' WHEN holds THEN 'discharged' ELSE 'unsatisfied' END AS status FROM c""", "body_claims", "body_contracts")
+def l3_body_obligations(found, contracts):
+    asked = found.select("l_orderkey", "line", "formula", F.concat_ws(":", "l_orderkey", "line").alias("id"))
+    made = bodies.body_obligations(asked, contracts.select("op", F.array(F.lit("x")).alias("formals"), "post", "pre"))
+    return made.select("l_orderkey", "line", "tier", "reason", "method", "status")
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber AS line, concat('part', l_partkey) AS symbol, l_returnflag = 'R' AS panic, 'f' || l_orderkey % 50 AS file FROM lineitem),
+p AS (SELECT concat('part', p_partkey) AS symbol, CASE WHEN p_size % 3 = 0 THEN 'is_some' WHEN p_size % 3 = 1 THEN 'is_ok' END AS predicate FROM part WHERE p_size < 40),
+o AS (SELECT DISTINCT 'f' || l_orderkey % 50 AS file, l_linenumber AS line, concat('part', l_partkey) AS symbol FROM lineitem WHERE l_suppkey % 2 = 0)
+SELECT l_orderkey, CAST(s.line AS BIGINT) AS line, CASE WHEN s.line = 1 THEN 'no-call' WHEN p.symbol IS NULL OR (panic AND o.symbol IS NULL) THEN 'no-bridge' WHEN predicate IS NULL THEN 'not-single' END AS why,
+  CASE WHEN s.line > 1 AND p.symbol IS NOT NULL AND NOT (panic AND o.symbol IS NULL) THEN predicate END AS predicate
+FROM s LEFT JOIN p USING (symbol) LEFT JOIN o ON o.file = s.file AND o.line = s.line AND o.symbol = s.symbol""", "lineitem", "part")
+def e13_callee_post_facts(lines, parts):
+    symbol, file = F.concat(F.lit("part"), F.col("l_partkey").cast("string")), F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string"))
+    line = F.col("l_linenumber").cast("bigint")
+    call = F.concat(F.lit('{"args":[{"kind":"var","name":"x"}],"kind":"ctor","name":"'), symbol, F.lit('"}'))
+    sites = lines.select("l_orderkey", line.alias("line"), file.alias("file"), F.lit("b").alias("bundle_cid"), (F.col("l_returnflag") == "R").alias("panic_site"), F.when(line == 1, F.lit('{"kind":"var","name":"x"}')).otherwise(call).alias("arg_term"))
+    known = parts.filter("p_size < 40").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("symbol"), (F.col("p_size") % 3).alias("k")).withColumn("target", F.concat(F.lit("c:"), "symbol"))
+    places = lines.filter("l_suppkey % 2 = 0").select(F.lit("b").alias("bundle_cid"), file.alias("file"), line.alias("line"), symbol.alias("symbol")).distinct()
+    of = F.concat(F.lit('{"args":[{"kind":"var","name":"result"}],"kind":"atomic","name":"'), F.when(F.col("k") == 0, "is_some").otherwise("is_ok"), F.lit('"}'))
+    posts = known.select(F.col("target").alias("contract_cid"), F.when(F.col("k") < 2, of).otherwise(F.concat(F.lit('{"kind":"or","operands":['), of, F.lit("]}"))).alias("post"))
+    made = bodies.post_facts(sites, known.select("symbol", "target"), places.join(known.select("symbol", "target"), "symbol"), posts)
+    return made.select("l_orderkey", "line", "why", F.get_json_object("fact", "$.name").alias("predicate"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 

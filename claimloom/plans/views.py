@@ -32,7 +32,27 @@ CALLEE_PRES = f"""SELECT kit, name, contract_cid, load_seq, xz, x0, fxw, yz, CAS
             CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS fxw, CAST(NULL AS BIGINT) AS yz FROM part WHERE p_size % 9 > 0
           UNION ALL SELECT 'supplier', CAST(s_suppkey AS STRING), concat('c:supplier:', CAST(s_suppkey AS STRING)), s_suppkey, NULL, NULL, 0, s_suppkey % 6 FROM supplier WHERE s_acctbal < 2000) n"""
 
+_CALL = """concat('{"kind":"ctor","name":"part', CAST(l_partkey AS STRING), '","args":[', %s, ']}')"""
+_NUMBER = """concat('{"kind":"const","value":', CAST(%s AS STRING), '}')"""
+_SUM = """concat('{"kind":"ctor","name":"+","args":[{"kind":"var","name":"y"},', %s, ']}')"""
+_EQUATION = """concat('{"kind":"atomic","name":"%s","args":[', %s, ',', %s, ']}')"""
+_OK = """concat('{"kind":"ctor","name":"Ok","args":[', %s, ']}')"""
+_Q, _EXPECTED = "CAST(l_quantity AS BIGINT)", "CAST(l_quantity AS BIGINT) + l_partkey % 4 * 7 + 1"
+_Y = """'{"kind":"var","name":"y"}'"""
+#: Bodies of functions named by parts: each calls the part before it, down to one divisible by 4; some call themselves, ask for something or give no value.
+PART_BODIES = """SELECT concat('part', CAST(p_partkey AS STRING)) AS op, p_partkey AS n, CASE WHEN p_partkey % 50 = 7 THEN p_partkey WHEN p_partkey % 4 <> 0 THEN p_partkey - 1 END AS callee,
+          CASE WHEN p_partkey % 4 = 0 THEN 1 WHEN p_partkey % 9 = 5 THEN 6 ELSE 7 END AS more, CASE WHEN p_partkey % 60 = 11 THEN 'pre-bearing' WHEN p_partkey % 70 = 13 THEN 'no-value' END AS flaw FROM part"""
+
 VIEWS: dict[str, str] = {
+    "part_bodies": PART_BODIES,
+    "body_contracts": f"""
+        SELECT op, concat('{{"kind":"atomic","name":"', CASE WHEN flaw = 'no-value' THEN '<' ELSE '=' END, '","args":[{{"kind":"var","name":"result"}},{{"kind":"ctor","name":"+","args":[',
+          CASE WHEN callee IS NULL THEN '{{"kind":"var","name":"x"}}' ELSE concat('{{"kind":"ctor","name":"part', CAST(callee AS STRING), '","args":[{{"kind":"var","name":"x"}}]}}') END, ',{{"kind":"const","value":', CAST(more AS STRING), '}}]}}]}}') AS post,
+          CASE WHEN flaw = 'pre-bearing' THEN '{{"kind":"atomic","name":"<","args":[{{"kind":"const","value":0}},{{"kind":"var","name":"x"}}]}}' WHEN n % 5 = 0 THEN '{{"kind":"atomic","name":"true","args":[]}}' END AS pre FROM ({PART_BODIES}) b""",
+    "body_claims": f"""
+        SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE l_linenumber WHEN 2 THEN {_EQUATION % ("=", _CALL % (_NUMBER % _Q), _CALL % (_NUMBER % _Q))} WHEN 3 THEN {_EQUATION % ("=", _OK % (_CALL % (_NUMBER % _Q)), _OK % (_NUMBER % _EXPECTED))}
+          WHEN 4 THEN {_EQUATION % ("<", _CALL % (_NUMBER % _Q), _NUMBER % 99)} WHEN 5 THEN {_EQUATION % ("=", _OK % _Y, _Y)} WHEN 6 THEN {_EQUATION % ("=", _CALL % _Y, _SUM % (_NUMBER % "l_partkey % 4 * 7 + 1"))}
+          ELSE {_EQUATION % ("=", _CALL % (_NUMBER % _Q), _NUMBER % _EXPECTED)} END AS formula FROM lineitem""",
     "order_posts": ORDER_POSTS,
     "callee_pres": CALLEE_PRES,
     "formula_contracts": f"""
