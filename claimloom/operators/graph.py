@@ -76,12 +76,83 @@ def direct(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(own, ["a", "c"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+class Search:
+    """Search from both ends of asked pairs (a, c) at once, level by level, over links (node, dst).
+
+    ``ahead[n]`` holds the nodes n steps from a with the least predecessor, ``behind[n]``
+    those n steps before c; a level is taken on the side that has fewer rows. A pair
+    leaves when its sides meet, which is at its least length, or when one ends. So
+    the rows made are those around the asked pairs, and rounds are half a path's length
+    where both sides grow alike.
+    """
+
+    def __init__(self, pairs: DataFrame, edges: DataFrame):
+        ask = pairs.select("a", "c").filter("a is not null and c is not null and a != c").distinct()
+        self.links = edges.filter("src is not null and dst is not null").select(F.col("src").alias("node"), "dst").distinct()
+        self.ahead = [kept(ask.select("a", "c", F.col("a").alias("node"), F.lit(None).cast("string").alias("before")))]
+        self.behind = [kept(ask.select("a", "c", F.col("c").alias("node")))]
+        self.met: list[DataFrame] = []
+        wide = [self.ahead[0].count()] * 2
+        while wide[0] and wide[1]:
+            forward = wide[0] <= wide[1]
+            levels, others = (self.ahead, self.behind) if forward else (self.behind, self.ahead)
+            now = levels[-1].join(others[-1].select("a", "c").distinct(), ["a", "c"], "left_semi")  # a pair goes on only if both of its sides do
+            if self.met:
+                now = now.join(reduce(DataFrame.unionByName, self.met).select("a", "c").distinct(), ["a", "c"], "left_anti")
+            if forward:
+                step = now.join(self.links, "node").groupBy("a", "c", F.col("dst").alias("node")).agg(F.min("node").alias("before"))
+            else:
+                step = now.withColumnRenamed("node", "dst").join(self.links, "dst").select("a", "c", "node").distinct()
+            seen = reduce(DataFrame.unionByName, [x.select("a", "c", "node") for x in levels])
+            new = kept(step.join(seen, ["a", "c", "node"], "left_anti"))
+            levels.append(new)
+            wide[not forward] = new.count()
+            meeting = new.select("a", "c", "node").join(others[-1].select("a", "c", "node"), ["a", "c", "node"])
+            self.met.append(kept(meeting.withColumns({"ahead": F.lit(len(self.ahead) - 1), "behind": F.lit(len(self.behind) - 1)})))
+
+    def lengths(self) -> DataFrame:
+        """(a, c, length) of the pairs that are joined by a path, of least length."""
+        none = self.ahead[0].limit(0).select("a", "c", F.lit(0).alias("length"))
+        return reduce(DataFrame.unionByName, [m.select("a", "c", (F.col("ahead") + F.col("behind")).alias("length")).distinct() for m in self.met], none)
+
+    def paths(self) -> DataFrame:
+        """(a, c, path): of the paths of least length the one whose nodes, read from c, are least one by one."""
+        if not self.met:
+            return self.ahead[0].limit(0).select("a", "c", F.array("node").alias("path"))
+        met = kept(reduce(DataFrame.unionByName, self.met))
+        # from where the sides meet on to c: what lies on a path of least length, with its least predecessor there
+        steps = [x.filter("before is not null").select("a", "c", "node", "before", F.lit(n).alias("at")) for n, x in enumerate(self.ahead) if n]
+        now = met.select("a", "c", "node", "ahead", F.col("behind").alias("left"))
+        for n in range(len(self.behind) - 2, -1, -1):
+            start = now.filter(F.col("left") > n)
+            step = start.join(self.links, "node").select("a", "c", F.col("dst"), F.col("node").alias("from"), "ahead", "left")
+            on = step.join(self.behind[n].select("a", "c", F.col("node").alias("dst")), ["a", "c", "dst"])
+            on = kept(on.groupBy("a", "c", F.col("dst").alias("node")).agg(F.min("from").alias("before"), F.first("ahead").alias("ahead"), F.first("left").alias("left")))
+            steps.append(on.select("a", "c", "node", "before", (F.col("ahead") + F.col("left") - n).alias("at")))
+            now = kept(now.filter(F.col("left") <= n).unionByName(on.select("a", "c", "node", "ahead", "left")))
+        pointers = kept(reduce(DataFrame.unionByName, steps))
+        out = kept(met.select("a", "c", (F.col("ahead") + F.col("behind")).alias("at"), F.col("c").alias("node")).distinct())
+        way, far = [out], out.agg(F.max("at")).first()[0] or 0
+        for _ in range(far):  # back from c, one step of every pair a round
+            out = kept(out.join(pointers, ["a", "c", "node", "at"]).select("a", "c", (F.col("at") - 1).alias("at"), F.col("before").alias("node")))
+            way.append(out)
+        rows = reduce(DataFrame.unionByName, way)
+        return rows.groupBy("a", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("path"))
+
+
+def proof_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (a, c) with ``path``, the nodes of a path of least length, and its length; null where there is none. An end implies itself."""
+    found = Search(pairs, edges).paths()
+    own = F.when(F.col("a") == F.col("c"), F.array("a"))
+    out = pairs.join(found, ["a", "c"], "left").withColumn("path", F.coalesce(own, "path"))
+    return out.withColumn("length", F.when(F.col("path").isNotNull(), F.size("path") - 1))
+
+
 def implies(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs (a, c) with ``how``: reflexive, direct, transitive or none."""
-    own = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.lit(True).alias("_d")).distinct()
-    far = reach(edges, pairs.select(F.col("a").alias("start")).distinct()).select(F.col("start").alias("a"), F.col("node").alias("c"), F.lit(True).alias("_t"))
-    how = F.when(F.col("a") == F.col("c"), "reflexive").when(F.col("_d"), "direct").when(F.col("_t"), "transitive").otherwise("none")
-    return pairs.join(own, ["a", "c"], "left").join(far, ["a", "c"], "left").select("a", "c", how.alias("how"))
+    """Pairs (a, c) with ``how``: reflexive, direct, transitive or none. Only what lies around the pairs is searched."""
+    far = Search(pairs, edges).lengths()
+    how = F.when(F.col("a") == F.col("c"), "reflexive").when(F.col("length") == 1, "direct").when(F.col("length").isNotNull(), "transitive").otherwise("none")
+    return pairs.join(far, ["a", "c"], "left").select("a", "c", how.alias("how"))
 
 
 def outlives(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -417,6 +417,16 @@ def j3_outlives(edges):
     return graph.outlives(_asked(edges), edges)
 
 
+#: All paths that never come back to a node seen earlier at that start, level by level; of least length, the one least from its end.
+PATHS = """t(a, node, path, n) AS (SELECT DISTINCT a, a, [a], 0 FROM p UNION ALL SELECT t.a, e.dst, list_append(t.path, e.dst), t.n + 1 FROM t JOIN (SELECT DISTINCT src, dst FROM implications) e ON e.src = t.node WHERE NOT list_contains(t.path, e.dst) AND t.n < 12),
+best AS (SELECT a, node, min(n) AS n FROM t GROUP BY a, node), chosen AS (SELECT t.a, t.node, list_reverse(min(list_reverse(t.path))) AS path FROM t JOIN best b ON b.a = t.a AND b.node = t.node AND b.n = t.n GROUP BY t.a, t.node)"""
+
+
+@query(f"WITH RECURSIVE {ASKED}, {PATHS} SELECT p.a, p.c, array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INTEGER) AS length FROM p LEFT JOIN chosen ON chosen.a = p.a AND node = p.c", "implications")
+def j1_proof_paths(edges):
+    return graph.proof_paths(_asked(edges), edges).select("a", "c", F.array_join("path", " > ").alias("path"), "length")
+
+
 @query("SELECT a.obligation AS path, a.step AS n, a.version AS left_cid, b.version AS right_cid FROM runs a JOIN runs b ON a.obligation = b.obligation AND b.step = a.step + 1", "runs")
 def j8_edge_composition(runs):
     return graph.compose_edges(runs.select(F.col("obligation").alias("path"), F.col("step").alias("n"), F.col("version").alias("cid")))
