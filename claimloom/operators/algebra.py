@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,22 +45,41 @@ def weaken(obligations: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def opaque_effects(functions: DataFrame, discharged: DataFrame) -> DataFrame:
-    """Opaque effects (function, effect key) without a discharge memento."""
-    effects = functions.select("function", F.explode("effects").alias("e")).select("function", F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
-    return effects.filter(F.col("kind").isin(*sorted(formula.OPAQUE))).join(discharged.select("key").distinct(), "key", "left_anti")
+    """Effects (function, cid, n, kind, key, formals, covered) that are not discharged.
+
+    Discharges have kind, key and function_cid. Loops, early returns, closures and
+    drops need one of their kind and key, a pinned reference one of its key that is
+    also of the function; an unresolved call stays open. Aliasing is open, with the first
+    such two as key, unless ``covered`` (structs a, b) has every two of its formals.
+    An effect without a key is open.
+    """
+    effect = F.col("kind")
+    known = discharged.select("kind", "key", "function_cid").filter("key is not null")
+    looked = functions.filter(effect.isin(*formula.BY_KEY)).join(known.select("kind", "key").distinct(), ["kind", "key"], "left_anti")
+    pins = known.filter("function_cid != ''").select("kind", "key", F.col("function_cid").alias("cid")).distinct()
+    pinned = functions.filter(effect.isin(*formula.BY_FUNCTION)).join(pins, ["kind", "key", "cid"], "left_anti")
+    two = F.expr("flatten(transform(formals, (x, i) -> transform(slice(formals, i + 2, size(formals)), y -> struct(x as a, y as b))))")
+    bare = F.filter(two, lambda p: ~F.exists(F.coalesce("covered", F.expr("cast(array() as array<struct<a:string,b:string>>)")), lambda m: (m["a"] == p["a"]) & (m["b"] == p["b"]) | (m["a"] == p["b"]) & (m["b"] == p["a"])))
+    aliasing = functions.filter(effect.isin(*formula.BY_FORMALS)).withColumn("_bare", bare).filter("size(_bare) > 0").withColumn("key", F.expr("concat_ws('/', _bare[0].a, _bare[0].b)"))
+    parts = [looked, pinned, functions.filter(effect.isin(*formula.NEVER_DISCHARGED)), aliasing]
+    return reduce(DataFrame.unionByName, [x.select("function", "n", "kind", "key") for x in parts])
 
 
 def compose_checked(pairs: DataFrame, discharged: DataFrame) -> DataFrame:
     """Pairs (id, outer, inner, formal) of contracts as JSON to (id, composed): a contract, or why there is none.
 
-    The opaque effects of both sides look up the discharges (key) in a join; what
-    is left open travels with its pair. An effect without a key is open.
+    Contracts have effects (kind, key, for aliasing also formals), cid and covered. The
+    effects of both sides look up the discharges (kind, key, function_cid) in joins;
+    what stays open travels with its pair, in the order in which it is met: the outer's, the
+    inner's, then aliasing of both.
     """
-    schema = "struct<effects:array<struct<kind:string,key:string>>>"
-    none = F.expr("cast(array() as array<struct<kind:string,key:string>>)")
-    effects = F.concat(*[F.coalesce(F.from_json(c, schema)["effects"], none) for c in ("outer", "inner")])
-    open_ = opaque_effects(pairs.select(F.col("id").alias("function"), effects.alias("effects")), discharged)
-    blocked = open_.groupBy(F.col("function").alias("id")).agg(F.collect_set(F.coalesce("key", F.lit(""))).alias("open"))
+    schema = "struct<cid:string,effects:array<struct<kind:string,key:string,formals:array<string>>>,covered:array<struct<a:string,b:string>>>"
+    sides = F.posexplode(F.array(*[F.from_json(c, schema) for c in ("outer", "inner")])).alias("side", "c")
+    met = pairs.select(F.col("id").alias("function"), sides).select("function", "side", "c.cid", "c.covered", F.posexplode("c.effects").alias("at", "e"))
+    turn = F.struct(F.col("e.kind").isin(*formula.BY_FORMALS).alias("late"), "side", "at")
+    open_ = opaque_effects(met.select("function", "cid", "covered", turn.alias("n"), "e.kind", "e.key", "e.formals"), discharged)
+    order = F.array_sort(F.collect_list(F.struct("n", "kind", "key")))
+    blocked = open_.groupBy(F.col("function").alias("id")).agg(F.transform(order, lambda x: F.struct(x["kind"].alias("kind"), x["key"].alias("key"))).alias("open"))
 
     def run(batches):
         for pdf in batches:

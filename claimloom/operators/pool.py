@@ -50,24 +50,35 @@ def panic_loci(sites: DataFrame, loci: DataFrame) -> DataFrame:
 
 
 def attribute_safety(sites: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Sites (receiver_class, attribute, guards) with ``status`` and ``reason``.
+    """Sites (receiver_class, attribute, arg_term, guards) with ``status`` and ``reason``.
 
-    Shapes have class_name and guaranteed, an array. A guard on the site that
-    names the attribute discharges, else the shape of the class does; empty
-    classes are unknown.
+    ``arg_term`` is the access as a term, ``python:attribute`` of the receiver and the
+    attribute's name; an argument of another form or another attribute is malformed.
+    A guard discharges if it is the fact that this receiver's term has the attribute;
+    the same attribute of another receiver is not. Else the shape (class_name, attribute,
+    and closed if given) of a closed class does. Terms and guards are canonical JSON.
     """
-    known = shapes.groupBy("class_name").agg(F.array_sort(F.collect_set("attribute")).alias("guaranteed"))
-    met = sites.join(known.withColumnRenamed("class_name", "receiver_class"), "receiver_class", "left")
-    attribute = F.col("attribute")
+    attribute, term = F.col("attribute"), F.col("arg_term")
+    there = shapes if "closed" not in shapes.columns else shapes.filter("closed")
+    classes = there.select(F.col("class_name").alias("receiver_class"), F.lit(True).alias("_shape")).distinct()
+    own = there.select(F.col("class_name").alias("receiver_class"), "attribute", F.lit(True).alias("_own")).distinct()
+    path = lambda p: F.get_json_object(term, p)
+    fits = (path("$.kind") == "ctor") & (path("$.name") == "python:attribute") & (path("$.args[1].value") == attribute) & path("$.args[0]").isNotNull() & path("$.args[2]").isNull()
+    quoted = F.to_json(F.array(attribute))
+    quoted = quoted.substr(F.lit(2), F.length(quoted) - 2)
+    needed = F.concat(F.lit('{"args":['), path("$.args[0]"), F.lit(',{"kind":"const","sort":{"kind":"primitive","name":"String"},"value":'), quoted, F.lit('}],"kind":"atomic","name":"attribute_present"}'))
+    met = sites.join(classes, "receiver_class", "left").join(own, ["receiver_class", "attribute"], "left")
+    false = lambda c: F.coalesce(c, F.lit(False))
     reason = (
         F.when(F.coalesce(F.col("receiver_class") == "", F.lit(True)), "unknown-class")
         .when(F.coalesce(attribute == "", F.lit(True)), "no-attribute")
-        .when(F.array_contains("guards", attribute), "guarded")
-        .when(F.col("guaranteed").isNull(), "no-shape")
-        .when(F.array_contains("guaranteed", attribute), "guaranteed")
+        .when(~false(fits), "malformed")
+        .when(false(F.array_contains("guards", needed)), "guarded")
+        .when(F.col("_shape").isNull(), "no-shape")
+        .when(F.col("_own"), "guaranteed")
         .otherwise("not-guaranteed")
     )
-    return met.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isin("guarded", "guaranteed"), "discharged").otherwise("unproven")).drop("guaranteed")
+    return met.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isin("guarded", "guaranteed"), "discharged").otherwise("undecidable")).drop("_shape", "_own")
 
 
 def unaccounted(buckets: DataFrame, ledger: DataFrame) -> DataFrame:

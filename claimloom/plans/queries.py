@@ -664,11 +664,16 @@ def e3_panic_loci(edges):
 
 
 @query("""WITH s AS (SELECT kind, list(DISTINCT path) AS g FROM loci WHERE status = 'warranted' GROUP BY kind),
-r AS (SELECT l.file, l.path, l.kind, l.status, CASE WHEN length(l.file) = 2 THEN 'unknown-class' WHEN l.status = 'refused' AND length(l.path) % 5 = 0 THEN 'guarded' WHEN s.g IS NULL THEN 'no-shape' WHEN list_contains(s.g, l.path) THEN 'guaranteed' ELSE 'not-guaranteed' END AS reason FROM loci l LEFT JOIN s ON s.kind = l.kind)
-SELECT file, path, reason, CASE WHEN reason IN ('guarded', 'guaranteed') THEN 'discharged' ELSE 'unproven' END AS status FROM r""", "loci")
+r AS (SELECT l.file, l.path, l.kind, l.status, CASE WHEN length(l.file) = 2 THEN 'unknown-class' WHEN length(l.path) % 7 = 3 THEN 'malformed' WHEN l.status = 'refused' AND length(l.path) % 5 = 0 THEN 'guarded' WHEN s.g IS NULL THEN 'no-shape' WHEN list_contains(s.g, l.path) THEN 'guaranteed' ELSE 'not-guaranteed' END AS reason FROM loci l LEFT JOIN s ON s.kind = l.kind)
+SELECT file, path, reason, CASE WHEN reason IN ('guarded', 'guaranteed') THEN 'discharged' ELSE 'undecidable' END AS status FROM r""", "loci")
 def e15_attribute_safety(loci):
-    own = F.when((F.col("status") == "refused") & (F.length("path") % 5 == 0), F.array("path")).otherwise(F.expr("cast(array() as array<string>)"))
-    sites = loci.select("file", F.when(F.length("file") == 2, "").otherwise(F.col("kind")).alias("receiver_class"), F.col("path").alias("attribute"), own.alias("guards"))
+    name = lambda c: F.concat(F.lit('{"kind":"const","sort":{"kind":"primitive","name":"String"},"value":"'), c, F.lit('"}'))
+    receiver = lambda c: F.concat(F.lit('{"kind":"var","name":"'), c, F.lit('"}'))
+    fact = lambda r: F.concat(F.lit('{"args":['), receiver(r), F.lit(","), name(F.col("path")), F.lit('],"kind":"atomic","name":"attribute_present"}'))
+    said = F.when(F.length("path") % 7 == 3, F.lit("other")).otherwise(F.col("path"))  # some accesses are of another attribute than their site says
+    term = F.concat(F.lit('{"args":['), receiver(F.col("file")), F.lit(","), name(said), F.lit('],"kind":"ctor","name":"python:attribute"}'))
+    guards = F.when((F.col("status") == "refused") & (F.length("path") % 5 == 0), F.array(fact(F.lit("q")), fact(F.col("file")))).otherwise(F.array(fact(F.lit("q"))))  # one of another receiver everywhere
+    sites = loci.select("file", F.when(F.length("file") == 2, "").otherwise(F.col("kind")).alias("receiver_class"), F.col("path").alias("attribute"), term.alias("arg_term"), guards.alias("guards"))
     shapes = loci.filter("status = 'warranted'").select(F.col("kind").alias("class_name"), F.col("path").alias("attribute"))
     return pool.attribute_safety(sites, shapes).select("file", F.col("attribute").alias("path"), "reason", "status")
 
@@ -799,18 +804,29 @@ def l17_rerun_discharge(lines, orders):
     return pool.rerun_discharge(known.select("suite", pinned.alias("pinned")), runs, outcomes)
 
 
-@query("""SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'opaque' WHEN 1 THEN 'impure' WHEN 2 THEN 'no-result' ELSE 'made' END AS outcome FROM nation""", "nation")
-def k16_checked_composition(nations):
-    key, number = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+#: The kinds of effects, one for each remainder of a part's number; 0 has none.
+EFFECT_KINDS = "none opaque_loop early_return closure_capture unresolved_call drop pinned_reference possible_aliasing reads writes io unsafe panics raw_pointer_provenance atomic_access".split()
+
+
+@query(f"""WITH k AS (SELECT unnest({EFFECT_KINDS}) AS kind, unnest(range({len(EFFECT_KINDS)})) AS n), p AS (SELECT p_partkey AS id, p_size, kind, p_partkey % 17 = 0 AS outer_too FROM part JOIN k ON n = p_partkey % {len(EFFECT_KINDS)})
+SELECT id, CASE WHEN outer_too AND p_size % 3 = 0 THEN 'opaque:early_return' WHEN kind IN ('opaque_loop', 'early_return', 'closure_capture', 'drop') AND p_size % 3 = 0 THEN 'opaque:' || kind WHEN kind = 'unresolved_call' THEN 'opaque:unresolved_call'
+  WHEN kind = 'pinned_reference' AND (p_size % 3 = 0 OR p_size % 2 = 1) THEN 'opaque:pinned_reference' WHEN kind = 'possible_aliasing' AND p_size % 4 <> 0 THEN 'opaque:possible_aliasing'
+  WHEN kind IN ('reads', 'writes', 'io', 'unsafe', 'panics', 'raw_pointer_provenance', 'atomic_access') THEN 'impure' WHEN p_size % 11 = 1 THEN 'no-result' ELSE 'made' END AS outcome FROM p""", "part")
+def k16_checked_composition(parts):
+    number, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    kind = F.element_at(F.array(*[F.lit(k) for k in EFFECT_KINDS]), (F.col("p_partkey") % len(EFFECT_KINDS) + 1).cast("int"))
+    effect = lambda kind, key: F.concat(F.lit('{"kind":"'), kind, F.lit('","formals":["y","z"],"key":"'), key, number, F.lit('"}'))
     equation = F.concat(F.lit('{"kind":"atomic","name":"=","args":[{"kind":"var","name":"result"},{"kind":"const","value":'), number, F.lit("}]}"))
     bound = '{"kind":"atomic","name":"<","args":[{"kind":"var","name":"x"},{"kind":"const","value":99}]}'
-    loop = F.concat(F.lit('{"kind":"opaque_loop","key":"k'), number, F.lit('"}'))
-    effects = F.when(key % 4 == 1, F.lit('{"kind":"io","key":"f"}')).otherwise(loop)
-    inner = F.concat(F.lit('{"formals":["y"],"effects":['), effects, F.lit('],"post":'), F.when(key % 4 == 2, F.lit(bound)).otherwise(equation), F.lit("}"))
-    pairs = nations.select(key.alias("id"), F.lit('{"formals":["x"],"effects":[],"pre":' + bound + "}").alias("outer"), inner.alias("inner"), F.lit(0).alias("formal"))
-    discharged = nations.filter(key % 4 != 0).select(F.concat(F.lit("k"), number).alias("key"))
-    made = algebra.compose_checked(pairs.withColumn("id", F.col("id").cast("string")), discharged)
-    return made.select(F.col("id").cast("int").alias("id"), F.coalesce(F.get_json_object("composed", "$.refused"), F.lit("made")).alias("outcome"))
+    inner = F.concat(F.lit('{"cid":"c'), number, F.lit('","formals":["y","z"],"covered":['), F.when(size % 4 == 0, F.lit('{"a":"z","b":"y"}')).otherwise(""), F.lit('],"effects":['), F.when(kind == "none", "").otherwise(effect(kind, F.lit("k"))), F.lit('],"post":'), F.when(size % 11 == 1, F.lit(bound)).otherwise(equation), F.lit("}"))
+    outer = F.concat(F.lit('{"cid":"o","formals":["x"],"pre":' + bound + ',"effects":['), F.when(F.col("p_partkey") % 17 == 0, effect(F.lit("early_return"), F.lit("t"))).otherwise(""), F.lit("]}"))
+    pairs = parts.select(number.alias("id"), outer.alias("outer"), inner.alias("inner"), F.lit(0).alias("formal"))
+    owner = F.when(size % 2 == 0, F.concat(F.lit("c"), number)).otherwise("other")
+    known = parts.filter(size % 3 != 0)
+    discharged = known.select(kind.alias("kind"), F.concat(F.lit("k"), number).alias("key"), owner.alias("function_cid")).unionByName(known.select(F.lit("early_return").alias("kind"), F.concat(F.lit("t"), number).alias("key"), owner.alias("function_cid")))
+    made = algebra.compose_checked(pairs, discharged)
+    refused, of = F.get_json_object("composed", "$.refused"), F.get_json_object("composed", "$.kind")
+    return made.select(F.col("id").cast("bigint").alias("id"), F.when(refused == "opaque", F.concat(refused, F.lit(":"), of)).otherwise(F.coalesce(refused, F.lit("made"))).alias("outcome"))
 
 
 #: The difference part as SQL: shortest paths between 0, x, y, z and w for every post, by one edge a step; then each pre against them.

@@ -274,17 +274,51 @@ def test_checked_composition(spark):
     x, r = {"kind": "var", "name": "x"}, {"kind": "var", "name": "result"}
     seven = {"kind": "const", "value": 7}
     less = lambda a: {"kind": "atomic", "name": "<", "args": [a, {"kind": "const", "value": 9}]}
-    outer = {"formals": ["x"], "pre": less(x), "effects": []}
-    inner = lambda *effects: {"formals": ["y"], "post": {"kind": "atomic", "name": "=", "args": [r, seven]}, "effects": list(effects)}
-    loop, keyless, write = {"kind": "opaque_loop", "key": "k"}, {"kind": "opaque_loop"}, {"kind": "io", "key": "f"}
-    cases = {"plain": (inner(), 0), "done": (inner(loop), 0), "open": (inner({"kind": "opaque_loop", "key": "q"}), 0), "keyless": (inner(keyless), 0), "io": (inner(write), 0), "formal": (inner(), 1), "result": ({**inner(), "post": less(r)}, 0)}
-    rows = [(i, json.dumps(outer), json.dumps(c), n) for i, (c, n) in cases.items()]
+    plain = {"formals": ["x"], "pre": less(x), "effects": []}
+    inner = lambda *effects, **more: {"cid": "i", "formals": ["y"], "post": {"kind": "atomic", "name": "=", "args": [r, seven]}, "effects": list(effects)} | more
+    e = lambda kind, key="q", **more: {"kind": kind, "key": key} | more
+    alias = e("possible_aliasing", None, formals=["a", "b", "c"])
+    covered = [{"a": "b", "b": "a"}, {"a": "a", "b": "c"}, {"a": "c", "b": "b"}]
+    cases = {
+        "plain": (plain, inner(), 0, None),
+        "done": (plain, inner(e("opaque_loop", "k")), 0, None),
+        "other kind": (plain, inner(e("early_return", "k")), 0, "early_return"),
+        **{k: (plain, inner(e(k)), 0, k) for k in ("opaque_loop", "early_return", "closure_capture", "drop", "unresolved_call", "pinned_reference")},
+        "discharged call": (plain, inner(e("unresolved_call", "k")), 0, "unresolved_call"),
+        "keyless": (plain, inner({"kind": "opaque_loop"}), 0, "opaque_loop"),
+        "pin": (plain, inner(e("pinned_reference", "p")), 0, None),
+        "pin of another": (plain, inner(e("pinned_reference", "p"), cid="j"), 0, "pinned_reference"),
+        "pin of nobody": (plain, inner(e("pinned_reference", "p"), cid=""), 0, "pinned_reference"),
+        "aliasing": (plain, inner(alias, covered=covered[:2]), 0, "possible_aliasing"),
+        "aliasing covered": (plain, inner(alias, covered=covered), 0, None),
+        "aliasing of one": (plain, inner(e("possible_aliasing", None, formals=["a"])), 0, None),
+        "outer first": ({**plain, "effects": [alias, e("drop", "d")]}, inner(e("opaque_loop")), 0, "drop"),
+        "inner before aliasing": ({**plain, "effects": [alias]}, inner(e("opaque_loop")), 0, "opaque_loop"),
+    }
+    refused = {"io": (plain, inner(e("io")), 0, "impure"), "raw": (plain, inner(e("raw_pointer_provenance")), 0, "impure"), "formal": (plain, inner(), 1, "no-formal"), "result": (plain, inner(post=less(r)), 0, "no-result")}
+    rows = [(i, json.dumps(o), json.dumps(c), n) for i, (o, c, n, _) in (cases | refused).items()]
     pairs = spark.createDataFrame(rows, "id string, outer string, inner string, formal int")
-    done = spark.createDataFrame([("k",), ("k",), (None,)], "key string")
+    done = spark.createDataFrame([("opaque_loop", "k", None), ("opaque_loop", "k", "i"), ("unresolved_call", "k", None), ("pinned_reference", "p", "i"), ("pinned_reference", "p", ""), ("drop", None, None)], "kind string, key string, function_cid string")
     got = {i: json.loads(c) for i, c in algebra.compose_checked(pairs, done).collect()}
     assert got["plain"] == got["done"] and got["plain"]["formals"] == ["y"] and json.dumps(less(seven), sort_keys=True) in json.dumps(got["plain"]["pre"], sort_keys=True)
-    assert {i: got[i].get("refused") for i in ("open", "keyless", "io", "formal", "result")} == {"open": "opaque", "keyless": "opaque", "io": "impure", "formal": "no-formal", "result": "no-result"}
-    assert got["open"]["effects"] == ["q"]
+    for i, (_, _, _, kind) in cases.items():
+        assert (got[i].get("refused"), got[i].get("kind")) == (("opaque", kind) if kind else (None, None)), i
+    assert {i: got[i].get("refused") for i in refused} == {i: why for i, (*_, why) in refused.items()}
+    assert got["aliasing"]["key"] == "b/c"
+
+
+def test_attribute_safety_asks_for_this_receiver(spark):
+    term = lambda r, a: json.dumps({"args": [{"kind": "var", "name": r}, {"kind": "const", "value": a}], "kind": "ctor", "name": "python:attribute"}, separators=(",", ":"))
+    fact = lambda r, a: json.dumps({"args": [{"kind": "var", "name": r}, {"kind": "const", "sort": {"kind": "primitive", "name": "String"}, "value": a}], "kind": "atomic", "name": "attribute_present"}, separators=(",", ":"))
+    sites = [
+        ("own", "C", "x", term("r", "x"), [fact("q", "x"), fact("r", "x")]), ("other receiver", "C", "x", term("r", "x"), [fact("q", "x")]), ("other attribute", "C", "x", term("r", "y"), [fact("r", "x")]), ("no term", "C", "x", None, [fact("r", "x")]),
+        ("no class", None, "x", term("r", "x"), [fact("r", "x")]), ("no name", "C", "", term("r", ""), []), ("shape", "C", "s", term("r", "s"), None), ("open shape", "O", "s", term("r", "s"), []), ("unknown", "U", "s", term("r", "s"), []),
+    ]
+    shapes = spark.createDataFrame([("C", "s", True), ("O", "s", False)], "class_name string, attribute string, closed boolean")
+    got = {r["site"]: (r["reason"], r["status"]) for r in pool.attribute_safety(spark.createDataFrame(sites, "site string, receiver_class string, attribute string, arg_term string, guards array<string>"), shapes).collect()}
+    open_ = lambda why: (why, "undecidable")
+    assert got == {"own": ("guarded", "discharged"), "other receiver": open_("not-guaranteed"), "other attribute": open_("malformed"), "no term": open_("malformed"), "no class": open_("unknown-class"), "no name": open_("no-attribute"),
+                   "shape": ("guaranteed", "discharged"), "open shape": open_("no-shape"), "unknown": open_("no-shape")}
 
 
 def test_report_of_nothing_is_vacuous_and_fails(spark):
