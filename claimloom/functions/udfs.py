@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bundle, canon, crypto, formula, smt
+from . import batch, bundle, canon, crypto, formula, smt
 
 
 def _each(f: Callable, kind) -> Callable:
@@ -40,7 +40,15 @@ def _json(f):
 
 
 S, B = T.StringType(), T.BooleanType()
-cid = _each(lambda v: crypto.cid(bytes(v) if not isinstance(v, str) else v), S)(1)
+
+
+def _cid(a: pd.Series) -> pd.Series:
+    values = [None if v is None else v.encode() if isinstance(v, str) else bytes(v) for v in a]
+    made = iter(batch.digests([v for v in values if v is not None]))
+    return pd.Series([None if v is None else "blake3-512:" + next(made).hex() for v in values], dtype=object)
+
+
+cid = F.pandas_udf(_cid, S)
 jcs = _each(_json(lambda v: canon.jcs(v, "linker")), S)(1)
 formula_cid = _each(_json(canon.formula_cid), S)(1)
 formula_hash = _each(_json(canon.formula_hash), S)(1)

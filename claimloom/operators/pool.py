@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import canon, formula, udfs
 from ..functions import columns as C
+from ..functions import formula
+from . import sets
 
 
 def contracts(members: DataFrame) -> DataFrame:
@@ -111,9 +112,8 @@ def dependency_lines(packages: DataFrame) -> DataFrame:
 
 
 def dependency_vector(packages: DataFrame) -> DataFrame:
-    """One row (cid, n) for the dependencies of one lock file, which fits a row."""
-    lines = dependency_lines(packages).agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return lines.select(udfs.cid(F.array_join("lines", "\n")).alias("cid"), F.size("lines").alias("n"))
+    """One row (cid, n): the id of the sorted lines, duplicates kept, joined by line ends."""
+    return sets.tree_ids(dependency_lines(packages), [], F.col("line"), F.col("line"), "", "\n", "").select("cid", "n")
 
 
 def in_site_order(sites: DataFrame) -> DataFrame:
@@ -220,9 +220,3 @@ def self_posts(rows: DataFrame, solve) -> DataFrame:
             yield pd.DataFrame(out, columns=["cid", "verdict", "method"])
 
     return rows.select("cid", "post").mapInPandas(run, "cid string, verdict string, method string")
-
-
-def set_ids(rows: DataFrame, by: str, member: str, distinct: bool = False) -> DataFrame:
-    """Exact set id of each group, for groups that fit a row."""
-    made = F.pandas_udf(lambda s: s.map(lambda x: canon.set_cid(list(x), distinct)), "string")
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(member)).alias("m")).select(by, made("m").alias("set_cid"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs
-from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking
+from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets
 from ..sources import sinks
 from .views import view, with_views
 
@@ -294,6 +294,25 @@ def f11_distinct_set(members):
     return claims.set_digest(members, "bundle_cid", "member_cid").withColumn("rejected", F.col("n") != F.col("n_distinct"))
 
 
+@query(None, "contracts")
+def f9_contract_set_ids(contracts):
+    return sets.set_ids(contracts, ["kit"], "contract_cid")
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT member) AS n_distinct, string_agg(member, ' ' ORDER BY member) AS members, sum(length(member) + 3) + 1 AS n_bytes FROM (SELECT l_orderkey, concat(l_returnflag, l_linestatus, l_linenumber % 2) AS member FROM lineitem) m GROUP BY l_orderkey)
+SELECT l_orderkey, n, n_distinct, CAST(n_bytes AS BIGINT) AS n_bytes, n = n_distinct AS has_id, CASE WHEN n = n_distinct THEN min(l_orderkey) OVER (PARTITION BY members) END AS first_alike FROM g""", "lineitem")
+def f10_f11_equal_sets(lines):
+    rows = lines.select("l_orderkey", F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).cast("string")).alias("member"))
+    ids = sets.set_ids(rows, ["l_orderkey"], "member", distinct=True)
+    first = ids.groupBy("set_cid").agg(F.min("l_orderkey").alias("first_alike"))
+    return ids.join(first, "set_cid", "left").select("l_orderkey", "n", "n_distinct", "n_bytes", F.col("set_cid").isNotNull().alias("has_id"), "first_alike")
+
+
+@query(None, "loci")
+def f13_dependency_id(loci):
+    return pool.dependency_vector(loci.select(F.col("kind").alias("name"), F.col("path").alias("version"), F.col("file").alias("source"), F.col("status").alias("checksum")))
+
+
 @query("SELECT behaviour AS op_cid, string_agg(name, ',' ORDER BY name) AS members, count(*) AS n FROM claims_before GROUP BY behaviour", "claims_before")
 def f12_clusters(before):
     return before.groupBy(F.col("behaviour").alias("op_cid")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"), F.count("*").alias("n"))
