@@ -29,6 +29,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LIMIT = 1.0
 #: Least characters of a segment; a segment ends where its sum over the limit fell by so many nats; characters that part words.
 LEAST, DROP, PARTERS = 20, 8.0, "/_=+-"
+#: Pairs of a token whose segments are gathered together.
+SEGMENT_BLOCK = 1024
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Samples of ordinary identifiers, paths and numbers (label 0).
@@ -106,17 +108,20 @@ def _random(model: dict, token: Column, limit: float) -> Column:
 
     A segment is a run of pairs whose running sum of ratio less ``limit`` stays
     over zero, up to where it is largest. Both ends or one move out to the next
-    character that parts words if the mean still exceeds the limit.
+    character that parts words if the mean still exceeds the limit. Segments are
+    gathered block by block, means come from prefix sums and the characters that part
+    words from running places, so that a token of any length costs about its length.
     """
     ratio = F.split(F.lit(",".join(map(repr, model["ratio"]))), ",").cast("array<double>")
     alphabet, n = F.lit(model["alphabet"]), len(model["alphabet"])
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.call_function("instr", alphabet, F.substring(token, i, F.lit(1))) - 1)
+    codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
     part = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     mean = lambda r: F.aggregate(r, F.lit(0.0), lambda x, y: x + y) / F.size(r)
-    plain = F.translate(token, PARTERS, PARTERS[-1] * len(PARTERS))
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
 
-    def segments(r):
-        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), F.lit(0).alias("b"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out"))
+    def raw_segments(r):
+        def state(i, a, total, top, b, out):
+            return F.struct(i.alias("i"), a.alias("a"), total.alias("sum"), top.alias("top"), b.alias("b"), out.alias("out"))
 
         def closed(acc):  # short ones too: the ends may still move out
             return F.when(acc["top"] > 0, F.concat(acc["out"], F.array(part(acc["a"], acc["b"])))).otherwise(acc["out"])
@@ -126,26 +131,49 @@ def _random(model: dict, token: Column, limit: float) -> Column:
             ends = (total <= 0) | (total < acc["top"] - DROP)
             more = total > acc["top"]
             i = acc["i"] + 1
-            return F.struct(
-                i.alias("i"),
-                F.when(ends, i).otherwise(acc["a"]).alias("a"),
-                F.when(ends, F.lit(0.0)).otherwise(total).alias("sum"),
-                F.when(ends, F.lit(0.0)).when(more, total).otherwise(acc["top"]).alias("top"),
-                F.when(ends, i).when(more, i + 1).otherwise(acc["b"]).alias("b"),
-                F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"),
+            return state(
+                i,
+                F.when(ends, i).otherwise(acc["a"]),
+                F.when(ends, F.lit(0.0)).otherwise(total),
+                F.when(ends, F.lit(0.0)).when(more, total).otherwise(acc["top"]),
+                F.when(ends, i).when(more, i + 1).otherwise(acc["b"]),
+                F.when(ends, closed(acc)).otherwise(acc["out"]),
             )
 
-        def widened(s):
-            a = s["a"] - F.length(F.substring_index(F.substring(plain, F.lit(1), s["a"]), PARTERS[-1], -1))
-            b = s["b"] + F.length(F.substring_index(F.substring(plain, s["b"] + 1, F.length(token)), PARTERS[-1], 1))
+        def block(acc, k):  # a block gathers its own segments, so that a step does not carry all those before
+            own = state(acc["i"], acc["a"], acc["sum"], acc["top"], acc["b"], none)
+            return F.aggregate(F.slice(r, k * SEGMENT_BLOCK + 1, F.lit(SEGMENT_BLOCK)), own, step, lambda x: state(x["i"], x["a"], x["sum"], x["top"], x["b"], F.concat(acc["out"], x["out"])))
+
+        zero = state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), none)
+        blocks = F.sequence(F.lit(0), ((F.size(r) - 1) / SEGMENT_BLOCK).cast("int"))
+        return F.aggregate(blocks, zero, block, closed)
+
+    def segments(r):
+        chars = F.split(F.translate(token, PARTERS, PARTERS[-1] * len(PARTERS)), "")
+        parter = lambda c: c == PARTERS[-1]
+        after = util.running(F.transform(chars, lambda c, i: F.when(parter(c), i + 1).otherwise(0)), F.greatest)  # where the word of each place begins
+        until = F.reverse(util.running(F.reverse(F.transform(chars, lambda c, i: F.when(parter(c), i).otherwise(F.length(token)))), F.least))  # and where it ends
+
+        def of_sums(sums, after, until, found):
+            total = lambda a, b: F.coalesce(F.get(sums, b - 1), F.lit(0.0)) - F.coalesce(F.get(sums, a - 1), F.lit(0.0))
+
+            def widened(s):
+                a = F.coalesce(F.get(after, s["a"] - 1), F.lit(0))
+                b = F.coalesce(F.get(until, s["b"]), F.length(token))
+
+                def long(x):
+                    pairs = x["b"] - x["a"] - 1
+                    return (x["b"] - x["a"] >= LEAST) & (total(x["a"], x["b"] - 1) / pairs > limit)
+
+                ways = F.array(part(a, b), part(s["a"], b), part(a, s["b"]), part(s["a"], s["b"]))
+                return F.get(F.filter(ways, long), F.lit(0))
 
-            def long(x):
-                return (x["b"] - x["a"] >= LEAST) & (mean(F.slice(r, x["a"] + 1, x["b"] - x["a"] - 1)) > limit)
+            return util.let(F.array_compact(F.transform(found, widened)), lambda w: F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1) != x)))
 
-            ways = F.array(part(a, b), part(s["a"], b), part(a, s["b"]), part(s["a"], s["b"]))
-            return F.get(F.filter(ways, long), F.lit(0))
+        def with_found(found):
+            return util.let(util.prefix_sums(r), lambda sums: util.let(after, lambda x: util.let(until, lambda y: of_sums(sums, x, y, found))))
 
-        return F.array_distinct(F.array_compact(F.transform(F.aggregate(r, zero, step, closed), widened)))
+        return util.let(raw_segments(r), lambda found: F.when(F.size(found) > 0, with_found(found)).otherwise(none))
 
     def of_ratios(r):
         return F.when(mean(r) > limit, F.array(part(F.lit(0), F.length(token)))).otherwise(segments(r))

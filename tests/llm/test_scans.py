@@ -300,3 +300,60 @@ def test_running(spark):
     for r in df.select("a", util.prefix_sums(F.col("a")).alias("s"), util.running(F.col("a"), F.greatest).alias("m")).collect():
         assert r["s"] == list(itertools.accumulate(r["a"])) and r["m"] == list(itertools.accumulate(r["a"], max))
 
+
+
+def plain_markov(token, model, limit=1.0):
+    """Parts of a token that are random, in plain Python."""
+    at = {c: i for i, c in enumerate(model["alphabet"])}
+    r = [model["ratio"][at[a] * len(at) + at[b]] for a, b in itertools.pairwise(token)]
+    if sum(r) / len(r) > limit:
+        return [(0, len(token))]
+    found, a, total, top, b = [], 0, 0.0, 0.0, 0
+    for i, x in enumerate(r):
+        new = total + x - limit
+        if new <= 0 or new < top - 8.0:
+            if top > 0:
+                found.append((a, b))
+            a, total, top, b = i + 1, 0.0, 0.0, i + 1
+        else:
+            total = new
+            if new > top:
+                top, b = new, i + 2
+    if top > 0:
+        found.append((a, b))
+    sums = [0.0, *itertools.accumulate(r)]
+    out = []
+    for a, b in found:
+        wide_a = max((i + 1 for i in range(a) if token[i] in "/_=+-"), default=0) if len(token) < 5000 else a - next((k for k in range(a) if token[a - 1 - k] in "/_=+-"), a)
+        wide_b = next((i for i in range(b, len(token)) if token[i] in "/_=+-"), len(token))
+        for x, y in ((wide_a, wide_b), (a, wide_b), (wide_a, b), (a, b)):
+            if y - x >= 20 and (sums[y - 1] - sums[x]) / (y - x - 1) > limit:
+                if not out or out[-1] != (x, y):
+                    out.append((x, y))
+                break
+    return out
+
+
+def test_secret_query_against_the_plain_method(spark, tmp_path):
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def token(n):
+        out = ""
+        while len(out) < n:
+            out += rng.choice(["", "", "/", "_", "-"]) + rng.choice(["".join(rng.choice(letters) for _ in range(rng.randint(6, 40))), "getUserNameFromTable", "configuration_manager", "the-quick-value", "zzzzzzzzzz"])
+        return out[:n]
+
+    texts = [" ".join(token(rng.choice([20, 21, 40, 90, 300])) for _ in range(4)) for _ in range(40)] + [token(60_000), "", None, token(1023), token(1025), token(2050)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.query(spark, str(tmp_path)).collect()}
+    n = 0
+    for i, t in enumerate(texts):
+        base = {(s, k, e) for s, k, e in brute_secrets(t)}
+        assert not base  # the texts are made without base patterns, so the models judge whole tokens
+        want = sorted((m.start() + a, m.start() + b) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or "") for a, b in plain_markov(m[0], model))
+        assert got[i]["spans"] == ",".join(f"markov:{a}:{b}" for a, b in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+        n += len(want)
+    assert n > 300
