@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
+def looked_up(rows: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on columns of both, in one pass over ``rows``: those with a null key meet nothing, and are dealt out by their other columns instead of meeting in one task."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    salted = rows.withColumn("_salt", F.when(whole, 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).cast("int"))
+    return salted.join(right.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").drop("_salt")
+
+
 def name_index(contracts: DataFrame) -> DataFrame:
     """(kit, name) to the least contract id."""
     return contracts.groupBy("kit", "name").agg(F.min("contract_cid").alias("resolved_cid"))
 
 
 def resolve(edges: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Edges with ``resolved``: the direct target if given, else kit and name of the symbol.
-
-    Edges with a target or without a whole symbol look nothing up, so they stay
-    out of the join and do not meet on a null key.
-    """
+    """Edges with ``resolved``: the direct target if given, else kit and name of the symbol. Only the latter look anything up."""
     kit, name = C.split_symbol(F.col("target_symbol"))
-    keyed = edges.withColumns({"_kit": kit, "_name": name})
-    asks = F.col("target_cid").isNull() & F.col("_name").isNotNull()
-    index = name_index(contracts).select(F.col("kit").alias("_kit"), F.col("name").alias("_name"), F.col("resolved_cid").alias("resolved"))
-    looked_up = keyed.filter(asks).join(index, ["_kit", "_name"], "left")
-    given = keyed.filter(~asks).withColumn("resolved", F.col("target_cid"))
-    return looked_up.unionByName(given).drop("_kit", "_name")
+    asks = F.col("target_cid").isNull()
+    keyed = edges.withColumns({"_kit": F.when(asks, kit), "_name": F.when(asks, name)})
+    index = name_index(contracts).select(F.col("kit").alias("_kit"), F.col("name").alias("_name"), F.col("resolved_cid").alias("_found"))
+    return looked_up(keyed, index, ["_kit", "_name"]).withColumn("resolved", F.coalesce("target_cid", "_found")).drop("_kit", "_name", "_found")
 
 
 def verifier_edges(edges: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -41,12 +44,12 @@ def obligations(edges: DataFrame, contracts: DataFrame) -> DataFrame:
 
     ``needs-decision`` marks implications of two different formulas. Of rows that
     share a contract id the least formula counts. Unresolved edges ask for no
-    precondition and stay out of that join.
+    precondition.
     """
-    posts = contracts.groupBy(F.col("contract_cid").alias("source_cid")).agg(F.min("post").alias("source_post"))
-    pres = contracts.groupBy(F.col("contract_cid").alias("resolved")).agg(F.min("pre").alias("target_pre"))
-    known = resolve(edges, contracts).join(posts, "source_cid", "left")
-    joined = known.filter("resolved is not null").join(pres, "resolved", "left").unionByName(known.filter("resolved is null"), allowMissingColumns=True)
+    least = contracts.groupBy("contract_cid").agg(F.min("post").alias("source_post"), F.min("pre").alias("target_pre"))
+    posts = least.select(F.col("contract_cid").alias("source_cid"), "source_post")
+    pres = least.select(F.col("contract_cid").alias("resolved"), "target_pre")
+    joined = looked_up(looked_up(resolve(edges, contracts), posts, ["source_cid"]), pres, ["resolved"])
     outcome = (
         F.when(F.col("resolved").isNull(), "unresolved-symbol")
         .when(F.col("source_post").isNull(), "unprovable-obligation")
@@ -71,10 +74,10 @@ def pinned(callsites: DataFrame, members: DataFrame, contracts: DataFrame | None
     """
     own = members.select(F.col("bundle_cid").alias("pinned_bundle"), F.col("member_cid").alias("target_cid"), F.lit(True).alias("_in")).distinct()
     bundles = members.select(F.col("bundle_cid").alias("pinned_bundle"), F.lit(True).alias("_there")).distinct()
-    out = callsites.join(own, ["pinned_bundle", "target_cid"], "left").join(bundles, "pinned_bundle", "left")
+    out = looked_up(looked_up(callsites, own, ["pinned_bundle", "target_cid"]), bundles, ["pinned_bundle"])
     kind = F.lit(True)
     if contracts is not None:
-        out = out.join(contracts.select(F.col("contract_cid").alias("target_cid"), F.lit(True).alias("_kind")).distinct(), "target_cid", "left")
+        out = looked_up(out, contracts.select(F.col("contract_cid").alias("target_cid"), F.lit(True).alias("_kind")).distinct(), ["target_cid"])
         kind = F.col("_kind")
     missing = lambda c: F.coalesce(~c, F.lit(True))
     pin = (
@@ -96,7 +99,7 @@ def producer_posts(uses: DataFrame, bridge_rows: DataFrame, contracts: DataFrame
     """Post of the contract behind each used symbol: symbol to bridge to contract."""
     by_symbol = bridge_rows.groupBy("symbol").agg(F.max_by("target_contract_cid", "load_seq").alias("contract_cid"))
     posts = contracts.select("contract_cid", "post").dropDuplicates(["contract_cid"])
-    return uses.join(by_symbol, "symbol", "left").join(posts, "contract_cid", "left")
+    return looked_up(looked_up(uses, by_symbol, ["symbol"]), posts, ["contract_cid"])
 
 
 def scoped_bridge(uses: DataFrame, by_site: DataFrame, by_symbol: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import formula
 from . import sets
+from .linking import looked_up
 
 
 def contracts(members: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def has_witnesses(members: DataFrame) -> DataFrame:
 def by_formula(formulas: DataFrame, facts: DataFrame, members: DataFrame) -> DataFrame:
     """Formula ids with the member that proves each: the first fact of a formula, then its member."""
     first = facts.groupBy("formula_cid").agg(F.min_by("cid", "load_seq").alias("cid"))
-    return formulas.join(first, "formula_cid", "left").join(members.select("cid", "body"), "cid", "left")
+    return looked_up(looked_up(formulas, first, ["formula_cid"]), members.select("cid", "body"), ["cid"])
 
 
 def panic_loci(sites: DataFrame, loci: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def witness_discharge(claims: DataFrame, packages: DataFrame) -> DataFrame:
     is claimed, is refused; failed outcomes refute; only all passed discharge.
     """
     found = packages.groupBy("package").agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"), F.min(F.when(~F.col("passed"), F.col("test"))).alias("first_failed"))
-    met = claims.join(found, "package", "left")
+    met = looked_up(claims, found, ["package"])
     reason = F.when(F.col("package").isNull(), "no-package").when(F.col("n").isNull(), "unresolved").when(F.col("n") != F.col("claimed"), "count-differs").when(F.col("failed") > 0, "failed-outcomes").otherwise("all-passed")
     verdict = F.when(reason == "all-passed", "discharged").when(reason == "no-package", "undecidable").otherwise("unsatisfied")
     return met.select("property", "package", verdict.alias("verdict"), reason.alias("reason"), "first_failed")
