@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs
-from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets
+from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets, wp
 from ..sources import sinks
 from .views import view, with_views
 
@@ -904,6 +904,46 @@ def e13_callee_post_facts(lines, parts):
     return made.select("l_orderkey", "line", "why", F.get_json_object("fact", "$.name").alias("predicate"))
 
 
+#: Terms of line items: an operator by line over a product and a wrapped number; as SQL, the texts that come of them.
+WP_SQL = """WITH t AS (SELECT concat(l_orderkey, ':', l_linenumber, ':', l_suppkey) AS term, l_orderkey AS claim_group, ['add', 'inc', 'other', 'lost', 'loop', 'add', 'pair'][l_linenumber % 7 + 1] AS op, concat('{"args":[{"kind":"var","name":"q"},{"kind":"const","value":', l_linenumber, '}],"kind":"ctor","name":"*"}') AS product,
+  concat('{"args":[{"kind":"const","value":', l_suppkey, '}],"kind":"ctor","name":"wrap"}') AS wrapped FROM lineitem),
+v AS (SELECT *, CASE op WHEN 'add' THEN concat('{"args":[', product, ',', wrapped, '],"kind":"ctor","name":"+"}') WHEN 'inc' THEN concat('{"args":[', product, ',{"kind":"const","value":1}],"kind":"ctor","name":"+"}') END AS value,
+  CASE op WHEN 'inc' THEN concat('{"args":[', product, ',{"kind":"const","value":9}],"kind":"atomic","name":"<"}') END AS pre, CASE op WHEN 'other' THEN 'opaque-call' WHEN 'lost' THEN 'opaque-call' WHEN 'loop' THEN 'opaque-loop' WHEN 'pair' THEN 'arity' END AS why FROM t),
+w AS (SELECT *, CASE WHEN why IS NULL THEN CASE WHEN pre IS NULL THEN concat('{"args":[', value, ',{"kind":"const","value":5}],"kind":"atomic","name":"<"}') ELSE concat('{"kind":"and","operands":[', pre, ',{"args":[', value, ',{"kind":"const","value":5}],"kind":"atomic","name":"<"}]}') END END AS wp FROM v)"""
+
+
+def _terms(lines):
+    """Nodes of the terms, their operators' contracts, and one predicate of each."""
+    line = F.col("l_linenumber")
+    op = F.element_at(F.array(*map(F.lit, "add inc other lost loop add pair".split())), (line % 7 + 1).cast("int"))
+    number = lambda c: F.concat(F.lit('{"kind":"const","value":'), c.cast("string"), F.lit("}"))
+    node = lambda n, parent, pos, depth, name=None, text=None: F.struct(F.lit(n).alias("node"), F.lit(parent).cast("int").alias("parent"), F.lit(pos).alias("pos"), F.lit(depth).alias("depth"), (F.lit(name).cast("string") if not hasattr(name, "alias") else name).alias("name"), (F.lit(text).cast("string") if not hasattr(text, "alias") else text).alias("text"))
+    product = [node(1, 0, 0, 1, "mul"), node(2, 1, 0, 2, text='{"kind":"var","name":"q"}'), node(3, 1, 1, 2, text=number(line))]
+    wrapped = [node(4, 0, 1, 1, "wrap"), node(5, 4, 0, 2, text=number(F.col("l_suppkey")))]
+    one = op.isin("inc", "lost", "loop", "pair")
+    nodes = F.when(one, F.array(node(0, None, 0, 0, op), *product)).otherwise(F.array(node(0, None, 0, 0, op), *product, *wrapped))
+    term = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey")
+    rows = lines.select(term.alias("term"), F.inline(nodes)).distinct()
+    evidence = lines.select(term.alias("term"), F.col("l_orderkey").alias("claim_group"), F.lit('{"args":[{"kind":"var","name":"result"},{"kind":"const","value":5}],"kind":"atomic","name":"<"}').alias("predicate"))
+    value = lambda name, *args: '{"kind":"atomic","name":"=","args":[{"kind":"var","name":"result"},{"kind":"ctor","name":"%s","args":[%s]}]}' % (name, ",".join(args))
+    a, b, unit, below = '{"kind":"var","name":"a"}', '{"kind":"var","name":"b"}', '{"kind":"const","value":1}', '{"kind":"atomic","name":"<","args":[{"kind":"var","name":"a"},{"kind":"const","value":9}]}'
+    known = [("add", ["a", "b"], None, value("+", a, b), None, None), ("mul", ["a", "b"], None, value("*", a, b), None, None), ("inc", ["a"], below, value("+", a, unit), None, None), ("lost", ["a"], None, None, "x", None), ("loop", ["a"], None, value("+", a, a), None, "l"), ("pair", ["a", "b"], None, value("+", a, b), None, None)]
+    return rows, lines.sparkSession.createDataFrame(known, "op string, slots array<string>, pre string, post string, unresolved_call string, opaque_loop string"), evidence
+
+
+@query(f"{WP_SQL} SELECT term, wp, why FROM w", "lineitem")
+def k7_weakest_preconditions(lines):
+    return wp.weakest(*_terms(lines)).select("term", "wp", "why")
+
+
+@query(f"""{WP_SQL} SELECT claim_group, CASE WHEN bool_or(why IN ('opaque-call', 'opaque-loop')) THEN 'refuse' ELSE 'lossy' END AS verdict, CASE WHEN bool_or(why IN ('opaque-call', 'opaque-loop')) THEN '' ELSE string_agg(DISTINCT 'value:' || op, ' and ' ORDER BY 'value:' || op) END AS loss FROM w WHERE coalesce(why, '') <> 'arity' AND op <> 'lost' GROUP BY claim_group""", "lineitem")
+def k8_compound_preconditions(lines):
+    nodes, contracts, evidence = _terms(lines)
+    roots = nodes.filter("depth = 0").select("term", F.col("name").alias("op"))
+    judged = wp.compound(nodes, contracts, evidence).join(roots, "term").filter("verdict != 'error' and op != 'lost'")
+    return claims.verdict_conjunction(judged.withColumnRenamed("op", "formula").withColumn("dimension", F.lit("value")), "claim_group")
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
