@@ -29,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: worked out once, with its lineage cut. It goes when the process ends."""
-    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder: worked out once, with its lineage cut."""
+    path = scratch(df.sparkSession, "kept")
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
