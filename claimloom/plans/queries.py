@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs
-from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets, wp
+from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets, verify, wp
 from ..sources import sinks
 from ..streaming import slots
 from .views import view, with_views
@@ -914,6 +914,57 @@ def l3_body_obligations(found, contracts):
     return made.select("l_orderkey", "line", "tier", "reason", "method", "status")
 
 
+#: Chains of bodies of parts, followed to their ends.
+CHAINS = """walk AS (SELECT op, n AS place, callee, more AS total, flaw AS why, 0 AS depth FROM part_bodies
+  UNION ALL SELECT w.op, b.n, b.callee, w.total + b.more, b.flaw, w.depth + 1 FROM walk w JOIN part_bodies b ON b.n = w.callee WHERE w.why IS NULL AND w.callee <> w.place AND w.depth < 9),
+last AS (SELECT op, max(depth) AS depth, arg_max(total, depth) AS total, arg_max(CASE WHEN why IS NOT NULL THEN why WHEN callee = place THEN 'recursive' END, depth) AS why FROM walk GROUP BY op)"""
+
+
+@query(f"""WITH RECURSIVE {CHAINS},
+s AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_suppkey, l_partkey, CAST(l_quantity AS BIGINT) AS q, w.why, w.depth, w.total = l_partkey % 4 * 7 + 1 AS holds, o.flaw = 'pre-bearing' AND (l_linenumber < 5 OR l_linenumber = 6 OR l_linenumber = 5 AND l_suppkey % 3 = 2) AS asks
+  FROM lineitem JOIN last w ON w.op = concat('part', l_partkey) JOIN part_bodies o ON o.op = w.op),
+t AS (SELECT *, CASE WHEN asks THEN 'unguarded'
+    WHEN line = 7 THEN CASE WHEN l_suppkey % 5 = 4 THEN 'attribute-safety' WHEN l_suppkey % 5 = 3 THEN 'instantiate-refused' WHEN l_suppkey % 3 = 2 THEN 'unguarded' ELSE 'guarded' END
+    WHEN line = 5 THEN CASE l_suppkey % 3 WHEN 0 THEN 'unresolved-target' WHEN 1 THEN 'vacuous' ELSE 'body-bearing-refused' END
+    WHEN line = 4 OR why IS NOT NULL THEN 'body-refused' WHEN line = 2 OR line = 6 AND depth = 0 AND holds THEN 'body-reflexive' ELSE 'body-solver' END AS tier FROM s),
+v AS (SELECT *, CASE WHEN asks IS TRUE THEN CASE WHEN line = 6 THEN 'unsatisfied' ELSE 'discharged' END WHEN tier = 'attribute-safety' THEN CASE WHEN l_partkey % 2 = 0 THEN 'discharged' ELSE 'undecidable' END WHEN tier = 'guarded' THEN CASE WHEN l_suppkey % 3 = 0 THEN 'discharged' ELSE 'undecidable' END
+    WHEN tier IN ('vacuous', 'body-reflexive') THEN 'discharged' WHEN tier = 'body-solver' THEN CASE WHEN holds THEN 'discharged' ELSE 'unsatisfied' END ELSE 'undecidable' END AS verdict FROM t)
+SELECT DISTINCT l_orderkey, line, l_suppkey, l_partkey, q, tier, verdict, CASE WHEN verdict = 'discharged' THEN CASE tier WHEN 'attribute-safety' THEN 'attribute-safe' WHEN 'guarded' THEN 'panic-safe' WHEN 'body-reflexive' THEN 'reflexive' WHEN 'vacuous' THEN NULL ELSE 'solver-substantive' END END AS method,
+  CASE WHEN verdict <> 'discharged' THEN 'undecidable' WHEN tier = 'attribute-safety' THEN 'hashTier' WHEN tier = 'guarded' THEN 'panicSafe' WHEN tier = 'body-reflexive' THEN 'reflexive' WHEN tier = 'vacuous' THEN 'vacuous' ELSE 'substantive' END AS bucket FROM v""", "body_claims", "body_contracts")
+def l8_verify_claims(found, contracts):
+    rows = found.withColumn("q", F.col("q").cast("string"))
+    line, supp = F.col("line"), F.col("l_suppkey")
+    y = '{"kind":"var","name":"y"}'
+    last = line == 7
+    fact = lambda p: F.array(F.lit('{"args":[%s],"kind":"atomic","name":"%s"}' % (y, p)))
+    part = F.concat(F.lit("b:part"), F.col("l_partkey").cast("string"))
+    target = (
+        F.when(last, F.when(supp % 5 == 3, "m:two").otherwise("g:unwrap"))
+        .when((line == 5) & (supp % 3 == 0), F.concat(F.lit("none:"), part))
+        .when((line == 5) & (supp % 3 == 1), "v:free")
+        .otherwise(part)
+    )
+    is_attribute = last & (supp % 5 == 4)
+    name = F.when(F.col("l_partkey") % 2 == 0, "a").otherwise("b")
+    access = F.concat(F.lit('{"args":[{"kind":"var","name":"r"},{"kind":"const","sort":{"kind":"primitive","name":"String"},"value":"'), name, F.lit('"}],"kind":"ctor","name":"python:attribute"}'))
+    number = F.concat(F.lit('{"kind":"const","value":'), F.col("q"), F.lit("}"))
+    sites = rows.select(
+        F.concat_ws(":", "l_orderkey", "line", "l_suppkey", "l_partkey", "q").alias("id"), target.alias("target_cid"), F.when(~last, F.col("formula")).alias("assertion"),
+        F.when(last, F.when(supp % 3 == 0, fact("is_some")).when(supp % 3 == 1, fact("is_none"))).alias("guards"), F.array(F.when(line.isin(6, 7), y).otherwise(number)).alias("args"), F.lit(None).cast("map<string,string>").alias("actuals"),
+        F.when(is_attribute, "C").alias("receiver_class"), F.when(is_attribute, name).alias("attribute"), F.when(is_attribute, access).alias("arg_term"),
+    )
+    x, some = F.array(F.lit("x")), '{"args":[{"kind":"var","name":"x"}],"kind":"atomic","name":"is_some"}'
+    spark = found.sparkSession
+    more = spark.createDataFrame([("g:unwrap", "unwrap", ["x"], some, None), ("m:two", "two", ["x", "y"], some, None), ("v:free", "free", None, None, None)], "contract_cid string, op string, formals array<string>, pre string, post string")
+    known = contracts.select(F.concat(F.lit("b:"), "op").alias("contract_cid"), "op", x.alias("formals"), "pre", "post").unionByName(more)
+    shapes = spark.createDataFrame([("C", "a")], "class_name string, attribute string")
+    made = verify.verify_claims(sites.dropDuplicates(["id"]), known, shapes)  # rows of one id are equal
+    bucket = C.claim_bucket(F.col("verdict"), F.col("method"), F.col("obligation_class"))
+    place = F.split("id", ":")
+    return made.select(place[0].cast("bigint").alias("l_orderkey"), place[1].cast("bigint").alias("line"), place[2].cast("bigint").alias("l_suppkey"), place[3].cast("bigint").alias("l_partkey"), place[4].cast("bigint").alias("q"), "tier", "verdict", "method", bucket.alias("bucket"))
+
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber AS line, concat('part', l_partkey) AS symbol, l_returnflag = 'R' AS panic, 'f' || l_orderkey % 50 AS file FROM lineitem),
 p AS (SELECT concat('part', p_partkey) AS symbol, CASE WHEN p_size % 3 = 0 THEN 'is_some' WHEN p_size % 3 = 1 THEN 'is_ok' END AS predicate FROM part WHERE p_size < 40),
 o AS (SELECT DISTINCT 'f' || l_orderkey % 50 AS file, l_linenumber AS line, concat('part', l_partkey) AS symbol FROM lineitem WHERE l_suppkey % 2 = 0)

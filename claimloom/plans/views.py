@@ -50,7 +50,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN callee IS NULL THEN '{{"kind":"var","name":"x"}}' ELSE concat('{{"kind":"ctor","name":"part', CAST(callee AS STRING), '","args":[{{"kind":"var","name":"x"}}]}}') END, ',{{"kind":"const","value":', CAST(more AS STRING), '}}]}}]}}') AS post,
           CASE WHEN flaw = 'pre-bearing' THEN '{{"kind":"atomic","name":"<","args":[{{"kind":"const","value":0}},{{"kind":"var","name":"x"}}]}}' WHEN n % 5 = 0 THEN '{{"kind":"atomic","name":"true","args":[]}}' END AS pre FROM ({PART_BODIES}) b""",
     "body_claims": f"""
-        SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE l_linenumber WHEN 2 THEN {_EQUATION % ("=", _CALL % (_NUMBER % _Q), _CALL % (_NUMBER % _Q))} WHEN 3 THEN {_EQUATION % ("=", _OK % (_CALL % (_NUMBER % _Q)), _OK % (_NUMBER % _EXPECTED))}
+        SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey, l_suppkey, {_Q} AS q, CASE l_linenumber WHEN 2 THEN {_EQUATION % ("=", _CALL % (_NUMBER % _Q), _CALL % (_NUMBER % _Q))} WHEN 3 THEN {_EQUATION % ("=", _OK % (_CALL % (_NUMBER % _Q)), _OK % (_NUMBER % _EXPECTED))}
           WHEN 4 THEN {_EQUATION % ("<", _CALL % (_NUMBER % _Q), _NUMBER % 99)} WHEN 5 THEN {_EQUATION % ("=", _OK % _Y, _Y)} WHEN 6 THEN {_EQUATION % ("=", _CALL % _Y, _SUM % (_NUMBER % "l_partkey % 4 * 7 + 1"))}
           ELSE {_EQUATION % ("=", _CALL % (_NUMBER % _Q), _NUMBER % _EXPECTED)} END AS formula FROM lineitem""",
     "order_posts": ORDER_POSTS,
