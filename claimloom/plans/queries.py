@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import udfs
 from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets, verify, wp
-from ..sources import sinks
+from ..sources import bundle_source, sinks
 from ..streaming import slots
 from .views import view, with_views
 
@@ -650,6 +650,22 @@ def m8_admission(edges, rows):
     return gates.admission(receipts, known.select("artifact", F.col("artifact").alias("artifact_cid"), F.lit("p").alias("policy_cid"))).select("source_cid", "target_cid", "admitted")
 
 
+@query("SELECT file AS run, count(DISTINCT kind) AS receipts, count(*) AS loci, CASE WHEN bool_or(status = 'refused') THEN 'undecidable' ELSE 'discharged' END AS verdict, 0 AS errors FROM loci GROUP BY file", "loci")
+def b2_run_bundles(loci):
+    """A run per file with a stage per kind: written as bundles, read back from the files."""
+    spark = loci.sparkSession
+    at = graph.scratch(spark, "runs")
+    verdict = F.when(F.bool_or(F.col("status") == "refused"), "undecidable").otherwise("discharged")
+    stages = loci.groupBy(F.col("file").alias("run_id"), F.col("kind").alias("stage")).agg(F.lit(0).alias("position"), verdict.alias("verdict"), F.to_json(F.struct(F.count("*").alias("loci"))).alias("facts"))
+    sinks.write_files(sinks.run_bundles(stages, "s", "2026-01-01T00:00:00.000Z", bytes(32)), at)
+    bundle_source.register(spark)
+    found = spark.read.format("claim_bundles").load(at)
+    head = lambda k: F.get_json_object("body", f"$.header.{k}")
+    is_run = head("kind") == "proof-run"
+    rows = found.select(head("run").alias("run"), "error", is_run.alias("is_run"), head("verdict").alias("verdict"), head("facts.loci").cast("bigint").alias("n"))
+    return rows.groupBy("run").agg(F.count_if(~F.col("is_run")).alias("receipts"), F.sum("n").alias("loci"), F.max(F.when(F.col("is_run"), F.col("verdict"))).alias("verdict"), F.count("error").cast("int").alias("errors"))
+
+
 @query("SELECT path AS id, CASE WHEN length(path) > 12 THEN 'discharged' ELSE 'unsatisfied' END AS verdict, 'ground' AS solver FROM (SELECT DISTINCT path FROM loci)", "loci")
 def l4_plan_dispatch(loci):
     const = lambda v: F.concat(F.lit('{"kind":"const","value":'), v.cast("string"), F.lit("}"))

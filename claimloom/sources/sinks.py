@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import bundle
+from ..functions import bundle, canon
+from . import bundle_source
 
 BUNDLE = "name string, bundle_cid string, content binary"
 
@@ -24,18 +27,38 @@ def build_bundles(members: DataFrame, signer: str, declared_at: str, seed: bytes
 
 
 def write_files(files: DataFrame, root: str, suffix: str = ".proof") -> int:
-    """Write (bundle_cid, content) rows as files named by digest, through Spark's file system, one row at a time."""
-    spark = files.sparkSession
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for r in files.select("bundle_cid", "content").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{r['bundle_cid'].rpartition(':')[2]}{suffix}")
-        out = path.getFileSystem(conf).create(path, True)
-        try:
-            out.write(bytearray(r["content"]))
-        finally:
-            out.close()
-        n += 1
-    return n
+    """Write (bundle_cid, content) rows as files named by digest, in tasks; none appears before all are written. Gives the number of rows."""
+    bundle_source.register(files.sparkSession)
+    seen = Observation()
+    files.select("bundle_cid", "content").observe(seen, F.count(F.lit(1)).alias("n")).write.format("claim_bundles").mode("append").option("suffix", suffix).save(root)
+    return seen.get["n"]
+
+
+RUN_NAME = "verifier-run"
+
+
+def run_bundles(stages: DataFrame, signer: str, declared_at: str, seed: bytes) -> DataFrame:
+    """One signed bundle per run: a receipt for each stage, and a memento that names them in order.
+
+    Stages have run_id, position, stage, verdict and facts (a JSON object). A run is unsatisfied
+    if a stage is, else undecidable if one is, else discharged. The stages of a run fit one task.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        how = {"signer": signer, "declared_at": declared_at, "seed": seed}
+        run, order, parts = pdf["run_id"].iloc[0], [], {}
+        for r in pdf.sort_values(["position", "stage"]).itertuples(index=False):
+            cid, member = bundle.mint("stage-receipt", {"run": run, "position": int(r.position), "stage": r.stage, "verdict": r.verdict, "facts": json.loads(r.facts) if r.facts is not None else None}, {}, **how)
+            order.append(cid)
+            parts[cid] = canon.jcs(member, "linker").encode()
+        said = set(pdf["verdict"])
+        verdict = "unsatisfied" if "unsatisfied" in said else "undecidable" if said != {"discharged"} else "discharged"
+        cid, member = bundle.mint("proof-run", {"run": run, "stageReceipts": order, "verdict": verdict}, {"note": "run receipt"}, **how)
+        parts[cid] = canon.jcs(member, "linker").encode()
+        made, data = bundle.build_bundle(RUN_NAME, "1.0.0", parts, signer, declared_at, seed)
+        return pd.DataFrame([{"name": run, "bundle_cid": made, "content": data}])
+
+    return stages.select("run_id", "position", "stage", "verdict", "facts").groupBy("run_id").applyInPandas(one, BUNDLE)
 
 
 def witness_packages(witnesses: DataFrame) -> DataFrame:
