@@ -44,7 +44,7 @@ def expressions(host: Column, path: Column, labels: list[int], lengths: list[int
     hosts = F.array_compact(F.array(*[F.when(F.size(parts) >= k, F.concat_ws(".", F.slice(parts, -k, k))) for k in labels]))
     paths = F.array_compact(F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in lengths]))
     found = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    return F.when((host != "") & (path != ""), found)
+    return F.when(host != "", found)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -53,7 +53,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     ``rules`` has host, path and verdict. A rule fits its host and all
     subdomains where the URL's path starts with the rule's path; the longest
     wins, of equally long ones the last in the order of the alphabet, and
-    ``block`` before ``allow`` where one expression has both. URLs that no
+    ``block`` before ``allow`` where one expression has both. A rule with an empty
+    path fits every URL of its host, also one without a path. URLs that no
     rule fits get ``default``. Null and malformed URLs have an empty host and
     path and get ``default``; repeated rows come back as often as they came in;
     further columns of either table are ignored; rules with a null are ignored;

@@ -235,6 +235,15 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.filter_urls(df, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_rules_with_an_empty_path(spark):
+    given = [("com", "", "block"), ("a.com", "/x", "allow"), ("b.com", "/", "allow")]
+    rules = util.literal_rows(spark, [dict(zip(("host", "path", "verdict"), r, strict=True)) for r in given], "host string, path string, verdict string")
+    cases = {"http://a.com": "block", "http://a.com?q": "block", "http://a.com/": "block", "http://a.com/xy": "allow", "http://b.com": "block", "http://b.com/": "allow", "http://c.org": "allow", "://": "allow", "com": "allow", "http://com": "block"}
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, rules).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_many_rules_shuffle(spark, monkeypatch):
     monkeypatch.setattr(urls, "BROADCAST_RULES", 0)
     test_urls(spark)
