@@ -205,6 +205,22 @@ def d5_nontrivial_pre(contracts):
     return contracts.filter("pre is not null and pre <> 'true'").select("contract_cid", "name")
 
 
+@query("SELECT op FROM part_bodies WHERE flaw = 'pre-bearing'", "body_contracts")
+def d5_nontrivial_formulas(contracts):
+    """Preconditions as trees, of which some are the atom true."""
+    return contracts.filter(verify.nontrivial(F.col("pre"))).select("op")
+
+
+@query("""WITH s AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_suppkey, concat('part', l_partkey) AS symbol, CASE l_linenumber WHEN 2 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS calls FROM lineitem),
+o AS (SELECT l_orderkey, line, l_suppkey, symbol FROM s WHERE calls > 0 UNION ALL SELECT l_orderkey, line, l_suppkey, symbol FROM s WHERE calls > 1)
+SELECT concat_ws(':', l_orderkey, line, l_suppkey) AS contract_cid, symbol, concat('b:', symbol) AS target FROM o JOIN (SELECT concat('part', p_partkey) AS symbol FROM part WHERE p_size < 30) b USING (symbol)""", "body_claims", "part")
+def e1_callsites_by_symbol(found, parts):
+    """Calls in formulas, nested ones and those of both sides, and the bridges of their symbols."""
+    rows = found.select(F.concat_ws(":", "l_orderkey", "line", "l_suppkey").alias("contract_cid"), "formula")
+    symbol = F.concat(F.lit("part"), F.col("p_partkey").cast("string"))
+    return algebra.callsites(rows, parts.filter("p_size < 30").select(symbol.alias("symbol"), F.concat(F.lit("b:"), symbol).alias("target")))
+
+
 @query("SELECT name, contract_cid FROM contracts WHERE post IS NOT NULL AND pre IS NULL", "contracts")
 def d2_candidates(contracts):
     return contracts.filter(C.is_consistency_candidate(F.col("name"), F.col("pre"), F.lit(None), F.col("post"))).select("name", "contract_cid")
