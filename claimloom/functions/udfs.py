@@ -55,6 +55,7 @@ formula_hash = _each(_json(canon.formula_hash), S)(1)
 linker_cid = _each(_json(lambda v: canon.jcs_cid(v, "linker")), S)(1)
 member_cid = _each(_json(canon.member_cid), S)(1)
 contract_cid = _each(_json(canon.contract_cid), S)(1)
+signed = _each(_json(bundle.signature_holds), B)(1)
 property_hash = _each(_json(canon.property_hash), S)(1)
 implication_hash = _each(canon.implication_hash, S)(2)
 canonical = _each(_json(lambda v: canon.jcs(formula.canonical(v), "linker")), S)(1)

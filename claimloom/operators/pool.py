@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import formula
+from ..functions import formula, udfs
 from . import sets
 from .linking import looked_up
 
@@ -180,6 +180,19 @@ def cached_implications(pairs: DataFrame, cache: DataFrame) -> DataFrame:
     return pairs.join(valid, ["post_hash", "pre_hash"], "left")
 
 
+def verified_implications(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (post_hash, pre_hash) with ``cached`` from members (member_cid, body): implications of the pair whose property hash and signature hold.
+
+    Signatures are costly, so only members that a pair asks for are checked, each once.
+    """
+    head = lambda k: F.get_json_object("body", f"$.header.{k}")
+    known = members.select("member_cid", "body", head("kind").alias("kind"), head("antecedentHash").alias("post_hash"), head("consequentHash").alias("pre_hash"), head("propertyHash").alias("property"))
+    asked = pairs.select("post_hash", "pre_hash").dropna().distinct()
+    met = known.filter("kind = 'implication'").dropDuplicates(["member_cid"]).join(asked, ["post_hash", "pre_hash"], "left_semi")
+    valid = udfs.signed("body") & (udfs.implication_hash("post_hash", "pre_hash") == F.col("property"))
+    return cached_implications(pairs, met.select("post_hash", "pre_hash", F.col("member_cid").alias("cid"), F.coalesce(valid, F.lit(False)).alias("valid")))
+
+
 def annotations(rows: DataFrame) -> DataFrame:
     """Indexed annotations (file, line, callee, category, load_seq, error): the first of a place; where any did not load, only the errors."""
     first = rows.filter("error is null").groupBy("file", "line", "callee").agg(F.min_by("category", "load_seq").alias("category"))

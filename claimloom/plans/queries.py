@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bundle, canon, crypto, udfs
 from ..functions import columns as C
-from ..functions import udfs
 from ..operators import algebra, bodies, claims, decide, diff, gates, graph, linking, pool, ranking, sets, verify, wp
 from ..sources import bundle_source, sinks
 from ..streaming import slots
@@ -818,6 +819,28 @@ def e12_cached_implications(before, after):
     return pool.cached_implications(before.select(F.col("behaviour").alias("post_hash"), F.col("name").alias("pre_hash"), "name"), cache).select("name", "cached")
 
 
+def _implications(batches):
+    """A signed implication for each part; some are changed after they were signed, some lie about their property, some are no implications."""
+    how = {"signer": crypto.public_string(bytes(32)), "declared_at": "2026-01-01T00:00:00.000Z", "seed": bytes(32)}
+    for pdf in batches:
+        rows = []
+        for key, size, brand in zip(pdf["p_partkey"], pdf["p_size"], pdf["p_brand"], strict=True):
+            post, pre, flaw = brand, f"t{size % 40}", key % 5
+            header = {"antecedentHash": post, "consequentHash": pre, "propertyHash": canon.implication_hash(post, "other" if flaw == 2 else pre), "n": int(key)}
+            cid, member = bundle.mint("contract" if flaw == 3 else "implication", header, {}, **how)
+            if flaw == 1:
+                member["header"]["prover"] = "changed"
+            rows.append((cid, canon.jcs(member, "linker")))
+        yield pd.DataFrame(rows, columns=["member_cid", "body"])
+
+
+@query("""SELECT p.p_partkey, g.k IS NOT NULL AS cached FROM part p LEFT JOIN (SELECT DISTINCT concat(p_brand, 't', p_size % 40) AS k FROM part WHERE p_partkey % 5 IN (0, 4)) g ON g.k = concat(p.p_brand, 't', p.p_size % 40)""", "part")
+def e12_verified_implications(parts):
+    pairs = parts.select("p_partkey", F.col("p_brand").alias("post_hash"), F.concat(F.lit("t"), (F.col("p_size") % 40).cast("string")).alias("pre_hash"))
+    members = graph.kept(parts.select("p_partkey", "p_size", "p_brand").mapInPandas(_implications, "member_cid string, body string"))
+    return pool.verified_implications(pairs, members).select("p_partkey", F.col("cached").isNotNull().alias("cached"))
+
+
 @query("SELECT event_type AS file, user_id AS line, row_class AS callee, arg_min(status, event_id) AS category, CAST(NULL AS VARCHAR) AS error FROM report_rows GROUP BY 1, 2, 3", "report_rows")
 def e24_annotations(rows):
     return pool.annotations(rows.select(F.col("event_type").alias("file"), F.col("user_id").alias("line"), F.col("row_class").alias("callee"), F.col("status").alias("category"), F.col("event_id").alias("load_seq"), F.lit(None).cast("string").alias("error")))
