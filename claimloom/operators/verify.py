@@ -114,8 +114,8 @@ def verify_claims(sites: DataFrame, contracts: DataFrame, shapes: DataFrame, rou
 
     least = contracts.filter("contract_cid is not null").groupBy("contract_cid").agg(F.min(F.struct("formals", "pre", "post", "op")).alias("c"))
     targets = least.select(F.col("contract_cid").alias("target_cid"), "c.formals", "c.pre", F.lit(True).alias("there"))
-    rest = rows.filter(F.col("attribute").isNull()).withColumn("_salt", F.when(F.col("target_cid").isNull(), F.pmod(F.xxhash64("id"), F.lit(4096)) + 1).otherwise(0))
-    met = kept(rest.join(targets.withColumn("_salt", F.lit(0)), ["target_cid", "_salt"], "left").drop("_salt", "receiver_class", "attribute", "arg_term"))
+    rest = rows.filter(F.col("attribute").isNull()).drop("receiver_class", "attribute", "arg_term")
+    met = kept(linking.looked_up(rest, targets, ["target_cid"]))
 
     asks = met.filter(nontrivial(F.col("pre")))
     at_call = kept(asks.select("id", "pre", "formals", "args", "actuals").mapInPandas(_instantiated, "id string, obligation string, error string"))

@@ -121,6 +121,23 @@ def test_annotations_with_an_error(spark):
     assert [tuple(r) for r in pool.annotations(rows).collect()] == [("g", 2, "c", None, "broken")]
 
 
+def test_lookup_deals_out_null_keys(spark):
+    rows = spark.range(400).selectExpr("id", "if(id < 40, concat('k', id), null) as key", "map('a', id) as more")
+    right = frame(spark, [("k1", 1), (None, 2)], "key string, found int")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for fixed in (right, right.withColumn("key", F.coalesce("key", F.lit("k2")))):  # a key that cannot be null, too
+            out = linking.looked_up(rows, fixed, ["key"]).withColumn("task", F.spark_partition_id()).collect()
+            assert len(out) == 400 and {r["id"] for r in out if r["found"] == 1} == {1}
+            assert len({r["task"] for r in out if r["key"] is None}) == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_linking_is_partition_invariant(spark):
     contracts = frame(spark, [("k", "f", "c:f", "p", None), ("k", "g", "c:g", None, "p")], "kit string, name string, contract_cid string, pre string, post string")
     edges = frame(spark, [("c:g", None, "k:f", 1), ("c:f", None, "k:g", 2), ("c:g", None, "k:no", 3), ("c:g", "c:g", "k:f", 4)], "source_cid string, target_cid string, target_symbol string, line long")
