@@ -19,6 +19,7 @@ from ..functions import formula
 from ..functions.canon import jcs
 from . import decide
 from .graph import kept
+from .linking import looked_up
 
 VIA = "$via"
 
@@ -167,7 +168,7 @@ def reduced(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def body_obligations(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Obligations (id, formula) with tier, reason, method and status, each formula reduced and decided once.
+    """Obligations (id, formula) with tier, reason, method and status, each formula reduced once; what formulas come to is decided once.
 
     A reduced equation of a term with itself is discharged as ``reflexive``; others go to the
     decision procedure without assumptions: discharged (``solver-substantive``),
@@ -175,9 +176,10 @@ def body_obligations(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
     """
     keyed = obligations.withColumn("_key", F.sha2("formula", 256))
     texts = keyed.filter("formula is not null").select(F.col("_key").alias("id"), "formula").distinct()
-    made = kept(reduced(texts, bodies))
-    open_ = made.filter("reason is null and method != 'reflexive'").select("id", F.lit('{"kind":"and","operands":[]}').alias("post"), F.col("reduced").alias("pre"))
-    found = made.join(decide.implications(open_), "id", "left")
+    made = kept(reduced(texts, bodies).withColumn("_asks", F.when(F.expr("reason is null and method != 'reflexive'"), F.sha2("reduced", 256))))
+    open_ = made.filter("_asks is not null").groupBy(F.col("_asks").alias("id")).agg(F.first("reduced").alias("pre"))  # equal in a group
+    verdicts = decide.implications(open_.select("id", F.lit('{"kind":"and","operands":[]}').alias("post"), "pre")).withColumnRenamed("id", "_asks")
+    found = looked_up(made.drop("reduced"), verdicts, ["_asks"])
     status = (
         F.when(F.col("reason") == "not-body-bearing", "open")
         .when(F.col("reason").isNotNull(), "refused")

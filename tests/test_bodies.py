@@ -94,3 +94,17 @@ def test_post_facts(spark):
         "no bridge": "no-bridge", "not single": "not-single",
     }
     assert json.loads(got["plain"].fact) == atom("is_ok", app("to_string", X))
+
+
+def test_formulas_that_come_to_the_same_are_decided_once(spark, monkeypatch):
+    j = lambda name, *args: '{"kind":"ctor","name":"%s","args":[%s]}' % (name, ",".join(args))
+    equal = lambda a, b: '{"kind":"atomic","name":"=","args":[%s,%s]}' % (a, b)
+    number = lambda n: '{"kind":"const","value":%d}' % n
+    known = [(f"f{i}", ["x"], equal('{"kind":"var","name":"result"}', j("+", '{"kind":"var","name":"x"}', number(i))), None) for i in range(6)]
+    asked = [(f"a{i}", equal(j(f"f{i}", number(9 - i)), number(9))) for i in range(6)] + [("b", equal(j("f1", number(1)), number(9))), ("c", None)]
+    decided, implications = [], bodies.decide.implications
+    monkeypatch.setattr(bodies.decide, "implications", lambda pairs: (decided.append(pairs.count()), implications(pairs))[1])
+    made = bodies.body_obligations(spark.createDataFrame(asked, "id string, formula string"), spark.createDataFrame(known, "op string, formals array<string>, post string, pre string"))
+    got = {r["id"]: r["status"] for r in made.collect()}
+    assert decided == [2]
+    assert got == {f"a{i}": "discharged" for i in range(6)} | {"b": "unsatisfied", "c": None}
