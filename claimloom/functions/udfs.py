@@ -64,7 +64,7 @@ discharge_method = _each(_json(formula.discharge_method), S)(1)
 is_closed = _each(_json(formula.is_closed), B)(1)
 fol = _each(_json(formula.fol), S)(1)
 free_variables = _each(_json(lambda v: sorted(formula.free_variables(v))), T.ArrayType(S))(1)
-constructors = _each(_json(lambda v: [c["name"] for c in formula.constructors(v)]), T.ArrayType(S))(1)
+constructors = _each(formula.constructor_names, T.ArrayType(S))(1)
 validity_script = _each(_json(smt.validity), S)(1)
 satisfiability_script = _each(_json(smt.satisfiability), S)(1)
 lean = _each(_json(smt.lean), S)(1)

@@ -194,3 +194,26 @@ def test_patterns():
     assert smt.reglan(r"\D") == '(re.diff re.allchar (re.range "0" "9"))' and "re.union" in smt.reglan(r"\s")
     assert smt.reglan("[+?]+") == '(re.+ (re.union (str.to_re "+") (str.to_re "?")))'
     assert smt.disjoint_types("bytearray", "type") and not smt.disjoint_types("Animal", "Dog")
+
+
+def test_constructor_names_parse_a_shape_once(monkeypatch):
+    def plain(text):
+        try:
+            return [c["name"] for c in formula.constructors(json.loads(text))]
+        except ValueError:
+            return "malformed"
+
+    def made(text):
+        try:
+            return formula.constructor_names(text)
+        except ValueError:
+            return "malformed"
+
+    f = '{"kind":"atomic","name":"=","args":[{"kind":"ctor","name":"%s","args":[{"kind":"var","name":"%s"},{"kind":"const","value":%s}]},{"name" : "g","kind":"ctor"}]}'
+    texts = [f % v for v in [("f", "x", 1), ("a", "ctor", 22), ("name", "value", -3), ("\\u0067", "x", 1), ('q\\"', "x", 1), ("é", "x", 1), ("f", "x", "007"), ("f", "x", "1.5"), ("f", "x", '"name"'), ("f\n", "x", 1), ("", "", 10**30)]]
+    texts += [texts[0].replace('"name":"f"', x) for x in ('"name":#', '"name":5', '"name":null', '"name":"f","name":"h"', '"n\\u0061me":"f"', '"name" :"f"', '"name":"f"#')] + ["5", "[]", "ok", ""]
+    assert [made(t) for t in texts * 2] == [plain(t) for t in texts * 2]
+    loads, n = json.loads, []
+    monkeypatch.setattr(formula.json, "loads", lambda t: (n.append(t), loads(t))[1])
+    formula._read.clear()
+    assert [formula.constructor_names(f % (f"p{i}", "x", i)) for i in range(50)] == [[f"p{i}", "g"] for i in range(50)] and len(n) == 1
