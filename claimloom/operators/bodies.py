@@ -22,6 +22,10 @@ from .graph import kept
 from .linking import looked_up
 
 VIA = "$via"
+#: Names of variables and ops that no formula has: no text is taken for a template that holds one.
+ACTUAL = "\1actual:"
+#: The number of a fate that is told only level by level.
+OPEN = -1
 
 
 def _body(found: dict) -> tuple[list[str], dict | None, str | None]:
@@ -132,7 +136,7 @@ def _calls(batches):
         rows = []
         for i, text in zip(pdf["id"], pdf["formula"], strict=True):
             try:
-                rows += [(i, n) for n in {c["name"] for c in formula.constructors(json.loads(text))} if isinstance(n, str)]
+                rows += [(i, n) for n in {n for n in formula.constructor_names(text) if isinstance(n, str)}]
             except (ValueError, TypeError, AttributeError):
                 pass
         yield pd.DataFrame(rows, columns=["id", "op"])
@@ -146,25 +150,176 @@ def _ended(batches):
         yield pd.DataFrame({"id": pdf["id"], "tier": pdf["tier"], "reason": pdf["reason"], "reduced": pd.Series(made, dtype=object), "method": pd.Series(how, dtype=object)})
 
 
+def _levels(active: DataFrame, one: DataFrame) -> list[DataFrame]:
+    """Formulas (id, formula) that ended, by the level at which they did."""
+    active = kept(active.select("id", "formula", F.lit(None).cast("string").alias("tier")))
+    done = []
+    while True:
+        asked = active.select("id", "formula").mapInPandas(_calls, "id string, op string").join(one, "op").groupBy("id").agg(F.collect_list("body").alias("bodies"))
+        state = kept(active.join(asked, "id", "left").select("id", "formula", "tier", "bodies").mapInPandas(_level, STATE))
+        done.append(state.filter("not again"))
+        active = state.filter("again")
+        if active.isEmpty():
+            return done
+
+
+def _asked_of_itself(batches):
+    """Each op as an equation of a call with marked actuals; ops without formals are left out."""
+    for pdf in batches:
+        rows = []
+        for op, formals in zip(pdf["op"], pdf["formals"], strict=True):
+            if formals is not None and all(f is not None for f in formals):
+                call = {"kind": "ctor", "name": op, "args": [formula.var(f"{ACTUAL}{i}") for i in range(len(formals))]}
+                rows.append((op, len(formals), jcs(formula.atom("=", call, {"kind": "const", "value": 0}), "linker")))
+        yield pd.DataFrame(rows, columns=["op", "n", "formula"])
+
+
+def _closed(batches):
+    """What a call comes to, as a text that calls of equal fate share; none where a formula must go level by level."""
+    for pdf in batches:
+        out = []
+        for op, n, text, reason, level in zip(pdf["op"], pdf["n"], pdf["formula"], pdf["reason"], pdf["level"], strict=True):
+            value = None
+            if reason is None:
+                value = _plain(json.loads(text)["args"][0], False)
+                if any(x.get("kind") in (*formula.BINDERS, "lambda", "choice", "let") for x in formula.nodes(value)):
+                    continue
+            out.append((op, json.dumps({"n": n, "value": value, "why": reason, "at_once": bool(level == 0)}, sort_keys=True)))
+        yield pd.DataFrame(out, columns=["op", "fate"])
+
+
+def _fates(one: DataFrame) -> DataFrame:
+    """(op, fate): bodies with all their calls replaced, each worked out once."""
+    rows = kept(one.select("op", "body.formals").mapInPandas(_asked_of_itself, "op string, n int, formula string"))
+    done = [d.withColumn("level", F.lit(n)) for n, d in enumerate(_levels(rows.select(F.col("op").alias("id"), "formula"), one))]
+    ended = reduce(DataFrame.unionByName, done).select(F.col("id").alias("op"), "formula", "reason", "level")
+    return kept(rows.select("op", "n").join(ended, "op").mapInPandas(_closed, "op string, fate string"))
+
+
+READ = "id string, formula string, template string, names array<string>, calls array<int>, asks array<string>"
+
+
+def _templates(batches):
+    """Formulas as templates with their names; ``calls`` has for each name its first place if it is that of a call, else -1. Others keep their text."""
+    for pdf in batches:
+        out = []
+        for i, text in zip(pdf["id"], pdf["formula"], strict=True):
+            try:
+                made = formula.template(text)
+                holes = formula.holes_of(made[0]) if made else None
+                if made and made[0].count(formula._HOLE) == len(made[1]) and all(type(h) is int for h in holes):
+                    at = set(holes)
+                    names = made[1]
+                    out.append((i, None, made[0], names, [names.index(x) if n in at else -1 for n, x in enumerate(names)], sorted({names[n] for n in at})))
+                    continue
+            except (ValueError, TypeError, AttributeError, RecursionError):
+                pass
+            out.append((i, text, None, None, None, None))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
+
+
+def _known(batches):
+    """Templates whose calls have fates: id, tier, reason, reduced, method, and the formula again where it must go level by level."""
+    for pdf in batches:
+        out = []
+        for i, text, own, places, numbers, texts in zip(pdf["id"], pdf["template"], pdf["names"], pdf["calls"], pdf["fates"], pdf["texts"], strict=True):
+            numbers, texts, names, known = dict(numbers), dict(texts), [], {}
+            for n, at in zip(own, places, strict=True):
+                if at < 0 or n not in numbers:
+                    names.append(n)
+                else:
+                    names.append(f"{ACTUAL}op{at}")
+                    known[names[-1]] = json.loads(texts[numbers[n]])
+            tier = reason = made = method = None
+            again = False
+            try:
+                f = json.loads(formula.filled(text, names))
+                tier = _tier(f, known)
+                if any(k["why"] == "malformed" and k["at_once"] for k in known.values()):
+                    tier, reason = None, "malformed"
+                elif tier is None:
+                    reason = "shape"
+                else:
+                    done = json.loads(jcs(_put(f, known), "linker"))
+                    late = {k["why"] for k in known.values()} - {None}
+                    again = bool(late) and len(known) > 1
+                    if late:
+                        reason = late.pop()
+                    else:
+                        made, method = jcs(_plain(done, True), "linker"), formula.discharge_method(_plain(done, False))
+            except _Refused as e:
+                reason = str(e)
+            except (ValueError, TypeError, AttributeError, KeyError, RecursionError):
+                again = True
+            out.append((i, tier, reason, made, method, again))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in KNOWN.split(", ")])
+
+
+KNOWN = "id string, tier string, reason string, reduced string, method string, again boolean"
+
+
+def _put(t, known: dict):
+    """All calls with fates replaced by what they come to, innermost first."""
+    if isinstance(t, list):
+        return [_put(x, known) for x in t]
+    if not isinstance(t, dict):
+        return t
+    out = {k: _put(v, known) if isinstance(v, dict | list) and k != "sort" else v for k, v in t.items()}
+    if out.get("kind") != "ctor" or out.get("name") not in known:
+        return out
+    fate, args = known[out["name"]], out.get("args") or []
+    if fate["why"] and fate["at_once"]:
+        raise _Refused(fate["why"])
+    if len(args) != fate["n"]:
+        raise _Refused("arity")
+    return out if fate["why"] else _filled(fate["value"], args)
+
+
+def _filled(t, args: list):
+    if isinstance(t, list):
+        return [_filled(x, args) for x in t]
+    if not isinstance(t, dict):
+        return t
+    if t.get("kind") == "var" and isinstance(t.get("name"), str) and t["name"].startswith(ACTUAL):
+        return args[int(t["name"][len(ACTUAL) :])]
+    return {k: _filled(v, args) if isinstance(v, dict | list) and k != "sort" else v for k, v in t.items()}
+
+
 def reduced(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Formulas (id, formula) with calls replaced by bodies: id, tier, reason, reduced, method.
+    """Formulas (id, formula) with calls replaced by bodies: id, tier, reason, reduced, method. Ids are unique.
 
     Bodies have op, formals, post and pre; of several of one op the least counts. A
     formula without a call that has a body is ``not-body-bearing``. One that has
     is reduced or refused, never passed over: ``shape`` (no equation),
     ``recursive``, ``pre-bearing`` (a body's value would drop the precondition),
     ``no-value`` (its post gives the result no term), ``arity`` or ``malformed``.
+
+    Bodies are followed level by level, each once. Formulas that are equal but for calls
+    of equal fate are reduced once. Those with binders in bodies, with several calls of which one is refused
+    on a later level, or that are no plain JSON go level by level themselves.
     """
     one = bodies.filter("op is not null").groupBy("op").agg(F.min(F.struct("formals", "post", "pre")).alias("b")).select("op", F.struct("op", "b.formals", "b.post", "b.pre").alias("body"))
-    active = kept(obligations.select("id", "formula", F.lit(None).cast("string").alias("tier")))
-    done = []
-    while True:
-        asked = active.select("id", "formula").mapInPandas(_calls, "id string, op string").join(one, "op").groupBy("id").agg(F.collect_list("body").alias("bodies"))
-        state = kept(active.join(asked, "id", "left").select("id", "formula", "tier", "bodies").mapInPandas(_level, STATE))
-        done.append(state.filter("not again"))
-        active = state.filter("again")
-        if active.isEmpty():
-            return reduce(DataFrame.unionByName, done).mapInPandas(_ended, "id string, tier string, reason string, reduced string, method string")
+    one = kept(one)
+    told = _fates(one)
+    texts = kept(told.select("fate").distinct().withColumn("number", F.monotonically_increasing_id()))
+    numbers = told.join(texts, "fate").select("op", "number")
+    fates = kept(one.select("op").join(numbers, "op", "left").select("op", F.coalesce("number", F.lit(OPEN)).alias("number")))
+    read = kept(obligations.select("id", "formula").mapInPandas(_templates, READ))
+    plain = read.filter("template is not null")
+    calls = plain.select("id", F.explode("asks").alias("op")).join(fates, "op").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("op", "number"))).alias("fates"))
+    fate = lambda n, at: F.when(at >= 0, F.col("fates")[n])
+    labels = F.zip_with("names", "calls", lambda n, at: F.coalesce(F.concat(at.cast("string"), F.lit(":"), fate(n, at).cast("string")), F.concat(F.lit("name:"), n)))
+    closed = ~F.array_contains(F.map_values("fates"), F.lit(OPEN))
+    met = kept(plain.join(calls, "id", "left").withColumns({"_key": F.when(closed, F.sha2(F.to_json(F.struct("template", labels.alias("labels"))), 256)), "bare": F.col("fates").isNull()}).drop("asks", "formula"))
+    once = kept(met.filter("_key is not null").groupBy("_key").agg(F.first(F.struct("template", "names", "calls", "fates")).alias("r")).select(F.col("_key").alias("id"), "r.*"))  # of equal fate in a group
+    means = once.select("id", F.explode(F.array_distinct(F.map_values("fates"))).alias("number")).join(texts, "number").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("number", "fate"))).alias("texts"))
+    made = kept(once.join(means, "id").mapInPandas(_known, KNOWN)).withColumnRenamed("id", "_key")
+    found = met.filter("_key is not null").select("id", "_key").join(made, "_key").drop("_key")
+    none = F.lit(None).cast("string")
+    bare = met.filter("bare").select("id", none.alias("tier"), F.lit("not-body-bearing").alias("reason"), none.alias("reduced"), none.alias("method"))
+    left = read.filter("template is null").select("id").unionByName(found.filter("again").select("id")).unionByName(met.filter("_key is null and not bare").select("id"))
+    slow = reduce(DataFrame.unionByName, _levels(obligations.join(left, "id", "left_semi"), one)).mapInPandas(_ended, "id string, tier string, reason string, reduced string, method string")
+    return found.filter("not again").drop("again").unionByName(bare).unionByName(slow)
 
 
 def body_obligations(obligations: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def verify_claims(sites: DataFrame, contracts: DataFrame, shapes: DataFrame, rou
     bearing = contracts.filter("formals is not null").select("op", "formals", "post", "pre")
     asked = keyed.filter("assertion is not null").select(F.col("_key").alias("id"), F.col("assertion").alias("formula")).distinct()
     made = bodies.reduced(asked, bearing).select(F.col("id").alias("_key"), F.col("tier").alias("body_tier"), F.col("reason").alias("why"), "reduced", F.col("method").alias("shallow"))
-    gone = kept(linking.looked_up(keyed, made, ["_key"]).withColumn("why", F.coalesce("why", F.when(F.col("reduced").isNull(), "not-body-bearing"))))
+    gone = kept(linking.looked_up(keyed.drop("assertion"), made, ["_key"]).withColumn("why", F.coalesce("why", F.when(F.col("reduced").isNull(), "not-body-bearing"))))
     settled.append(row(gone.filter("why is not null and why != 'not-body-bearing'"), "body-refused", F.concat(F.lit("body-discharge: "), "why"), body_tier=F.col("body_tier")))
     through = gone.filter("why is null").select("id", F.lit(TRUE).alias("assumed"), F.col("reduced").alias("obligation"), F.when(F.col("shallow") == "reflexive", "body-reflexive").otherwise("body-solver").alias("tier"), "body_tier")
 

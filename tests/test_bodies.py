@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from claimloom.functions.formula import atom, const, var
 from claimloom.operators import bodies
 
@@ -108,3 +110,28 @@ def test_formulas_that_come_to_the_same_are_decided_once(spark, monkeypatch):
     got = {r["id"]: r["status"] for r in made.collect()}
     assert decided == [2]
     assert got == {f"a{i}": "discharged" for i in range(6)} | {"b": "unsatisfied", "c": None}
+
+
+def test_bodies_are_followed_once_and_calls_of_equal_fate_are_one(spark, monkeypatch):
+    n = 40
+    value = lambda i: app("+", app(f"f{i - 1}", X) if i % 4 else X, const(1))
+    known = [*BODIES, *[body(f"f{i}", ["x"], value(i)) for i in range(n)], body("late", ["x"], app("partial", X)), body("later", ["x"], app("late", X)), body("drop", ["x", "y"], X), ("torn", ["x"], "{", None), body("rips", ["x"], app("torn", X))]
+    asked = {f"a{i}": atom("=", app(f"f{i}", const(5)), const(5 + i % 4 + 1)) for i in range(n)}
+    asked |= {n: f for n, (f, *_) in CASES.items()}
+    one = lambda *calls: atom("=", app("Ok", *calls), const(1))
+    asked |= {
+        "late": one(app("late", X)), "two late": one(app("later", X), app("late", X)), "late and recursive": one(app("even", X), app("later", X)), "at once first": one(app("later", X), app("vague", X)), "arity first": one(app("later", X, X)),
+        "dropped": one(app("drop", X, app("late", X))), "dropped at once": one(app("drop", X, app("partial", X))), "torn": one(app("torn", X)), "torn later": one(app("rips", X), app("inc", X)), "two names": atom("=", app("inc", X), app("twice", X)), "variable of a call's name": atom("=", app("inc", var("twice")), app("+", var("twice"), const(1))),
+        "float": one(app("inc", const(1.5))), "binder and call": one(app("binder", app("inc", Y))),
+    }
+    schema = "op string, formals array<string>, post string, pre string"
+    rows = spark.createDataFrame([(i, json.dumps(f)) for i, f in asked.items()] + [("text", "ok"), ("none", None), ("list", "[1]")], "id string, formula string")
+    contracts = spark.createDataFrame(known, schema)
+    best = contracts.groupBy("op").agg(F.min(F.struct("formals", "post", "pre")).alias("b")).select("op", F.struct("op", "b.formals", "b.post", "b.pre").alias("body"))
+    plain = bodies.reduce(lambda a, b: a.unionByName(b), bodies._levels(rows, best)).mapInPandas(bodies._ended, "id string, tier string, reason string, reduced string, method string")
+    levels, followed = bodies._levels, []
+    monkeypatch.setattr(bodies, "_levels", lambda active, one: (followed.append({r.id for r in active.collect()}), levels(active, one))[1])
+    got = bodies.reduced(rows, contracts)
+    columns = sorted(plain.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, (tuple(r[c] for c in columns) for r in plain.collect())))
+    assert followed[0] == {k[0] for k in known} and not any(i.startswith("a") and i[1:].isdigit() for i in followed[1])
