@@ -117,3 +117,23 @@ def test_eviction_keeps_late_versions_out(spark, tmp_path):
         q.stop()
     assert sum(log(spark, out, "slots").values()) == 2  # the state was gone, so it was written once more
     assert [r.version for r in slots.current_slots(spark, out).collect()] == [3]
+
+
+def test_edges_of_slots_travel_little(spark, tmp_path):
+    """Odd edges come to what linking all at once makes of them; the log of links is dealt out once."""
+    made = [contract("f", pre="p", cid="c:f"), contract("f", pre="o", cid="c:f"), contract("f", cid="c:e"), contract("caller", post="p", cid="c:caller"), contract("caller", post="z", cid="c:caller"), ("k", "g", None, "p", "p"), (None, "h", "c:h", "p", None), ("k", None, "c:n", "p", None), ("c", "c:f", "c:x", None, "q")]
+    asked = [edge(s, t, n, c) for n, (s, t, c) in enumerate((s, t, c) for s in ("c:caller", "c:none", None, "c:x") for t in ("k:f", "k:g", "c:c:f", ":f", "k:", "f", "k:h", None) for c in (None, "c:f", "c:h", "c:none"))]
+    slot = [("k", "a", 1, made, asked[:50]), ("k", None, 1, [], asked[50:])]
+    rows = spark.createDataFrame(slot, SCHEMA).withColumns({"slot": F.to_json(F.struct("kit", "file")), "digest": F.lit("d"), "touched": F.array().cast("array<string>")})
+    for upper in (10**9, -1):  # keys sent to all tasks, and dealt out
+        touched = slots._touched(slots._edges(rows), rows.limit(1).withColumn("touched", F.array(F.lit("c:c:f"), F.lit("s:k:g"), F.lit("c:c:x"))), upper)
+        ask = lambda e: {f"c:{e[0]}", f"c:{e[1]}" if e[1] else f"s:{e[2]}"}
+        assert sorted(r.line for r in touched.collect()) == sorted(e[3] for e in asked if ask(e) & {"c:c:f", "s:k:g", "c:c:x"})
+    key = lambda r: (r.line, r.resolved, r.source_post, r.target_pre, r.outcome)
+    assert sorted(map(key, slots.relinked(rows, rows).collect()), key=str) == sorted(map(key, linking.obligations(rows.select(F.inline("edges")), rows.select(F.inline("contracts"))).collect()), key=str)
+    put(spark, str(tmp_path / "in"), slot)
+    out = run(spark, tmp_path)
+    last = slots.current_links(spark, out)
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(slot") == 1 + plan.count("BroadcastExchange") and last.count() == len(asked)
+    assert spark.conf.get(slots.CLEANUP, "false") == "false"
