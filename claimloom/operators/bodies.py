@@ -12,13 +12,13 @@ import json
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formula
 from ..functions.canon import jcs
 from . import decide
-from .graph import kept
+from .graph import dropped, kept, sent
 from .linking import looked_up
 
 VIA = "$via"
@@ -196,66 +196,73 @@ def _fates(one: DataFrame) -> DataFrame:
     return kept(rows.select("op", "n").join(ended, "op").mapInPandas(_closed, "op string, fate string"))
 
 
-READ = "id string, formula string, template string, names array<string>, calls array<int>, asks array<string>"
+#: A formula's own names and numbers, as :func:`formula.template` and :func:`formula.holes_of` find them.
+NAME, NUMBER = formula._NAME.pattern, formula._NUMBER.pattern
+#: Stands between labels of names; no name has it.
+BETWEEN = "\x1f"
+#: A name without a body, as a number of a fate.
+BARE = -2
 
 
-def _templates(batches):
-    """Formulas as templates with their names; ``calls`` has for each name its first place if it is that of a call, else -1. Others keep their text."""
+def _holes(batches):
+    """Shapes of formulas with the holes that are names of calls; none where the shape could be read in another way."""
     for pdf in batches:
         out = []
-        for i, text in zip(pdf["id"], pdf["formula"], strict=True):
+        for number, shape in zip(pdf["shape_number"], pdf["shape"], strict=True):
             try:
-                made = formula.template(text)
-                holes = formula.holes_of(made[0]) if made else None
-                if made and made[0].count(formula._HOLE) == len(made[1]) and all(type(h) is int for h in holes):
-                    at = set(holes)
-                    names = made[1]
-                    out.append((i, None, made[0], names, [names.index(x) if n in at else -1 for n, x in enumerate(names)], sorted({names[n] for n in at})))
-                    continue
+                found = formula.constructor_holes(shape)
+                holes = sorted(set(found)) if all(type(h) is int for h in found) else None
             except (ValueError, TypeError, AttributeError, RecursionError):
-                pass
-            out.append((i, text, None, None, None, None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
+                holes = None
+            out.append((number, shape, holes))
+        yield pd.DataFrame(out, columns=["shape_number", "shape", "holes"])
 
 
 def _known(batches):
-    """Templates whose calls have fates: id, tier, reason, reduced, method, and the formula again where it must go level by level."""
+    """Forms whose calls have fates: kind, tier, reason, reduced, method, and whether they must go level by level."""
     for pdf in batches:
         out = []
-        for i, text, own, places, numbers, texts in zip(pdf["id"], pdf["template"], pdf["names"], pdf["calls"], pdf["fates"], pdf["texts"], strict=True):
-            numbers, texts, names, known = dict(numbers), dict(texts), [], {}
-            for n, at in zip(own, places, strict=True):
-                if at < 0 or n not in numbers:
-                    names.append(n)
+        for kind, text, labels, fates, bares, texts in zip(pdf["kind"], pdf["template"], pdf["labels"], pdf["fates"], pdf["bares"], pdf["texts"], strict=True):
+            texts, names, known = dict(texts) if texts is not None else {}, [], {}
+            own = labels.split(BETWEEN) if labels else []
+            asked = list(dict.fromkeys(x for x in own if x.startswith("asked:")))
+            for x in own:
+                how, _, rest = x.partition(":")
+                at, number, name = rest.split(":", 2) if how == "fate" else (rest, fates[asked.index(x)], bares[asked.index(x)]) if how == "asked" else (None, BARE, rest)
+                if int(number) == BARE:
+                    names.append(name)
                 else:
                     names.append(f"{ACTUAL}op{at}")
-                    known[names[-1]] = json.loads(texts[numbers[n]])
+                    known[names[-1]] = json.loads(texts[int(number)]) if int(number) != OPEN else None
             tier = reason = made = method = None
-            again = False
+            again = None in known.values()
             try:
-                f = json.loads(formula.filled(text, names))
-                tier = _tier(f, known)
-                if any(k["why"] == "malformed" and k["at_once"] for k in known.values()):
-                    tier, reason = None, "malformed"
-                elif tier is None:
-                    reason = "shape"
-                else:
-                    done = json.loads(jcs(_put(f, known), "linker"))
-                    late = {k["why"] for k in known.values()} - {None}
-                    again = bool(late) and len(known) > 1
-                    if late:
-                        reason = late.pop()
+                if not known:
+                    reason = "not-body-bearing"
+                elif not again:
+                    f = json.loads(formula.filled(text, names))
+                    tier = _tier(f, known)
+                    if any(k["why"] == "malformed" and k["at_once"] for k in known.values()):
+                        tier, reason = None, "malformed"
+                    elif tier is None:
+                        reason = "shape"
                     else:
-                        made, method = jcs(_plain(done, True), "linker"), formula.discharge_method(_plain(done, False))
+                        done = json.loads(jcs(_put(f, known), "linker"))
+                        late = {k["why"] for k in known.values()} - {None}
+                        again = bool(late) and len(known) > 1
+                        if late:
+                            reason = late.pop()
+                        else:
+                            made, method = jcs(_plain(done, True), "linker"), formula.discharge_method(_plain(done, False))
             except _Refused as e:
                 reason = str(e)
             except (ValueError, TypeError, AttributeError, KeyError, RecursionError):
                 again = True
-            out.append((i, tier, reason, made, method, again))
+            out.append((kind, tier, reason, made, method, again))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in KNOWN.split(", ")])
 
 
-KNOWN = "id string, tier string, reason string, reduced string, method string, again boolean"
+KNOWN = "kind bigint, tier string, reason string, reduced string, method string, again boolean"
 
 
 def _put(t, known: dict):
@@ -285,8 +292,103 @@ def _filled(t, args: list):
     return {k: _filled(v, args) if isinstance(v, dict | list) and k != "sort" else v for k, v in t.items()}
 
 
+def _read(rows: DataFrame, text: str, fates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``form``, ``asks`` and ``fates`` in place of the formula, and (form, template, labels). A formula that is no plain JSON stays as ``odd``.
+
+    A form is a formula without the names of those calls that change from row to row; these are ``asks``, and are looked
+    up one after another. Calls that are the same in all formulas of a shape are looked up once.
+    """
+    t = F.col(text)
+    plain = t.isNotNull() & ~t.contains("\\") & ~t.contains(formula._HOLE)
+    own = [c for c in rows.columns if c != text]
+    read = rows.withColumn("template", F.when(plain, F.regexp_replace(t, NAME, formula._HOLE)))
+    read = kept(read.select(*own, F.when(~plain, t).alias("odd"), "template", F.regexp_replace("template", NUMBER, '"value":0').alias("shape"), F.when(plain, F.regexp_extract_all(t, F.lit(NAME), F.lit(1))).alias("names")))
+    shapes = read.select("shape").filter("shape is not null").distinct().select(F.monotonically_increasing_id().alias("shape_number"), "shape")
+    shapes = kept(shapes.mapInPandas(_holes, "shape_number bigint, shape string, holes array<int>"))
+    met = read.join(sent(shapes), "shape", "left")
+    each = met.select("shape_number", "names", F.explode("holes").alias("at")).select("shape_number", "at", F.xxhash64(F.get("names", F.col("at"))).alias("h"))
+    one = each.groupBy("shape_number", "at").agg(F.min("h").alias("h"), F.max("h").alias("other")).filter("h = other")
+    same = kept(one.groupBy("shape_number").agg(F.collect_set("at").alias("same"), F.collect_set("h").alias("hashes")))
+    # all bodies of such a name's hash are told of, so a name that is not among them has none
+    hashed = same.select("shape_number", F.explode("hashes").alias("h")).join(fates.select(F.xxhash64("op").alias("h"), "op", "number"), "h")
+    same = same.select("shape_number", "same").join(hashed.groupBy("shape_number").agg(F.map_from_entries(F.collect_list(F.struct("op", "number"))).alias("told")), "shape_number", "left")
+    met = met.join(sent(kept(same)), "shape_number", "left")
+    first = lambda x: (F.array_position("names", x) - 1).cast("string")
+    is_call, is_same = (lambda i: F.array_contains("holes", i)), lambda i: F.coalesce(F.array_contains("same", i), F.lit(False))
+    known = lambda x: F.try_element_at("told", x)
+    named = lambda x: F.concat(F.lit("name:"), x)
+    label = lambda x, i: F.when(~is_call(i), named(x)).when(~is_same(i), F.concat(F.lit("asked:"), first(x))).otherwise(F.coalesce(F.concat(F.lit("fate:"), first(x), F.lit(":"), known(x).cast("string"), F.lit(":"), x), named(x)))
+    asks = F.array_distinct(F.transform(F.filter("holes", lambda i: ~is_same(i)), lambda i: F.get("names", i)))
+    labels = F.when(F.col("holes").isNotNull(), F.array_join(F.transform("names", label), BETWEEN))
+    text_of = F.when(F.col("holes").isNull(), _rebuilt())
+    met = met.select(*own, F.coalesce("odd", text_of).alias("odd"), F.when(F.col("holes").isNotNull(), F.col("template")).alias("template"), labels.alias("labels"), asks.alias("asks"))
+    forms = kept(met.select("template", "labels").filter("template is not null").distinct().select(F.monotonically_increasing_id().alias("form"), "template", "labels"))
+    met = kept(met.join(sent(forms), ["template", "labels"], "left").drop("template", "labels").withColumns({"fates": F.expr("cast(array() as array<bigint>)"), "bares": F.expr("cast(array() as array<string>)")}))
+    dropped(read)
+    n = 0
+    while not (asking := met.filter(F.size("asks") > n)).isEmpty():
+        found = looked_up(asking.withColumn("_op", F.get("asks", F.lit(n))), fates.withColumnRenamed("op", "_op"), ["_op"])
+        found = found.withColumns({"fates": F.concat("fates", F.array(F.coalesce("number", F.lit(BARE)))), "bares": F.concat("bares", F.array(F.when(F.col("number").isNull(), F.col("_op")).otherwise("")))})
+        done = met.filter(~F.coalesce(F.size("asks") > n, F.lit(False)))
+        new = kept(found.select(met.columns).unionByName(done))
+        dropped(met)
+        met, n = new, n + 1
+    return met, forms
+
+
+def _rebuilt() -> Column:
+    """The text of a formula from its template and names."""
+    parts = F.split("template", formula._HOLE)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit('"name":"'), F.get("names", i - 1), F.lit('"'), p))), "")
+
+
+SAYS = ["tier", "reason", "reduced", "method"]
+
+
+def told(rows: DataFrame, text: str, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``made`` in place of their formula, and (made, tier, reason, reduced, method). A null formula has no ``made``.
+
+    See :func:`reduced`. Rows need no ids, and travel only to the bodies of their calls.
+    """
+    one = bodies.filter("op is not null").groupBy("op").agg(F.min(F.struct("formals", "post", "pre")).alias("b")).select("op", F.struct("op", "b.formals", "b.post", "b.pre").alias("body"))
+    one = kept(one)
+    came = _fates(one)
+    texts = kept(came.select("fate").distinct().withColumn("number", F.monotonically_increasing_id()))
+    fates = kept(one.select("op").join(came.join(texts, "fate").select("op", "number"), "op", "left").select("op", F.coalesce("number", F.lit(OPEN)).alias("number")))
+    met, forms = _read(rows, text, fates)
+    own = [c for c in met.columns if c not in ("odd", "form", "asks", "fates", "bares")]
+    key = ["form", "fates", "bares"]
+    kinds = kept(met.filter("form is not null").select(*key).distinct().select(F.monotonically_increasing_id().alias("kind"), *key))
+    shaped = kinds.join(forms, "form")
+    fixed = F.transform(F.filter(F.split("labels", BETWEEN), lambda x: x.startswith("fate:")), lambda x: F.split(x, ":")[2].cast("bigint"))
+    means = shaped.select("kind", F.explode(F.array_distinct(F.concat("fates", fixed))).alias("number")).join(texts, "number").groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("number", "fate"))).alias("texts"))
+    made = kept(shaped.join(means, "kind", "left").mapInPandas(_known, KNOWN))
+    results = made.filter("not again").select(*SAYS).distinct()
+    # formulas of which this does not tell go level by level, with their own text
+    odd = met.filter("odd is not null").select(*own, F.col("odd").alias("_text"))
+    again = shaped.join(made.filter("again").select("kind"), "kind")
+    if not again.isEmpty():
+        name = lambda x: F.when(x.startswith("name:"), F.substring(x, 6, 2**30)).when(x.startswith("fate:"), F.regexp_extract(x, "(?s)^fate:[0-9]+:-?[0-9]+:(.*)$", 1)).otherwise(F.get("asks", (F.array_position("_asked", x) - 1).cast("int")))
+        again = again.withColumns({"_labels": F.split("labels", BETWEEN), "_asked": F.array_distinct(F.filter(F.split("labels", BETWEEN), lambda x: x.startswith("asked:")))}).drop("kind", "labels")
+        odd = odd.unionByName(met.join(again, key).withColumn("names", F.transform("_labels", name)).select(*own, _rebuilt().alias("_text")))
+    slow = None
+    if not odd.isEmpty():
+        asked = odd.select(F.sha2("_text", 256).alias("id"), F.col("_text").alias("formula")).distinct()
+        slow = kept(reduce(DataFrame.unionByName, _levels(asked, one)).mapInPandas(_ended, "id string, tier string, reason string, reduced string, method string"))
+        results = results.unionByName(slow.select(*SAYS)).distinct()
+    results = kept(results.select(F.monotonically_increasing_id().alias("made"), *SAYS))
+    same = lambda df: reduce(lambda x, y: x & y, [df[c].eqNullSafe(results[c]) for c in SAYS])
+    which = kept(made.filter("not again").join(results, same(made)).select("kind", "made").join(kinds, "kind").drop("kind"))
+    out = met.filter("odd is null").join(sent(which), key, "left")
+    if slow is not None:
+        out = out.join(sent(made.filter("again").join(kinds, "kind").select(*key)), key, "left_anti")
+        how = kept(slow.join(results, same(slow)).select(F.col("id").alias("_id"), "made"))
+        out = out.select(*own, "made").unionByName(odd.withColumn("_id", F.sha2("_text", 256)).join(how, "_id").select(*own, "made"))
+    return out.select(*own, "made"), results
+
+
 def reduced(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Formulas (id, formula) with calls replaced by bodies: id, tier, reason, reduced, method. Ids are unique.
+    """Formulas (id, formula) with calls replaced by bodies: id, tier, reason, reduced, method.
 
     Bodies have op, formals, post and pre; of several of one op the least counts. A
     formula without a call that has a body is ``not-body-bearing``. One that has
@@ -298,40 +400,20 @@ def reduced(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
     of equal fate are reduced once. Those with binders in bodies, with several calls of which one is refused
     on a later level, or that are no plain JSON go level by level themselves.
     """
-    one = bodies.filter("op is not null").groupBy("op").agg(F.min(F.struct("formals", "post", "pre")).alias("b")).select("op", F.struct("op", "b.formals", "b.post", "b.pre").alias("body"))
-    one = kept(one)
-    told = _fates(one)
-    texts = kept(told.select("fate").distinct().withColumn("number", F.monotonically_increasing_id()))
-    numbers = told.join(texts, "fate").select("op", "number")
-    fates = kept(one.select("op").join(numbers, "op", "left").select("op", F.coalesce("number", F.lit(OPEN)).alias("number")))
-    read = kept(obligations.select("id", "formula").mapInPandas(_templates, READ))
-    plain = read.filter("template is not null")
-    calls = plain.select("id", F.explode("asks").alias("op")).join(fates, "op").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("op", "number"))).alias("fates"))
-    fate = lambda n, at: F.when(at >= 0, F.col("fates")[n])
-    labels = F.zip_with("names", "calls", lambda n, at: F.coalesce(F.concat(at.cast("string"), F.lit(":"), fate(n, at).cast("string")), F.concat(F.lit("name:"), n)))
-    closed = ~F.array_contains(F.map_values("fates"), F.lit(OPEN))
-    met = kept(plain.join(calls, "id", "left").withColumns({"_key": F.when(closed, F.sha2(F.to_json(F.struct("template", labels.alias("labels"))), 256)), "bare": F.col("fates").isNull()}).drop("asks", "formula"))
-    once = kept(met.filter("_key is not null").groupBy("_key").agg(F.first(F.struct("template", "names", "calls", "fates")).alias("r")).select(F.col("_key").alias("id"), "r.*"))  # of equal fate in a group
-    means = once.select("id", F.explode(F.array_distinct(F.map_values("fates"))).alias("number")).join(texts, "number").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("number", "fate"))).alias("texts"))
-    made = kept(once.join(means, "id").mapInPandas(_known, KNOWN)).withColumnRenamed("id", "_key")
-    found = met.filter("_key is not null").select("id", "_key").join(made, "_key").drop("_key")
-    none = F.lit(None).cast("string")
-    bare = met.filter("bare").select("id", none.alias("tier"), F.lit("not-body-bearing").alias("reason"), none.alias("reduced"), none.alias("method"))
-    left = read.filter("template is null").select("id").unionByName(found.filter("again").select("id")).unionByName(met.filter("_key is null and not bare").select("id"))
-    slow = reduce(DataFrame.unionByName, _levels(obligations.join(left, "id", "left_semi"), one)).mapInPandas(_ended, "id string, tier string, reason string, reduced string, method string")
-    return found.filter("not again").drop("again").unionByName(bare).unionByName(slow)
+    rows, results = told(obligations.select("id", "formula"), "formula", bodies)
+    out = rows.join(sent(results), "made", "left")
+    return out.withColumn("reason", F.when(F.col("made").isNull(), "malformed").otherwise(F.col("reason"))).drop("made")
 
 
 def body_obligations(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Obligations (id, formula) with tier, reason, method and status, each formula reduced once; what formulas come to is decided once.
+    """Obligations (id, formula) with tier, reason, method and status; what formulas come to is decided once.
 
     A reduced equation of a term with itself is discharged as ``reflexive``; others go to the
     decision procedure without assumptions: discharged (``solver-substantive``),
     unsatisfied or undecidable. Refusals are ``refused``; formulas without a body are ``open``.
     """
-    keyed = obligations.withColumn("_key", F.sha2("formula", 256))
-    texts = keyed.filter("formula is not null").select(F.col("_key").alias("id"), "formula").distinct()
-    made = kept(reduced(texts, bodies).withColumn("_asks", F.when(F.expr("reason is null and method != 'reflexive'"), F.sha2("reduced", 256))))
+    rows, made = told(obligations, "formula", bodies)
+    made = made.withColumn("_asks", F.when(F.expr("reason is null and method != 'reflexive'"), F.sha2("reduced", 256)))
     open_ = made.filter("_asks is not null").groupBy(F.col("_asks").alias("id")).agg(F.first("reduced").alias("pre"))  # equal in a group
     verdicts = decide.implications(open_.select("id", F.lit('{"kind":"and","operands":[]}').alias("post"), "pre")).withColumnRenamed("id", "_asks")
     found = looked_up(made.drop("reduced"), verdicts, ["_asks"])
@@ -342,8 +424,8 @@ def body_obligations(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
         .when(F.col("verdict") == "refuted", "unsatisfied")
         .otherwise("undecidable")
     )
-    found = found.select(F.col("id").alias("_key"), "tier", "reason", F.when(status == "discharged", F.col("method")).alias("method"), status.alias("status"))
-    return keyed.join(found, "_key", "left").drop("_key")
+    found = kept(found.select("made", "tier", "reason", F.when(status == "discharged", F.col("method")).alias("method"), status.alias("status")))
+    return rows.join(sent(found), "made", "left").drop("made")
 
 
 def post_facts(callsites: DataFrame, by_symbol: DataFrame, by_site: DataFrame, contracts: DataFrame) -> DataFrame:

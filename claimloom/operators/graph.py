@@ -42,8 +42,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: worked out once, with its lineage cut."""
     path = scratch(df.sparkSession, "kept")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    put(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Tables of :func:`kept` that nothing will read again go at once."""
+    for t in tables:
+        remove(t.sparkSession, t._kept_at)
 
 
 def put(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -135,3 +135,22 @@ def test_bodies_are_followed_once_and_calls_of_equal_fate_are_one(spark, monkeyp
     columns = sorted(plain.columns)
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, (tuple(r[c] for c in columns) for r in plain.collect())))
     assert followed[0] == {k[0] for k in known} and not any(i.startswith("a") and i[1:].isdigit() for i in followed[1])
+
+
+def test_formulas_travel_as_numbers(spark, monkeypatch):
+    """One table at most holds a row with text for each formula: what goes to bodies and back is numbers."""
+    keep, wide = bodies.kept, []
+
+    def kept(df):
+        out = keep(df)
+        if {"template", "formula"} & set(out.columns) and out.count() >= 60:
+            wide.append(out.columns)
+        return out
+
+    monkeypatch.setattr(bodies, "kept", kept)
+    call = '{"kind":"atomic","name":"=","args":[{"kind":"ctor","name":"b%d","args":[{"kind":"var","name":"x"}]},{"kind":"const","value":1}]}'
+    rows = spark.createDataFrame([(str(i), call % (i % 40)) for i in range(60)], "id string, formula string")
+    known = spark.createDataFrame([body(f"b{i}", ["x"], X) for i in range(30)], "op string, formals array<string>, post string, pre string")
+    got = {r.id: (r.reason, r.reduced is not None) for r in bodies.reduced(rows, known).collect()}
+    assert got == {str(i): (None, True) if i % 40 < 30 else ("not-body-bearing", False) for i in range(60)}
+    assert len(wide) <= 1
