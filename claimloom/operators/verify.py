@@ -10,6 +10,8 @@ was routed does not run.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from ..functions import columns as C
 from ..functions import formula, udfs
 from ..functions.canon import jcs
 from . import algebra, bodies, decide, linking, pool
-from .graph import kept
+from .graph import kept, sent
 
 TIERS = "attribute-safety unresolved-target guarded unguarded instantiate-refused body-refused body-reflexive body-solver body-bearing-refused vacuous".split()
 SOLVERS = ("difference", "ground")
@@ -101,35 +103,38 @@ def verify_claims(sites: DataFrame, contracts: DataFrame, shapes: DataFrame, rou
     """
     routes = routes or {"default": "difference"}
     none, empty = F.lit(None).cast("string"), F.expr("cast(array() as array<string>)")
-    rows = sites.withColumns({"guards": F.coalesce("guards", empty), "args": F.coalesce("args", empty)})
+    given = ["guards", "args", "actuals", "receiver_class", "attribute", "arg_term"]
+    alone = F.col("attribute").isNull()  # an attribute is settled whatever its target and assertion say
+    rows = sites.withColumns({"guards": F.coalesce("guards", empty), "args": F.coalesce("args", empty), "actuals": F.map_entries("actuals"), "target_cid": F.when(alone, F.col("target_cid")), "assertion": F.when(alone, F.col("assertion"))})
     columns = ["id", "tier", "obligation_class", "routed_solver", "solver", "verdict", "reason", "method", "body_tier"]
 
     def row(df: DataFrame, tier, reason, klass="default", verdict="undecidable", solver="<none>", routed="<none>", method=None, body_tier=None) -> DataFrame:
         col = lambda v: none if v is None else F.lit(v) if isinstance(v, str) else v
         return df.select("id", *[col(v).alias(n) for n, v in zip(columns[1:], (tier, klass, routed, solver, verdict, reason, method, body_tier), strict=True)])
 
-    attribute = rows.filter(F.col("attribute").isNotNull())
-    safe = pool.attribute_safety(attribute.select("id", "receiver_class", "attribute", "arg_term", "guards"), shapes)
-    settled = [row(safe, "attribute-safety", F.col("reason"), "attribute-safety", F.col("status"), "classShapes", "classShapes", F.when(F.col("status") == "discharged", "attribute-safe"))]
-
     least = contracts.filter("contract_cid is not null").groupBy("contract_cid").agg(F.min(F.struct("formals", "pre", "post", "op")).alias("c"))
     targets = least.select(F.col("contract_cid").alias("target_cid"), "c.formals", "c.pre", F.lit(True).alias("there"))
-    rest = rows.filter(F.col("attribute").isNull()).drop("receiver_class", "attribute", "arg_term")
-    met = kept(linking.looked_up(rest, targets, ["target_cid"]))
+    bearing = contracts.filter("formals is not null").select("op", "formals", "post", "pre")
+    read, made = bodies.told(rows.select("id", "target_cid", "assertion", *given), "assertion", bearing)
+    read = kept(linking.looked_up(read, targets, ["target_cid"]).drop("target_cid"))
+    what = [*given, "formals", "pre", "there", "made"]
+    kinds = kept(read.select(*what).distinct().select(F.monotonically_increasing_id().alias("id"), *what))  # sites of a kind have one fate
 
+    attribute = kinds.filter(F.col("attribute").isNotNull())
+    safe = pool.attribute_safety(attribute.select("id", "receiver_class", "attribute", "arg_term", "guards"), shapes)
+    settled = [row(safe, "attribute-safety", F.col("reason"), "attribute-safety", F.col("status"), "classShapes", "classShapes", F.when(F.col("status") == "discharged", "attribute-safe"))]
+
+    met = kinds.filter(F.col("attribute").isNull()).withColumn("actuals", F.map_from_entries("actuals"))
     asks = met.filter(nontrivial(F.col("pre")))
-    at_call = kept(asks.select("id", "pre", "formals", "args", "actuals").mapInPandas(_instantiated, "id string, obligation string, error string"))
+    at_call = kept(asks.select("id", "pre", "formals", "args", "actuals").mapInPandas(_instantiated, "id bigint, obligation string, error string"))
     settled.append(row(at_call.filter("obligation is null"), "instantiate-refused", F.concat(F.lit("instantiate: "), "error")))
     guard = F.when(F.size("guards") == 0, TRUE).otherwise(F.concat(F.lit('{"kind":"and","operands":['), F.array_join(F.array_sort(F.array_distinct("guards")), ","), F.lit("]}")))
     pre = at_call.filter("obligation is not null").join(asks.select("id", guard.alias("assumed")), "id")
     pre = pre.select("id", "assumed", "obligation", F.when(F.col("assumed") == TRUE, "unguarded").otherwise("guarded").alias("tier"), none.alias("body_tier"))
 
-    free = met.filter(~nontrivial(F.col("pre")))
-    keyed = free.select("id", "formals", "there", "assertion", F.sha2("assertion", 256).alias("_key"))
-    bearing = contracts.filter("formals is not null").select("op", "formals", "post", "pre")
-    asked = keyed.filter("assertion is not null").select(F.col("_key").alias("id"), F.col("assertion").alias("formula")).distinct()
-    made = bodies.reduced(asked, bearing).select(F.col("id").alias("_key"), F.col("tier").alias("body_tier"), F.col("reason").alias("why"), "reduced", F.col("method").alias("shallow"))
-    gone = kept(linking.looked_up(keyed.drop("assertion"), made, ["_key"]).withColumn("why", F.coalesce("why", F.when(F.col("reduced").isNull(), "not-body-bearing"))))
+    free = met.filter(~nontrivial(F.col("pre"))).select("id", "formals", "there", "made")
+    made = made.select("made", F.col("tier").alias("body_tier"), F.col("reason").alias("why"), "reduced", F.col("method").alias("shallow"))
+    gone = kept(free.join(made, "made", "left").withColumn("why", F.coalesce("why", F.when(F.col("reduced").isNull(), "not-body-bearing"))))
     settled.append(row(gone.filter("why is not null and why != 'not-body-bearing'"), "body-refused", F.concat(F.lit("body-discharge: "), "why"), body_tier=F.col("body_tier")))
     through = gone.filter("why is null").select("id", F.lit(TRUE).alias("assumed"), F.col("reduced").alias("obligation"), F.when(F.col("shallow") == "reflexive", "body-reflexive").otherwise("body-solver").alias("tier"), "body_tier")
 
@@ -147,7 +152,10 @@ def verify_claims(sites: DataFrame, contracts: DataFrame, shapes: DataFrame, rou
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
-    return out
+    out = kept(kinds.withColumnRenamed("id", "_kind").join(out.withColumnRenamed("id", "_kind"), "_kind")).drop("_kind")
+    met = lambda c: read[c].eqNullSafe(out[f"_{c}"])
+    out = sent(out.withColumnsRenamed({c: f"_{c}" for c in what}))
+    return read.join(out, reduce(and_, map(met, what))).select(*columns)
 
 
 def split(verified: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ Each view is one SQL text that Spark and DuckDB both read;
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,8 +116,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or a table as a DataFrame; only the tables it names are read."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return over(spark, name, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+
+def over(spark: SparkSession, name: str, table: Callable[[str], DataFrame]) -> DataFrame:
+    """A view over tables that are given by name."""
     sql = text(name, "spark").replace("{", "{{").replace("}", "}}")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    used = {t: table(t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **used)
