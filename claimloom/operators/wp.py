@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formula
 from ..functions.canon import jcs
-from .graph import kept
+from .graph import kept, sent
 from .linking import looked_up
 from .sets import quoted
 
@@ -71,7 +71,7 @@ def _templates(batches):
 def _predicates(batches):
     for pdf in batches:
         texts = [jcs(json.loads(p), "linker") for p in pdf["predicate"]]
-        yield pdf.assign(predicate=texts, asked=[_marked(t, ["result"]) for t in texts])
+        yield pdf.assign(canonical=texts, asked=[_marked(t, ["result"]) for t in texts])
 
 
 def _filled(template: Column, args: Column) -> Column:
@@ -129,14 +129,16 @@ def weakest(nodes: DataFrame, contracts: DataFrame, evidence: DataFrame) -> Data
     A predicate with a quantifier is refused as ``binder`` if the value has variables
     that it could catch, that is, unless it does not speak of the result.
     """
-    columns = evidence.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.schema) + ", asked string"
-    asked = evidence.mapInPandas(_predicates, schema)
-    met = asked.join(values(nodes, contracts), "term", "left")
+    own = [c for c in evidence.columns if c != "predicate"]
+    asked = evidence.select("predicate").distinct().mapInPandas(_predicates, "predicate string, canonical string, asked string")
+    met = evidence.select("term", "predicate").distinct().join(sent(kept(asked)), "predicate").join(values(nodes, contracts), "term", "left")  # each term and predicate once
     put = F.replace(F.col("asked"), F.lit(f"{OPEN}0{CLOSE}"), F.col("value"))
     both = F.when(F.col("pre").isNull(), put).otherwise(F.concat(F.lit('{"kind":"and","operands":['), "pre", F.lit(","), put, F.lit("]}")))
     why = F.when(F.col("value").isNull() & F.col("why").isNull(), "no-term").when(F.col("why").isNotNull(), F.col("why")).when(F.col("asked").isNull(), "binder")
-    return met.withColumn("why", why).select(*columns, F.when(F.col("why").isNull(), both).alias("wp"), "why")
+    met = met.withColumn("why", why).select(F.col("term").alias("_term"), F.col("predicate").alias("_asked"), "canonical", F.when(F.col("why").isNull(), both).alias("wp"), "why")
+    met = sent(kept(met))
+    out = evidence.join(met, evidence["term"].eqNullSafe(met["_term"]) & (evidence["predicate"] == met["_asked"]))
+    return out.select(*[F.col("canonical").alias(c) if c == "predicate" else F.col(c) for c in [*own, "predicate"]], "wp", "why")
 
 
 def compound(nodes: DataFrame, contracts: DataFrame, evidence: DataFrame) -> DataFrame:
