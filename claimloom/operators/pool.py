@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import formula, udfs
 from . import sets
+from .graph import kept, sent
 from .linking import looked_up
 
 
@@ -180,17 +181,32 @@ def cached_implications(pairs: DataFrame, cache: DataFrame) -> DataFrame:
     return pairs.join(valid, ["post_hash", "pre_hash"], "left")
 
 
+#: Members of a pair that are checked before any others of it.
+FIRST = 16
+
+
 def verified_implications(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (post_hash, pre_hash) with ``cached`` from members (member_cid, body): implications of the pair whose property hash and signature hold.
 
-    Signatures are costly, so only members that a pair asks for are checked, each once.
+    Signatures are costly. The least id of those that hold is asked for, so ids are checked in their order: the first
+    ``FIRST`` of each pair, then all others of the pairs for which none of these holds. Property hashes are made once a pair.
     """
     head = lambda k: F.get_json_object("body", f"$.header.{k}")
     known = members.select("member_cid", "body", head("kind").alias("kind"), head("antecedentHash").alias("post_hash"), head("consequentHash").alias("pre_hash"), head("propertyHash").alias("property"))
-    asked = pairs.select("post_hash", "pre_hash").dropna().distinct()
-    met = known.filter("kind = 'implication'").dropDuplicates(["member_cid"]).join(asked, ["post_hash", "pre_hash"], "left_semi")
-    valid = udfs.signed("body") & (udfs.implication_hash("post_hash", "pre_hash") == F.col("property"))
-    return cached_implications(pairs, met.select("post_hash", "pre_hash", F.col("member_cid").alias("cid"), F.coalesce(valid, F.lit(False)).alias("valid")))
+    pair = ["post_hash", "pre_hash"]
+    asked = kept(pairs.select(*pair).dropna().distinct().withColumn("property", udfs.implication_hash(*pair)))
+    met = known.filter("kind = 'implication' and member_cid is not null").join(sent(asked), [*pair, "property"], "left_semi")
+    ids = met.select(*pair, "member_cid").distinct()
+    first = kept(ids.withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy("member_cid"))).filter(F.col("_n") <= FIRST + 1))
+    begun = first.filter(F.col("_n") <= FIRST).drop("_n")
+    checked = lambda rows: rows.select(*pair, F.col("member_cid").alias("cid"), F.coalesce(udfs.signed("body"), F.lit(False)).alias("valid"))
+    spread = lambda rows: rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cache = kept(checked(spread(met.join(sent(begun), [*pair, "member_cid"], "left_semi").select(*pair, "member_cid", "body").distinct())))
+    more = first.filter(F.col("_n") > FIRST).select(*pair).join(cache.filter("valid").select(*pair).distinct(), pair, "left_anti")
+    if not more.isEmpty():
+        rest = met.join(sent(more), pair, "left_semi").join(sent(begun), [*pair, "member_cid"], "left_anti").select(*pair, "member_cid", "body").distinct()
+        cache = cache.unionByName(kept(checked(spread(rest))))
+    return cached_implications(pairs, cache)
 
 
 def annotations(rows: DataFrame) -> DataFrame:

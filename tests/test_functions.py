@@ -217,3 +217,11 @@ def test_constructor_names_parse_a_shape_once(monkeypatch):
     monkeypatch.setattr(formula.json, "loads", lambda t: (n.append(t), loads(t))[1])
     formula._read.clear()
     assert [formula.constructor_names(f % (f"p{i}", "x", i)) for i in range(50)] == [[f"p{i}", "g"] for i in range(50)] and len(n) == 1
+
+
+def test_many_members_are_minted_side_by_side(monkeypatch):
+    how = {"signer": crypto.public_string(bytes(32)), "declared_at": "2026-01-01T00:00:00.000Z", "seed": bytes(32)}
+    contents = [("implication", {"n": i, "text": "x" * 40 * i, "none": None}, {"m": i}) for i in range(40)] + [("proof-run", {"cid": "own"}, {})]
+    one_by_one = [bundle.mint(*c, **how) for c in contents]
+    monkeypatch.setattr(crypto, "blake3", None)
+    assert bundle.mint_many(contents, **how) == one_by_one
