@@ -202,6 +202,8 @@ NAME, NUMBER = formula._NAME.pattern, formula._NUMBER.pattern
 BETWEEN = "\x1f"
 #: A name without a body, as a number of a fate.
 BARE = -2
+#: Rows with texts that are sent along at most.
+TEXTS = 100_000
 
 
 def _holes(batches):
@@ -305,7 +307,7 @@ def _read(rows: DataFrame, text: str, fates: DataFrame) -> tuple[DataFrame, Data
     read = kept(read.select(*own, F.when(~plain, t).alias("odd"), "template", F.regexp_replace("template", NUMBER, '"value":0').alias("shape"), F.when(plain, F.regexp_extract_all(t, F.lit(NAME), F.lit(1))).alias("names")))
     shapes = read.select("shape").filter("shape is not null").distinct().select(F.monotonically_increasing_id().alias("shape_number"), "shape")
     shapes = kept(shapes.mapInPandas(_holes, "shape_number bigint, shape string, holes array<int>"))
-    met = read.join(sent(shapes), "shape", "left")
+    met = read.join(sent(shapes, TEXTS), "shape", "left")
     each = met.select("shape_number", "names", F.explode("holes").alias("at")).select("shape_number", "at", F.xxhash64(F.get("names", F.col("at"))).alias("h"))
     one = each.groupBy("shape_number", "at").agg(F.min("h").alias("h"), F.max("h").alias("other")).filter("h = other")
     same = kept(one.groupBy("shape_number").agg(F.collect_set("at").alias("same"), F.collect_set("h").alias("hashes")))
@@ -323,7 +325,7 @@ def _read(rows: DataFrame, text: str, fates: DataFrame) -> tuple[DataFrame, Data
     text_of = F.when(F.col("holes").isNull(), _rebuilt())
     met = met.select(*own, F.coalesce("odd", text_of).alias("odd"), F.when(F.col("holes").isNotNull(), F.col("template")).alias("template"), labels.alias("labels"), asks.alias("asks"))
     forms = kept(met.select("template", "labels").filter("template is not null").distinct().select(F.monotonically_increasing_id().alias("form"), "template", "labels"))
-    met = kept(met.join(sent(forms), ["template", "labels"], "left").drop("template", "labels").withColumns({"fates": F.expr("cast(array() as array<bigint>)"), "bares": F.expr("cast(array() as array<string>)")}))
+    met = kept(met.join(sent(forms, TEXTS), ["template", "labels"], "left").drop("template", "labels").withColumns({"fates": F.expr("cast(array() as array<bigint>)"), "bares": F.expr("cast(array() as array<string>)")}))
     dropped(read)
     n = 0
     while not (asking := met.filter(F.size("asks") > n)).isEmpty():
@@ -401,7 +403,7 @@ def reduced(obligations: DataFrame, bodies: DataFrame) -> DataFrame:
     on a later level, or that are no plain JSON go level by level themselves.
     """
     rows, results = told(obligations.select("id", "formula"), "formula", bodies)
-    out = rows.join(sent(results), "made", "left")
+    out = rows.join(sent(results, TEXTS), "made", "left")
     return out.withColumn("reason", F.when(F.col("made").isNull(), "malformed").otherwise(F.col("reason"))).drop("made")
 
 

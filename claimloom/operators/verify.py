@@ -154,7 +154,7 @@ def verify_claims(sites: DataFrame, contracts: DataFrame, shapes: DataFrame, rou
         out = out.unionByName(s)
     out = kept(kinds.withColumnRenamed("id", "_kind").join(out.withColumnRenamed("id", "_kind"), "_kind")).drop("_kind")
     met = lambda c: read[c].eqNullSafe(out[f"_{c}"])
-    out = sent(out.withColumnsRenamed({c: f"_{c}" for c in what}))
+    out = sent(out.withColumnsRenamed({c: f"_{c}" for c in what}), bodies.TEXTS)
     return read.join(out, reduce(and_, map(met, what))).select(*columns)
 
 

@@ -136,7 +136,7 @@ def weakest(nodes: DataFrame, contracts: DataFrame, evidence: DataFrame) -> Data
     both = F.when(F.col("pre").isNull(), put).otherwise(F.concat(F.lit('{"kind":"and","operands":['), "pre", F.lit(","), put, F.lit("]}")))
     why = F.when(F.col("value").isNull() & F.col("why").isNull(), "no-term").when(F.col("why").isNotNull(), F.col("why")).when(F.col("asked").isNull(), "binder")
     met = met.withColumn("why", why).select(F.col("term").alias("_term"), F.col("predicate").alias("_asked"), "canonical", F.when(F.col("why").isNull(), both).alias("wp"), "why")
-    met = sent(kept(met))
+    met = sent(kept(met), 100_000)
     out = evidence.join(met, evidence["term"].eqNullSafe(met["_term"]) & (evidence["predicate"] == met["_asked"]))
     return out.select(*[F.col("canonical").alias(c) if c == "predicate" else F.col(c) for c in [*own, "predicate"]], "wp", "why")
 
